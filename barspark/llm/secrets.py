@@ -166,6 +166,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d._blob") == F.col("h.blob"))
     joined = keyed.join(hits, same, "left").select("d.*", "_spans")
     spans = F.coalesce("_spans", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    text = redacted(F.col("text"), spans)
-    length = F.when(F.size(spans) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return joined.select(*({"text": text.alias("text"), "n_chars": length.alias("n_chars")}.get(c, F.col(c)) for c in docs.columns))
+    marked = joined.withColumn("_text", redacted(F.col("text"), spans)).withColumn("_changed", F.size(spans) > 0)
+    length = F.when(F.col("_changed"), F.length("_text").cast("long")).otherwise(F.col("n_chars"))
+    new = {"text": F.col("_text").alias("text"), "n_chars": length.alias("n_chars")}
+    return marked.select(*(new.get(c, F.col(c)) for c in docs.columns))
