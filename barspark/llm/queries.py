@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barspark.llm.chunking import op8_chunk_fingerprints
+from barspark.llm.languages import op5_kernel_languages
 from barspark.llm.mixing import op6_entropy_mixing
+from barspark.llm.quality import op1_byte_convolution
+from barspark.llm.repetition import op7_suffix_repetition
 from barspark.llm.secrets import op10_secret_ledger
 from barspark.llm.sharding import op4_jump_sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_byte_convolution": op1_byte_convolution,
     "op4_jump_sharding": op4_jump_sharding,
+    "op5_kernel_languages": op5_kernel_languages,
     "op6_entropy_mixing": op6_entropy_mixing,
+    "op7_suffix_repetition": op7_suffix_repetition,
+    "op8_chunk_fingerprints": op8_chunk_fingerprints,
     "op10_secret_ledger": op10_secret_ledger,
 }
 
