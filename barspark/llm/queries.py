@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from barspark.llm.chunking import op8_chunk_fingerprints
 from barspark.llm.languages import op5_kernel_languages
 from barspark.llm.mixing import op6_entropy_mixing
+from barspark.llm.ngrams import op3_elias_fano_lm
 from barspark.llm.pieces import op2_piece_transducer
 from barspark.llm.quality import op1_byte_convolution
 from barspark.llm.repetition import op7_suffix_repetition
@@ -20,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_byte_convolution": op1_byte_convolution,
     "op2_piece_transducer": op2_piece_transducer,
+    "op3_elias_fano_lm": op3_elias_fano_lm,
     "op4_jump_sharding": op4_jump_sharding,
     "op5_kernel_languages": op5_kernel_languages,
     "op6_entropy_mixing": op6_entropy_mixing,
