@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barspark.llm.chunking import op8_chunk_fingerprints
+from barspark.llm.jaccard import op9_t_occurrence_join
 from barspark.llm.languages import op5_kernel_languages
 from barspark.llm.mixing import op6_entropy_mixing
 from barspark.llm.ngrams import op3_elias_fano_lm
@@ -27,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op6_entropy_mixing": op6_entropy_mixing,
     "op7_suffix_repetition": op7_suffix_repetition,
     "op8_chunk_fingerprints": op8_chunk_fingerprints,
+    "op9_t_occurrence_join": op9_t_occurrence_join,
     "op10_secret_ledger": op10_secret_ledger,
 }
 
