@@ -1,0 +1 @@
+"""Analytics over time-ordered market data, expressed with PySpark DataFrames."""
