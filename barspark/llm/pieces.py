@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from barspark.llm.storage import documents
 
 MARK = "▁"
-#: Entries of a worker's caches; a full cache is emptied, which costs time but changes nothing.
-MOST_WORDS, MOST_PAIRS, LONGEST_WORD = 400_000, 500_000, 48
+#: Entries of a worker's caches; a full cache makes room, which costs time but changes nothing.
+MOST_WORDS, MOST_PAIRS, LONGEST_WORD = 300_000, 500_000, 48
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 #: Types of pieces and of models, as the public protocol buffer numbers them.
 _UNIGRAM, _BPE = 1, 2
@@ -88,10 +88,18 @@ class Transducer:
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p))}
         self.costs = {p: -model.scores[k] for p, k in self.ids.items()}
         self.fallback_cost = max(self.costs.values(), default=0.0) + 10.0
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.sound: dict[str, bool] = {}
         self.halves: dict[str, tuple[str, str]] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # Arcs of the grammar by numbers of pieces, -1 at the start; the same as pairs, for words all of known pieces.
+        self.arcs: dict[int, bool] = {}
+        self.raw = [np.array([k], "<i4").tobytes() for k in range(len(model.pieces))]
+        # The longest piece that ends with these four characters.
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            if len(p) > 3:
+                self.reach[p[-4:]] = max(len(p), self.reach.get(p[-4:], 3))
         letters = {c for p in self.ids for c in p}
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         alone = "".join(c for c in "\n\r\t" if c not in letters)
@@ -165,13 +173,7 @@ class Transducer:
             if known is None:
                 known = self.sound[right] = self._merged(right) == [right]
             return known
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MOST_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.allowed("", left) and self.allowed("", right) and self._arc(left, right)
-        return known
+        return self.allowed("", left) and self.allowed("", right) and self._arc(left, right)
 
     def _arcs(self, text: str, i: int) -> list[str]:
         """What the lexicon and the fallback read from position i, longest first."""
@@ -234,12 +236,50 @@ class Transducer:
             return [self.unknown]
         return [self.bytes[b] for b in piece.encode()]
 
+    def _straight(self, word: str) -> bytes | None:
+        """BPE, for words of known pieces: states in order of position; None if a character is no piece.
+
+        Every prefix of a word has one path of finite weight as well, so a position has one state, its last piece: the one piece that
+        ends there which the grammar allows after the state of the position where it starts.
+        """
+        n = len(word)
+        codes, reach, arcs = self.ids, self.reach, self.arcs
+        states, starts = [-1] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            low = end - reach.get(word[end - 4 : end], 3) if end > 3 else 0
+            for start in range(low if low > 0 else 0, end):
+                piece = codes.get(word[start:end])
+                if piece is None:
+                    continue
+                last = states[start]
+                key = last * 1_000_003 + piece
+                known = arcs.get(key)
+                if known is None:
+                    if len(arcs) >= MOST_PAIRS:
+                        arcs.clear()
+                    known = arcs[key] = self.allowed(self.model.pieces[last] if last >= 0 else "", word[start:end])
+                if known:
+                    states[end], starts[end] = piece, start
+                    break
+            else:
+                return None
+        out, raw = [], self.raw
+        while n:
+            out.append(raw[states[n]])
+            n = starts[n]
+        return b"".join(out[::-1])
+
     def _word(self, word: str) -> bytes:
-        numbers = [k for piece in self.shortest(word) for k in self._numbers(piece)]
-        out = np.array(numbers, "<i4").tobytes()
+        out = self.older.get(word)
+        if out is None:
+            out = self._straight(word) if self.model.bpe else None
+        if out is None:
+            numbers = [k for piece in self.shortest(word) for k in self._numbers(piece)]
+            out = np.array(numbers, "<i4").tobytes()
         if len(word) <= LONGEST_WORD:
             if len(self.words) >= MOST_WORDS:
-                self.words.clear()
+                # Two generations: words still in use come back from the older one.
+                self.older, self.words = self.words, {}
             self.words[word] = out
         return out
 
