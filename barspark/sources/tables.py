@@ -65,10 +65,10 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("s_suppkey").alias("code"),
             F.col("s_name").alias("name"),
             F.col("n_name").alias("industry"),
-            F.when(acct > 0, F.round(acct / 400, 4)).alias("pe"),
-            F.round(F.abs(acct) / 2500, 4).alias("pb"),
-            F.when(F.col("s_suppkey") % 7 != 0, F.round(F.abs(acct) / 2000, 4)).alias("yield_pct"),
-            F.round(acct / 1000, 4).alias("eps"),
+            F.when(acct > 0, acct / 400).alias("pe"),
+            (F.abs(acct) / 2500).alias("pb"),
+            F.when(F.col("s_suppkey") % 7 != 0, F.abs(acct) / 2000).alias("yield_pct"),
+            (acct / 1000).alias("eps"),
         )
     )
 
