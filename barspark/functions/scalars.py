@@ -152,6 +152,66 @@ def session(kind: str, ts: Column, holidays: list[str] | None = None, night: boo
     return out.otherwise("closed")
 
 
+#: Minutes of the day at which any session opens.
+OPENS = (525, 540, 550, 900)
+MOST_SPAN_DAYS = 7
+
+
+def just_opened(kind: str, ts: Column, seconds: int = 30, holidays: list[str] | None = None) -> Column:
+    """Whether a session opened within the last so many seconds, its first moment included."""
+    opens = (STOCK_SESSION[0],) if kind == "share" else (DAY_SESSION[0], NIGHT_OPEN)
+    since = lambda m: _minute(ts) * 60 + F.second(ts) - m * 60
+    hit = F.lit(False)
+    for m in opens:
+        hit = hit | ((since(m) >= 0) & (since(m) < seconds))
+    return (session(kind, ts, holidays) != "closed") & hit
+
+
+def session_opened_between(start: Column, end: Column) -> Column:
+    """Whether any session opened in (start, end]; true for a missing bound, a clock set back, or more than a week."""
+    days = F.sequence(F.to_date(start), F.to_date(end))
+    moment = lambda d, m: d.cast("timestamp_ntz") + F.expr(f"interval {m} minutes")
+
+    def any_open(d: Column) -> Column:
+        hit = F.lit(False)
+        for m in OPENS:
+            hit = hit | ((moment(d, m) > start) & (moment(d, m) <= end))
+        return (F.weekday(d) < 5) & hit
+
+    opened = F.exists(days, any_open)
+    return (
+        F.when(start.isNull() | end.isNull() | (end < start) | (F.datediff(end, start) > MOST_SPAN_DAYS), True).when(end == start, False).otherwise(opened)
+    )
+
+
+def lots(shares: Column) -> Column:
+    return shares / SHARE_LOT
+
+
+def hundred_millions(amount: Column, thousands: bool = False) -> Column:
+    """An amount, in units or in thousands, in units of 100 million."""
+    return amount / (1e5 if thousands else 1e8)
+
+
+def is_future_symbol(symbol: Column) -> Column:
+    return F.upper(F.trim(symbol)).rlike(r"^[A-Z][A-Z0-9]{2}(R[1-9]|\d{6})$")
+
+
+def product_code(symbol: Column) -> Column:
+    """The first three characters of a future's symbol; a bare code of two or three is its own; else empty."""
+    s = F.upper(F.trim(symbol))
+    return F.when(is_future_symbol(symbol), F.substring(s, 1, 3)).when(s.rlike(r"^[A-Z][A-Z0-9]{1,2}$"), s).otherwise("")
+
+
+def contract_unit(kind: str, symbol: Column) -> Column:
+    if kind != "future":
+        return F.lit(float(SHARE_LOT if kind == "share" else 1))
+    out = F.when(F.lit(False), 0.0)
+    for code, size in CONTRACT_UNITS.items():
+        out = out.when(F.upper(symbol).startswith(code), float(size))
+    return out.otherwise(1.0)
+
+
 def in_time_window(minute: Column, start: int | None, end: int | None) -> Column:
     """Whether a minute of the day is in a window with both ends; a start after the end wraps midnight."""
     if start is None and end is None:

@@ -11,7 +11,7 @@ from barspark.functions import indicators as I
 from barspark.functions import scalars as S
 from barspark.functions.conditions import CONDITIONS
 from barspark.functions.scan import Scan, with_scans
-from barspark.operators import asof, levels, metrics, patterns, resample, screener, strategy, sweep
+from barspark.operators import account, asof, band, levels, metrics, patterns, resample, screener, strategy, sweep
 from barspark.plans.compiler import with_conditions
 from barspark.sources import barstore
 from barspark.sources import tables as T
@@ -48,7 +48,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Added before rounding to both sides of a comparison where values lie exactly between two steps, which engines round apart.
-OFF_TIES = 3.3e-6
+OFF_TIES = 3.31273914159e-6
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 4, shift: float = 0.0) -> DataFrame:
@@ -130,14 +130,14 @@ def session_regime(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resample.session_regime(T.daily_bars(spark, d), "1998-05-15"), "pre_gap", "post_gap", "ratio")
 
 
-@query("price_adjust", f"""WITH {BARS}, j AS (SELECT *, CASE WHEN dayofmonth(ts) <= 20 THEN round(close * (1 - 0.0001 * date_diff('day', ts, DATE '2002-01-01')), 4) / close END AS r FROM bars),
+@query("price_adjust", f"""WITH {BARS}, j AS (SELECT *, CASE WHEN dayofmonth(ts) <= 20 THEN close * (1 - 0.0001::DOUBLE * date_diff('day', ts, DATE '2002-01-01')) / close END AS r FROM bars),
  f AS (SELECT *, coalesce(last_value(r IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts), first_value(r IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS s FROM j),
  l AS (SELECT *, last_value(s) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM f)
  SELECT symbol, ts, {', '.join(f'round({c} * (CASE WHEN z > 0 THEN s / z ELSE s END), 4) AS {c}' for c in OHLCV[:4])}, round(volume / (CASE WHEN z > 0 THEN s / z ELSE s END), 4) AS volume FROM l""")
 def price_adjust(spark: SparkSession, d: str) -> DataFrame:
     bars = T.daily_bars(spark, d)
     fall = 1 - 0.0001 * F.datediff(F.lit("2002-01-01").cast("date"), "ts")
-    adjusted = bars.where(F.dayofmonth("ts") <= 20).select("symbol", "ts", F.round(F.col("close") * fall, 4).alias("adj_close"))
+    adjusted = bars.where(F.dayofmonth("ts") <= 20).select("symbol", "ts", (F.col("close") * fall).alias("adj_close"))
     return rounded(resample.adjusted(bars, adjusted), *OHLCV, shift=OFF_TIES)
 
 
@@ -606,6 +606,43 @@ def custom_strategy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(strategy.run_custom(T.daily_bars(spark, d).where("symbol <= 20"), ON_BAR, {"slow": 20}, s), "price")
 
 
+# ---------------------------------------------------------------- accounts and the band strategy
+
+
+def _fills(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return T.table(spark, d, "orders").select(
+        (F.col("o_custkey") % 5).alias("account"), F.concat(F.lit("S"), (F.col("o_custkey") % 7).cast("string")).alias("symbol"), F.col("o_orderdate").alias("ts"), key.alias("seq"), F.lit("share").alias("market"),
+        F.lit("odd").alias("kind"), (key % 3 != 0).alias("opens"), (key % 3 != 0).alias("buys"), (1 + key % 4).alias("quantity"), (F.col("o_totalprice") / 1000).alias("price"),
+    )
+
+
+@query("account_history")
+def account_history(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(account.history(_fills(spark, d)), "cash_flow", "average")
+
+
+@query("account_equity")
+def account_equity(spark: SparkSession, d: str) -> DataFrame:
+    marks = _fills(spark, d).groupBy("symbol").agg(F.avg("price").alias("mark"))
+    return rounded(account.equity(account.history(_fills(spark, d)), marks), "cash", "realized", "unrealized", "equity", places=2)
+
+
+@query("band_strategy")
+def band_strategy(spark: SparkSession, d: str) -> DataFrame:
+    # One series of all events, dense enough to have a price at noon.
+    ticks = T.ticks(spark, d).withColumn("symbol", F.lit("all"))
+    daily = resample.from_ticks(ticks, "day").select("symbol", "ts", "close")
+    return band.run(daily, ticks.select("symbol", "ts", "price"), band.Band(line=20.0, stop=10.0, arm=10.0, step=5.0))
+
+
+@query("scalar_opened", """WITH q AS (SELECT event_id, ts AS a, ts + INTERVAL 3 HOUR AS b FROM events), o AS (SELECT unnest([525, 540, 550, 900]) AS m), x AS (SELECT DISTINCT event_id FROM q, o, (SELECT unnest([0, 1]) AS k)
+  WHERE isodow(CAST(a AS DATE) + k) < 6 AND CAST(CAST(a AS DATE) + k AS TIMESTAMP) + to_minutes(m) > a AND CAST(CAST(a AS DATE) + k AS TIMESTAMP) + to_minutes(m) <= b)
+ SELECT event_id, event_id IN (SELECT event_id FROM x) AS opened FROM q""")
+def scalar_opened(spark: SparkSession, d: str) -> DataFrame:
+    return T.table(spark, d, "events").select("event_id", S.session_opened_between(F.col("ts"), F.col("ts") + F.expr("interval 3 hours")).alias("opened"))
+
+
 # ---------------------------------------------------------------- patterns and levels
 
 N60 = "ROWS BETWEEN 61 PRECEDING AND 2 PRECEDING"

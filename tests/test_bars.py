@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barspark.functions import scalars as S
 from barspark.functions.conditions import CONDITIONS
 from barspark.functions.scan import Scan, ewm, with_scans
-from barspark.operators import asof, levels, patterns, resample, strategy, sweep
+from barspark.operators import account, asof, band, levels, patterns, resample, strategy, sweep
 from barspark.plans.compiler import FlowDataMissing, combined, with_conditions
 from barspark.sources import barstore
 from barspark.sources import tables as T
@@ -167,3 +167,52 @@ def test_empty_bars(spark, bars):
     assert with_conditions(none, {"x": ("ma_cross_up", {}), "y": ("kd_cross_up", {})}, ["ts"]).count() == 0
     assert strategy.backtest(none, strategy.Strategy(entry=(("always_true", {}),), exit=(("always_true", {}),))).count() == 0
     assert levels.histogram(none).count() == 0 and patterns.patterns(none).count() == 0
+
+
+def test_band_needs_noon_to_confirm_and_a_minute_to_send():
+    b, s = band.Band(line=100, stop=90, arm=10, step=5), band.State()
+    band.on_close(b, s, "d1", 105, 99.0, 20)
+    band.on_noon(b, s, "d2", 99, 0.0)
+    assert s.proposed is None and s.order is None  # not confirmed
+    band.on_close(b, s, "d2", 106, 99.0, 21)
+    band.on_noon(b, s, "d3", 104, 1000.0)
+    assert band.on_time(b, s, 104, 1030.0) is None
+    assert band.on_time(b, s, 105, 1060.0) == ("open", "buy", 1, 105) and s.entry == 104
+    band.on_close(b, s, "d3", 125, 130.0, 22)
+    assert s.armed and s.trail == 104 + 2 * 5
+    band.on_close(b, s, "d4", 112, 130.0, 23)
+    assert s.proposed == "trail"
+    band.on_noon(b, s, "d5", 111, 5000.0)
+    assert band.on_time(b, s, 111, 5700.0) is None and s.discarded == ["close"] and s.position
+
+
+def test_band_short_mirrors_long():
+    long, short = band.Band(100, 90, 10, 5), band.Band(100, 110, 10, 5, "short")
+    a, z = band.State(), band.State()
+    for k, x in enumerate([105, 104, 125, 131, 112]):
+        for b, s, price in ((long, a, x), (short, z, 200 - x)):
+            band.on_close(b, s, k, price, 100.0, 20 + k)
+            band.on_noon(b, s, k, price, k * 1000.0)
+            band.on_time(b, s, price, k * 1000.0 + 70)
+    assert (a.position, a.armed, a.by_average, a.proposed) == (z.position, z.armed, z.by_average, z.proposed)
+    assert a.trail - 100 == 100 - z.trail
+
+
+def test_account_averages_closes_and_values(spark):
+    rows = [("a", "X", 1, 1, "share", "odd", True, True, 2, 10.0), ("a", "X", 2, 2, "share", "odd", True, True, 2, 20.0), ("a", "X", 3, 3, "share", "odd", False, False, 1, 30.0), ("a", "TMF1", 1, 4, "future", None, True, False, 1, 100.0), ("a", "TMF1", 2, 5, "future", None, False, True, 3, 90.0)]
+    fills = spark.createDataFrame(rows, "account string, symbol string, ts int, seq int, market string, kind string, opens boolean, buys boolean, quantity int, price double")
+    out = account.history(fills)
+    x = {r["seq"]: r for r in out.collect()}
+    assert (x[2]["held"], x[2]["average"]) == (4, 15.0)
+    assert x[3]["pnl"] == pytest.approx(15 - 0.13, abs=0.01) and x[3]["held"] == 3
+    assert x[5]["pnl"] == pytest.approx(100 - 150) and x[5]["held"] == 0
+    now = account.equity(out, spark.createDataFrame([("X", 16.0)], "symbol string, mark double"), 1000.0).first()
+    assert now["unrealized"] == pytest.approx(3.0)
+    assert now["equity"] == pytest.approx(now["cash"] + 48.0)
+    believed = spark.createDataFrame([("a", "X", "long", 3), ("a", "TMF1", "short", 1), ("a", "Q", "flat", 0)], "account string, symbol string, state string, quantity int")
+    assert [r["symbol"] for r in account.mismatches(believed, account.positions(out)).collect()] == ["TMF1"]
+
+
+def test_limits_bind_entries_only(spark):
+    why = lambda opens, n, pnl, since, q=1: spark.range(1).select(account.blocked(F.lit(opens), F.lit(q), F.lit(n), F.lit(pnl), F.lit(since), account.Limits(3, 100.0, 60.0))).first()[0]
+    assert [why(True, 3, 0.0, 99.0), why(True, 0, -100.0, 99.0), why(True, 0, 0.0, 59.0), why(False, 9, -999.0, 0.0), why(False, 0, 0.0, 99.0, 0)] == ["trades a day", "daily loss", "cooling down", None, "no quantity"]
