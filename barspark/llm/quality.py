@@ -26,6 +26,7 @@ SAMPLE_PER_LABEL = 1_000
 WIDTH, DEPTH, FILTERS, BLOCK = 6, 8, 16, 64
 EPOCHS, BATCH_BYTES, RATE, DECAY = 8, 1 << 17, 0.01, 1e-4
 THRESHOLD = 0.3
+LEAST_STEPS = 250
 SLICE = 1 << 18
 
 
@@ -144,7 +145,10 @@ def _gradients(net: Network, buf: np.ndarray, off: np.ndarray, labels: np.ndarra
 
 
 def train(texts: list[str], labels: list[int], weights: tuple[float, float] | None = None, epochs: int = EPOCHS) -> Network:
-    """Learns from texts and labels (1: good). Texts are taken whole, in batches of about BATCH_BYTES."""
+    """Learns from texts and labels (1: good). Texts are taken whole, in batches of about BATCH_BYTES.
+
+    Few texts are cut into smaller batches and read more often, so that the number of steps is LEAST_STEPS or more.
+    """
     draw = np.random.Generator(np.random.PCG64(11))
     net = Network(draw.normal(0, 0.5, (256, DEPTH)), draw.normal(0, 0.3, (WIDTH, DEPTH, FILTERS)), np.zeros(FILTERS), np.zeros(3 * FILTERS), np.zeros(1))
     net.fold()
@@ -155,6 +159,9 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] | No
     net.out_bias[:] = np.log(share / (1 - share))
     params = [net.embedding, net.filters, net.bias, net.out, net.out_bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    total = sum(len(t) for t, _ in rows)
+    batch_bytes = min(BATCH_BYTES, max(4096, total // 16))
+    epochs = max(epochs, -(-LEAST_STEPS * batch_bytes // max(total, batch_bytes)))
     for epoch in range(epochs):
         order = draw.permutation(len(rows))
         rate = RATE * (1 - epoch / epochs) + RATE / 10
@@ -162,7 +169,7 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] | No
         for i, k in enumerate(order):
             batch.append(k)
             size += len(rows[k][0])
-            if size < BATCH_BYTES and len(batch) < 64 and i < len(order) - 1:
+            if size < batch_bytes and len(batch) < 64 and i < len(order) - 1:
                 continue
             buf = np.frombuffer(b"".join(rows[j][0] for j in batch), np.uint8)
             off = np.concatenate(([0], np.cumsum([len(rows[j][0]) for j in batch])))
@@ -200,18 +207,20 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Netw
 
 
 def score_quality(docs: DataFrame, net: Network) -> DataFrame:
-    """All columns of docs with score and predicted. A null or empty text has the score of the bias; whole texts are read."""
+    """All columns of docs with _score and _predicted. A null or empty text has the score of the bias; whole texts are read.
+
+    Only the texts go to Python, and only scores come back.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, p in long_scores(shared.value, batch.column("_text")):
-                rest = [batch.column(c).slice(low, high - low) for c in kept]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*kept, "_score", "_predicted"])
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = [p for _, _, p in long_scores(shared.value, column)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    kept = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _score double, _predicted int"
-    return docs.withColumn("_text", F.col("text")).mapInArrow(scored, schema)
+    rows = docs.withColumn("_score", scored(F.col("text")))
+    return rows.withColumn("_predicted", (F.col("_score") >= THRESHOLD).cast("int"))
 
 
 def op1_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
