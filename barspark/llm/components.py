@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.storage import saved
+from barspark.llm.storage import discard, saved
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     edges = saved(edges.where("u <> v").select("u", "v").distinct(), "stars")
     before = None
     for _ in range(most_rounds):
-        edges = saved(_small_star(_large_star(edges)).where("u <> v").distinct(), "stars")
+        older, edges = edges, saved(_small_star(_large_star(edges)).where("u <> v").distinct(), "stars")
+        discard(older)
         state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == before:
             break

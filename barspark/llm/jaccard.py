@@ -8,21 +8,27 @@ sets that occur T - L times or more on the short ones.
 To spread the search over tasks, each set is sent where a partner can be:
 
 1. Equal sets become one, named by a 64-bit digest.
-2. Under any fixed order of all shingles, two similar sets share one of the first n - ceil(p n / 100) + 1 of each. The
-   order is by rising estimated frequency, from a count sketch of fixed size, then by hash, so that a passage which many
-   documents share comes last. The estimate steers the cost, not the result.
-3. All sets with a shingle in that prefix meet under the smallest of their names, the leader. A set whose shingles lead to the same
-   leader is sent there once.
-4. A leader's sets are cut into blocks of bounded size that all hold the leader. Within a block sets that are already linked,
-   through whatever others, are not compared again, so a large group of near copies costs one link each.
-5. Sets of a cut group that no links join to its leader are queries to its other blocks, so no pair is missed.
+2. Shingles have one order: by rising estimated frequency, then by hash. What is counted for it are the shingles that
+   several sets of a task have, summed over all tasks in a sketch of fixed size. The estimate steers the cost, not the result.
+   The keys of a set are its pairs of neighbours in that order. A shingle that only one of two sets has breaks at most two pairs
+   of its own set and one of the other, so two similar sets have all but 2 n (1 - p / 100) of the pairs of either in common,
+   and share one of the first 2 n (1 - p / 100) + 1 keys of each, by rising frequency, then by hash. Unlike single shingles, pairs are
+   hardly ever shared by chance, and those within a passage that many documents quote come last.
+3. Sets that share such a key and are near in size, directly or through others, form a neighbourhood; they are the components of
+   the graph of sets and keys, found from one link to a leader for each. A neighbourhood of bounded size goes to one task, each of its sets once.
+   Within it sets that are already linked, through whatever others, are not compared again, so a group of near copies costs
+   one link each.
+4. A neighbourhood over that bound is dealt by key: all its sets with a key meet under the smallest of their
+   names, the leader, in blocks of bounded size that all hold the leader. Sets of a cut group that no links join to its leader are
+   queries to its other blocks, so no pair is missed.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from math import log2
 
 import numpy as np
@@ -33,19 +39,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.llm.components import components
-from barspark.llm.storage import documents, saved
+from barspark.llm.storage import discard, documents, saved
 from barspark.llm.textbytes import LOWER, mixed, shingle_sets, slices, span_hashes, word_bounds
 
-SKETCH_BITS, SKETCH_BLOCKS, FILTER_BITS = 19, 16, 23
-BLOCK_SHINGLES = 1_000_000
+SKETCH_BITS, SKETCH_BLOCKS, FILTER_BITS = 20, 16, 23
+BLOCK_SHINGLES = 4_000_000
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n + (percent * -n // 100) + 1 if n else 0
+def keys_needed(n: int, percent: int) -> int:
+    """How many keys of a set of n shingles a similar set must meet; percent is over 50."""
+    return 2 * n * (100 - percent) // 100 + 1
+
+
+def keys_of(shingles: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
+    """The first keys of a sorted set: hashes of neighbours in the order of estimated frequency."""
+    seen = frequency[_bucket(shingles, SKETCH_BITS)]
+    # shingles are sorted by hash, so a stable sort by frequency orders by both.
+    order = np.argsort(seen, kind="stable")
+    row, seen = shingles[order], seen[order]
+    pairs = mixed(row[:-1] * np.uint64(0x9E6C63D0676A9A99) + row[1:])
+    return pairs[np.lexsort((pairs, seen[:-1]))[: keys_needed(len(shingles), percent)]]
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -67,29 +84,22 @@ def _bucket(shingles: np.ndarray, bits: int) -> np.ndarray:
 
 
 class _Search:
-    """Inverted lists of sets that come in order of rising size, with the links found so far."""
+    """Inverted lists of sets that come in order of rising size."""
 
     def __init__(self, percent: int):
-        self.percent, self.sizes, self.lists, self.parent = percent, [], {}, []
-
-    def root(self, k: int) -> int:
-        while self.parent[k] != k:
-            self.parent[k] = self.parent[self.parent[k]]
-            k = self.parent[k]
-        return k
+        self.percent, self.sizes, self.members, self.lists = percent, [], [], {}
 
-    def add(self, shingles: list[int], group: int | None = None) -> int:
-        """Indexes a set; group: a number of one that it is linked with already."""
+    def add(self, member: int, size: int, shingles: list[int]) -> None:
+        """Indexes a set under its number; shingles may leave out those that no other set has."""
         k = len(self.sizes)
-        self.sizes.append(len(shingles))
-        self.parent.append(k if group is None else group)
+        self.sizes.append(size)
+        self.members.append(member)
         for s in shingles:
             self.lists.setdefault(s, []).append(k)
-        return k
 
-    def query(self, shingles: list[int], own: int | None = None) -> Iterator[int]:
-        """Indexed sets similar to the query's; none that the query's group (own) holds by the time it is reached."""
-        n, p = len(shingles), self.percent
+    def query(self, n: int, shingles: list[int], skip: Callable[[int], bool]) -> Iterator[int]:
+        """Numbers of indexed sets similar to a query of size n, without those that are to be skipped by the time they are reached."""
+        p = self.percent
         low = bisect_left(self.sizes, -(-p * n // 100))  # smaller sets cannot share enough
         high = bisect_left(self.sizes, n * 100 // p + 1)
         if low >= high:
@@ -113,7 +123,7 @@ class _Search:
         if count >= least - n_long:
             found.append((count, last))
         for count, k in sorted(found, reverse=True):
-            if k >= high or (own is not None and self.root(k) == self.root(own)):
+            if k >= high or skip(self.members[k]):
                 continue
             need = least_overlap(n, self.sizes[k], p)
             for at, x in enumerate(long):
@@ -122,57 +132,124 @@ class _Search:
                 i = bisect_left(x, k)
                 count += i < len(x) and x[i] == k
             if count >= need:
-                yield k
+                yield self.members[k]
+
+
+def _shared(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets with shingles as small numbers, without those that one set alone has."""
+    values, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1).astype(np.int32)[codes]
+    return [part[part >= 0] for part in np.split(number, np.cumsum([len(s) for s in sets])[:-1])]
 
 
 def linked_in_block(names: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join whatever sets of a block similarity joins, at most one fewer than sets."""
-    search, out, order = _Search(percent), [], sorted(range(len(names)), key=lambda k: len(sets[k]))
-    at: list[int] = []
-    for k in order:
-        shingles = sets[k].tolist()
-        # The query joins the index first, with its own group, so that links count at once; its lists come after the search.
-        own = len(search.sizes)
-        search.parent.append(own)
-        for other in search.query(shingles, own):
-            search.parent[search.root(own)] = search.root(other)
-            out.append((names[k], names[at[other]]))
-        group = search.parent.pop()
-        search.add(shingles, group if group != own else None)
-        at.append(k)
+    """Links that join whatever sets of a block similarity joins, at most one fewer than sets.
+
+    Sets of the largest group so far are indexed apart from the others. A set that is like one of that group's latest
+    members needs no other link to it, so it is a query to the others alone.
+    """
+    if not names:
+        return []
+    shared, parent, group = _shared(sets), list(range(len(names))), [1] * len(names)
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    out: list[tuple[int, int]] = []
+
+    def link(a: int, b: int) -> None:
+        out.append((names[a], names[b]))
+        a, b = root(a), root(b)
+        parent[a] = b
+        group[b] += group[a]
+
+    main, others = _Search(percent), _Search(percent)
+    latest: deque[int] = deque(maxlen=4)
+    largest = None
+    for k in sorted(range(len(names)), key=lambda k: len(sets[k])):
+        n, numbers = len(sets[k]), shared[k]
+        near = None
+        for other in reversed(latest):
+            need = least_overlap(n, len(sets[other]), percent)
+            if len(shared[other]) >= need and len(np.intersect1d(numbers, shared[other], assume_unique=True)) >= need:
+                near = other
+                break
+        if near is not None:
+            link(k, near)
+        shingles = numbers.tolist()
+        for search in (others,) if near is not None else (main, others):
+            for other in search.query(n, shingles, lambda m, k=k: root(m) == root(k)):
+                link(k, other)
+        if group[root(k)] > 1 and (largest is None or group[root(k)] > group[root(largest)]):
+            largest = k
+        if largest is not None and root(k) == root(largest):
+            main.add(k, n, shingles)
+            latest.append(k)
+        else:
+            others.add(k, n, shingles)
     return out
 
 
 def links_to_block(queries: list[tuple[int, np.ndarray]], block: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """All links between queries and the sets of a block."""
-    block = sorted(block, key=lambda x: len(x[1]))
     search = _Search(percent)
-    for _, shingles in block:
-        search.add(shingles.tolist())
-    return [(name, block[k][0]) for name, shingles in queries for k in search.query(shingles.tolist()) if block[k][0] != name]
+    for k in sorted(range(len(block)), key=lambda k: len(block[k][1])):
+        search.add(k, len(block[k][1]), block[k][1].tolist())
+    return [(name, block[k][0]) for name, s in queries for k in search.query(len(s), s.tolist(), lambda m, name=name: block[m][0] == name)]
 
 
-_MEASURED = "doc_id long, n long, name long, part int, counts binary"
+_MEASURED = "doc_id long, n long, name long, shingle long, seen long"
 
 
 def _measure(words: int):
+    """Rows (doc_id, n, name) of documents, and (shingle, seen) of shingles that several sets of a run of documents have."""
+    columns = ["doc_id", "n", "name", "shingle", "seen"]
+
+    def several(pending: list[np.ndarray]) -> pa.RecordBatch:
+        shingles = np.sort(np.concatenate(pending))
+        at = np.flatnonzero(np.concatenate(([True], shingles[1:] != shingles[:-1])))
+        counts = np.diff(np.concatenate((at, [len(shingles)])))
+        often = counts > 1
+        blank = pa.nulls(int(often.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(shingles[at[often]].view(np.int64)), pa.array(counts[often].astype(np.int64))], columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        pending: list[np.ndarray] = []
+        known: set[int] = set()
+        size = 0
         for batch in batches:
             for low, sets in _sets(batch.column("text"), words):
-                for s in sets:
-                    np.add.at(sketch, _bucket(s, SKETCH_BITS), 1)
+                names = [_name(s) for s in sets]
+                for name, s in zip(names, sets, strict=True):
+                    if name not in known:
+                        known.add(name)
+                        pending.append(s)
+                        size += len(s)
                 n = len(sets)
-                none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-                sizes, names = pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), sizes, names, *none], ["doc_id", "n", "name", "part", "counts"])
-        parts = np.split(sketch, SKETCH_BLOCKS)
-        blank = pa.nulls(SKETCH_BLOCKS, pa.int64())
-        yield pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "n", "name", "part", "counts"])
+                blank = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), blank, blank], columns)
+                if size > 1 << 22:
+                    yield several(pending)
+                    pending, size = [], 0
+                    known.clear()
+        if pending:
+            yield several(pending)
 
     return run
 
 
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's share of the sketch of shingle counts."""
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+    for pdf in batches:
+        np.add.at(sketch, _bucket(pdf["shingle"].to_numpy().view(np.uint64), SKETCH_BITS), pdf["seen"].to_numpy().astype(np.uint32))
+    parts = [(k, p) for k, p in enumerate(np.split(sketch, SKETCH_BLOCKS)) if p.any()]
+    yield pd.DataFrame({"part": [k for k, _ in parts], "counts": [p.tobytes() for _, p in parts]})
+
+
 def _added(dtype: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sums the arrays of each part within a task, one at a time."""
@@ -195,34 +272,99 @@ def _collected(rows: DataFrame, dtype: str, parts: int, size: int) -> np.ndarray
     return out.reshape(-1)
 
 
-def _prefixes(words: int, percent: int, sketch):
+def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, percent: int, sketch, marks=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, names, sizes) of the sets in a batch, each set once as far as the task remembers."""
+    known: set[int] = set()
+    frequency = sketch.value
+    wanted = None if marks is None else np.unpackbits(marks.value).view(bool)
+    for batch in batches:
+        for _, sets in _sets(batch.column("text"), words):
+            tokens, names, sizes = [], [], []
+            for s in sets:
+                if not len(s) or (name := _name(s)) in known:
+                    continue
+                known.add(name)
+                if len(known) > 200_000:
+                    known.clear()
+                if wanted is not None and not wanted[_mark_of(np.array([name]))[0]]:
+                    continue
+                first = keys_of(s, frequency, percent)
+                tokens.append(first)
+                names.append(np.full(len(first), name, np.int64))
+                sizes.append(np.full(len(first), len(s), np.int32))
+            if tokens:
+                yield np.concatenate(tokens), np.concatenate(names), np.concatenate(sizes)
+
+
+def _prefixes(words: int, percent: int, sketch, marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
-        frequency = sketch.value
-        for batch in batches:
-            for _, sets in _sets(batch.column("text"), words):
-                tokens, names, sizes = [], [], []
-                for s in sets:
-                    if not len(s) or (name := _name(s)) in known:
-                        continue
-                    known.add(name)
-                    if len(known) > 200_000:
-                        known.clear()
-                    # s is sorted by hash, so a stable sort by frequency orders by both.
-                    first = s[np.argsort(frequency[_bucket(s, SKETCH_BITS)], kind="stable")[: prefix_length(len(s), percent)]]
-                    tokens.append(first)
-                    names.append(np.full(len(first), name, np.int64))
-                    sizes.append(np.full(len(first), len(s), np.int32))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes))], ["token", "name", "n"])
+        for tokens, names, sizes in _prefix_rows(batches, words, percent, sketch, marks):
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(names), pa.array(sizes)], ["token", "name", "n"])
+
+    return run
+
+
+_NEAR = "token long, name long, least int, most int, leader long"
+
+
+def _neighbours(words: int, percent: int, sketch):
+    """Rows (token, name, least, most, null) of runs of sets with a key in a task, and (null, name, null, null, leader) of their other sets.
+
+    Sets with a key are put in order of size; a set whose size is too far over that of the one before starts a new run, as no set
+    of one run is similar to one of the other. So a key that many sets have moves as a row or a few for each task.
+    """
+    columns = ["token", "name", "least", "most", "leader"]
+
+    def meet(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        tokens, names, sizes = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.lexsort((names, sizes, tokens))
+        tokens, names, sizes = tokens[order], names[order], sizes[order].astype(np.int32)
+        fresh = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (100 * sizes[:-1].astype(np.int64) < percent * sizes[1:].astype(np.int64))))
+        first = np.flatnonzero(fresh)
+        last = np.concatenate((first[1:], [len(tokens)])) - 1
+        leader = names[first][np.cumsum(fresh) - 1]
+        links = np.unique(np.stack((names, leader), axis=1)[(~fresh) & (names != leader)], axis=0)
+        for k in range(0, len(first), 100_000):
+            a, b = first[k : k + 100_000], last[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[a].view(np.int64)), pa.array(names[a]), pa.array(sizes[a]), pa.array(sizes[b]), pa.nulls(len(a), pa.int64())], columns)
+        n = len(links)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(links[:, 0].copy()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(links[:, 1].copy())], columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for rows in _prefix_rows(batches, words, percent, sketch):
+            parts.append(rows)
+            size += len(rows[0])
+            if size > 1 << 21:
+                yield from meet(parts)
+                parts, size = [], 0
+        if parts:
+            yield from meet(parts)
 
     return run
 
 
+def _runs_joined(runs: Column, percent: int) -> Column:
+    """Links (u, v) between the runs of a key whose sizes are near enough, in order of their least size."""
+    start = F.struct(F.lit(-1).alias("most"), F.lit(0).cast("long").alias("name"), F.array().cast("array<struct<u:bigint,v:bigint>>").alias("links"))
+
+    def step(s: Column, x: Column) -> Column:
+        link = F.array(F.struct(s["name"].alias("u"), x["name"].alias("v")))
+        joined = F.struct(F.greatest(s["most"], x["most"]).alias("most"), s["name"].alias("name"), F.concat(s["links"], link).alias("links"))
+        apart = F.struct(x["most"].alias("most"), x["name"].alias("name"), s["links"].alias("links"))
+        return F.when(s["most"].cast("long") * 100 >= x["least"].cast("long") * percent, joined).otherwise(apart)
+
+    return F.aggregate(F.array_sort(runs), start, step, lambda s: s["links"])
+
+
+def _mark_of(names: np.ndarray) -> np.ndarray:
+    return _bucket(mixed(names.view(np.uint64)), FILTER_BITS)
+
+
 def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen = np.zeros(1 << FILTER_BITS, bool)
     for pdf in batches:
-        seen[_bucket(mixed(pdf["name"].to_numpy().view(np.uint64)), FILTER_BITS)] = True
+        seen[_mark_of(pdf["name"].to_numpy())] = True
     parts = np.split(np.packbits(seen), SKETCH_BLOCKS)
     yield pd.DataFrame({"part": range(SKETCH_BLOCKS), "counts": [p.tobytes() for p in parts]})
 
@@ -243,7 +385,7 @@ def _wanted_sets(words: int, marks):
         for batch in batches:
             for _, sets in _sets(batch.column("text"), words):
                 names = np.array([_name(s) for s in sets], np.int64)
-                keep = np.flatnonzero(wanted[_bucket(mixed(names.view(np.uint64)), FILTER_BITS)])
+                keep = np.flatnonzero(wanted[_mark_of(names)])
                 keep = [k for k in keep.tolist() if len(sets[k]) and names[k] not in known]
                 known.update(names[keep].tolist())
                 if len(known) > 200_000:
@@ -267,41 +409,65 @@ def _block_of(name: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(name, F.lit(3)), blocks).cast("int")
 
 
+def _filter_of(names: DataFrame):
+    """A broadcast filter of fixed size that lets through the given names, and some others by chance; None if there are none."""
+    marks = saved(names.select("name").mapInPandas(_marks, "part int, counts binary"), "jaccard-marks")
+    filled = np.zeros((SKETCH_BLOCKS, (1 << FILTER_BITS) // 8 // SKETCH_BLOCKS), np.uint8)
+    for r in marks.repartition(SKETCH_BLOCKS, "part").mapInPandas(_ored, "part int, counts binary").collect():
+        filled[r["part"]] |= np.frombuffer(r["counts"], np.uint8)
+    return names.sparkSession.sparkContext.broadcast(filled.reshape(-1)) if filled.any() else None
+
+
 def similar_sets(docs: DataFrame, words: int, percent: int, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, n, name) of all documents, and (u, v) links of names whose components are those of all links; None: no link."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = saved(docs.mapInArrow(_measure(words), _MEASURED), "jaccard-sets")
-    members = measured.where("part is null").select("doc_id", "n", "name")
-    sketch = _collected(measured.where("part is not null"), "uint32", SKETCH_BLOCKS, 1 << SKETCH_BITS)
-    shared_sketch = spark.sparkContext.broadcast(sketch)
-    prefixes = saved(docs.mapInArrow(_prefixes(words, percent, shared_sketch), "token long, name long, n int"), "jaccard-prefixes")
-    # Shingles of one set only go here; the smallest name of the others leads.
+    members = measured.where("name is not null").select("doc_id", "n", "name")
+    # Dealt by the sketch's parts, so that a task fills one part or a few.
+    often = measured.where("shingle is not null").select("shingle", "seen")
+    often = often.withColumn("_part", F.shiftrightunsigned("shingle", 64 - SKETCH_BLOCKS.bit_length() + 1)).repartition(SKETCH_BLOCKS, "_part")
+    shares = saved(often.select("shingle", "seen").mapInPandas(_summed, "part int, counts binary"), "jaccard-sketch")
+    sketch = spark.sparkContext.broadcast(_collected(shares, "uint32", SKETCH_BLOCKS, 1 << SKETCH_BITS))
+    near = saved(docs.mapInArrow(_neighbours(words, percent, sketch), _NEAR), "jaccard-near")
+    met = near.where("token is not null").groupBy("token").agg(F.collect_set(F.struct("least", "most", "name")).alias("runs")).where(F.size("runs") > 1)
+    joined = met.select(F.explode(_runs_joined(F.col("runs"), percent)).alias("e")).select("e.u", "e.v").where("u <> v")
+    links = joined.union(near.where("leader is not null").select(F.col("leader").alias("u"), F.col("name").alias("v"))).distinct()
+    links = saved(links, "jaccard-met")
+    discard(near)
+    hoods = saved(components(links), "jaccard-hoods")
+    discard(links)
+    hoods = hoods.select(F.col("vertex").alias("name"), F.col("root").alias("hood"))
+    active = _filter_of(hoods)
+    if active is None:
+        return members, None
+    # What the filter lets through by chance is in no neighbourhood. Copies of a set from several tasks are dropped later.
+    sizes = members.where("n > 0").groupBy("name").agg(F.max("n").alias("n")).join(hoods, "name").groupBy("hood").agg((F.sum("n") > block_shingles).alias("large"))
+    placed = saved(hoods.join(sizes, "hood"), "jaccard-placed")
+    sets = saved(docs.mapInArrow(_wanted_sets(words, active), "name long, shingles binary").join(placed, "name"), "jaccard-found")
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _unpack(pdf)
+        return _edges(linked_in_block([n for n, _ in rows], [s for _, s in rows], percent))
+
+    edges = saved(sets.where("not large").groupBy("hood").applyInPandas(within, "u long, v long"), "jaccard-links")
+    large = _filter_of(sets.where("large"))
+    if large is None:
+        discard(sets)
+        return members, edges
+    sets = sets.where("large").select("name", "shingles")
+    # Dealt by key, as the neighbourhood is too large for one task.
+    prefixes = docs.mapInArrow(_prefixes(words, percent, sketch, large), "token long, name long, n int")
+    prefixes = saved(prefixes.join(sets.select("name").distinct(), "name", "left_semi"), "jaccard-prefixes")
     shared = prefixes.groupBy("token").agg(F.min("name").alias("leader"), F.max("name").alias("_last")).where("leader < _last")
     routes = prefixes.join(shared.select("token", "leader"), "token").groupBy("leader", "name").agg(F.max("n").alias("n"))
     routes = saved(routes, "jaccard-routes")
-    marks = saved(routes.select("name").mapInPandas(_marks, "part int, counts binary"), "jaccard-marks")
-    filled = np.zeros((SKETCH_BLOCKS, (1 << FILTER_BITS) // 8 // SKETCH_BLOCKS), np.uint8)
-    for r in marks.repartition(SKETCH_BLOCKS, "part").mapInPandas(_ored, "part int, counts binary").collect():
-        filled[r["part"]] |= np.frombuffer(r["counts"], np.uint8)
-    if not filled.any():
-        return members, None
-    shared_marks = spark.sparkContext.broadcast(filled.reshape(-1))
-    found = docs.mapInArrow(_wanted_sets(words, shared_marks), "name long, shingles binary")
-    # What the marks let through by chance has no route and goes in the join.
     groups = routes.groupBy("leader").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     placed = routes.join(groups, "leader").withColumn("block", _block_of(F.col("name"), F.col("blocks")))
     every = F.when(F.col("name") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     placed = placed.withColumn("block", F.explode(every))
-    # Copies of a set from several tasks are dropped in its block.
-    sets = saved(found.join(routes.select("name").distinct(), "name", "left_semi"), "jaccard-found")
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _unpack(pdf)
-        return _edges(linked_in_block([n for n, _ in rows], [s for _, s in rows], percent))
-
     located = placed.select("leader", "block", "name").join(sets, "name")
-    edges = saved(located.groupBy("leader", "block").applyInPandas(within, "u long, v long"), "jaccard-links")
+    edges = saved(edges.union(located.groupBy("leader", "block").applyInPandas(within, "u long, v long")), "jaccard-links")
     cut = placed.where("blocks > 1").select("leader", "block", "name", "blocks")
     if cut.isEmpty():
         return members, edges

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,14 +30,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a table written by this module, through Hadoop's file system API."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    at = hadoop.Path(path)
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that saved() returned, once nothing reads it any more.
+
+    Space on the driver's and executors' disks that its shuffles held is freed with it, when the JVM next collects garbage;
+    it is asked to do so now, as it sees the size of its heap and not that of the disks.
+    """
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
