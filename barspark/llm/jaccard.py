@@ -145,8 +145,9 @@ def _shared(sets: list[np.ndarray]) -> list[np.ndarray]:
 def linked_in_block(names: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join whatever sets of a block similarity joins, at most one fewer than sets.
 
-    Sets of the largest group so far are indexed apart from the others. A set that is like one of that group's latest
-    members needs no other link to it, so it is a query to the others alone.
+    Sets of a largest group are indexed apart from the others. A set that is like one of that group's latest
+    members needs no other link to it, so it is a query to the others alone. main and latest hold sets of that group only: when
+    another group has over twice its sets, all are indexed anew, which happens at most as often as the sets can be doubled.
     """
     if not names:
         return []
@@ -169,7 +170,16 @@ def linked_in_block(names: list[int], sets: list[np.ndarray], percent: int) -> l
     main, others = _Search(percent), _Search(percent)
     latest: deque[int] = deque(maxlen=4)
     largest = None
-    for k in sorted(range(len(names)), key=lambda k: len(sets[k])):
+    order = sorted(range(len(names)), key=lambda k: len(sets[k]))
+
+    def index(k: int) -> None:
+        if largest is not None and root(k) == root(largest):
+            main.add(k, len(sets[k]), shared[k].tolist())
+            latest.append(k)
+        else:
+            others.add(k, len(sets[k]), shared[k].tolist())
+
+    for at, k in enumerate(order):
         n, numbers = len(sets[k]), shared[k]
         near = None
         for other in reversed(latest):
@@ -183,13 +193,13 @@ def linked_in_block(names: list[int], sets: list[np.ndarray], percent: int) -> l
         for search in (others,) if near is not None else (main, others):
             for other in search.query(n, shingles, lambda m, k=k: root(m) == root(k)):
                 link(k, other)
-        if group[root(k)] > 1 and (largest is None or group[root(k)] > group[root(largest)]):
+        if group[root(k)] > 1 and (largest is None or root(k) != root(largest) and group[root(k)] > 2 * group[root(largest)]):
             largest = k
-        if largest is not None and root(k) == root(largest):
-            main.add(k, n, shingles)
-            latest.append(k)
-        else:
-            others.add(k, n, shingles)
+            main, others = _Search(percent), _Search(percent)
+            latest.clear()
+            for earlier in order[:at]:
+                index(earlier)
+        index(k)
     return out
 
 

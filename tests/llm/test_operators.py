@@ -430,6 +430,48 @@ def test_similar_sets_share_a_key(percent):
     assert linked > 500
 
 
+def parted(count, links):
+    root = list(range(count))
+
+    def find(k):
+        return k if root[k] == k else find(root[k])
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    return sorted(tuple(j for j in range(count) if find(j) == k) for k in range(count) if root[k] == k)
+
+
+def blocks_of_chains():
+    """(name, sets): the largest group changes, then a later, larger set joins two groups; and draws of such groups."""
+
+    def swapped(s, at, fresh):
+        return s[:at] + list(range(fresh, fresh + 24)) + s[at + 24 :]
+
+    for many in (2, 5):
+        k = list(range(400))
+        a2, b3 = swapped(k, 0, 1000), swapped(k, 24, 1100)
+        row = [swapped(a2, 48, 1200), a2, *(swapped(b3, 72 + 24 * i, 1300 + 100 * i) for i in range(many)), b3, k]
+        yield f"{many} before the join", [s + list(range(5000 + 100 * i, 5000 + 101 * i)) for i, s in enumerate(row)]
+    for seed in range(60):
+        draw, fresh = np.random.default_rng(seed), iter(range(1000, 10**9, 30))
+        row = [list(range(400))]
+        for _ in range(24):
+            row.append(swapped(row[draw.integers(max(0, len(row) - 6), len(row))], 24 * int(draw.integers(0, 16)), next(fresh)))
+        # Some links of the chains are left out, so that there are several groups.
+        row = [row[k] for k in draw.permutation(len(row))[:18]]
+        yield f"draw {seed}", [s + list(range(10**9 + 100 * i, 10**9 + 101 * i)) for i, s in enumerate(row)]
+
+
+@pytest.mark.parametrize("sets", [pytest.param(s, id=n) for n, s in blocks_of_chains()])
+def test_a_block_links_what_brute_force_links(sets):
+    each = range(len(sets))
+    by_hand = [(a, b) for b in each for a in range(b) if 100 * len({*sets[a]} & {*sets[b]}) >= 85 * len({*sets[a]} | {*sets[b]})]
+    got = jaccard.linked_in_block(list(each), [np.array(sorted(s), np.uint64) for s in sets], 85)
+    assert set(map(tuple, map(sorted, got))) <= set(by_hand)
+    assert parted(len(sets), got) == parted(len(sets), by_hand)
+    assert len(got) < len(sets)
+
+
 def test_duplicates_of_odd_rows(spark, odd, none):
     rows = jaccard.near_duplicates(odd).collect()
     assert len(rows) == 10
