@@ -19,8 +19,9 @@ To spread the search over tasks, each set is sent where a partner can be:
    Within it sets that are already linked, through whatever others, are not compared again, so a group of near copies costs
    one link each.
 4. A neighbourhood over that bound is dealt by key: all its sets with a key meet under the smallest of their
-   names, the leader, in blocks of bounded size that all hold the leader. Sets of a cut group that no links join to its leader are
-   queries to its other blocks, so no pair is missed.
+   names, the leader, in blocks of bounded size and near set sizes that all hold the leader. Sets of a cut group that no links
+   join to its leader are queries to its other blocks that have sets near in size, so no pair is missed. A task has the queries of one block
+   to one other block, so both its sides are bounded; two such sets of different blocks meet in one task only.
 """
 
 from __future__ import annotations
@@ -415,8 +416,20 @@ def _edges(rows: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame({"u": [a for a, _ in rows], "v": [b for _, b in rows]}, dtype="int64")
 
 
-def _block_of(name: Column, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(name, F.lit(3)), blocks).cast("int")
+def _dealt(routes: DataFrame, percent: int, block_shingles: int) -> DataFrame:
+    """routes (leader, name, n) with cut, whether a leader's sets are over a block, and block, where each set is.
+
+    The sets of a cut group are dealt by classes of size, then by hash, which keeps those of different size in different blocks.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
+    routes = routes.withColumn("size", size)
+    sums = routes.groupBy("leader", "size").agg(F.sum("n").alias("_n"))
+    whole = sums.groupBy("leader").agg((F.sum("_n") > block_shingles).alias("cut"))
+    sums = sums.join(whole, "leader").select("leader", "size", "cut", F.ceil(F.col("_n") / block_shingles).alias("_parts"))
+    part = F.pmod(F.xxhash64("name", F.lit(3)), F.col("_parts"))
+    # A class has fewer than 2 ** 32 blocks.
+    block = F.when(F.col("cut"), F.shiftleft(F.col("size").cast("long"), 32) + part).otherwise(F.lit(0).cast("long"))
+    return routes.join(sums, ["leader", "size"]).select("leader", "name", "n", "cut", block.alias("block"))
 
 
 def _filter_of(names: DataFrame):
@@ -472,30 +485,36 @@ def similar_sets(docs: DataFrame, words: int, percent: int, block_shingles: int
     shared = prefixes.groupBy("token").agg(F.min("name").alias("leader"), F.max("name").alias("_last")).where("leader < _last")
     routes = prefixes.join(shared.select("token", "leader"), "token").groupBy("leader", "name").agg(F.max("n").alias("n"))
     routes = saved(routes, "jaccard-routes")
-    groups = routes.groupBy("leader").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    placed = routes.join(groups, "leader").withColumn("block", _block_of(F.col("name"), F.col("blocks")))
-    every = F.when(F.col("name") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    placed = placed.withColumn("block", F.explode(every))
-    located = placed.select("leader", "block", "name").join(sets, "name")
+    placed = saved(_dealt(routes, percent, block_shingles), "jaccard-dealt")
+    discard(routes)
+    others = placed.where("name <> leader")
+    leaders = others.select("leader", "block").distinct().select("leader", "block", F.col("leader").alias("name"))
+    located = others.select("leader", "block", "name").union(leaders).join(sets, "name")
     edges = saved(edges.union(located.groupBy("leader", "block").applyInPandas(within, "u long, v long")), "jaccard-links")
-    cut = placed.where("blocks > 1").select("leader", "block", "name", "blocks")
+    cut = others.where("cut").select("leader", "block", "name", "n")
     if cut.isEmpty():
         return members, edges
     roots = saved(components(edges), "jaccard-roots")
     root = lambda side: roots.select(F.col("vertex").alias(side), F.col("root").alias(f"_{side}_root"))
-    apart = cut.where("name <> leader").join(root("name"), "name", "left").join(root("leader"), "leader", "left")
-    apart = apart.where(F.coalesce("_name_root", "name") != F.coalesce("_leader_root", "leader"))
-    asked = apart.select("leader", "name", F.col("block").alias("_own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    asked = saved(asked.where("block <> _own").select("leader", "block", "name", F.lit(True).alias("asks")), "jaccard-asked")
+    cut = cut.join(root("name"), "name", "left").join(root("leader"), "leader", "left")
+    apart = F.coalesce("_name_root", "name") != F.coalesce("_leader_root", "leader")
+    cut = saved(cut.select("leader", "block", "name", "n", apart.alias("apart")), "jaccard-cut")
+    spans = cut.groupBy("leader", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    asked = cut.where("apart").select("leader", "name", "n", F.col("block").alias("own")).join(spans, "leader")
+    # In whole numbers, as T-occurrence search has it.
+    near_size = (F.col("least") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most") * 100)
+    asked = asked.where((F.col("block") != F.col("own")) & near_size)
+    asked = saved(asked.select("leader", "own", "block", "name", F.lit(True).alias("asks")), "jaccard-asked")
     if asked.isEmpty():
         return members, edges
-    there = cut.join(asked.select("leader", "block").distinct(), ["leader", "block"], "left_semi")
-    both = asked.unionByName(there.select("leader", "block", "name", F.lit(False).alias("asks"))).join(sets, "name")
+    # Of two blocks that ask each other, the second one's queries meet those sets only that do not ask themselves.
+    there = asked.select("leader", "own", "block").distinct().join(cut, ["leader", "block"]).where("own < block or not apart")
+    both = asked.unionByName(there.select("leader", "own", "block", "name", F.lit(False).alias("asks"))).join(sets, "name")
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         return _edges(links_to_block(_unpack(pdf[pdf["asks"]]), _unpack(pdf[~pdf["asks"]]), percent))
 
-    more = both.groupBy("leader", "block").applyInPandas(across, "u long, v long")
+    more = both.groupBy("leader", "own", "block").applyInPandas(across, "u long, v long")
     return members, saved(edges.union(more), "jaccard-links")
 
 

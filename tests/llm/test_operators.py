@@ -472,6 +472,31 @@ def test_a_block_links_what_brute_force_links(sets):
     assert len(got) < len(sets)
 
 
+def test_tasks_of_a_cut_neighbourhood_are_bounded(spark, monkeypatch):
+    """Texts that share a passage but are not similar all ask each other; a few pairs are similar, some of different size."""
+    draw = np.random.default_rng(3)
+    passage = [f"p{k}" for k in range(160)]
+    texts = {k: " ".join(passage + [f"u{k}x{i}" for i in range(45 + k % 3)]) for k in range(60)}
+    texts |= {100 + k: " ".join(texts[k].split()[: -int(draw.integers(1, 20))]) for k in range(0, 60, 4)}
+    frame = type(spark.range(0))
+    own, grouped, tasks, block = jaccard.similar_sets, frame.groupBy, [], 1000
+    monkeypatch.setattr(jaccard, "similar_sets", lambda d, w, p: own(d, w, p, block))
+
+    def spied(df, *columns):
+        if "asks" in df.columns:
+            tasks.append(df.select(*columns, "asks", (F.length("shingles") / 8).alias("n")))
+        return grouped(df, *columns)
+
+    monkeypatch.setattr(frame, "groupBy", spied)
+    rows = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == classes_by_hand(texts, 4, 85)
+    (sides,) = tasks
+    sums = grouped(sides, *(c for c in sides.columns if c != "n")).agg(F.sum("n").alias("n")).collect()
+    assert len(sums) > 50
+    # Dealt by hash, a block can be somewhat over its size.
+    assert max(r["n"] for r in sums) < 4 * block
+
+
 def test_duplicates_of_odd_rows(spark, odd, none):
     rows = jaccard.near_duplicates(odd).collect()
     assert len(rows) == 10
