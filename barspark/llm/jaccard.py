@@ -212,12 +212,12 @@ def links_to_block(queries: list[tuple[int, np.ndarray]], block: list[tuple[int,
     return [(name, block[k][0]) for name, s in queries for k in search.query(len(s), s.tolist(), lambda m, name=name: block[m][0] == name)]
 
 
-_MEASURED = "doc_id long, n long, name long, shingle long, seen long"
+_MEASURED = "doc_id long, copy long, n long, name long, shingle long, seen long"
 
 
 def _measure(words: int):
-    """Rows (doc_id, n, name) of documents, and (shingle, seen) of shingles that several sets of a run of documents have."""
-    columns = ["doc_id", "n", "name", "shingle", "seen"]
+    """Rows (doc_id, copy, n, name) of documents, and (shingle, seen) of shingles that several sets of a run of documents have."""
+    columns = ["doc_id", "copy", "n", "name", "shingle", "seen"]
 
     def several(pending: list[np.ndarray]) -> pa.RecordBatch:
         shingles = np.sort(np.concatenate(pending))
@@ -225,7 +225,7 @@ def _measure(words: int):
         counts = np.diff(np.concatenate((at, [len(shingles)])))
         often = counts > 1
         blank = pa.nulls(int(often.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(shingles[at[often]].view(np.int64)), pa.array(counts[often].astype(np.int64))], columns)
+        return pa.RecordBatch.from_arrays([blank, blank, blank, blank, pa.array(shingles[at[often]].view(np.int64)), pa.array(counts[often].astype(np.int64))], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
@@ -241,7 +241,7 @@ def _measure(words: int):
                         size += len(s)
                 n = len(sets)
                 blank = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), blank, blank], columns)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), batch.column("copy").slice(low, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), blank, blank], columns)
                 if size > 1 << 22:
                     yield several(pending)
                     pending, size = [], 0
@@ -441,12 +441,17 @@ def _filter_of(names: DataFrame):
     return names.sparkSession.sparkContext.broadcast(filled.reshape(-1)) if filled.any() else None
 
 
+def _copy() -> Column:
+    """Tells apart the texts of rows that share a doc_id."""
+    return F.xxhash64("text")
+
+
 def similar_sets(docs: DataFrame, words: int, percent: int, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame | None]:
-    """(doc_id, n, name) of all documents, and (u, v) links of names whose components are those of all links; None: no link."""
+    """(doc_id, copy, n, name) of all documents, copy a hash of the text, and (u, v) links of names whose components are those of all links; None: no link."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = saved(docs.mapInArrow(_measure(words), _MEASURED), "jaccard-sets")
-    members = measured.where("name is not null").select("doc_id", "n", "name")
+    measured = saved(docs.withColumn("copy", _copy()).mapInArrow(_measure(words), _MEASURED), "jaccard-sets")
+    members = measured.where("name is not null").select("doc_id", "copy", "n", "name")
     # Dealt by the sketch's parts, so that a task fills one part or a few.
     often = measured.where("shingle is not null").select("shingle", "seen")
     often = often.withColumn("_part", F.shiftrightunsigned("shingle", 64 - SKETCH_BLOCKS.bit_length() + 1)).repartition(SKETCH_BLOCKS, "_part")
@@ -525,15 +530,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     (or a null text) it is empty and linked with nothing. Two documents link at percent / 100 or more. Rows with equal
     texts are one class; a null doc_id counts as the largest. Other columns are ignored; an empty table gives an empty result.
     """
+    members, worded = _classes(docs, words, percent)
+    joined = members.join(worded.select("name", "least"), (members["name"] == worded["name"]) & (members["n"] > 0), "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, copy, n, name) of all documents, and (name, root, least) of sets with words: its component and that's smallest doc_id."""
     members, edges = similar_sets(docs, words, percent)
-    worded = members.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"))
+    worded = members.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least")).withColumn("root", F.col("name"))
     if edges is not None and not edges.isEmpty():
-        roots = components(edges).select(F.col("vertex").alias("name"), "root")
-        worded = worded.join(roots, "name", "left").select("name", "least", F.coalesce("root", "name").alias("root"))
+        roots = components(edges).select(F.col("vertex").alias("name"), F.col("root").alias("_root"))
+        worded = worded.join(roots, "name", "left").select("name", "least", F.coalesce("_root", "name").alias("root"))
         per_root = worded.groupBy("root").agg(F.min("least").alias("component"))
-        worded = worded.join(per_root, "root").select("name", F.col("component").alias("least"))
-    joined = members.join(worded, (members["name"] == worded["name"]) & (members["n"] > 0), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+        worded = worded.join(per_root, "root").select("name", "root", F.col("component").alias("least"))
+    return members, worded.select("name", "root", "least")
 
 
 def op9_t_occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -541,13 +552,21 @@ def op9_t_occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents without near copies: of each group the row with the smallest doc_id stays, and rows without words.
+    """documents without near copies: of each group one row with the smallest doc_id stays, and all rows without words.
 
-    doc_id is the key: of rows that repeat one, a single row stays.
+    Rows that repeat a doc_id, null too, are documents of their own. A null doc_id counts as the largest; of the texts with a group's
+    smallest doc_id the one with the smallest hash stays, and one of its rows.
     """
-    found = saved(near_duplicates(docs), "jaccard-components")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"])).select(docs["*"], "_rows")
-    # Rows that share a doc_id are the exception; only they are compared.
-    once = rows.where("_rows = 1").select(*docs.columns)
-    return once.unionByName(rows.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    members, worded = _classes(docs, 5, 80)
+    # Nulls are the least of a struct's fields, so whether there is one goes first.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy", "_rows")).alias("first")
+    texts = members.where("n > 0").groupBy("name", "doc_id", "copy").agg(F.count("*").alias("_rows"))
+    kept = texts.join(worded.select("name", "root"), "name").groupBy("root").agg(first)
+    kept = kept.select("first.doc_id", "first.copy", (F.col("first._rows") > 1).alias("_several"))
+    wordless = members.where("n = 0").select("doc_id", "copy", F.lit(False).alias("_several")).distinct()
+    kept = saved(kept.union(wordless), "jaccard-kept").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "_several")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (_copy() == F.col("_copy"))
+    rows = docs.join(kept, same)
+    # Rows that share id and text are the exception; only they are compared.
+    one = rows.where("_several").dropDuplicates(["_id", "_copy"]).select(*docs.columns)
+    return one.unionByName(rows.where("not _several").select(*docs.columns))

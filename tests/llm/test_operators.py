@@ -506,6 +506,15 @@ def test_duplicates_of_odd_rows(spark, odd, none):
     assert jaccard.duplicates_stage(spark, none, "").count() == 0
 
 
+def test_duplicates_are_told_by_text_where_ids_repeat(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = text(7) + " and more"
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, None), (None, ""), (None, " "), (1, text(2)), (1, text(3)), (1, text(3).upper()), (1, ""), (1, ""), (2, text(7)), (3, near), (3, text(4)), (5, text(5)), (None, text(5))]
+    kept = jaccard.duplicates_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = [(None, text(0)), (None, text(1)), (None, None), (None, ""), (None, " "), (1, text(2)), (1, text(3)), (1, ""), (1, ""), (2, text(7)), (3, text(4)), (5, text(5))]
+    assert sorted(map(str, ((r["doc_id"], r["text"] and r["text"].lower()) for r in kept))) == sorted(map(str, want))
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     got = {r["vertex"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
