@@ -338,15 +338,22 @@ class Context:
 
         return self._series("vwap", make=make)
 
+    @staticmethod
+    def _last_two(a: pd.Series | float):
+        """The last two values, read from the array, as a bar costs little then; None if there are fewer."""
+        if not isinstance(a, pd.Series):
+            return a, a
+        return a.to_numpy()[-2:] if len(a) > 1 else None
+
     @staticmethod
     def cross_up(a: pd.Series, b: pd.Series | float) -> bool:
-        b = b if isinstance(b, pd.Series) else pd.Series(b, index=a.index)
-        return len(a) > 1 and bool(a.iloc[-2] <= b.iloc[-2] and a.iloc[-1] > b.iloc[-1])
+        a, b = Context._last_two(a), Context._last_two(b)
+        return a is not None and b is not None and bool(a[0] <= b[0] and a[1] > b[1])
 
     @staticmethod
     def cross_down(a: pd.Series, b: pd.Series | float) -> bool:
-        b = b if isinstance(b, pd.Series) else pd.Series(b, index=a.index)
-        return len(a) > 1 and bool(a.iloc[-2] >= b.iloc[-2] and a.iloc[-1] < b.iloc[-1])
+        a, b = Context._last_two(a), Context._last_two(b)
+        return a is not None and b is not None and bool(a[0] >= b[0] and a[1] < b[1])
 
     def param(self, key: str, default=None):
         self.reads[key] = value = self._params.get(key, default)

@@ -603,7 +603,7 @@ def on_bar(ctx):
 @query("custom_strategy")
 def custom_strategy(spark: SparkSession, d: str) -> DataFrame:
     s = strategy.Strategy(entry=(("always_true", {}),), kind="future")
-    return rounded(strategy.run_custom(T.daily_bars(spark, d).where("symbol <= 20"), ON_BAR, {"slow": 20}, s), "price")
+    return rounded(strategy.run_custom(T.daily_bars(spark, d), ON_BAR, {"slow": 20}, s), "price")
 
 
 # ---------------------------------------------------------------- accounts and the band strategy

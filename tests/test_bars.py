@@ -12,6 +12,7 @@ from barspark.functions.conditions import CONDITIONS
 from barspark.functions.scan import Scan, ewm, with_scans
 from barspark.operators import account, asof, band, levels, patterns, resample, strategy, sweep
 from barspark.plans.compiler import FlowDataMissing, combined, with_conditions
+from barspark.queries import QUERIES
 from barspark.sources import barstore
 from barspark.sources import tables as T
 
@@ -162,6 +163,14 @@ def test_grid_parses_lists_and_half_open_ranges():
     assert len(list(sweep.combinations(sweep.parse_grid("a=1,2; b=1:4")))) == 6
 
 
+def test_custom_strategy_runs_every_symbol(spark, small, tmp_path):
+    rows = spark.read.parquet(f"{small}/lineitem.parquet")
+    rows.withColumn("l_suppkey", F.col("l_suppkey") + 100).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{small}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    shifted = sorted((r["symbol"] - 100, r["ts"], r["actions"]) for r in QUERIES["custom_strategy"](spark, str(tmp_path)).collect())
+    assert shifted and shifted == sorted((r["symbol"], r["ts"], r["actions"]) for r in QUERIES["custom_strategy"](spark, small).collect())
+
+
 def test_empty_bars(spark, bars):
     none = bars.where("false")
     assert with_conditions(none, {"x": ("ma_cross_up", {}), "y": ("kd_cross_up", {})}, ["ts"]).count() == 0
