@@ -117,14 +117,28 @@ def on_time(b: Band, s: State, price: float, now: float) -> tuple[str, str, int,
     return kind, "buy" if (kind == "open") == (b.direction == "long") else "sell", quantity, price
 
 
+def decisive(intraday: DataFrame) -> DataFrame:
+    """Of a symbol's prices those that can decide: each day's first at noon, and the first that is a delay later and not stale.
+
+    Two rows a day at most, however many prices there are. An order that meets no price in time is stale at whatever comes next.
+    """
+    minute = F.hour("ts") * 60 + F.minute("ts")
+    p = intraday.select("symbol", "ts", "price", F.to_date("ts").alias("_day"), minute.alias("_minute")).where(f"_minute between {NOON[0]} and {NOON[1] + int(STALE) // 60}")
+    noon = p.where(f"_minute <= {NOON[1]}").groupBy("symbol", "_day").agg(F.min(F.struct("ts", "price")).alias("_first"))
+    since = F.col("_first.ts")
+    after = p.join(noon, ["symbol", "_day"]).where((F.col("ts") >= since + F.expr(f"interval {int(DELAY)} seconds")) & (F.col("ts") < since + F.expr(f"interval {int(STALE)} seconds")))
+    due = after.groupBy("symbol", "_day").agg(F.min(F.struct("ts", "price")).alias("_first"))
+    return noon.union(due).select("symbol", "_first.ts", "_first.price")
+
+
 def run(daily: DataFrame, intraday: DataFrame, b: Band) -> DataFrame:
     """symbol, ts, kind, action, quantity, price: what the strategy does over days of daily bars and prices within days.
 
     daily has symbol, ts (a date) and close, intraday symbol, ts and price. Events of a symbol are put in order of time, a day's close after
-    its prices, and folded in one task a symbol.
+    its prices, and folded in one task a symbol, which has three rows a day at most.
     """
     a = daily.select("symbol", F.date_add("ts", 1).cast("timestamp_ntz").alias("at"), F.lit(0).alias("order"), F.col("ts").alias("day"), F.col("close").alias("price"))
-    p = intraday.select("symbol", F.col("ts").alias("at"), F.lit(1).alias("order"), F.to_date("ts").alias("day"), "price")
+    p = decisive(intraday).select("symbol", F.col("ts").alias("at"), F.lit(1).alias("order"), F.to_date("ts").alias("day"), "price")
     kind = daily.schema["symbol"].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

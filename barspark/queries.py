@@ -612,7 +612,7 @@ def custom_strategy(spark: SparkSession, d: str) -> DataFrame:
 def _fills(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey")
     return T.table(spark, d, "orders").select(
-        (F.col("o_custkey") % 5).alias("account"), F.concat(F.lit("S"), (F.col("o_custkey") % 7).cast("string")).alias("symbol"), F.col("o_orderdate").alias("ts"), key.alias("seq"), F.lit("share").alias("market"),
+        F.col("o_custkey").alias("account"), F.concat(F.lit("S"), (F.col("o_custkey") % 7).cast("string")).alias("symbol"), F.col("o_orderdate").alias("ts"), key.alias("seq"), F.lit("share").alias("market"),
         F.lit("odd").alias("kind"), (key % 3 != 0).alias("opens"), (key % 3 != 0).alias("buys"), (1 + key % 4).alias("quantity"), (F.col("o_totalprice") / 1000).alias("price"),
     )
 

@@ -195,6 +195,33 @@ def test_band_needs_noon_to_confirm_and_a_minute_to_send():
     assert band.on_time(b, s, 111, 5700.0) is None and s.discarded == ["close"] and s.position
 
 
+def test_band_folds_few_rows_a_day_and_decides_as_all_prices_do(spark):
+    draw = np.random.default_rng(4)
+    start, prices, closes = dt.datetime(2024, 1, 1), [], []
+    for day in range(120):
+        at = {int(x) for x in draw.integers(11 * 3600 + 3000, 12 * 3600 + 1500, draw.integers(0, 60))} | {int(x) for x in draw.integers(0, 86400, 5)}
+        prices += [(start + dt.timedelta(days=day, seconds=s), float(draw.integers(5, 40))) for s in sorted(at)]
+        closes.append((start + dt.timedelta(days=day), float(draw.integers(5, 40))))
+    b, s, want = band.Band(line=20.0, stop=15.0, arm=4.0, step=2.0), band.State(), []
+    events = sorted([(t + dt.timedelta(days=1), 0, t, x) for t, x in closes] + [(t, 1, t, x) for t, x in prices])
+    seen = []
+    for at, order, t, x in events:
+        now = (at - start).total_seconds()
+        if order == 0:
+            seen.append(x)
+            band.on_close(b, s, t.date(), x, sum(seen[-20:]) / 20 if len(seen) >= 20 else None, len(seen))
+            continue
+        if band.NOON[0] <= at.hour * 60 + at.minute <= band.NOON[1]:
+            band.on_noon(b, s, at.date(), x, now)
+        if (done := band.on_time(b, s, x, now)) is not None:
+            want.append((at, *done))
+    intraday = spark.createDataFrame([("a", *p) for p in prices], "symbol string, ts timestamp_ntz, price double")
+    daily = spark.createDataFrame([("a", t.date(), x) for t, x in closes], "symbol string, ts date, close double")
+    got = band.run(daily, intraday, b).orderBy("ts").collect()
+    assert len(want) > 5 and [tuple(r)[1:] for r in got] == want
+    assert band.decisive(intraday).groupBy("symbol", F.to_date("ts")).count().where("count > 2").isEmpty()
+
+
 def test_band_short_mirrors_long():
     long, short = band.Band(100, 90, 10, 5), band.Band(100, 110, 10, 5, "short")
     a, z = band.State(), band.State()
@@ -222,6 +249,13 @@ def test_account_averages_closes_and_values(spark):
     assert [r["symbol"] for r in account.mismatches(believed, account.positions(out)).collect()] == ["TMF1"]
 
 
+def test_an_account_folds_one_customers_orders(spark, small):
+    rows = QUERIES["account_history"](spark, small).groupBy("account").count().collect()
+    orders = spark.read.parquet(f"{small}/orders.parquet").groupBy("o_custkey").count().collect()
+    assert {tuple(r) for r in rows} == {tuple(r) for r in orders}
+    assert QUERIES["account_equity"](spark, small).count() == len(orders)
+
+
 def test_limits_bind_entries_only(spark):
     why = lambda opens, n, pnl, since, q=1: spark.range(1).select(account.blocked(F.lit(opens), F.lit(q), F.lit(n), F.lit(pnl), F.lit(since), account.Limits(3, 100.0, 60.0))).first()[0]
     assert [why(True, 3, 0.0, 99.0), why(True, 0, -100.0, 99.0), why(True, 0, 0.0, 59.0), why(False, 9, -999.0, 0.0), why(False, 0, 0.0, 99.0, 0)] == ["trades a day", "daily loss", "cooling down", None, "no quantity"]
