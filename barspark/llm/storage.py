@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table of at most so many narrow rows is broadcast; a larger one is joined by shuffles.
+MOST_BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
+    """The folder named in spark.checkpoint.dir; where that is unset, one in the warehouse, which executors see as well."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="barspark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    return where.rstrip("/") if where else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/barspark-tables"
+
+
+def attached(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a narrow saved table that has one row a key.
+
+    Up to MOST_BROADCAST_ROWS rows, counted first, it is broadcast, so that a hot key moves no rows; beyond that the join shuffles, and
+    Spark's adaptive execution splits what is skewed.
+    """
+    small = table.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
+    return rows.join(F.broadcast(table) if small else table, on, how)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
