@@ -3,11 +3,13 @@
 A ledger is a folder in shared storage. Every version of a text is addressed by the SHA-256 of its bytes; the
 ledger remembers which (blob, rule version) pairs have been scanned and what was found. A scan touches only pairs
 that it has not seen, whatever the number of documents that hold the blob, and findings are joined back to all of
-them. A rule set with a new version is scanned anew over all blobs; adding documents costs only their new blobs.
+them. The version of a rule set is a digest of its rules, so changed rules are scanned anew over all blobs; adding documents
+costs only their new blobs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +46,11 @@ RULES = (
     # Added by the method's own rule set, beyond the base: headers of private keys.
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", base=False),
 )
-RULE_VERSION = "2"
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """A digest of all that the rules say, so that rules which change in anything are scanned anew."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
@@ -85,14 +91,14 @@ def _seen(spark: SparkSession, ledger: str, table: str, schema: str) -> DataFram
         return spark.createDataFrame([], schema)
 
 
-def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """path, version columns of versions with blob and spans: array of (start, kind, end), sorted.
 
     versions has id columns and content. New pairs of blob and rule version are scanned and appended to the ledger;
     a blob without findings is remembered too. A null content is an empty one. Repeated and identical versions are
     scanned once. kind is the number of the rule. Equal rows stay as many rows as they are.
     """
-    spark = versions.sparkSession
+    spark, version = versions.sparkSession, version_of(rules)
     ids = [c for c in versions.columns if c != "content"]
     text = F.coalesce(F.col("content"), F.lit(""))
     addressed = versions.withColumn("blob", F.sha2(F.encode(text, "UTF-8"), 256))
@@ -123,13 +129,13 @@ def written(spans: Column, kinds: list[str]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def secret_report(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+def secret_report(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     A null or empty text has no findings; its base_sha256 is that of the empty string. Other columns are ignored.
     """
     kinds = [r.kind for r in rules]
-    found = scan(docs.select("doc_id", F.col("text").alias("content")), ledger, rules, version)
+    found = scan(docs.select("doc_id", F.col("text").alias("content")), ledger, rules)
     base = [k for k, r in enumerate(rules) if r.base]
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(
@@ -142,6 +148,7 @@ def secret_report(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """secret_report() of all documents, on a ledger of this run: a query gives what the tables hold now, whatever ran before."""
     return secret_report(documents(spark, sf_dir), new_path(spark, "ledger"))
 
 
@@ -158,15 +165,18 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents with every secret replaced by a mark; n_chars follows. All rows stay; null texts stay null."""
+    """documents with every secret replaced by a mark; n_chars follows. All rows stay, repeated ones too; null texts stay null.
+
+    All other columns stay as they are, whatever their names; an empty table stays empty.
+    """
     found = scan(docs.select("doc_id", F.col("text").alias("content")), new_path(spark, "ledger"))
-    hits = found.where(F.size("spans") > 0).groupBy("doc_id", "blob").agg(F.max("spans").alias("_spans")).alias("h")
-    keyed = docs.withColumn("_blob", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).alias("d")
+    hits = found.where(F.size("spans") > 0).groupBy("doc_id", "blob").agg(F.max("spans").alias("spans")).alias("h")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(whole.alias("doc"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("address")).alias("d")
     # By doc_id as well as blob: copies of one text don't meet in one task.
-    same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d._blob") == F.col("h.blob"))
-    joined = keyed.join(hits, same, "left").select("d.*", "_spans")
-    spans = F.coalesce("_spans", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    marked = joined.withColumn("_text", redacted(F.col("text"), spans)).withColumn("_changed", F.size(spans) > 0)
-    length = F.when(F.col("_changed"), F.length("_text").cast("long")).otherwise(F.col("n_chars"))
-    new = {"text": F.col("_text").alias("text"), "n_chars": length.alias("n_chars")}
-    return marked.select(*(new.get(c, F.col(c)) for c in docs.columns))
+    same = F.col("d.doc.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.address") == F.col("h.blob"))
+    spans = F.coalesce("h.spans", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    marked = keyed.join(hits, same, "left").select("d.doc", spans.alias("spans"), redacted(F.col("d.doc.text"), spans).alias("clean"))
+    length = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("doc.n_chars"))
+    new = {"text": F.col("clean").alias("text"), "n_chars": length.alias("n_chars")}
+    return marked.select(*(new.get(c, F.col(f"doc.`{c}`").alias(c)) for c in docs.columns))
