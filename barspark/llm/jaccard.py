@@ -555,7 +555,8 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """documents without near copies: of each group one row with the smallest doc_id stays, and all rows without words.
 
     Rows that repeat a doc_id, null too, are documents of their own. A null doc_id counts as the largest; of the texts with a group's
-    smallest doc_id the one with the smallest hash stays, and one of its rows.
+    smallest doc_id the one with the smallest hash stays, and one of its rows. Columns stay as they are, whatever their names; an empty
+    table stays empty.
     """
     members, worded = _classes(docs, 5, 80)
     # Nulls are the least of a struct's fields, so whether there is one goes first.
@@ -564,9 +565,10 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = texts.join(worded.select("name", "root"), "name").groupBy("root").agg(first)
     kept = kept.select("first.doc_id", "first.copy", (F.col("first._rows") > 1).alias("_several"))
     wordless = members.where("n = 0").select("doc_id", "copy", F.lit(False).alias("_several")).distinct()
-    kept = saved(kept.union(wordless), "jaccard-kept").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "_several")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (_copy() == F.col("_copy"))
-    rows = docs.join(kept, same)
-    # Rows that share id and text are the exception; only they are compared.
-    one = rows.where("_several").dropDuplicates(["_id", "_copy"]).select(*docs.columns)
-    return one.unionByName(rows.where("not _several").select(*docs.columns))
+    kept = saved(kept.union(wordless), "jaccard-kept").alias("k")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(whole.alias("doc"), F.col("doc_id").cast("long").alias("id"), _copy().alias("copy")).alias("d")
+    rows = keyed.join(kept, F.col("d.id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.copy") == F.col("k.copy"))).select("d.*", "_several")
+    # Rows that share id and text are the exception; of those the first by their values as JSON stays.
+    one = rows.where("_several").groupBy("id", "copy").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc")
+    return one.union(rows.where("not _several").select("doc")).select("doc.*")

@@ -1,7 +1,8 @@
 """Language identification with a string kernel.
 
 The kernel of two texts is the cosine of their sets of byte n-grams of all lengths from 1 to 3 (blended
-spectrum, presence only), over the n-grams of the landmarks. Landmark texts give a Nyström map of the kernel,
+spectrum, presence only). Its features are the n-grams that some landmark has: both the common n-grams and the norms count those alone,
+so the kernel is exactly the cosine in that space. Landmark texts give a Nyström map of the kernel,
 and one-versus-rest kernel ridge regression on it has one column of weights a language. Scoring a batch is two
 matrix products: n-gram flags by landmarks, and kernel values by languages.
 """
@@ -21,8 +22,9 @@ from barspark.llm.sampling import fold, hash_sample
 from barspark.llm.storage import documents
 from barspark.llm.textbytes import LOWER, slices
 
-#: The bound of the training sample: about so many texts a language, and landmarks among them.
-SAMPLE_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, MOST_LANGUAGES = 300, 24, 64
+#: The bound of the training sample: about so many texts a language. Of them so many are landmarks, fewer where there are over 64
+#: languages, but one at least, so that the kernel matrix of landmarks stays small.
+SAMPLE_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, LANDMARKS = 300, 24, 1536
 RIDGE, SHARPNESS = 1e-3, 8.0
 #: Besides whole texts, pieces of so many bytes from the sample are learnt from, as short texts have few n-grams.
 PIECES = (24, 80)
@@ -83,10 +85,15 @@ def _kernels(texts: list[str], model: LanguageModel, table: np.ndarray) -> np.nd
 
 
 def fit(texts: list[str], languages: list[str]) -> LanguageModel:
-    """Fits the model to a sample. Landmarks are the first LANDMARKS_PER_LANGUAGE texts with letters of each language."""
+    """Fits the model to a sample. Landmarks are the first texts with letters of each language, as many of each."""
     rows = [(t, x) for t, x in zip(texts, languages, strict=True) if t and HAS_LETTER.search(t)]
     names = sorted({x for _, x in rows})
-    marks = [t for n in names for t in [t for t, x in rows if x == n][:LANDMARKS_PER_LANGUAGE]]
+    each = max(1, min(LANDMARKS_PER_LANGUAGE, LANDMARKS // max(1, len(names))))
+    of_language: dict[str, list[str]] = {n: [] for n in names}
+    for t, x in rows:
+        if len(of_language[x]) < each:
+            of_language[x].append(t)
+    marks = [t for n in names for t in of_language[n]]
     if not marks:
         return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)))
     codes = [np.unique(c) for _, _, buf, off in slices(pa.array(marks), max_rows=ROWS) for c, _ in gram_codes(buf, off)]
@@ -105,7 +112,8 @@ def fit(texts: list[str], languages: list[str]) -> LanguageModel:
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
     phi = k_nm @ root
     # Every language weighs the same, however many texts the sample has of it.
-    of = np.array([names.index(x) for _, x in learn])
+    number = {n: k for k, n in enumerate(names)}
+    of = np.array([number[x] for _, x in learn])
     weight = 1.0 / np.bincount(of, minlength=len(names))[of]
     target = np.where(of[:, None] == np.arange(len(names))[None, :], 1.0, 0.0)
     gram = phi.T @ (phi * weight[:, None]) + RIDGE * np.eye(phi.shape[1])
@@ -151,9 +159,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def fit_languages(docs: DataFrame) -> LanguageModel:
-    """Fits to a sample of about SAMPLE_PER_LANGUAGE texts for each of the MOST_LANGUAGES commonest languages."""
+    """Fits to a sample of about SAMPLE_PER_LANGUAGE texts for each language that the learning fold has."""
     known = docs.where((fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = hash_sample(known.select("doc_id", "text", "lang"), "lang", SAMPLE_PER_LANGUAGE, MOST_LANGUAGES)
+    sample = hash_sample(known.select("doc_id", "text", "lang"), "lang", SAMPLE_PER_LANGUAGE)
     rows = sorted((r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in sample.collect())
     # In an order that does not follow doc_id.
     rows = [rows[k] for k in np.random.Generator(np.random.PCG64(3)).permutation(len(rows))]
@@ -161,5 +169,6 @@ def fit_languages(docs: DataFrame) -> LanguageModel:
 
 
 def op5_kernel_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() of all documents, after learning from two of the three folds. Ties go to the first language by name."""
     docs = documents(spark, sf_dir)
     return identify(docs, fit_languages(docs))

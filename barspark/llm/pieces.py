@@ -316,9 +316,10 @@ def encoded(docs: DataFrame, model: PieceModel, text: str = "text", keep: list[s
     """The kept columns (all but text) with ids: array<int>, n_tokens, decoded_matches and ids_sha256.
 
     A null or empty text has no pieces. decoded_matches says whether decoding gives the text back; a text that holds the
-    mark U+2581 itself does not come back, as the mark reads as a space. Rows are independent: nothing is shuffled.
+    mark U+2581 itself does not come back, as the mark reads as a space. Rows are independent: nothing is shuffled, and repeated rows have
+    equal results. A kept column with the name of a result gives way to it.
     """
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "ids", "n_tokens", "decoded_matches", "ids_sha256")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,6 +359,10 @@ def op2_piece_transducer(spark: SparkSession, sf_dir: str, model_path: str | Non
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, ids and n_tokens of every document."""
+    """doc_id, lang, source, n_chars (as far as docs has them), ids and n_tokens of every document.
+
+    A null or empty text has no ids; repeated rows stay as many as they are; an empty table gives an empty result; other columns go.
+    """
     model = load_model(public_model_path())
-    return encoded(docs, model).select("doc_id", "lang", "source", "n_chars", "ids", "n_tokens")
+    keep = [c for c in ("doc_id", "lang", "source", "n_chars") if c in docs.columns]
+    return encoded(docs, model, keep=keep).select(*keep, "ids", "n_tokens")

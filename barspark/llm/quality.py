@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm.sampling import fold, hash_sample
+from barspark.llm.sampling import fold
 from barspark.llm.storage import documents
 from barspark.llm.textbytes import slices
 
@@ -189,7 +189,8 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] | No
 def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Network:
     """Learns from about SAMPLE_PER_LABEL labelled texts of each label outside the held-out fold.
 
-    The sample is balanced by a hash; the output's bias is then set back to the labels' true share.
+    The sample is balanced by a hash; the output's bias is then set back to the labels' true share. Rows that share id and text count as one,
+    so the bound holds however often they repeat; a doc_id with two labels has the smaller.
     """
     known = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -198,6 +199,7 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Netw
     # About 2 SAMPLE_PER_LABEL ids, whatever the size of the tables.
     chosen = known.where(draw < share)
     found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = found.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
     rows = sorted((r["doc_id"], r["text"], r["quality"]) for r in found.collect())
     net = train([t for _, t, _ in rows], [y for _, _, y in rows])
     good = sum(y for _, _, y in rows)
@@ -206,11 +208,13 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Netw
     return net
 
 
-def score_quality(docs: DataFrame, net: Network) -> DataFrame:
-    """All columns of docs with _score and _predicted. A null or empty text has the score of the bias; whole texts are read.
+def score_quality(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
+    """The kept columns of docs (all, if none are named) with score and predicted, which replace columns of these names.
 
-    Only the texts go to Python, and only scores come back.
+    A null or empty text has the score of the bias; whole texts are read. Rows are scored apart, so repeated rows have equal scores, and an
+    empty table gives an empty result. Only the texts go to Python, and only scores come back.
     """
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("double")
@@ -219,19 +223,25 @@ def score_quality(docs: DataFrame, net: Network) -> DataFrame:
             parts = [p for _, _, p in long_scores(shared.value, column)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    rows = docs.withColumn("_score", scored(F.col("text")))
-    return rows.withColumn("_predicted", (F.col("_score") >= THRESHOLD).cast("int"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), scored(F.col("text")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op1_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of all documents. Nulls, empty texts and repeated rows as in score_quality()."""
     docs = documents(spark, sf_dir)
     net = fit_quality(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
-    return score_quality(rows, net).select("doc_id", "held_out", F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    return score_quality(rows, net, ["doc_id", "held_out"])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents that the classifier accepts. Null and empty texts have no chunk to judge and are rejected by no filter:
-    they follow the bias, which is the share of good labels."""
+    """documents that the classifier accepts, with all their columns, whatever these are called.
+
+    Null and empty texts have no chunk to judge: all of them get the score of the bias, which follows the share of good labels, and so stay
+    or go together. Repeated rows stay or go together too; an empty table stays empty. Equal scores are no ties, as each is held against the
+    threshold alone.
+    """
     net = fit_quality(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, net).where("_predicted = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text")
+    return score_quality(rows, net, ["doc"]).where("predicted = 1").select("doc.*")

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barspark.llm.storage import attached, saved
+
 
 def fold(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null doc_id counts as an empty text, whose fold is 0."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % n
 
 
-def hash_sample(rows: DataFrame, by: str, per_value: int, most_values: int = 256) -> DataFrame:
-    """About per_value rows for each of the most_values commonest values of a column, picked by a hash of doc_id and text.
+def hash_sample(rows: DataFrame, by: str, per_value: int) -> DataFrame:
+    """About per_value rows (doc_id, text and by) for each value of a column, picked by a hash of doc_id and text.
 
-    Reruns agree. A first pass counts the values, a second keeps the rows whose hash is under the wanted share, so no
-    value is gathered in a task before it is small.
+    Reruns agree. A first pass counts the values, a second keeps the rows whose hash is under the wanted share; rows that repeat share a hash
+    and are taken once. So no value has more than about per_value rows, however its rows repeat, and no value is left out but by
+    chance: one of fewer than per_value rows is taken whole.
     """
-    counts = rows.groupBy(by).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), by).limit(most_values)
-    # At most most_values rows.
-    shares = counts.select(F.col(by).alias("_value"), (F.lit(float(per_value)) / F.col("_n")).alias("_share"))
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(F.broadcast(shares), F.col(by) == F.col("_value")).where(draw < F.col("_share")).drop("_value", "_share")
+    counts = saved(rows.groupBy(by).agg(F.count("*").alias("_n")), "sample-counts")
+    draw = F.xxhash64("doc_id", "text", F.lit(5))
+    share = F.lit(float(per_value)) / F.col("_n")
+    kept = attached(rows, counts, [by]).withColumn("_draw", draw).where(F.pmod("_draw", F.lit(1 << 30)) / float(1 << 30) < share)
+    return kept.dropDuplicates(["_draw"]).drop("_n", "_draw")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barspark.llm.storage import documents, saved
+from barspark.llm.storage import attached, documents, saved
 
 #: Fixed values of the published algorithm (Lamping and Veach, 2014): the multiplier of its linear
 #: congruential generator, split into high and low 32 bits.
@@ -43,7 +43,8 @@ def _next_key(hi: Column, lo: Column) -> tuple[Column, Column]:
 def jump_shard(key: Column, n_shards: int) -> Column:
     """The shard (0 to n_shards - 1) of a 64-bit key; a null key counts as 0.
 
-    The bucket rises with every jump, so n_shards steps suffice; after the last jump the fold keeps its state.
+    A key jumps about ln(n_shards) times, so a fold of few steps nearly always ends; after the last jump it keeps its state. The bucket rises with
+    every jump, so n_shards further steps, which only a key that has not ended takes, suffice for all.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
@@ -62,8 +63,12 @@ def jump_shard(key: Column, n_shards: int) -> Column:
         moved = F.struct(hi.alias("hi"), lo.alias("lo"), s["jump"].alias("bucket"), jump.alias("jump"))
         return F.when(s["jump"] < n_shards, moved).otherwise(s)
 
-    steps = F.sequence(F.lit(1), F.lit(n_shards))
-    return F.aggregate(steps, start, step, lambda s: s["bucket"]).cast("int")
+    few = min(n_shards, 16 + 4 * n_shards.bit_length())
+    steps = lambda n: F.sequence(F.lit(1), F.lit(n))
+    if few == n_shards:
+        return F.aggregate(steps(few), start, step, lambda s: s["bucket"]).cast("int")
+    rest = lambda s: F.aggregate(steps(n_shards), s, step, lambda z: z["bucket"])
+    return F.aggregate(steps(few), start, step, lambda s: F.when(s["jump"] >= n_shards, s["bucket"]).otherwise(rest(s))).cast("int")
 
 
 def with_slots(df: DataFrame, shard: str, key: str, tie: str, rows_per_block: int = 5_000) -> DataFrame:
@@ -75,8 +80,7 @@ def with_slots(df: DataFrame, shard: str, key: str, tie: str, rows_per_block: in
     """
     counts = df.groupBy(shard).agg(F.count("*").alias("_rows"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("_rows") / rows_per_block)).cast("long")
-    # At most one row a shard, so the broadcast is bounded by the number of shards.
-    keyed = df.join(F.broadcast(counts), shard).withColumn("_block", F.pmod(F.xxhash64(key, tie), blocks)).drop("_rows")
+    keyed = attached(df, counts, [shard]).withColumn("_block", F.pmod(F.xxhash64(key, tie), blocks)).drop("_rows")
     per_block = keyed.groupBy(shard, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = per_block.select(shard, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
@@ -110,4 +114,5 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, rows_per_block: int = 5_
 
 
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard_documents() of all documents to 8 shards. Nulls, ties and repeated rows as there."""
     return shard_documents(documents(spark, sf_dir))
