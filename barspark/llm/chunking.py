@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barspark.llm.storage import documents
+from barspark.llm.storage import attached, documents, saved
 from barspark.llm.textbytes import span_hashes
 
 #: Bytes of a chunk. The looser mask has 5 bits and the stricter 7, so that most chunks are close to NORMAL.
@@ -136,66 +136,97 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch(rows)
 
 
-def fingerprints(docs: DataFrame, block_rows: int = 2_000, most_blocks: int = 20_000) -> DataFrame:
+#: A level of bounds has at most so many ranges, and a table at most so many tasks.
+RANGES, MOST_TASKS = 1_000, 100_000
+
+
+def fingerprints(docs: DataFrame, block_rows: int = 2_000, ranges: int = RANGES) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_chunks.
 
     Null and empty texts have the empty fingerprint. The next document is the one with the next lower doc_id (equal
     ids, a null counting as the lowest, by the text's hash; rows equal in both are interchangeable), after the last the first. A single row follows itself. An
     empty table gives an empty result; other columns are ignored.
 
-    Documents are dealt to blocks by ranges of doc_id, whose bounds are quantiles from a pass over doc_id alone; their
-    number is bounded by most_blocks. Texts are shuffled once. The first document of a block is also
-    sent to the block before, as the one that follows its last. A doc_id that repeats stays in one block.
+    Documents are dealt to blocks of about block_rows by two levels of bounds, so up to ranges squared blocks: quantiles of doc_id, and
+    quantiles within each range of those. An id that fills blocks is parted by the text's hash, and a text that does by row. Texts are
+    shuffled once; the first text of a block also goes to the block before, as the one that follows its last.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_at"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = docs.count()
     if not n:
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    n_blocks = max(1, min(most_blocks, -(-n // block_rows)))
-    bounds = []
-    if n_blocks > 1:
-        shares = [k / n_blocks for k in range(1, n_blocks)]
-        bounds = sorted(set(docs.select(F.percentile_approx("_at", shares, 10 * n_blocks)).first()[0]))
-    # Blocks by falling doc_id: block k holds the ids over bounds[-1 - k].
-    edges = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<long>")
-    # The number of bounds that are at or over the id is found by arithmetic search in the sorted array.
-    block = _block(F.col("_at"), edges, len(bounds))
-    dealt = docs.withColumn("_block", block)
-    order = F.struct(F.col("_at").alias("at"), F.xxhash64("text").alias("hash"))
-    # The first row of a block: one (id, hash) a block, at most most_blocks of them.
-    firsts = dealt.groupBy("_block").agg(F.max(order).alias("first")).orderBy("_block").collect()
-    before = {(r["first"]["at"], r["first"]["hash"]): firsts[k - 1]["_block"] for k, r in enumerate(firsts)}
-    heads = docs.sparkSession.createDataFrame([(a, h, b) for (a, h), b in before.items()], "_head_at long, _head_hash long, _to int")
-    # Bounded by most_blocks rows of three numbers.
-    marked = dealt.withColumn("_hash", F.xxhash64("text")).join(
-        F.broadcast(heads), (F.col("_at") == F.col("_head_at")) & (F.col("_hash") == F.col("_head_hash")), "left"
-    )
-    own = F.struct(F.col("_block"), F.lit(False).alias("_borrowed"))
-    lent = F.struct(F.col("_to").alias("_block"), F.lit(True).alias("_borrowed"))
-    sent = marked.select("*", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, lent))).alias("_put"))
-    rows = sent.select("_put.*", F.col("_at"), "_hash", "doc_id", "text")
-    rows = rows.repartition(n_blocks, "_block").sortWithinPartitions("_block", "_borrowed", F.desc("_at"), F.desc("_hash"))
+    blocks = -(-n // block_rows)
+    docs = docs.withColumn("_hash", _hash())
+    dealt = _dealt(docs, blocks, block_rows, ranges)
+    # A row a block, at most ranges squared of them, in the order of blocks.
+    firsts = dealt.groupBy("_block").agg(F.max(F.struct("_at", "_hash")).alias("first"))
+    before = F.coalesce(F.lag("_block").over(Window.orderBy("_block")), F.max("_block").over(Window.partitionBy()))
+    heads = saved(firsts.select("first._at", "first._hash", before.alias("_to")), "chunking-heads")
+    # A row that repeats is lent once.
+    lent = attached(docs, heads, ["_at", "_hash"]).dropDuplicates(["_to"])
+    columns = ["_at", "_hash", "doc_id", "text"]
+    rows = dealt.select("_block", F.lit(False).alias("_borrowed"), *columns).union(lent.select("_to", F.lit(True), *columns))
+    rows = rows.repartition(min(blocks, MOST_TASKS), "_block").sortWithinPartitions("_block", "_borrowed", F.desc("_at"), F.desc("_hash"))
     return rows.select("_block", "_borrowed", "doc_id", "text").mapInArrow(_fingerprints, SCHEMA)
 
 
-def _block(at, edges, n_bounds: int):
-    """How many bounds are >= at, by binary search over the sorted array of bounds."""
-    if not n_bounds:
-        return F.lit(0)
-    start = F.struct(F.lit(0).alias("low"), F.lit(n_bounds).alias("high"))
+def _hash() -> Column:
+    """52 bits of a text's hash, as a double holds them all."""
+    return F.shiftright(F.xxhash64("text"), 12)
+
 
-    def halve(s, _):
-        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        less = F.get(edges, middle) < at
-        done = s["low"] >= s["high"]
-        return F.struct(
-            F.when(~done & less, middle + 1).otherwise(s["low"]).alias("low"),
-            F.when(~done & ~less, middle).otherwise(s["high"]).alias("high"),
-        )
+def _quantiles(rows: DataFrame, value: str, n: int) -> list[float]:
+    """n - 1 bounds of n parts with like numbers of rows, falling; a value that fills parts occurs as often."""
+    shares = [k / n for k in range(1, n)]
+    return sorted(rows.agg(F.percentile_approx(value, shares, 10 * n)).first()[0], reverse=True) if n > 1 else []
 
-    steps = F.sequence(F.lit(1), F.lit(n_bounds.bit_length() + 1))
-    return F.aggregate(steps, start, halve, lambda s: F.lit(n_bounds) - s["low"])
+
+def _dealt(rows: DataFrame, blocks: int, block_rows: int, ranges: int) -> DataFrame:
+    """rows (_at, _hash ...) with _block, whose order is that of falling _at, then falling _hash.
+
+    Quantiles are of doubles, so bounds are those of ids rounded to doubles, which keeps their order.
+    """
+    coarse = min(ranges, -(-blocks // ranges))
+    fine = min(ranges, -(-blocks // coarse))
+    rows = rows.withColumn("_near", F.col("_at").cast("double"))
+    edges = F.array(*(F.lit(b) for b in _quantiles(rows.select("_near"), "_near", coarse))) if coarse > 1 else F.array().cast("array<double>")
+    rows = rows.withColumn("_coarse", _over(edges, F.col("_near")))
+    shares = F.array(*(F.lit(k / fine) for k in range(1, fine))) if fine > 1 else None
+    inner = F.sort_array(F.percentile_approx("_near", shares, F.lit(10 * fine)), asc=False) if fine > 1 else F.array().cast("array<double>")
+    bounds = saved(rows.groupBy("_coarse").agg(inner.alias("_edges")), "chunking-bounds")
+    # An id in more than one bound fills blocks: it is parted by quantiles of the text's hash.
+    filled = bounds.select(F.explode("_edges").alias("_near")).groupBy("_near").agg(F.count("*").alias("_n")).where("_n > 1").select("_near")
+    within = attached(rows.select("_near", "_at", "_hash"), saved(filled, "chunking-filled"), ["_near"])
+    most = within.groupBy("_near").count().agg(F.max("count")).first()[0] or 0
+    n_parts = max(2, min(ranges, -(-most // block_rows)))
+    shares = F.array(*(F.lit(k / n_parts) for k in range(1, n_parts)))
+    hashes = F.sort_array(F.percentile_approx("_hash", shares, F.lit(10 * n_parts)), asc=False).alias("_hashes")
+    parts = within.groupBy("_near").agg(hashes, (F.min("_at") == F.max("_at")).alias("_one")).where("_one").drop("_one")
+    rows = attached(attached(rows, bounds, ["_coarse"]), saved(parts, "chunking-parts"), ["_near"], "left")
+    # Rows of one hash that is several bounds are alike: any order of them is right, so they are dealt by number.
+    over = _over(F.col("_hashes"), F.col("_hash"))
+    same = _over(F.col("_hashes"), F.col("_hash"), strict=False) - over
+    part = over + F.when(same > 1, F.pmod(F.xxhash64(F.monotonically_increasing_id()), same)).otherwise(0)
+    # Falling _at: an id that fills blocks comes after those over it, which share its place among the bounds.
+    at = _over(F.col("_edges"), F.col("_near")).cast("long") * 2 + F.col("_hashes").isNotNull().cast("int")
+    number = (F.col("_coarse").cast("long") * 4096 + at) * 4096 + F.coalesce(part, F.lit(0))
+    return rows.withColumn("_block", number).drop("_coarse", "_edges", "_hashes", "_near")
+
+
+def _over(edges: Column, value: Column, strict: bool = True) -> Column:
+    """How many of the falling edges are over value (or, if not strict, at it or over it), by binary search."""
+    start = F.struct(F.lit(0).alias("low"), F.size(edges).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        edge = F.get(edges, middle)
+        more = (edge > value) if strict else (edge >= value)
+        narrowed = F.struct(F.when(more, middle + 1).otherwise(s["low"]).alias("low"), F.when(more, s["high"]).otherwise(middle).alias("high"))
+        return F.when(s["low"] >= s["high"], s).otherwise(narrowed)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(RANGES.bit_length() + 1)), start, halve, lambda s: s["low"])
 
 
 def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprints() of all documents."""
     return fingerprints(documents(spark, sf_dir))
