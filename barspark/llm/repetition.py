@@ -2,8 +2,10 @@
 
 The suffix array is over words. Suffixes of all texts in a slice are sorted together by prefix doubling, with ranks
 that keep texts apart, so that only suffixes of one text share prefixes; a suffix leaves the doubling once its
-rank is its own. The intervals of the longest-common-prefix array are the maximal repeated substrings: the longest
-repeat that starts at a word is the larger of the two common prefixes beside its suffix.
+rank is its own. A maximal repeated substring is an interval of the longest-common-prefix array: its suffixes share a prefix
+that no wider interval shares (so it cannot go on to the right), and not all of them have the same word before (so it cannot to the left).
+The spans of all these repeats are united for the covered fraction: at each suffix the deepest interval around it has
+the longest span, so one span a suffix gives the union.
 """
 
 from __future__ import annotations
@@ -33,15 +35,14 @@ SCHEMA = (
 )
 
 
-def longest_repeats(words: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each word the length of the longest stretch from it that occurs elsewhere in its text (may overlap).
+def common_prefixes(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array, and the words that each suffix but the last shares with the next one; nothing is shared across texts.
 
     words are hashes or numbers, text their nondecreasing text numbers.
     """
     n = len(words)
-    longest = np.zeros(n, np.int64)
     if n < 2:
-        return longest
+        return np.arange(n), np.zeros(max(0, n - 1), np.int64)
     values, codes = np.unique(words, return_inverse=True)
     key = text.astype(np.uint64) * np.uint64(len(values)) + codes.astype(np.uint64)
     order = np.argsort(key, kind="stable")
@@ -88,11 +89,63 @@ def longest_repeats(words: np.ndarray, text: np.ndarray) -> np.ndarray:
         ok = inside & (r[a] == r[b]) & (text[a] == text[left]) & (text[b] == text[left])
         common += ok * step
         at_left, at_right = at_left + ok * step, at_right + ok * step
-    np.maximum.at(longest, left, common)
-    np.maximum.at(longest, right, common)
+    shared = np.zeros(n - 1, np.int64)
+    shared[pairs] = common
+    return suffix_at, shared
+
+
+def longest_repeats(suffixes: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each word the length of the longest stretch from it that occurs elsewhere in its text (may overlap)."""
+    longest = np.zeros(len(suffixes), np.int64)
+    np.maximum.at(longest, suffixes[:-1], shared)
+    np.maximum.at(longest, suffixes[1:], shared)
     return longest
 
 
+def intervals(shared: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last suffix of each interval whose suffixes share least words or more, and how many; nested ones too.
+
+    One pass with a stack over the places that share so many: an interval ends where fewer words are shared.
+    """
+    out: list[tuple[int, int, int]] = []
+    places = np.flatnonzero(shared >= least)
+    open_: list[tuple[int, int]] = []  # (first suffix, words), rising
+    before = -2
+    for k, words in zip(places.tolist(), shared[places].tolist(), strict=True):
+        if k != before + 1:
+            out += [(first, before + 1, n) for first, n in open_]
+            open_ = []
+        first = k
+        while open_ and open_[-1][1] > words:
+            first, n = open_.pop()
+            out.append((first, k, n))
+        if not open_ or open_[-1][1] < words:
+            open_.append((first, words))
+        before = k
+    out += [(first, before + 1, n) for first, n in open_]
+    found = np.array(out, np.int64).reshape(-1, 3)
+    return found[:, 0], found[:, 1], found[:, 2]
+
+
+def maximal_repeats(words: np.ndarray, text: np.ndarray, suffixes: np.ndarray, shared: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each maximal repeat of least words or more, and its text number.
+
+    Of an interval's suffixes two must differ in the word before; the start of a text is a word of its own.
+    """
+    first, last, length = intervals(shared, least)
+    if not len(first):
+        return length, length
+    opens = np.concatenate(([True], text[1:] != text[:-1]))
+    before = np.where(opens, np.uint64(0), np.concatenate((words[:1], words[:-1])))[suffixes]
+    start = opens[suffixes]
+    # Two starts of texts cannot be in one interval, so a start differs from all others.
+    changes = np.concatenate(([0], np.cumsum((before[1:] != before[:-1]) | start[1:] | start[:-1])))
+    kept = changes[last] > changes[first]
+    return length[kept], text[suffixes[first[kept]]]
+
+
+
+
 def covered(start: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     """Which of n places the spans cover, together."""
     edge = np.zeros(n + 1, np.int64)
@@ -148,15 +201,13 @@ def measured(column: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray]
         n_words = np.bincount(text, minlength=n)
         n_repeat = _per_text(repeated_in_windows(words, text, BASE_WINDOW), text, n)
         failed = (n_words < BASE_LEAST_WORDS) | (100 * n_repeat > BASE_REPEAT_PERCENT * n_words)
-        longest = longest_repeats(words, text)
+        suffixes, shared = common_prefixes(words, text)
+        longest = longest_repeats(suffixes, shared)
         counted = np.flatnonzero(longest >= MIN_REPEAT)
         n_covered = _per_text(covered(counted, longest[counted], len(words)), text, n)
+        lengths, of = maximal_repeats(words, text, suffixes, shared, MIN_REPEAT)
         most = np.zeros(n, np.int64)
-        np.maximum.at(most, text, longest)
-        # A repeat that starts here is maximal unless the word before starts one that is longer by one.
-        previous = np.concatenate(([0], longest[:-1]))
-        previous[np.concatenate(([True], text[1:] != text[:-1]))[: len(previous)]] = 0
-        maximal = (longest >= MIN_REPEAT) & (previous != longest + 1)
+        np.maximum.at(most, of, lengths)
         fraction = n_covered / np.maximum(n_words, 1)
         yield low, high, {
             "n_words": n_words,
@@ -169,7 +220,7 @@ def measured(column: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray]
             "covered_words": n_covered,
             "covered_fraction": fraction,
             "longest_repeat": most,
-            "n_maximal": _per_text(maximal, text, n),
+            "n_maximal": np.bincount(of, minlength=n).astype(np.int64),
         }
 
 
@@ -183,12 +234,14 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repetition_rules(docs: DataFrame) -> DataFrame:
     """One row per document with the base counts, base_failed, kept and the suffix array's measures.
 
-    A null or empty text has no words, fails the base rule (fewer than 20 words) and is not kept. Repeated rows
-    give repeated results; an empty table gives none; other columns are ignored. There is no shuffle, and a lost
+    longest_repeat is the length of the longest maximal repeat, 0 if none has MIN_REPEAT words; n_maximal is their number; kept asks that
+    their spans cover at most MAX_COVERED of the words and that the longest has at most MAX_LONGEST. A null or empty text has no words,
+    fails the base rule (fewer than 20 words) and is not kept. Repeated rows give repeated results; an empty table gives none; other columns are ignored. There is no shuffle, and a lost
     executor costs its own tasks only.
     """
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_rules, SCHEMA)
 
 
 def op7_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repetition_rules() of all documents."""
     return repetition_rules(documents(spark, sf_dir))
