@@ -7,7 +7,7 @@ are the successors, made monotone by adding the last value of the context before
 range of its context, relative to that value.
 
 Probabilities are smoothed by absolute discounting, interpolated with the lower order, and kept as 16-bit
-steps of 1/STEPS in -log10. Pairs seen fewer than MIN_PAIR times are pruned; their mass goes to the back-off weight of their
+steps of 1/STEPS in -log10. No pair is dropped; where min_pair is set higher, pairs seen fewer times are pruned and their mass goes to the back-off weight of their
 context, so that the probabilities after each context, the unknown word included, sum to 1.
 
 The trie is cut into shards by the first word's hash. Shards are built apart, written to the shared folder, fetched by
@@ -35,7 +35,7 @@ from barspark.llm.textbytes import LOWER, mixed, slices, span_hashes, word_bound
 
 #: The hash that stands for the end of a text, which is also what stands before its first word.
 END = np.uint64(0x5851F42D4C957F2D)
-MIN_PAIR = 2
+MIN_PAIR = 1
 STEPS = 3500  # quantisation: -log10 from 0 to 18.7 in 65,536 steps
 PENDING = 1 << 21
 WORDS_PER_SHARD = 50_000
