@@ -148,9 +148,10 @@ def test_elias_fano_access_and_find(n, top):
     assert (e.find(asked) == np.where(there, place, -1)).all()
 
 
-def test_language_model_equals_a_dictionary_and_sums_to_one(spark, docs):
+@pytest.mark.parametrize("least", [1, 2])
+def test_language_model_equals_a_dictionary_and_sums_to_one(spark, docs, least):
     train = docs.where("doc_id % 10 <> 0")
-    model = ngrams.train(train)
+    model = ngrams.train(train, least)
     rows = ngrams.score(docs, model).collect()
     texts = {r["doc_id"]: words(r["text"]) + [None] for r in docs.collect()}
     c, pairs = Counter(), Counter()
@@ -160,7 +161,7 @@ def test_language_model_equals_a_dictionary_and_sums_to_one(spark, docs):
             pairs.update(zip([None] + w[:-1], w, strict=True))
     n, v = sum(c.values()), len(c)
     d1, d2 = (x[1] / (x[1] + 2 * x[2]) for x in (Counter(c.values()), Counter(pairs.values())))
-    kept = {k: x for k, x in pairs.items() if x > 1}
+    kept = {k: x for k, x in pairs.items() if x >= least}
     mass = Counter()
     for (a, _), x in kept.items():
         mass[a] += x - d2
@@ -310,11 +311,28 @@ def test_longest_repeats_by_hand():
         texts = [draw.integers(0, 3, draw.integers(0, 30)).tolist() for _ in range(4)]
         flat = np.array([x for t in texts for x in t], np.uint64)
         of = np.array([k for k, t in enumerate(texts) for _ in t], np.int64)
-        assert repetition.longest_repeats(flat, of).tolist() == [x for t in texts for x in longest_by_hand(t)]
+        suffixes, shared = repetition.common_prefixes(flat, of)
+        assert repetition.longest_repeats(suffixes, shared).tolist() == [x for t in texts for x in longest_by_hand(t)]
+        lengths, text = repetition.maximal_repeats(flat, of, suffixes, shared, 2)
+        assert sorted(zip(text.tolist(), lengths.tolist(), strict=True)) == sorted((k, len(r)) for k, t in enumerate(texts) for r in maximal_by_hand(t, 2))
+
+
+def maximal_by_hand(w, least):
+    """All stretches of least words or more that occur twice and cannot grow to either side with all their places."""
+    places = {}
+    for i in range(len(w)):
+        for j in range(i + least, len(w) + 1):
+            places.setdefault(tuple(w[i:j]), []).append(i)
+    at = lambda k: w[k] if 0 <= k < len(w) else ("edge", k)
+    return [r for r, p in places.items() if len(p) > 1 and len({at(i - 1) for i in p}) > 1 and len({at(i + len(r)) for i in p}) > 1]
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
 def rules_by_hand(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    w = words_of(text)
     lines, seen = 0, set()
     for line in (text or "").split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", line):
@@ -327,27 +345,76 @@ def rules_by_hand(text):
 
 
 def test_rules_by_hand(docs, odd, none):
-    for frame in (docs, odd):
+    draw = np.random.default_rng(8)
+    loops = [(k, " ".join(draw.choice(["a", "b", "c"], 60))) for k in range(40)] + [(50 + k, " ".join(f"w{x}" for x in draw.integers(0, 60, 300))) for k in range(20)]
+    for frame in (docs, odd, docs.sparkSession.createDataFrame(loops, "doc_id long, text string")):
         texts = {r["doc_id"]: r["text"] for r in frame.collect()}
         for r in repetition.repetition_rules(frame).collect():
             n, *rest = rules_by_hand(texts[r["doc_id"]])
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, *rest)
             assert r["base_failed"] == (n < 20 or 100 * rest[-1] > 30 * n)
-            assert not (r["base_failed"] and r["kept"])
+            w = words_of(texts[r["doc_id"]])
+            if n > 400:
+                continue
+            repeats = maximal_by_hand(w, repetition.MIN_REPEAT)
+            inside = {k for x in repeats for i in range(n - len(x) + 1) if tuple(w[i : i + len(x)]) == x for k in range(i, i + len(x))}
+            longest = max(map(len, repeats), default=0)
+            assert (r["covered_words"], r["longest_repeat"], r["n_maximal"]) == (len(inside), longest, len(repeats))
+            fits = len(inside) <= repetition.MAX_COVERED * n and longest <= repetition.MAX_LONGEST
+            assert r["kept"] == (not r["base_failed"] and fits)
     assert repetition.repetition_rules(none).count() == 0
 
 
 # ------------------------------------------------------------ 8 fingerprints
 
 
+def chunks_by_hand(data):
+    """Chunks by a loop over the bytes with one rolling hash."""
+    out, last, h = [], 0, 0
+    for k, b in enumerate(data):
+        h = (2 * h + int(chunking.GEAR[b])) & 0xFFFFFFFF
+        size = k + 1 - last
+        loose, strict = h & int(chunking.LOOSE) == 0, h & int(chunking.STRICT) == 0
+        if size == chunking.MOST or (strict and size >= chunking.LEAST) or (loose and size >= chunking.NORMAL):
+            out.append(data[last : k + 1])
+            last = k + 1
+    return out + ([data[last:]] if last < len(data) else [])
+
+
+def likeness_by_hand(a, b):
+    if not a or not b:
+        return float(not a and not b)
+    x, y = Counter(), Counter()
+    for part, count in ((a, x), (b, y)):
+        for chunk in part:
+            count[chunk] += len(chunk)
+    return sum(min(x[c], y[c]) for c in x) / min(sum(x.values()), sum(y.values()))
+
+
+def test_an_id_that_fills_blocks_is_parted(spark):
+    rows = [(7, f"text {k} of many") for k in range(300)] + [(7, "the same text again")] * 300 + [(k, f"other {k}") for k in range(20, 320)] + [(None, "x")] * 50
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = chunking._dealt(table.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_at"), chunking._hash().alias("_hash")), 20, 50, 5)
+    sizes = [r["count"] for r in dealt.groupBy("_block").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 250
+    ordered = [tuple(r) for r in dealt.orderBy("_block", F.desc("_at"), F.desc("_hash")).select("_at", "_hash").collect()]
+    assert ordered == sorted(ordered, reverse=True)
+    got = chunking.fingerprints(table, 50, 5)
+    by_hand = [t for _, t in sorted(((-(2**63) if i is None else i, h), t) for i, t, h in table.select("doc_id", "text", chunking._hash()).collect())][::-1]
+    expected = Counter(hashlib.sha256(chunking.edited(a, b).encode()).hexdigest() for a, b in zip(by_hand, by_hand[1:] + by_hand[:1], strict=True))
+    assert Counter(r[0] for r in got.select("edited_sha256").collect()) == expected
+
+
 def test_fingerprints_follow_the_next_document(docs, odd, none):
-    rows = {r["doc_id"]: r for r in chunking.fingerprints(docs, block_rows=17).collect()}
+    rows = {r["doc_id"]: r for r in chunking.fingerprints(docs, block_rows=17, ranges=4).collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     order = sorted(texts, reverse=True)
     for k, i in enumerate(order):
-        new = chunking.edited(texts[i], texts[order[(k + 1) % len(order)]])
+        new = chunking.edited(texts[i] or "", texts[order[(k + 1) % len(order)]] or "")
         assert rows[i]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
-        assert rows[i]["edited_fingerprint"] == chunking.written(chunking.chunk_digests(new.encode()))
+        own, changed, after = (chunks_by_hand(t.encode()) for t in (texts[i] or "", new, texts[order[(k + 1) % len(order)]] or ""))
+        assert rows[i]["n_chunks"] == len(set(own)) and len(rows[i]["edited_fingerprint"].split(",")) == len(set(changed))
+        assert rows[i]["near_edited"] == pytest.approx(likeness_by_hand(own, changed)) and rows[i]["near_next"] == pytest.approx(likeness_by_hand(own, after))
     assert chunking.fingerprints(odd, block_rows=3).count() == 10
     assert chunking.fingerprints(none).count() == 0
 
