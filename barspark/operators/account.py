@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,46 +15,55 @@ from barspark.functions.scalars import CONTRACT_UNITS, SHARE_LOT
 FEE, TAX, LOT_FEE = 0.001425, 0.003, 50.0
 
 
-def _unit(market: str, symbol: str, kind: str | None) -> float:
-    if market == "share":
-        return 1.0 if kind == "odd" else float(SHARE_LOT)
-    return float(CONTRACT_UNITS.get(str(symbol).upper()[:3], 1))
+def _units() -> Column:
+    """What a quantity of 1 stands for: a share for odd lots, a lot of shares, or a future's contract unit."""
+    unit = F.when(F.col("market") == "share", F.when(F.col("kind") == "odd", 1.0).otherwise(float(SHARE_LOT)))
+    for code, size in CONTRACT_UNITS.items():
+        unit = unit.when(F.upper("symbol").startswith(code), float(size))
+    return unit.otherwise(1.0)
 
 
 def history(fills: DataFrame) -> DataFrame:
     """Each fill with fee, pnl and cash_flow, and the quantity, direction and average price of the position after it.
 
     fills has account, symbol, ts, seq, market (share or future), kind, opens, buys, quantity, price. Adding to a position averages its price,
-    opening the other way replaces it; a close without a position only costs its fee, if that. One fold for each account and symbol.
+    opening the other way replaces it; a close without a position only costs its fee, if that. Positions are signed sums: one fold an
+    account and symbol keeps the signed quantity and the average price; all that is money follows from them by columns.
     """
     kinds = {f.name: f.dataType.simpleString() for f in fills.schema.fields}
-    schema = ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", fee double, pnl double, cash_flow double, held long, held_long boolean, average double"
+    schema = ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", _signed long, _average double, _closed long, _basis double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "seq"], kind="stable", ignore_index=True)
-        held, long, average, out = 0, True, 0.0, []
-        for r in pdf.itertuples():
-            unit = _unit(r.market, r.symbol, r.kind)
-            gross, quantity = r.price * unit * r.quantity, int(r.quantity)
-            fee = gross * (FEE if r.buys else FEE + TAX) if r.market == "share" else LOT_FEE * quantity
-            cash = (-(gross + fee) if r.buys else gross - fee) if r.market == "share" else -fee
-            pnl = 0.0
-            if r.opens:
-                if held and long == bool(r.buys):
-                    average = (average * held + r.price * quantity) / (held + quantity)
-                    held += quantity
-                else:
-                    held, long, average = quantity, bool(r.buys), r.price
-            elif held:
-                closed = min(quantity, held)
-                moved = (r.price - average) * (1 if long else -1) * unit * closed
-                pnl = moved - fee
-                cash += moved if r.market == "future" else 0.0
-                held -= closed
-            out.append((round(fee, 2), round(pnl, 2), cash, held, long if held else None, average if held else None))
-        return pd.concat([pdf, pd.DataFrame(out, columns=["fee", "pnl", "cash_flow", "held", "held_long", "average"])], axis=1)
-
-    return fills.groupBy("account", "symbol").applyInPandas(run, schema)
+        signed, average, out = 0, 0.0, []
+        change = np.where(pdf["buys"], 1, -1) * pdf["quantity"].to_numpy(np.int64)
+        for move, opens, price in zip(change.tolist(), pdf["opens"].tolist(), pdf["price"].tolist(), strict=True):
+            basis, closed = average, 0
+            if opens:
+                kept = signed if signed * move > 0 else 0
+                average = (average * kept + price * move) / (kept + move) if move else average
+                signed = kept + move
+            elif signed:
+                closed = min(abs(move), abs(signed)) * (1 if signed > 0 else -1)
+                signed -= closed
+            out.append((signed, average, closed, basis))
+        return pd.concat([pdf, pd.DataFrame(out, columns=["_signed", "_average", "_closed", "_basis"])], axis=1)
+
+    rows = fills.groupBy("account", "symbol").applyInPandas(run, schema).withColumn("_unit", _units())
+    gross = F.col("price") * F.col("_unit") * F.col("quantity")
+    share, side = F.col("market") == "share", F.when(F.col("buys"), -1.0).otherwise(1.0)
+    fee = F.when(share, gross * F.when(F.col("buys"), FEE).otherwise(FEE + TAX)).otherwise(LOT_FEE * F.col("quantity"))
+    moved = (F.col("price") - F.col("_basis")) * F.col("_unit") * F.col("_closed")
+    held = F.col("_signed") != 0
+    return rows.select(
+        *kinds,
+        F.round(fee, 2).alias("fee"),
+        F.when(F.col("_closed") != 0, F.round(moved - fee, 2)).otherwise(0.0).alias("pnl"),
+        (F.when(share, side * gross).otherwise(F.when(F.col("_closed") != 0, moved).otherwise(0.0)) - fee).alias("cash_flow"),
+        F.abs("_signed").alias("held"),
+        F.when(held, F.col("_signed") > 0).alias("held_long"),
+        F.when(held, F.col("_average")).alias("average"),
+    )
 
 
 def positions(rows: DataFrame) -> DataFrame:
@@ -64,10 +74,7 @@ def positions(rows: DataFrame) -> DataFrame:
 
 def equity(rows: DataFrame, marks: DataFrame, initial: float = 1_000_000.0) -> DataFrame:
     """account, cash, realized, unrealized, equity; marks has symbol and mark, a symbol without one is worth its average price."""
-    unit = F.when(F.col("market") == "share", F.when(F.col("kind") == "odd", 1.0).otherwise(float(SHARE_LOT)))
-    for code, size in CONTRACT_UNITS.items():
-        unit = unit.when(F.upper("symbol").startswith(code), float(size))
-    open_ = positions(rows).join(marks, "symbol", "left").withColumn("mark", F.coalesce("mark", "average")).withColumn("unit", unit.otherwise(1.0))
+    open_ = positions(rows).join(marks, "symbol", "left").withColumn("mark", F.coalesce("mark", "average")).withColumn("unit", _units())
     gain = (F.col("mark") - F.col("average")) * F.when(F.col("held_long"), 1).otherwise(-1) * F.col("unit") * F.col("held")
     worth = F.when(F.col("market") == "share", F.col("mark") * F.col("unit") * F.col("held")).otherwise(gain)
     now = open_.groupBy("account").agg(F.sum(gain).alias("unrealized"), F.sum(worth).alias("_worth"))

@@ -61,7 +61,7 @@ def screen(
     max_results: int = 200,
     order: str = "code",
 ) -> DataFrame:
-    """Rows of fundamentals that pass, with matched (names of conditions that hold) and the last bar's ts and close.
+    """Rows of fundamentals that pass, with matched (names and parameters of conditions that hold) and the last bar's ts and close.
 
     The cheap stage comes first: bars of codes that fail it are dropped by a semi-join before any window. The first max_results in input
     order stay, a limit that is part of the screen.
@@ -75,7 +75,8 @@ def screen(
     last = Window.partitionBy("symbol").orderBy(F.desc("ts"))
     rows = rows.withColumns({"_n": F.row_number().over(last), "_bars": F.count("*").over(Window.partitionBy("symbol"))})
     rows = rows.where((F.col("_n") == 1) & (F.col("_bars") >= min_bars) & combined(list(named), logic))
-    matched = F.array_compact(F.array(*(F.when(F.col(c), F.lit(spec[0])) for c, spec in named.items())))
+    told = lambda spec: " ".join([spec[0], *(f"{k}={v}" for k, v in sorted(spec[1].items()))])
+    matched = F.array_compact(F.array(*(F.when(F.col(c), F.lit(told(spec))) for c, spec in named.items())))
     hits = rows.select(F.col("symbol").alias("code"), "ts", F.col("close").alias("last_close"), matched.alias("matched"))
     return kept.join(hits, "code").orderBy(order).limit(max_results)
 
@@ -103,11 +104,14 @@ def picks(bars: DataFrame, technical: Sequence[Spec], days: DataFrame, top: int
     rows = with_conditions(bars, named, ["symbol", "ts"])
     w = Window.partitionBy("symbol").orderBy("ts")
     rows = rows.select("symbol", "ts", combined(list(named), logic).alias("_ok"), F.row_number().over(w).alias("_bars"), F.lead("ts").over(w).alias("_next"))
-    # A bar is the last one known from its day to the day before the next; periods in that span see it.
+    # A bar is the last one known on the signal days from its own to the one before the next bar's: days are numbered, so that the
+    # span is a range of numbers, and each number finds its day by an equality.
     seen = rows.where(F.col("_ok") & (F.col("_bars") >= min_bars))
-    spans = seen.withColumn("_until", F.date_sub(F.coalesce("_next", F.lit("9999-12-31").cast("date")), 1))
-    # The rebalance days are one row a period, the inequality join broadcasts them.
-    hits = spans.join(F.broadcast(days), (F.col("signal_day") >= F.col("ts")) & (F.col("signal_day") <= F.col("_until")))
+    dates = days.agg(F.array_sort(F.collect_list("signal_day")).alias("_days"))  # one date a period
+    first = lambda day: F.size(F.filter("_days", lambda x: x < day))
+    spans = seen.crossJoin(F.broadcast(dates)).withColumns({"_from": first(F.col("ts")), "_to": F.when(F.col("_next").isNull(), F.size("_days")).otherwise(first(F.col("_next")))})
+    spans = spans.where("_from < _to").select("symbol", F.explode(F.slice("_days", F.col("_from") + 1, F.col("_to") - F.col("_from"))).alias("signal_day"))
+    hits = spans.join(F.broadcast(days), "signal_day")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("period").orderBy("symbol"))).where(F.col("rank") <= top)
     price = bars.select("symbol", F.col("ts").alias("_day"), F.coalesce("open", "close").alias("_price"))
     out = ranked.select("period", "symbol", "rank", "signal_day", "entry_day", "exit_day")
@@ -169,8 +173,9 @@ def portfolio_metrics(periods: DataFrame, bars: DataFrame, cash: float = 1_000_0
         F.min("return_pct").alias("worst_period_pct"),
     )
     ends = bars.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    both = bars.join(F.broadcast(ends), (F.col("ts") == F.col("a")) | (F.col("ts") == F.col("b")))
-    held = both.groupBy("symbol").agg(F.max(F.when(F.col("ts") == F.col("a"), F.col("close"))).alias("p"), F.max(F.when(F.col("ts") == F.col("b"), F.col("close"))).alias("q"))
+    edges = bars.groupBy("symbol").agg(F.min_by(F.struct("ts", "close"), "ts").alias("_first"), F.max_by(F.struct("ts", "close"), "ts").alias("_last"))
+    # One row against one row a symbol.
+    held = edges.crossJoin(F.broadcast(ends)).where("_first.ts = a and _last.ts = b").select(F.col("_first.close").alias("p"), F.col("_last.close").alias("q"))
     hold = held.where("p > 0 and q is not null").agg(F.coalesce(F.round(F.avg((F.col("q") / F.col("p") - 1) * 100), 2), F.lit(0.0)).alias("buy_hold_pct"))
     return figures.crossJoin(hold).withColumn("excess_pct", F.round(F.col("total_return_pct") - F.col("buy_hold_pct"), 2))
 

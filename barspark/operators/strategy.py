@@ -131,6 +131,42 @@ EVENT_SCHEMA = (
 )
 
 
+def is_fund_code(symbol: object) -> bool:
+    return str(symbol).startswith("00") and len(str(symbol)) >= 4
+
+
+class _Book:
+    """The events of one replay: fills, closed trades and the equity of each bar."""
+
+    def __init__(self, s: Strategy, ts: list, fund: bool):
+        self.s, self.ts, self.fund, self.events, self.realized = s, ts, fund, [], 0.0
+        self.step = (s.tick or 1.0) * s.slippage_ticks
+
+    def fill(self, i: int, price: float, long: bool, opens: bool, quantity: int) -> float:
+        buys = long == opens
+        at = price + (self.step if buys else -self.step)
+        self.events.append(("fill", i, self.ts[i], None, at, None, "buy" if buys else "sell", quantity, None, None, None, None, None, None, "open" if opens else "close", None))
+        return at
+
+    def close(self, i: int, since: int, entry: float, fill: float, quantity: int, long: bool, reason: str) -> None:
+        s, unit = self.s, self.s.unit
+        gross = (fill - entry) * (1.0 if long else -1.0) * quantity * unit
+        fees = [side_cost(s, self.fund, entry, quantity, not long), side_cost(s, self.fund, fill, quantity, long)]
+        fee, tax = fees[0][0] + fees[1][0], fees[0][1] + fees[1][1]
+        pnl, base = gross - fee - tax, abs(entry) * quantity * unit
+        self.realized += pnl
+        self.events.append(("trade", i, self.ts[i], self.ts[since], entry, fill, "long" if long else "short", quantity, gross, fee, tax, pnl, pnl / base * 100 if base else 0.0, i - since, reason, None))
+
+    def mark(self, i: int, floating: float) -> None:
+        self.events.append(("equity", i, self.ts[i], *[None] * 12, self.realized + floating))
+
+    def settled(self) -> list[tuple]:
+        """The events, with all profit realised in the last bar's equity."""
+        k = max(k for k, e in enumerate(self.events) if e[0] == "equity")
+        self.events[k] = (*self.events[k][:-1], self.realized)
+        return self.events
+
+
 def replay(bars: pd.DataFrame, s: Strategy, fund: bool = False) -> list[tuple]:
     """Events of a strategy over one symbol's bars in order: trade (closed), equity (a bar) and fill (opened or closed).
 
@@ -148,27 +184,11 @@ def replay(bars: pd.DataFrame, s: Strategy, fund: bool = False) -> list[tuple]:
     timed = bool(n and hasattr(ts[0], "hour"))
     minute = [t.hour * 60 + t.minute for t in ts] if timed else [0] * n
     limits = timed and (s.entry_minutes != (None, None) or s.exit_minutes != (None, None) or s.entry_at is not None)
-    long, unit, step = s.direction == "long", s.unit, (s.tick or 1.0) * s.slippage_ticks
-    events: list[tuple] = []
+    long, unit, m = s.direction == "long", s.unit, 1.0 if s.direction == "long" else -1.0
+    book = _Book(s, ts, fund)
     position: tuple[int, float, float] | None = None  # bar, fill, signal price
     lots: list[tuple[int, float, int]] = []
-    realized, carry, period = 0.0, 0.0, None
-
-    def close_lot(i: int, at: int, entry: float, fill: float, quantity: int, reason: str) -> float:
-        m = 1.0 if long else -1.0
-        gross = (fill - entry) * m * quantity * unit
-        fees = [side_cost(s, fund, entry, quantity, not long), side_cost(s, fund, fill, quantity, long)]
-        fee, tax = fees[0][0] + fees[1][0], fees[0][1] + fees[1][1]
-        pnl, base = gross - fee - tax, abs(entry) * quantity * unit
-        events.append(("trade", i, ts[i], ts[at], entry, fill, s.direction, quantity, gross, fee, tax, pnl, pnl / base * 100 if base else 0.0, i - at, reason, None))
-        return pnl
-
-    def filled(i: int, price: float, opens: bool, quantity: int) -> float:
-        buys = long == opens
-        fill = price + (step if buys else -step)
-        events.append(("fill", i, ts[i], None, fill, None, "buy" if buys else "sell", quantity, None, None, None, None, None, None, "open" if opens else "close", None))
-        return fill
-
+    held, paid, carry, period = 0, 0.0, 0.0, None
     for i in range(2, n):
         d = i - 1  # the last closed bar; three are needed to decide
         opens, closes, price, reason, quantity = False, False, eo[i], "", s.quantity
@@ -197,25 +217,22 @@ def replay(bars: pd.DataFrame, s: Strategy, fund: bool = False) -> list[tuple]:
             closes, opens, reason = True, False, f"touch_{hit[1]}"
             price = eo[i] if elsewhere else hit[0]
         if closes and position is not None:
-            fill = filled(i, price, False, s.quantity)
-            realized += close_lot(i, position[0], position[1], fill, s.quantity, reason)
+            book.close(i, position[0], position[1], book.fill(i, price, long, False, s.quantity), s.quantity, long, reason)
             position = None
         elif opens:
-            fill = filled(i, price, True, quantity)
+            fill = book.fill(i, price, long, True, quantity)
             if s.hold:
                 lots.append((i, fill, quantity))
+                held, paid = held + quantity, paid + fill * quantity
             else:
                 position = (i, fill, o[i])
-        m = 1.0 if long else -1.0
-        floating = sum((ec[i] - f) * m * q * unit for _, f, q in lots) if s.hold else (ec[i] - position[1]) * m * s.quantity * unit if position else 0.0
-        events.append(("equity", i, ts[i], None, None, None, None, None, None, None, None, None, None, None, None, realized + floating))
+        # What is held is worth its quantity less what was paid, however many lots it came in.
+        book.mark(i, (ec[i] * held - paid) * m * unit if s.hold else (ec[i] - position[1]) * m * s.quantity * unit if position else 0.0)
     if s.settle and (lots or position is not None):
-        last = ec[n - 1]
         for at, entry, quantity in lots or [(position[0], position[1], s.quantity)]:
-            realized += close_lot(n - 1, at, entry, last, quantity, "settled")
-        k = max(k for k, e in enumerate(events) if e[0] == "equity")
-        events[k] = (*events[k][:-1], realized)
-    return events
+            book.close(n - 1, at, entry, ec[n - 1], quantity, long, "settled")
+        return book.settled()
+    return book.events
 
 
 def signals(bars: DataFrame, s: Strategy) -> DataFrame:
@@ -235,7 +252,7 @@ def backtest(bars: DataFrame, s: Strategy) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", ignore_index=True)
         symbol = pdf["symbol"].iloc[0]
-        events = replay(pdf, s, fund=str(symbol).startswith("00") and len(str(symbol)) >= 4)
+        events = replay(pdf, s, is_fund_code(symbol))
         out = pd.DataFrame(events, columns=EVENT, dtype=object)
         out.insert(0, "symbol", symbol)
         return out
@@ -264,6 +281,7 @@ class Context:
     def __init__(self, bars: pd.DataFrame, params: dict, state: dict):
         self._bars, self._params, self.state = bars, params, state
         self._cache: dict[tuple, pd.Series] = {}
+        self._lines: dict[tuple, list[pd.Series]] = {}
         self.i, self.position, self.entry_price, self.bars_in_position = 0, "flat", 0.0, 0
         self.reads: dict[str, object] = {}
         self.lines: list[str] = []
@@ -298,15 +316,18 @@ class Context:
         return self._series("rsi", n, make=make)
 
     def kd(self, n: int = 9, m1: int = 3, m2: int = 3) -> tuple[pd.Series, pd.Series]:
-        from barspark.functions.scan import kdj
-
-        lines = kdj(self._bars, n, m1, m2)
-        return self._series("k", n, m1, m2, make=lambda: lines[1]), self._series("d", n, m1, m2, make=lambda: lines[2])
+        return self._line("kdj", 1, n, m1, m2), self._line("kdj", 2, n, m1, m2)
 
     def macd(self, f: int = 12, s: int = 26, sig: int = 9) -> tuple[pd.Series, pd.Series, pd.Series]:
-        dif = self._series("dif", f, s, make=lambda: self._bars["close"].ewm(span=f, adjust=False).mean() - self._bars["close"].ewm(span=s, adjust=False).mean())
-        signal = dif.ewm(span=sig, adjust=False).mean()
-        return dif, signal, dif - signal
+        return tuple(self._line("macd", k, f, s, sig) for k in range(3))
+
+    def _line(self, kind: str, k: int, *args: int) -> pd.Series:
+        """A line of a recurrence, computed once for all bars: none of its values hangs on a later bar."""
+        from barspark.functions.scan import Scan, computed
+
+        if (kind, *args) not in self._lines:
+            self._lines[kind, *args] = computed(self._bars, Scan(kind, args))
+        return self._lines[kind, *args][k].iloc[: self.i + 1]
 
     def bb(self, n: int = 20, k: float = 2.0) -> tuple[pd.Series, pd.Series, pd.Series]:
         mid, sd = self.sma(n), self.stddev(n)
@@ -356,7 +377,8 @@ class Context:
         return a is not None and b is not None and bool(a[0] >= b[0] and a[1] < b[1])
 
     def param(self, key: str, default=None):
-        self.reads[key] = value = self._params.get(key, default)
+        value = self._params.get(key, default)
+        self.reads[key] = (value, "given" if key in self._params else "default")
         return value
 
     def log(self, text: str) -> None:
@@ -368,6 +390,8 @@ class Context:
     hold = staticmethod(lambda: "HOLD")
 
 
+#: What user code trades unless told otherwise: one lot a time; its conditions are the code's own.
+CUSTOM = Strategy(entry=(("always_true", {}),), exit=(("always_true", {}),))
 DECISIONS = {"BUY": "BUY", "LONG": "BUY", "SELL": "SELL", "SHORT": "SELL", "CLOSE": "CLOSE", "EXIT": "CLOSE", "HOLD": "HOLD", "": "HOLD"}
 
 
@@ -392,7 +416,7 @@ def run_custom(bars: DataFrame, source: str, params: dict | None = None, s: Stra
 
     A decision against the position closes it and opens the other way; short positions only for futures. Errors hold.
     """
-    s = s or Strategy(entry=(("always_true", {}),), exit=(("always_true", {}),))
+    s = s or CUSTOM
     compile_on_bar(source)
     params = dict(params or {})
     kind = bars.schema["ts"].dataType.simpleString()
@@ -420,3 +444,80 @@ def run_custom(bars: DataFrame, source: str, params: dict | None = None, s: Stra
         return pd.DataFrame(rows, columns=["symbol", "ts", "decision", "actions", "price"], dtype=object)
 
     return bars.groupBy("symbol").applyInPandas(run, f"symbol {bars.schema['symbol'].dataType.simpleString()}, ts {kind}, decision string, actions string, price double")
+
+
+def replay_decisions(bars: pd.DataFrame, on_bar, params: dict, s: Strategy, fund: bool = False) -> list[tuple]:
+    """Events of a user's decisions over one symbol's bars, as replay() gives them: decided on closed bars, filled at the next open.
+
+    A decision against the position closes it and, where the other way can be traded, opens that at the same price. Stops come before
+    decisions. What else is told: `param` events, once each (name, value and whether it was given), and `log` events; an error in the
+    user's code is logged and holds.
+    """
+    n = len(bars)
+    if n < 3:
+        return []
+    ts, o, c = bars["ts"].tolist(), bars["open"].to_numpy(float), bars["close"].to_numpy(float)
+    book, ctx = _Book(s, ts, fund), Context(bars, params, {})
+    position: tuple[int, float, float, bool] | None = None  # bar, fill, signal price, long
+    told = 0
+
+    def leave(i: int, reason: str) -> None:
+        at, entry, _, long = position
+        book.close(i, at, entry, book.fill(i, o[i], long, False, s.quantity), s.quantity, long, reason)
+
+    for i in range(2, n):
+        d = i - 1
+        if d >= 2:
+            ctx.i = d
+            ctx.position = "flat" if position is None else "long" if position[3] else "short"
+            ctx.entry_price, ctx.bars_in_position = (position[1], d - position[0] + 1) if position else (0.0, 0)
+            if position is not None and (why := stopped(s, position[3], position[2], c[d])):
+                leave(i, why)
+                position = None
+            else:
+                try:
+                    decision = decided(on_bar(ctx))
+                except Exception as e:  # a user's error holds, and is told
+                    decision = "HOLD"
+                    ctx.log(repr(e))
+                wanted = {"BUY": True, "SELL": False}.get(decision)
+                if position is not None and (decision == "CLOSE" or (wanted is not None and wanted != position[3])):
+                    leave(i, "signal")
+                    position = None
+                if position is None and wanted is not None and (wanted or s.kind == "future"):
+                    position = (i, book.fill(i, o[i], wanted, True, s.quantity), o[i], wanted)
+            for line in ctx.lines[told:]:
+                book.events.append(("log", d, ts[d], *[None] * 11, line, None))
+            told = len(ctx.lines)
+        book.mark(i, (c[i] - position[1]) * (1.0 if position[3] else -1.0) * s.quantity * s.unit if position else 0.0)
+    for key, (value, origin) in ctx.reads.items():
+        book.events.append(("param", n - 1, ts[-1], *[None] * 11, f"{key}={value} ({origin})", None))
+    if s.settle and position is not None:
+        book.close(n - 1, position[0], position[1], c[-1], s.quantity, position[3], "settled")
+        return book.settled()
+    return book.events
+
+
+def backtest_custom(bars: DataFrame, source: str, params: dict | None = None, s: Strategy | None = None) -> DataFrame:
+    """symbol and the events of a user's on_bar(ctx) on every symbol: trades(), equity() and fills() read them as those of backtest().
+
+    source is trusted code: it runs in the executors' Python, without a sandbox.
+    """
+    s, params = s or CUSTOM, dict(params or {})
+    compile_on_bar(source)
+    wanted = bars.select("symbol", "ts", "open", "high", "low", "close", "volume")
+    schema = f"symbol {bars.schema['symbol'].dataType.simpleString()}, " + EVENT_SCHEMA.format(ts=bars.schema["ts"].dataType.simpleString())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", ignore_index=True)
+        symbol = pdf["symbol"].iloc[0]
+        out = pd.DataFrame(replay_decisions(pdf, compile_on_bar(source), params, s, is_fund_code(symbol)), columns=EVENT, dtype=object)
+        out.insert(0, "symbol", symbol)
+        return out
+
+    return wanted.groupBy("symbol").applyInPandas(run, schema)
+
+
+def parameters(events: DataFrame) -> DataFrame:
+    """parameter and symbols: what the user's code read, its value and whether it was given, and on how many symbols."""
+    return events.where("event = 'param'").groupBy(F.col("reason").alias("parameter")).agg(F.count("*").alias("symbols"))

@@ -15,6 +15,7 @@ from barspark.operators import account, asof, band, levels, metrics, patterns, r
 from barspark.plans.compiler import with_conditions
 from barspark.sources import barstore
 from barspark.sources import tables as T
+from barspark.sources.scratch import folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,16 +48,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-#: Added before rounding to both sides of a comparison where values lie exactly between two steps, which engines round apart.
-OFF_TIES = 3.31273914159e-6
-
-
-def rounded(df: DataFrame, *columns: str, places: int = 4, shift: float = 0.0) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c) + shift, places) for c in columns})
-
-
-def off_ties(sql: str) -> str:
-    return sql.replace(", 4) AS", f" + {OFF_TIES}, 4) AS")
+def rounded(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), places) for c in columns})
 
 
 OHLCV = ("open", "high", "low", "close", "volume")
@@ -133,12 +126,12 @@ def session_regime(spark: SparkSession, d: str) -> DataFrame:
 @query("price_adjust", f"""WITH {BARS}, j AS (SELECT *, CASE WHEN dayofmonth(ts) <= 20 THEN close * (1 - 0.0001::DOUBLE * date_diff('day', ts, DATE '2002-01-01')) / close END AS r FROM bars),
  f AS (SELECT *, coalesce(last_value(r IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts), first_value(r IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS s FROM j),
  l AS (SELECT *, last_value(s) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM f)
- SELECT symbol, ts, {', '.join(f'round({c} * (CASE WHEN z > 0 THEN s / z ELSE s END), 4) AS {c}' for c in OHLCV[:4])}, round(volume / (CASE WHEN z > 0 THEN s / z ELSE s END), 4) AS volume FROM l""")
+ SELECT symbol, ts, {', '.join(f'{c} * (CASE WHEN z > 0 THEN s / z ELSE s END) AS {c}' for c in OHLCV[:4])}, volume / (CASE WHEN z > 0 THEN s / z ELSE s END) AS volume FROM l""")
 def price_adjust(spark: SparkSession, d: str) -> DataFrame:
     bars = T.daily_bars(spark, d)
     fall = 1 - 0.0001 * F.datediff(F.lit("2002-01-01").cast("date"), "ts")
     adjusted = bars.where(F.dayofmonth("ts") <= 20).select("symbol", "ts", (F.col("close") * fall).alias("adj_close"))
-    return rounded(resample.adjusted(bars, adjusted), *OHLCV, shift=OFF_TIES)
+    return resample.adjusted(bars, adjusted)
 
 
 # ---------------------------------------------------------------- store
@@ -220,10 +213,11 @@ MA_PERIODS = (5, 10, 20, 60, 120, 240)
 _WMA = lambda n: f"CASE WHEN count(close) OVER {last(n)} = {n} THEN ({' + '.join(f'{n - k} * lag(close, {k}) OVER {W}' for k in range(n))}) / {n * (n + 1) / 2} END"
 
 
-@query("ind_multi_ma", f"WITH {BARS} SELECT symbol, ts, {', '.join(f'round({full(chr(97) + chr(118) + chr(103), chr(99) + chr(108) + chr(111) + chr(115) + chr(101), n)}, 4) AS sma_{n}' for n in MA_PERIODS)}, round({_WMA(5)}, 4) AS wma_5, round({_WMA(20)}, 4) AS wma_20 FROM bars")
+@query("ind_multi_ma", f"WITH {BARS} SELECT symbol, ts, {', '.join(f'round({full(chr(97) + chr(118) + chr(103), chr(99) + chr(108) + chr(111) + chr(115) + chr(101), n)}, 7) AS sma_{n}' for n in MA_PERIODS)}, round({_WMA(5)}, 7) AS wma_5, round({_WMA(20)}, 7) AS wma_20 FROM bars")
 def ind_multi_ma(spark: SparkSession, d: str) -> DataFrame:
     out = T.daily_bars(spark, d).select("symbol", "ts", *(I.sma("close", n).alias(f"sma_{n}") for n in MA_PERIODS), I.wma("close", 5).alias("wma_5"), I.wma("close", 20).alias("wma_20"))
-    return rounded(out, *out.columns[2:], shift=OFF_TIES)
+    # Averages of so many prices in cents are multiples of fractions none of which lies half way at the seventh place.
+    return rounded(out, *out.columns[2:], places=7)
 
 
 EMA_SQL = f"""WITH RECURSIVE {NUMBERED}, r AS (SELECT symbol, i, ts, close AS e20, close AS e12, close AS e26, 0.0::DOUBLE AS sig FROM n WHERE i = 1
@@ -300,7 +294,15 @@ def jae_signals(bars: DataFrame, band: float = 5.0, eps: float = 0.5, look: int
     return rows.select("symbol", "ts", "a", "j", "e", trend.alias("trend"), cross("j", "a"), cross("a", "e"), cross("j", "e"))
 
 
-@query("ind_jae_trend")
+KD_PART = KD_SQL.removeprefix("WITH RECURSIVE " + BARS + ", ").replace("h AS (", "kh AS (", 1).replace("n AS (", "kn AS (", 1).replace(" FROM h)", " FROM kh)").replace("r AS (", "kr AS (", 1).replace("FROM n WHERE", "FROM kn AS n WHERE").replace("FROM r JOIN n ON", "FROM kr AS r JOIN kn AS n ON")
+JAE_TREND_SQL = JAE_SQL + ", " + KD_PART + f""", l AS (SELECT z.symbol, z.ts, z.i, z.a, z.e, 3 * k - 2 * d AS j FROM z JOIN kr ON kr.symbol = z.symbol AND kr.i = z.i),
+ m AS (SELECT *, e - coalesce(lag(e, 5) OVER {W}, first_value(e IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS slope,
+  lag(a) OVER {W} AS pa, lag(e) OVER {W} AS pe, lag(j) OVER {W} AS pj FROM l)
+ SELECT symbol, ts, round(a, 4) AS a, round(j, 4) AS j, round(e, 4) AS e, CASE WHEN e IS NULL THEN 'flat' WHEN e >= 55 THEN 'up' WHEN e <= 45 THEN 'down' WHEN slope > 0.5 THEN 'up' WHEN slope < -0.5 THEN 'down' ELSE 'flat' END AS trend,
+  """ + ", ".join(f"CAST(CASE WHEN p{x} <= p{y} AND {x} > {y} THEN 1 WHEN p{x} >= p{y} AND {x} < {y} THEN -1 ELSE 0 END AS INTEGER) AS {x}_{y}" for x, y in ("ja", "ae", "je")) + " FROM m"
+
+
+@query("ind_jae_trend", JAE_TREND_SQL)
 def ind_jae_trend(spark: SparkSession, d: str) -> DataFrame:
     return rounded(jae_signals(T.daily_bars(spark, d)), "a", "j", "e")
 
@@ -313,11 +315,20 @@ FLOW = ("foreign_net", "trust_net", "inst_total")
 def with_all_flow(spark: SparkSession, d: str) -> DataFrame:
     """Bars with flow of the day before, the market's margin and the foreign position in futures."""
     bars = asof.with_flow(T.daily_bars(spark, d), T.stock_flow(spark, d), FLOW)
-    return asof.with_market_series(bars, T.market_margin(spark, d), ["margin_balance"]).withColumn("fut_foreign_oi", F.col("foreign_net") - F.col("trust_net"))
+    bars = asof.with_market_series(bars, T.market_margin(spark, d), ["margin_balance"])
+    # The month of events is spread over the years of trades, a day of theirs to 80 of these.
+    futures = T.futures_by_investor(T.futures_flow(spark, d), "purchase").withColumn("ts", F.date_add(F.lit("1995-01-02").cast("date"), F.datediff("ts", F.lit("2024-01-01").cast("date")) * 80))
+    return asof.with_market_series(bars, futures, ["fut_foreign_oi"])
+
 
+def _tests_sql(tests: dict[str, str], source: str) -> str:
+    return f"{source} SELECT symbol, ts, {', '.join(f'coalesce({p}, false) AS {n}' for n, p in tests.items())} FROM q"
 
-def _count_sql(tests: dict[str, str], source: str) -> str:
-    return f"{source} SELECT symbol, {', '.join(f'CAST(sum(CASE WHEN {p} THEN 1 ELSE 0 END) AS BIGINT) AS {n}' for n, p in tests.items())} FROM q GROUP BY symbol"
+
+def _tested(bars: DataFrame, names: list[str], params: dict[str, dict] | None = None) -> DataFrame:
+    """symbol, ts and each condition on every bar."""
+    rows = with_conditions(bars, {n: (n, (params or {}).get(n, {})) for n in names}, ["symbol", "ts"])
+    return rows.select("symbol", "ts", *(F.coalesce(n, F.lit(False)).alias(n) for n in names))
 
 
 def _counted(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -336,7 +347,7 @@ PRICE_SQL_COLUMNS = {
 }
 PRICE_SQL_TESTS = {
     "ma_cross_up": "s5 > s20 AND p_s5 <= p_s20", "ma_cross_down": "s5 < s20 AND p_s5 >= p_s20", "price_break_high": "close > hb", "price_break_low": "close < lb",
-    "price_above": "close > 0", "price_below": "false", "bb_cross_upper": "close > s20 + 2 * sd AND p_close <= p_s20 + 2 * p_sd", "bb_cross_lower": "close < s20 - 2 * sd AND p_close >= p_s20 - 2 * p_sd",
+    "price_above": "close > 2000", "price_below": "close < 1500", "bb_cross_upper": "close > s20 + 2 * sd AND p_close <= p_s20 + 2 * p_sd", "bb_cross_lower": "close < s20 - 2 * sd AND p_close >= p_s20 - 2 * p_sd",
     "rsi_above": "rsi > 70", "rsi_below": "rsi < 30", "price_cross_up_ma": "close > s20 AND p_close <= p_s20", "price_cross_down_ma": "close < s20 AND p_close >= p_s20",
     "price_above_ma": "close > s20", "price_below_ma": "close < s20", "ma_slope_up": "s20 > s20_3", "ma_slope_down": "s20 < s20_3", "ma_align_bull": "s5 > s20 AND s20 > s60", "ma_align_bear": "s5 < s20 AND s20 < s60",
     "volume_above_ma": "i >= 21 AND v20 > 0 AND volume > v20 * 1.5", "volume_below_ma": "i >= 21 AND v20 > 0 AND volume < v20 * 0.7", "consecutive_up": "up3 = 1", "consecutive_down": "dn3 = 1",
@@ -350,26 +361,25 @@ PRICE_SQL = f"""WITH {BARS}, c AS (SELECT *, close - lag(close) OVER {W} AS dc,
 SCANNED = ("kd_cross_up", "kd_cross_down", "kd_above", "kd_below", "kd_cross_up_low", "kd_cross_down_high", "macd_cross_up", "macd_cross_down", "macd_hist_above_zero", "macd_hist_below_zero")
 
 
-@query("cond_price", _count_sql(PRICE_SQL_TESTS, PRICE_SQL))
+@query("cond_price", _tests_sql(PRICE_SQL_TESTS, PRICE_SQL))
 def cond_price(spark: SparkSession, d: str) -> DataFrame:
-    names = list(PRICE_SQL_TESTS)
-    return _counted(with_conditions(T.daily_bars(spark, d), {n: (n, {}) for n in names}, ["symbol"]), names)
+    return _tested(T.daily_bars(spark, d), list(PRICE_SQL_TESTS), {"price_above": {"value": 2000}, "price_below": {"value": 1500}})
 
 
 KD_TESTS = {"kd_cross_up": "k > d AND p_k <= p_d", "kd_cross_down": "k < d AND p_k >= p_d", "kd_above": "k > 80", "kd_below": "k < 20", "kd_cross_up_low": "k > d AND p_k <= p_d AND k < 30", "kd_cross_down_high": "k < d AND p_k >= p_d AND k > 70"}
 
 
-@query("cond_kd", _count_sql(KD_TESTS, KD_SQL + f", q AS (SELECT *, lag(k) OVER {W} AS p_k, lag(d) OVER {W} AS p_d FROM r)"))
+@query("cond_kd", _tests_sql(KD_TESTS, KD_SQL + f", q AS (SELECT *, lag(k) OVER {W} AS p_k, lag(d) OVER {W} AS p_d FROM r)"))
 def cond_kd(spark: SparkSession, d: str) -> DataFrame:
-    return _counted(with_conditions(T.daily_bars(spark, d), {n: (n, {}) for n in KD_TESTS}, ["symbol"]), list(KD_TESTS))
+    return _tested(T.daily_bars(spark, d), list(KD_TESTS))
 
 
 MACD_TESTS = {"macd_cross_up": "dif > sig AND p_dif <= p_sig", "macd_cross_down": "dif < sig AND p_dif >= p_sig", "macd_hist_above_zero": "dif - sig > 0 AND p_dif - p_sig <= 0", "macd_hist_below_zero": "dif - sig < 0 AND p_dif - p_sig >= 0"}
 
 
-@query("cond_macd", _count_sql(MACD_TESTS, EMA_SQL + f", y AS (SELECT symbol, ts, e12 - e26 AS dif, sig FROM r), q AS (SELECT *, lag(dif) OVER {W} AS p_dif, lag(sig) OVER {W} AS p_sig FROM y)"))
+@query("cond_macd", _tests_sql(MACD_TESTS, EMA_SQL + f", y AS (SELECT symbol, ts, e12 - e26 AS dif, sig FROM r), q AS (SELECT *, lag(dif) OVER {W} AS p_dif, lag(sig) OVER {W} AS p_sig FROM y)"))
 def cond_macd(spark: SparkSession, d: str) -> DataFrame:
-    return _counted(with_conditions(T.daily_bars(spark, d), {n: (n, {}) for n in MACD_TESTS}, ["symbol"]), list(MACD_TESTS))
+    return _tested(T.daily_bars(spark, d), list(MACD_TESTS))
 
 
 FLOW_SQL = """flow AS (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS ts,
@@ -380,7 +390,9 @@ MARGIN_SQL = """md AS (SELECT CAST(o_orderdate AS DATE) AS ts, CAST(sum(CASE o_o
  margin AS (SELECT ts, CAST(sum(x) OVER (ORDER BY ts) AS BIGINT) AS margin_balance FROM md)"""
 JOINED_SQL = f"""WITH {BARS}, {FLOW_SQL}, {MARGIN_SQL}, f1 AS (SELECT symbol, ts + 1 AS at, foreign_net, trust_net, foreign_net + trust_net + dealer_net AS inst_total FROM flow),
  b1 AS (SELECT b.*, f1.foreign_net, f1.trust_net, f1.inst_total FROM bars b ASOF LEFT JOIN f1 ON b.symbol = f1.symbol AND b.ts >= f1.at),
- j AS (SELECT b1.*, m.margin_balance, foreign_net - trust_net AS oi FROM b1 ASOF LEFT JOIN (SELECT ts + 1 AS at, margin_balance FROM margin) m ON b1.ts >= m.at)"""
+ fut AS (SELECT CAST(DATE '1995-01-02' + CAST(80 * date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS DATE) + 1 AS at, CAST(sum(floor(value) - 50) FILTER (user_id % 3 = 0) AS BIGINT) AS oi FROM events WHERE event_type = 'purchase' GROUP BY 1),
+ b2 AS (SELECT b1.*, m.margin_balance FROM b1 ASOF LEFT JOIN (SELECT ts + 1 AS at, margin_balance FROM margin) m ON b1.ts >= m.at),
+ j AS (SELECT b2.*, fut.oi FROM b2 ASOF LEFT JOIN fut ON b2.ts >= fut.at)"""
 
 
 @query("asof_flow", JOINED_SQL + " SELECT symbol, ts, foreign_net, trust_net, inst_total, margin_balance FROM j")
@@ -397,10 +409,10 @@ FLOW_TESTS = {
 }
 
 
-@query("cond_flow", _count_sql(FLOW_TESTS, JOINED_SQL + f", k AS (SELECT *, margin_balance - lag(margin_balance) OVER {W} AS dm FROM j), q AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in FLOW_COLUMNS.items())} FROM k)"))
+@query("cond_flow", _tests_sql(FLOW_TESTS, JOINED_SQL + f", k AS (SELECT *, margin_balance - lag(margin_balance) OVER {W} AS dm FROM j), q AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in FLOW_COLUMNS.items())} FROM k)"))
 def cond_flow(spark: SparkSession, d: str) -> DataFrame:
     params = {"chip_inst_buy_over": {"value": 0.05}, "chip_inst_sell_over": {"value": -0.05}}
-    return _counted(with_conditions(with_all_flow(spark, d), {n: (n, params.get(n, {})) for n in FLOW_TESTS}, ["symbol"]), list(FLOW_TESTS))
+    return _tested(with_all_flow(spark, d), list(FLOW_TESTS), params)
 
 
 assert set(PRICE_SQL_TESTS) | set(KD_TESTS) | set(MACD_TESTS) | set(FLOW_TESTS) == set(CONDITIONS)
@@ -430,16 +442,15 @@ def scalar_ticks(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "part").select("p_partkey", F.round(p, 4).alias("price"), S.tick_size(p).alias("tick"), S.round_to_tick(p).alias("aligned"))
 
 
-@query("scalar_costs", """WITH q AS (SELECT o_orderkey, o_totalprice / 1000 AS a, o_totalprice / 1000 * 1.05 AS b, 1 + o_orderkey % 5 AS n, o_custkey % 4 = 0 AS fund FROM orders)
- SELECT o_orderkey, round(greatest(a * n * 1000 * 0.001425, 20) + greatest(b * n * 1000 * 0.001425, 20), 4) AS fee, round(b * n * 1000 * CASE WHEN fund THEN 0.001 ELSE 0.003 END, 4) AS tax,
-  CAST(100 * n AS DOUBLE) AS lot_fee, round((a + b) * n * 200 * 0.00002, 4) AS lot_tax FROM q""")
+@query("scalar_costs", """WITH q AS (SELECT o_orderkey, o_totalprice / 1000 AS a, o_totalprice / 1000 * 1.05::DOUBLE AS b, 1 + o_orderkey % 5 AS n, o_custkey % 4 = 0 AS fund FROM orders)
+ SELECT o_orderkey, greatest(a * n * 1000 * 0.001425::DOUBLE, 20) + greatest(b * n * 1000 * 0.001425::DOUBLE, 20) AS fee, b * n * 1000 * CASE WHEN fund THEN 0.001::DOUBLE ELSE 0.003::DOUBLE END AS tax,
+  CAST(100 * n AS DOUBLE) AS lot_fee, a * n * 200 * 0.00002::DOUBLE + b * n * 200 * 0.00002::DOUBLE AS lot_tax FROM q""")
 def scalar_costs(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("o_totalprice") / 1000
     rows = T.table(spark, d, "orders").select("o_orderkey", a.alias("a"), (a * 1.05).alias("b"), (1 + F.col("o_orderkey") % 5).alias("n"), F.when(F.col("o_custkey") % 4 == 0, "0050").otherwise("2330").alias("code"))
     share = S.round_trip_cost("share", F.col("code"), F.col("a"), F.col("b"), F.col("n"), 1000, F.lit(False))
     future = S.round_trip_cost("future", F.col("code"), F.col("a"), F.col("b"), F.col("n"), 200, F.lit(False))
-    out = rows.select("o_orderkey", share["fee"].alias("fee"), share["tax"].alias("tax"), future["fee"].alias("lot_fee"), future["tax"].alias("lot_tax"))
-    return rounded(out, "fee", "tax", "lot_tax", shift=OFF_TIES)
+    return rows.select("o_orderkey", share["fee"].alias("fee"), share["tax"].alias("tax"), future["fee"].alias("lot_fee"), future["tax"].alias("lot_tax"))
 
 
 @query("scalar_sessions", f"""WITH q AS (SELECT event_id, {MINUTE} AS m, isodow(ts) AS w FROM events) SELECT event_id, CASE WHEN w < 6 AND m BETWEEN 540 AND 810 THEN 'regular' ELSE 'closed' END AS share,
@@ -479,7 +490,7 @@ def screen_fundamental(spark: SparkSession, d: str) -> DataFrame:
 
 @query("screen_technical", f"""WITH {BARS}, {FUND_SQL}, m AS (SELECT symbol, ts, close, {_A(20)} AS s20, {_A(60)} AS s60, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k, count(*) OVER (PARTITION BY symbol) AS b FROM bars),
  t AS (SELECT * FROM m WHERE k = 1 AND b >= 30 AND (close > s20 OR close > s60))
- SELECT code, ts, close AS last_close, CASE WHEN close > s20 AND close > s60 THEN 'price_above_ma,price_above_ma' ELSE 'price_above_ma' END AS matched FROM fund JOIN t ON t.symbol = code WHERE pb <= 3 ORDER BY code LIMIT 200""")
+ SELECT code, ts, close AS last_close, concat_ws(',', CASE WHEN close > s20 THEN 'price_above_ma n=20' END, CASE WHEN close > s60 THEN 'price_above_ma n=60' END) AS matched FROM fund JOIN t ON t.symbol = code WHERE pb <= 3 ORDER BY code LIMIT 200""")
 def screen_technical(spark: SparkSession, d: str) -> DataFrame:
     out = screener.screen(T.fundamentals(spark, d), T.daily_bars(spark, d), [("price_above_ma", {"n": 20}), ("price_above_ma", {"n": 60})], [("pb", "at_most", 3.0)], logic="OR")
     return out.select("code", "ts", "last_close", F.array_join("matched", ",").alias("matched"))
@@ -491,16 +502,33 @@ def _portfolio(spark: SparkSession, d: str) -> DataFrame:
     return screener.portfolio(screener.picks(bars, [("price_above_ma", {"n": 20})], days), days)
 
 
-@query("rebalance_days", f"""WITH {BARS}, a AS (SELECT DISTINCT ts FROM bars), b AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS n, lead(ts) OVER (ORDER BY ts) AS nx, max(ts) OVER () AS la FROM a),
- c AS (SELECT *, row_number() OVER (ORDER BY n) AS period, coalesce(lead(nx) OVER (ORDER BY n), la) AS ex FROM b WHERE n >= 60 AND (n - 60) % 20 = 0) SELECT CAST(period AS INTEGER) AS period, ts AS signal_day, nx AS entry_day, ex AS exit_day FROM c WHERE nx IS NOT NULL AND ex > nx""")
+DAYS_SQL = f"""{BARS}, a AS (SELECT DISTINCT ts FROM bars), b AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS n, lead(ts) OVER (ORDER BY ts) AS nx, max(ts) OVER () AS la FROM a),
+ c AS (SELECT *, row_number() OVER (ORDER BY n) AS period, coalesce(lead(nx) OVER (ORDER BY n), la) AS ex FROM b WHERE n >= 60 AND (n - 60) % 20 = 0), days AS (SELECT CAST(period AS INTEGER) AS period, ts AS signal_day, nx AS entry_day, ex AS exit_day FROM c WHERE nx IS NOT NULL AND ex > nx)"""
+
+
+@query("rebalance_days", f"WITH {DAYS_SQL} SELECT * FROM days")
 def rebalance_days(spark: SparkSession, d: str) -> DataFrame:
     return screener.rebalance_days(T.daily_bars(spark, d))
 
 
-query("portfolio_periods")(_portfolio)
+_FEE = "CASE WHEN {0} * lots * 1000 > 0 THEN greatest({0} * lots * 1000 * 0.001425::DOUBLE, 20) ELSE 0 END"
+PORTFOLIO_SQL = f"""WITH RECURSIVE {DAYS_SQL}, m AS (SELECT symbol, ts, close > {_A(20)} AS ok, row_number() OVER {W} AS nb, lead(ts) OVER {W} AS nxt FROM bars),
+ hit AS (SELECT d.*, m.symbol, row_number() OVER (PARTITION BY d.period ORDER BY m.symbol) AS rank FROM days d JOIN m ON m.ts <= signal_day AND (nxt IS NULL OR nxt > signal_day) WHERE ok AND nb >= 60),
+ pk AS (SELECT period, count(*) AS n, list({{'buy': x.open, 'sell': y.open}} ORDER BY rank) FILTER (x.open > 0 AND y.open IS NOT NULL) AS held FROM hit LEFT JOIN bars x ON x.symbol = hit.symbol AND x.ts = entry_day LEFT JOIN bars y ON y.symbol = hit.symbol AND y.ts = exit_day WHERE rank <= 10 GROUP BY period),
+ s AS (SELECT days.*, coalesce(n, 0) AS n, coalesce(held, []) AS held, row_number() OVER (ORDER BY days.period) AS k FROM days LEFT JOIN pk USING (period)),
+ r AS (SELECT 0::BIGINT AS k, 1000000::DOUBLE AS base, 1000000::DOUBLE AS money, [0::DOUBLE] AS pnl
+  UNION ALL SELECT k, money, money + coalesce(list_sum(pnl), 0), pnl FROM (SELECT s.k, r.money, list_transform(list_filter(list_transform(s.held, lambda h: {{'h': h, 'q': floor(r.money / s.n / h.buy)}}), lambda z: z.q > 0),
+   lambda z: (z.h.sell - z.h.buy) * z.q - ({_FEE.format('z.h.buy')} + {_FEE.format('z.h.sell')} + z.h.sell * lots * 1000 * 0.003::DOUBLE)) AS pnl FROM r JOIN s ON s.k = r.k + 1)),
+ o AS (SELECT period, signal_day, entry_day, exit_day, n AS picks, len(r.pnl) AS trades, len(list_filter(r.pnl, lambda x: round(x, 2) > 0)) AS wins, round(coalesce(list_sum(r.pnl), 0), 2) AS pnl, round(coalesce(list_sum(r.pnl), 0) / base * 100, 2) AS return_pct, round(money, 2) AS equity FROM s JOIN r USING (k))""".replace("lots", "floor(z.q / 1000)")
 
+query("portfolio_periods", PORTFOLIO_SQL + " SELECT * FROM o")(_portfolio)
 
-@query("portfolio_metrics")
+
+@query("portfolio_metrics", PORTFOLIO_SQL + """, w AS (SELECT *, greatest(1000000, max(equity) OVER (ORDER BY period)) AS peak FROM o), g AS (SELECT min(ts) AS a, max(ts) AS b FROM bars),
+ h AS (SELECT coalesce(round(avg((y.close / x.close - 1) * 100), 2), 0) AS hold FROM g JOIN bars x ON x.ts = g.a JOIN bars y ON y.ts = g.b AND y.symbol = x.symbol WHERE x.close > 0),
+ f AS (SELECT count(*) AS periods, round(sum(pnl), 2) AS total_pnl, round(sum(pnl) / 1000000 * 100, 2) AS total_return_pct, coalesce(round(sum(wins) / sum(trades) * 100, 2), 0) AS win_rate, round(max((peak - equity) / peak * 100), 2) AS max_drawdown_pct, CAST(sum(trades) AS BIGINT) AS trades,
+  round(avg(picks), 1) AS avg_picks, round(avg(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) * 100, 2) AS period_win_rate, max(return_pct) AS best_period_pct, min(return_pct) AS worst_period_pct FROM w)
+ SELECT f.*, hold AS buy_hold_pct, round(total_return_pct - hold, 2) AS excess_pct FROM f, h""")
 def portfolio_metrics(spark: SparkSession, d: str) -> DataFrame:
     return screener.portfolio_metrics(_portfolio(spark, d), T.daily_bars(spark, d))
 
@@ -508,37 +536,74 @@ def portfolio_metrics(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- strategies
 
 CROSSING = strategy.Strategy(entry=(("ma_cross_up", {"fast": 5, "slow": 20}),), exit=(("ma_cross_down", {"fast": 5, "slow": 20}),), stop_pct=8.0, take_pct=15.0)
-CROSSING_SQL = f"""WITH RECURSIVE {BARS}, m AS (SELECT *, {_A(5)} AS f, {_A(20)} AS s, row_number() OVER {W} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
- p AS (SELECT *, coalesce({_up('f', 's')}, false) AS en, coalesce(lag(f) OVER {W} >= lag(s) OVER {W} AND f < s, false) AS ex FROM m),
- q AS (SELECT *, lag(en) OVER {W} AS den, lag(ex) OVER {W} AS dex, lag(close) OVER {W} AS dc FROM p),
- r AS (SELECT symbol, i, CAST(NULL AS DOUBLE) AS ep, CAST(NULL AS DATE) AS et, CAST(NULL AS BIGINT) AS ei, CAST(NULL AS DOUBLE) AS xe, CAST(NULL AS DATE) AS xet, CAST(NULL AS BIGINT) AS xi, CAST(NULL AS DOUBLE) AS xp, CAST(NULL AS VARCHAR) AS why FROM q WHERE i = 2
-  UNION ALL SELECT symbol, i, CASE WHEN ep IS NULL AND den THEN open WHEN why IS NOT NULL THEN NULL ELSE ep END, CASE WHEN ep IS NULL AND den THEN ts WHEN why IS NOT NULL THEN NULL ELSE et END,
+RW = "(PARTITION BY run, symbol ORDER BY ts)"
+SHARE_COSTS = "greatest(abs(entry_price) * quantity * 1000 * 0.001425::DOUBLE, 20) + greatest(abs(exit_price) * quantity * 1000 * 0.001425::DOUBLE, 20) AS fee, abs(exit_price) * quantity * 1000 * 0.003::DOUBLE AS tax"
+
+
+def averages_sql(runs: list[tuple[int, int]], source: str = "bars") -> str:
+    """m: bars of each run with its two averages."""
+    parts = (f"SELECT {k} AS run, symbol, ts, open, close, {full('avg', 'close', a)} AS f, {full('avg', 'close', b)} AS s FROM {source.format(run=k)}" for k, (a, b) in enumerate(runs))
+    return f"m AS ({' UNION ALL '.join(parts)})"
+
+
+def crossing_sql(source: str, stop: float = 0, take: float = 0) -> str:
+    """c: the trades of crossings in each run and symbol of m, and e: their equity. A position is (entry price, time, number)."""
+    why = "".join(f" WHEN (q.dc - r.ep) / r.ep * 100 {op} {x} THEN '{name}'" for op, x, name in (("<=", -stop, "stop_pct"), (">=", take, "take_pct")) if x)
+    return f"""WITH RECURSIVE {source}, m1 AS (SELECT *, row_number() OVER {RW} - 1 AS i, count(*) OVER (PARTITION BY run, symbol) AS n FROM m),
+ p AS (SELECT *, coalesce(lag(f) OVER {RW} <= lag(s) OVER {RW} AND f > s, false) AS en, coalesce(lag(f) OVER {RW} >= lag(s) OVER {RW} AND f < s, false) AS ex FROM m1),
+ q AS (SELECT *, lag(en) OVER {RW} AS den, lag(ex) OVER {RW} AS dex, lag(close) OVER {RW} AS dc FROM p),
+ r AS (SELECT run, symbol, i, CAST(NULL AS DOUBLE) AS ep, CAST(NULL AS DATE) AS et, CAST(NULL AS BIGINT) AS ei, CAST(NULL AS DOUBLE) AS xe, CAST(NULL AS DATE) AS xet, CAST(NULL AS BIGINT) AS xi, CAST(NULL AS DOUBLE) AS xp, CAST(NULL AS VARCHAR) AS why FROM q WHERE i = 2 AND n > 2
+  UNION ALL SELECT run, symbol, i, CASE WHEN ep IS NULL AND den THEN open WHEN why IS NOT NULL THEN NULL ELSE ep END, CASE WHEN ep IS NULL AND den THEN ts WHEN why IS NOT NULL THEN NULL ELSE et END,
    CASE WHEN ep IS NULL AND den THEN i WHEN why IS NOT NULL THEN NULL ELSE ei END, CASE WHEN why IS NOT NULL THEN ep END, CASE WHEN why IS NOT NULL THEN et END, CASE WHEN why IS NOT NULL THEN ei END, CASE WHEN why IS NOT NULL THEN open END, why FROM (
-   SELECT q.*, r.ep, r.et, r.ei, CASE WHEN r.ep IS NULL THEN NULL WHEN (q.dc - r.ep) / r.ep * 100 <= -8 THEN 'stop_pct' WHEN (q.dc - r.ep) / r.ep * 100 >= 15 THEN 'take_pct' WHEN q.dex THEN 'signal' END AS why
-   FROM r JOIN q ON q.symbol = r.symbol AND q.i = r.i + 1)),
- t AS (SELECT symbol, xet AS entry_ts, xe AS entry_price, i AS j, xp AS exit_price, i - xi AS bars_held, why FROM r WHERE why IS NOT NULL
-  UNION ALL SELECT r.symbol, r.et, r.ep, r.i, q.close, r.i - r.ei, 'settled' FROM r JOIN q ON q.symbol = r.symbol AND q.i = r.i WHERE r.i = q.n - 1 AND r.ep IS NOT NULL),
- c AS (SELECT t.*, q.ts AS exit_ts, (exit_price - entry_price) * 1000 AS gross, greatest(entry_price * 1.425, 20) + greatest(exit_price * 1.425, 20) AS fee, exit_price * 3 AS tax FROM t JOIN q ON q.symbol = t.symbol AND q.i = t.j)"""
+   SELECT q.*, r.ep, r.et, r.ei, CASE WHEN r.ep IS NULL THEN NULL{why} WHEN q.dex THEN 'signal' END AS why
+   FROM r JOIN q ON q.run = r.run AND q.symbol = r.symbol AND q.i = r.i + 1)),
+ t AS (SELECT run, symbol, xet AS entry_ts, xe AS entry_price, i AS j, xp AS exit_price, i - xi AS bars_held, why FROM r WHERE why IS NOT NULL
+  UNION ALL SELECT r.run, r.symbol, r.et, r.ep, r.i, q.close, r.i - r.ei, 'settled' FROM r JOIN q ON q.run = r.run AND q.symbol = r.symbol AND q.i = r.i WHERE r.i = q.n - 1 AND r.ep IS NOT NULL),
+ c0 AS (SELECT t.*, q.ts AS exit_ts, 1 AS quantity, (exit_price - entry_price) * 1 * 1000 AS gross FROM t JOIN q ON q.run = t.run AND q.symbol = t.symbol AND q.i = t.j), c1 AS (SELECT *, {SHARE_COSTS} FROM c0), c AS (SELECT *, gross - fee - tax AS pnl FROM c1),
+ e AS (SELECT r.run, r.symbol, r.i, q.ts, q.n, coalesce(sum(g.pnl) OVER (PARTITION BY r.run, r.symbol ORDER BY r.i), 0) + CASE WHEN r.ep IS NOT NULL AND r.i < q.n - 1 THEN (q.close - r.ep) * 1000 ELSE 0 END AS equity
+  FROM r JOIN q ON q.run = r.run AND q.symbol = r.symbol AND q.i = r.i LEFT JOIN (SELECT run, symbol, j, sum(pnl) AS pnl FROM c GROUP BY ALL) g ON g.run = r.run AND g.symbol = r.symbol AND g.j = r.i),
+ e1 AS (SELECT *, max(equity) OVER (PARTITION BY run, symbol ORDER BY i) - equity AS fall, equity - lag(equity) OVER (PARTITION BY run, symbol ORDER BY i) AS d FROM e),
+ years AS (SELECT run, symbol, greatest(date_diff('day', min(ts), max(ts)), 1) / 365.0::DOUBLE AS years FROM m GROUP BY ALL),
+ curve AS (SELECT e1.run, e1.symbol, any_value(years) AS years, max(fall) AS max_drawdown, CASE WHEN count(d) > 2 AND stddev_pop(d) > 1e-12 THEN avg(d) / stddev_pop(d) * sqrt(count(*) / any_value(years)) ELSE 0 END AS sharpe FROM e1 JOIN years USING (run, symbol) GROUP BY e1.run, e1.symbol)"""
 
 
-@query("backtest_trades", CROSSING_SQL + " SELECT symbol, entry_ts, entry_price, exit_ts, exit_price, CAST(bars_held AS BIGINT) AS bars_held, why AS exit_reason, round(gross - fee - tax, 4) AS pnl FROM c")
+CROSSING_SQL = crossing_sql(f"{BARS}, {averages_sql([(5, 20)])}", 8, 15)
+
+
+@query("backtest_trades", CROSSING_SQL + " SELECT symbol, entry_ts, entry_price, exit_ts, exit_price, CAST(bars_held AS BIGINT) AS bars_held, why AS exit_reason, pnl FROM c")
 def backtest_trades(spark: SparkSession, d: str) -> DataFrame:
     rows = strategy.trades(strategy.backtest(T.daily_bars(spark, d), CROSSING))
-    return rounded(rows.select("symbol", "entry_ts", "entry_price", "exit_ts", "exit_price", "bars_held", "exit_reason", "pnl"), "pnl", shift=OFF_TIES)
+    return rows.select("symbol", "entry_ts", "entry_price", "exit_ts", "exit_price", "bars_held", "exit_reason", "pnl")
 
 
 def _figures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     bars = T.daily_bars(spark, d)
-    events = strategy.backtest(bars, CROSSING).cache()
+    events = written(strategy.backtest(bars, CROSSING), "events")
     trades = strategy.trades(events)
     return trades, metrics.metrics(trades, strategy.equity(events), bars, CROSSING.unit)
 
 
-@query("backtest_metrics", CROSSING_SQL + """ SELECT symbol, count(*) AS trades, count(*) FILTER (gross - fee - tax > 0) AS wins, round(sum(gross - fee - tax), 2) AS total_pnl, round(sum(fee + tax), 2) AS total_cost,
- round(count(*) FILTER (gross - fee - tax > 0) / count(*) * 100, 4) AS win_rate, round(avg(gross - fee - tax), 2) AS expectancy, CAST(max(bars_held) AS BIGINT) AS max_bars_held FROM c GROUP BY symbol""")
+METRICS_SQL = CROSSING_SQL + """, w AS (SELECT *, sign(pnl) AS sg FROM c), w1 AS (SELECT *, CASE WHEN sg IS DISTINCT FROM lag(sg) OVER (PARTITION BY symbol ORDER BY exit_ts, entry_ts) THEN 1 ELSE 0 END AS fresh FROM w),
+ w2 AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY exit_ts, entry_ts) AS streak FROM w1), w3 AS (SELECT symbol, streak, any_value(sg) AS sg, count(*) AS k, sum(pnl) AS x FROM w2 GROUP BY 1, 2),
+ st AS (SELECT symbol, coalesce(max(k) FILTER (sg > 0), 0) AS max_consec_wins, coalesce(max(k) FILTER (sg < 0), 0) AS max_consec_losses, coalesce(max(x) FILTER (sg > 0), 0) AS max_consec_win_amount, coalesce(min(x) FILTER (sg < 0), 0) AS max_consec_loss_amount FROM w3 GROUP BY symbol),
+ b AS (SELECT symbol, count(*) AS nb, arg_max(close, ts) AS z, max(close) FILTER (i = 2) AS a FROM m1 GROUP BY symbol),
+ f AS (SELECT symbol, count(*) AS trades, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses, sum(pnl) AS total_pnl, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS gross_profit, coalesce(-sum(pnl) FILTER (pnl < 0), 0) AS gross_loss, sum(gross) AS gross_pnl,
+  sum(fee) AS total_fee, sum(tax) AS total_tax, max(pnl) AS best_trade, min(pnl) AS worst_trade, CAST(max(bars_held) AS BIGINT) AS max_bars_held, sum(bars_held) AS held, max(abs(entry_price) * 1 * 1000) AS cost_basis_max, avg(abs(entry_price) * 1 * 1000) AS base FROM c GROUP BY symbol)"""
+WHOLE_METRICS = ("trades", "wins", "losses", "max_consec_wins", "max_consec_losses", "max_bars_held")
+MONEY_METRICS = ("total_pnl", "gross_profit", "gross_loss", "gross_pnl", "total_fee", "total_tax", "best_trade", "worst_trade", "max_consec_win_amount", "max_consec_loss_amount", "max_drawdown", "cost_basis_max", "buy_hold_pnl", "expectancy", "avg_win", "avg_loss")
+RATIO_METRICS = ("profit_factor", "sharpe", "total_return_pct", "ann_return_pct", "exposure_pct", "buy_hold_pct", "win_loss_ratio", "years", "win_rate", "avg_bars_held")
+DERIVED_SQL = {
+    "buy_hold_pnl": "(z - a) * 1 * 1000", "expectancy": "total_pnl / trades", "avg_win": "CASE WHEN wins > 0 THEN gross_profit / wins ELSE 0 END", "avg_loss": "CASE WHEN losses > 0 THEN -gross_loss / losses ELSE 0 END",
+    "profit_factor": "CASE WHEN gross_loss > 0 THEN gross_profit / gross_loss WHEN gross_profit > 0 THEN 'inf'::DOUBLE ELSE 0 END", "total_return_pct": "total_pnl / base * 100", "ann_return_pct": "total_pnl / base * 100 / years",
+    "exposure_pct": "held / nb * 100", "buy_hold_pct": "(z - a) / a * 100", "win_loss_ratio": "CASE WHEN losses > 0 AND gross_loss > 0 THEN CASE WHEN wins > 0 THEN gross_profit / wins ELSE 0 END / (gross_loss / losses) WHEN wins > 0 THEN 'inf'::DOUBLE ELSE 0 END",
+    "win_rate": "wins / trades * 100", "avg_bars_held": "held / trades",
+}
+
+
+@query("backtest_metrics", METRICS_SQL + " SELECT symbol, " + ", ".join([f"{c}" for c in WHOLE_METRICS] + [f"round({DERIVED_SQL.get(c, c)}, 2) AS {c}" for c in MONEY_METRICS] + [f"round({DERIVED_SQL.get(c, c)}, 5) AS {c}" for c in RATIO_METRICS]) + " FROM f JOIN st USING (symbol) JOIN b USING (symbol) JOIN curve USING (symbol)")
 def backtest_metrics(spark: SparkSession, d: str) -> DataFrame:
     f = _figures(spark, d)[1]
-    return f.select("symbol", "trades", "wins", *(F.round(c, 2).alias(c) for c in ("total_pnl", "total_cost")), F.round("win_rate", 4).alias("win_rate"), F.round("expectancy", 2).alias("expectancy"), "max_bars_held")
+    return f.select("symbol", *WHOLE_METRICS, *(F.round(c, 2).alias(c) for c in MONEY_METRICS), *(F.round(c, 5).alias(c) for c in RATIO_METRICS))
 
 
 @query("backtest_all_metrics")
@@ -546,24 +611,63 @@ def backtest_all_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _figures(spark, d)[1]
 
 
-@query("backtest_audit", CROSSING_SQL + " SELECT DISTINCT symbol, " + ", ".join(f"true AS {c}" for c in ("sum_of_trades", "number_of_trades", "wins_and_losses", "rate_of_wins", "gain_over_loss", "losing_streak", "drawdown_over_worst", "direction_of_gains", "exit_after_entry", "bars_not_negative")) + " FROM c")
+#: Faults that the audit must find: what is changed in the figures of which symbols, and the check that fails there.
+TAMPERED = {
+    "sum_of_trades": ("total_pnl", "total_pnl + 1", "symbol % 2 = 0"), "number_of_trades": ("trades", "trades + 1", "symbol % 3 = 0"), "wins_and_losses": ("wins", "wins - 1", "symbol % 4 = 1"), "rate_of_wins": ("win_rate", "win_rate + 0.2", "symbol % 5 = 0"),
+    "losing_streak": ("max_consec_loss_amount", "max_consec_loss_amount - 0.5", "symbol % 6 = 1"), "drawdown_over_worst": ("max_drawdown", "-1D", "symbol % 7 = 0"),
+}
+AUDIT_SQL = METRICS_SQL + """, l AS (SELECT symbol, coalesce(-min(pnl) FILTER (pnl < 0), 0) AS worst, count(*) FILTER (exit_price < entry_price AND pnl > 0) AS odd, count(*) FILTER (exit_ts < entry_ts) AS late, count(*) FILTER (bars_held < 0) AS held_wrong FROM c GROUP BY symbol)
+ SELECT f.symbol, """ + ", ".join(f"NOT ({where.replace('symbol', 'f.symbol')}) AS {c}" for c, (_, _, where) in TAMPERED.items() if c != "drawdown_over_worst") + """, CASE WHEN f.symbol % 7 = 0 THEN -1 ELSE max_drawdown END + 0.01 >= worst AS drawdown_over_worst,
+  NOT (gross_loss > 0 AND f.symbol % 8 = 3) AS gain_over_loss, odd = 0 AS direction_of_gains, late = 0 AS exit_after_entry, held_wrong = 0 AS bars_not_negative FROM f JOIN l ON l.symbol = f.symbol JOIN curve ON curve.symbol = f.symbol"""
+
+
+@query("backtest_audit", AUDIT_SQL)
 def backtest_audit(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.audit(*_figures(spark, d))
+    trades, figures = _figures(spark, d)
+    for column, value, where in (*TAMPERED.values(), ("profit_factor", "profit_factor + 0.5", "symbol % 8 = 3")):
+        figures = figures.withColumn(column, F.when(F.expr(where), F.expr(value)).otherwise(F.col(column)))
+    return metrics.audit(trades, figures)
+
+
+HOLD_SQL = f"""WITH RECURSIVE {BARS}, m AS (SELECT *, close > {_A(20)} AS ok, row_number() OVER {W} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, arg_max(close, ts) OVER (PARTITION BY symbol) AS z FROM bars),
+ q AS (SELECT symbol, ts, open, i, z, lag(close) OVER {W} AS dc, date_trunc('month', lag(ts) OVER {W}) AS mo, coalesce(lag(ok) OVER {W}, false) AS due FROM m), d AS (SELECT *, row_number() OVER {W} AS k FROM q WHERE i >= 3 AND due)"""
+HOLD_LOTS = {
+    "single": ", lots AS (SELECT symbol, ts, open, z, 1 AS quantity FROM d WHERE k = 1)",
+    "accumulate": ", lots AS (SELECT symbol, ts, open, z, 1 AS quantity FROM d)",
+    "dca": """, f AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS j FROM (SELECT *, row_number() OVER (PARTITION BY symbol, mo ORDER BY ts) AS first FROM d) WHERE first = 1),
+ a AS (SELECT symbol, j, ts, open, z, floor(3000000 / (dc * 1000)) AS quantity, 3000000 - floor(3000000 / (dc * 1000)) * (dc * 1000) AS carry FROM f WHERE j = 1
+  UNION ALL SELECT f.symbol, f.j, f.ts, f.open, f.z, floor((a.carry + 3000000) / (f.dc * 1000)), (a.carry + 3000000) - floor((a.carry + 3000000) / (f.dc * 1000)) * (f.dc * 1000) FROM a JOIN f ON f.symbol = a.symbol AND f.j = a.j + 1),
+ lots AS (SELECT symbol, ts, open, z, quantity FROM a WHERE quantity > 0)""",
+}
+HOLD_END = f""", c0 AS (SELECT symbol, ts AS entry_ts, open AS entry_price, z AS exit_price, quantity, (z - open) * quantity * 1000 AS gross FROM lots), c AS (SELECT *, {SHARE_COSTS} FROM c0)
+ SELECT symbol, entry_ts, entry_price, CAST(quantity AS BIGINT) AS quantity, gross - fee - tax AS pnl FROM c"""
 
 
 def _hold(mode: str) -> Query:
     s = strategy.Strategy(entry=(("price_above_ma", {"n": 20}),), hold=mode, dca_amount=3_000_000.0)
-    return lambda spark, d: rounded(strategy.trades(strategy.backtest(T.daily_bars(spark, d), s)).select("symbol", "entry_ts", "entry_price", "quantity", "pnl"), "entry_price", "pnl")
+    return lambda spark, d: strategy.trades(strategy.backtest(T.daily_bars(spark, d), s)).select("symbol", "entry_ts", "entry_price", "quantity", "pnl")
 
 
 for _mode in ("single", "accumulate", "dca"):
-    query(f"backtest_hold_{_mode}")(_hold(_mode))
+    query(f"backtest_hold_{_mode}", HOLD_SQL + HOLD_LOTS[_mode] + HOLD_END)(_hold(_mode))
 
 
-@query("backtest_touch")
+TOUCH_SQL = f"""WITH RECURSIVE {BARS}, m AS (SELECT *, coalesce(close > {full('max', 'high', 10, 1)}, false) AS en, coalesce(CASE WHEN count(*) OVER {last(3)} = 3 THEN max(CASE WHEN close < open THEN 0 ELSE 1 END) OVER {last(3)} = 0 END, false) AS ex, row_number() OVER {W} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
+ q AS (SELECT *, lag(en) OVER {W} AS den, lag(ex) OVER {W} AS dex, lag(close) OVER {W} AS dc FROM m),
+ r AS (SELECT symbol, i, CAST(NULL AS DOUBLE) AS sp, CAST(NULL AS DATE) AS et, CAST(NULL AS BIGINT) AS ei, CAST(NULL AS DOUBLE) AS xe, CAST(NULL AS DATE) AS xet, CAST(NULL AS BIGINT) AS xi, CAST(NULL AS DOUBLE) AS xp, CAST(NULL AS VARCHAR) AS why FROM q WHERE i = 2
+  UNION ALL SELECT symbol, i, CASE WHEN sp IS NULL AND den THEN open WHEN why IS NULL THEN sp END, CASE WHEN sp IS NULL AND den THEN ts WHEN why IS NULL THEN et END, CASE WHEN sp IS NULL AND den THEN i WHEN why IS NULL THEN ei END,
+   CASE WHEN why IS NOT NULL THEN sp END, CASE WHEN why IS NOT NULL THEN et END, CASE WHEN why IS NOT NULL THEN ei END, CASE why WHEN 'touch_stop' THEN least(open, sp - 60) WHEN 'touch_take' THEN greatest(open, sp + sp * 6 / 100) ELSE CASE WHEN why IS NOT NULL THEN open END END, why FROM (
+   SELECT q.*, r.sp, r.et, r.ei, CASE WHEN r.sp IS NULL THEN NULL WHEN q.dc - r.sp <= -60 THEN 'stop_abs' WHEN (q.dc - r.sp) / r.sp * 100 >= 6 THEN 'take_pct' WHEN q.dex THEN 'signal' WHEN q.low <= r.sp - 60 THEN 'touch_stop' WHEN q.high >= r.sp + r.sp * 6 / 100 THEN 'touch_take' END AS why
+   FROM r JOIN q ON q.symbol = r.symbol AND q.i = r.i + 1)),
+ t AS (SELECT symbol, xet AS entry_ts, xe + 1 AS entry_price, i AS j, xp - 1 AS exit_price, i - xi AS bars_held, why FROM r WHERE why IS NOT NULL UNION ALL SELECT r.symbol, r.et, r.sp + 1, r.i, q.close, r.i - r.ei, 'settled' FROM r JOIN q ON q.symbol = r.symbol AND q.i = r.i WHERE r.i = q.n - 1 AND r.sp IS NOT NULL),
+ c AS (SELECT t.*, q.ts AS exit_ts, (exit_price - entry_price) * 1 * 10 AS gross, 100.0::DOUBLE AS fee, abs(entry_price) * 1 * 10 * 0.00002::DOUBLE + abs(exit_price) * 1 * 10 * 0.00002::DOUBLE AS tax FROM t JOIN q ON q.symbol = t.symbol AND q.i = t.j)
+ SELECT symbol, entry_ts, entry_price, exit_ts, exit_price, 'long' AS direction, CAST(1 AS BIGINT) AS quantity, gross, fee, tax, gross - fee - tax AS pnl, (gross - fee - tax) / (abs(entry_price) * 1 * 10) * 100 AS pnl_pct, CAST(bars_held AS BIGINT) AS bars_held, why AS exit_reason FROM c"""
+
+
+@query("backtest_touch", TOUCH_SQL)
 def backtest_touch(spark: SparkSession, d: str) -> DataFrame:
     s = strategy.Strategy(entry=(("price_break_high", {"n": 10}),), exit=(("consecutive_down", {"n": 3}),), kind="future", product="TMF", stop_abs=60.0, take_pct=6.0, slippage_ticks=1.0)
-    return rounded(strategy.trades(strategy.backtest(T.daily_bars(spark, d), s)), "entry_price", "exit_price", "gross", "fee", "tax", "pnl", "pnl_pct")
+    return strategy.trades(strategy.backtest(T.daily_bars(spark, d), s))
 
 
 def _make(p: dict) -> strategy.Strategy:
@@ -571,22 +675,38 @@ def _make(p: dict) -> strategy.Strategy:
     return strategy.Strategy(entry=(("ma_cross_up", spec),), exit=(("ma_cross_down", spec),))
 
 
-@query("sweep_grid")
+GRID = "fast=3:9:3; slow=15,25"
+TRIALS = sweep.sampled({"fast": (3, 8, True), "slow": (15, 30, True)}, 4, seed=7)
+_RUNS = lambda runs: [(int(p["fast"]), int(p["slow"])) for p in runs]
+TOTALS = """f AS (SELECT run, count(*) AS trades, count(*) FILTER (pnl > 0) AS wins, sum(pnl) AS total, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS gain, coalesce(-sum(pnl) FILTER (pnl < 0), 0) AS loss FROM c GROUP BY run),
+ g AS (SELECT run, max(max_drawdown) AS deep, avg(sharpe) AS ratio FROM curve GROUP BY run),
+ y AS (SELECT CAST(run AS INTEGER) AS run, coalesce(trades, 0) AS trades, coalesce(wins, 0) AS wins, round(coalesce(total, 0), 2) AS total_pnl, round(CASE WHEN loss > 0 THEN gain / loss WHEN gain > 0 THEN 'inf'::DOUBLE ELSE 0 END, 4) AS profit_factor, round(coalesce(total / trades, 0), 2) AS expectancy,
+  coalesce(wins * 100 / trades, 0) AS win_rate, round(deep, 2) AS max_drawdown, round(ratio, 6) AS sharpe, CAST(NULL AS VARCHAR) AS fault FROM g LEFT JOIN f USING (run))"""
+
+
+def _totalled(df: DataFrame) -> DataFrame:
+    return rounded(rounded(rounded(df, "total_pnl", "expectancy", "max_drawdown", places=2), "profit_factor"), "sharpe", places=6)
+
+
+@query("sweep_grid", crossing_sql(f"{BARS}, {averages_sql(_RUNS(sweep.combinations(sweep.parse_grid(GRID))))}") + f", {TOTALS} SELECT *, trades >= 1 AS eligible, sharpe AS score FROM y")
 def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
-    runs = list(sweep.combinations(sweep.parse_grid("fast=3:9:3; slow=15,25")))
-    out = sweep.ranked(sweep.totals(sweep.run_all(T.daily_bars(spark, d), _make, runs)))
-    return rounded(out, "total_pnl", "profit_factor", "expectancy", "win_rate", "score", places=2)
+    runs = list(sweep.combinations(sweep.parse_grid(GRID)))
+    return sweep.ranked(_totalled(sweep.totals(sweep.run_all(T.daily_bars(spark, d), _make, runs), _make, runs)), "sharpe")
 
 
-@query("sweep_random")
+@query("sweep_random", crossing_sql(f"{BARS}, {averages_sql(_RUNS(TRIALS))}") + f", {TOTALS} SELECT *, trades >= 1 AS eligible, -max_drawdown AS score FROM y")
 def sweep_random(spark: SparkSession, d: str) -> DataFrame:
-    runs = sweep.sampled({"fast": (3, 8, True), "slow": (15, 30, True)}, 4, seed=7)
-    return rounded(sweep.totals(sweep.run_all(T.daily_bars(spark, d), _make, runs)), "total_pnl", "profit_factor", "expectancy", "win_rate", places=2)
+    return sweep.ranked(_totalled(sweep.totals(sweep.run_all(T.daily_bars(spark, d), _make, TRIALS), _make, TRIALS)), "max_drawdown")
+
+
+SPLIT = f"""w AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER {W} AS k FROM bars), w0 AS (SELECT * FROM w WHERE n >= 20 AND floor(n * 0.7::DOUBLE) >= 10 AND n - floor(n * 0.7::DOUBLE) >= 10 AND k <= floor(n * 0.7::DOUBLE)),
+ w1 AS (SELECT * FROM w WHERE n >= 20 AND floor(n * 0.7::DOUBLE) >= 10 AND n - floor(n * 0.7::DOUBLE) >= 10 AND k > floor(n * 0.7::DOUBLE))"""
 
 
-@query("walk_forward")
+@query("walk_forward", crossing_sql(f"{BARS}, {SPLIT}, {averages_sql([(5, 20), (5, 20)], 'w{run}')}") + f", {TOTALS} SELECT CASE run WHEN 0 THEN 'in' ELSE 'out' END AS part, trades, wins, total_pnl, profit_factor, expectancy, win_rate FROM y")
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sweep.walk_forward(T.daily_bars(spark, d), _make, {"fast": 5, "slow": 20}), "total_pnl", "profit_factor", "expectancy", "win_rate", places=2)
+    out = sweep.walk_forward(T.daily_bars(spark, d), _make, {"fast": 5, "slow": 20})
+    return rounded(rounded(out, "total_pnl", "expectancy", places=2), "profit_factor")
 
 
 ON_BAR = """
@@ -600,10 +720,27 @@ def on_bar(ctx):
 """
 
 
-@query("custom_strategy")
+ON_BAR_SQL = f"""WITH RECURSIVE {NUMBERED}, r AS (SELECT symbol, i, ts, close AS f FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.i, n.ts, 0.75 * r.f + 0.25 * n.close FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1),
+ x AS (SELECT n.symbol, n.ts, n.i - 1 AS i, n.open, n.close, r.f, {{slow}} AS s, count(*) OVER (PARTITION BY n.symbol) AS n FROM n JOIN r ON r.symbol = n.symbol AND r.i = n.i),
+ g AS (SELECT *, CASE WHEN lag(f) OVER {W} <= lag(s) OVER {W} AND f > s THEN 1 WHEN lag(f) OVER {W} >= lag(s) OVER {W} AND f < s THEN -1 END AS side FROM x),
+ h AS (SELECT *, lag(side) OVER {W} AS before FROM g WHERE side IS NOT NULL AND i >= 2{{end}}), ch AS (SELECT * FROM h WHERE before IS NULL OR before <> side)"""
+_SLOW = lambda n: full("avg", "n.close", n).replace("PARTITION BY symbol ORDER BY ts", "PARTITION BY n.symbol ORDER BY n.ts")
+BOTH_WAYS = strategy.Strategy(entry=(("always_true", {}),), exit=(("always_true", {}),), kind="future")
+
+
+@query("custom_strategy", ON_BAR_SQL.format(slow=_SLOW(20), end="") + " SELECT symbol, ts, CASE side WHEN 1 THEN 'BUY' ELSE 'SELL' END AS decision, CASE WHEN before IS NULL THEN '' WHEN side = 1 THEN 'CLOSE buy,' ELSE 'CLOSE sell,' END || CASE side WHEN 1 THEN 'OPEN buy' ELSE 'OPEN sell' END AS actions, close AS price FROM ch")
 def custom_strategy(spark: SparkSession, d: str) -> DataFrame:
-    s = strategy.Strategy(entry=(("always_true", {}),), kind="future")
-    return rounded(strategy.run_custom(T.daily_bars(spark, d), ON_BAR, {"slow": 20}, s), "price")
+    return strategy.run_custom(T.daily_bars(spark, d), ON_BAR, {"slow": 20}, BOTH_WAYS)
+
+
+@query("backtest_custom", ON_BAR_SQL.format(slow=_SLOW(25), end=" AND i + 1 < n") + """, tr AS (SELECT symbol, side, i + 1 AS since, lead(i + 1) OVER (PARTITION BY symbol ORDER BY i) AS until, n FROM ch),
+ t AS (SELECT tr.symbol, side, a.ts AS entry_ts, a.open AS entry_price, z.ts AS exit_ts, CASE WHEN until IS NULL THEN z.close ELSE z.open END AS exit_price, z.i - a.i AS bars_held, CASE WHEN until IS NULL THEN 'settled' ELSE 'signal' END AS exit_reason
+  FROM tr JOIN x a ON a.symbol = tr.symbol AND a.i = since JOIN x z ON z.symbol = tr.symbol AND z.i = coalesce(until, tr.n - 1))
+ SELECT symbol, entry_ts, entry_price, exit_ts, exit_price, CASE side WHEN 1 THEN 'long' ELSE 'short' END AS direction, CAST(bars_held AS BIGINT) AS bars_held, exit_reason,
+  (exit_price - entry_price) * side * 1 * 1 - 100 - (abs(entry_price) * 1 * 1 * 0.00002::DOUBLE + abs(exit_price) * 1 * 1 * 0.00002::DOUBLE) AS pnl FROM t""")
+def backtest_custom(spark: SparkSession, d: str) -> DataFrame:
+    events = strategy.backtest_custom(T.daily_bars(spark, d), ON_BAR, {}, BOTH_WAYS)
+    return strategy.trades(events).select("symbol", "entry_ts", "entry_price", "exit_ts", "exit_price", "direction", "bars_held", "exit_reason", "pnl")
 
 
 # ---------------------------------------------------------------- accounts and the band strategy
@@ -617,12 +754,22 @@ def _fills(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("account_history")
+ACCOUNT_SQL = """WITH RECURSIVE o AS (SELECT o_custkey AS account, 'S' || (o_custkey % 7) AS symbol, o_orderdate AS ts, o_orderkey AS seq, 'share' AS market, 'odd' AS kind, o_orderkey % 3 <> 0 AS opens, o_orderkey % 3 <> 0 AS buys, 1 + o_orderkey % 4 AS quantity, o_totalprice / 1000 AS price,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+ r AS (SELECT account, i, CASE WHEN opens THEN quantity ELSE 0 END AS held, CASE WHEN opens THEN price ELSE 0 END AS average, 0::BIGINT AS closed, 0.0::DOUBLE AS basis FROM o WHERE i = 1
+  UNION ALL SELECT o.account, o.i, CASE WHEN o.opens THEN r.held + o.quantity ELSE r.held - least(r.held, o.quantity) END, CASE WHEN o.opens THEN (CASE WHEN r.held > 0 THEN r.average * r.held + o.price * o.quantity ELSE o.price * o.quantity END) / (r.held + o.quantity) ELSE r.average END,
+   CASE WHEN o.opens THEN 0 ELSE least(r.held, o.quantity) END, r.average FROM r JOIN o ON o.account = r.account AND o.i = r.i + 1),
+ a AS (SELECT o.*, r.held, r.average, r.closed, r.basis, price * quantity AS gross, CASE WHEN buys THEN price * quantity * 0.001425::DOUBLE ELSE price * quantity * 0.004425::DOUBLE END AS f FROM o JOIN r ON r.account = o.account AND r.i = o.i),
+ h AS (SELECT *, round(f, 2) AS fee, CASE WHEN closed > 0 THEN round((price - basis) * closed - f, 2) ELSE 0 END AS pnl, CASE WHEN buys THEN -gross ELSE gross END - f AS cash_flow FROM a)"""
+
+
+@query("account_history", ACCOUNT_SQL + " SELECT account, symbol, ts, seq, market, kind, opens, buys, quantity, price, fee, pnl, cash_flow, held, CASE WHEN held > 0 THEN true END AS held_long, CASE WHEN held > 0 THEN average END AS average FROM h")
 def account_history(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(account.history(_fills(spark, d)), "cash_flow", "average")
+    return account.history(_fills(spark, d))
 
 
-@query("account_equity")
+@query("account_equity", ACCOUNT_SQL + """, p AS (SELECT account, symbol, arg_max(held, i) AS held, arg_max(average, i) AS average FROM h GROUP BY 1, 2), k AS (SELECT symbol, avg(price) AS mark FROM h GROUP BY 1), c AS (SELECT account, 1000000 + sum(cash_flow) AS cash, sum(pnl) AS realized FROM h GROUP BY 1)
+ SELECT account, round(cash, 2) AS cash, round(realized, 2) AS realized, round(CASE WHEN held > 0 THEN (mark - average) * held ELSE 0 END, 2) AS unrealized, round(cash + CASE WHEN held > 0 THEN mark * held ELSE 0 END, 2) AS equity FROM c JOIN p USING (account) JOIN k USING (symbol)""")
 def account_equity(spark: SparkSession, d: str) -> DataFrame:
     marks = _fills(spark, d).groupBy("symbol").agg(F.avg("price").alias("mark"))
     return rounded(account.equity(account.history(_fills(spark, d)), marks), "cash", "realized", "unrealized", "equity", places=2)
@@ -630,8 +777,7 @@ def account_equity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("band_strategy")
 def band_strategy(spark: SparkSession, d: str) -> DataFrame:
-    # One series of all events, dense enough to have a price at noon.
-    ticks = T.ticks(spark, d).withColumn("symbol", F.lit("all"))
+    ticks = T.ticks(spark, d)
     daily = resample.from_ticks(ticks, "day").select("symbol", "ts", "close")
     return band.run(daily, ticks.select("symbol", "ts", "price"), band.Band(line=20.0, stop=10.0, arm=10.0, step=5.0))
 
@@ -656,7 +802,12 @@ def pattern_range(spark: SparkSession, d: str) -> DataFrame:
     return _counted(patterns.range_signals(T.daily_bars(spark, d)), ["range_breakout", "range_breakdown", "undercut_reverse", "false_breakout"])
 
 
-@query("pattern_islands")
+_GAP = lambda k, up: f"lag(low, {k}) OVER {W} > lag(high, {k + 1}) OVER {W} * (1 + 0.005::DOUBLE)" if up else f"lag(high, {k}) OVER {W} < lag(low, {k + 1}) OVER {W} * (1 - 0.005::DOUBLE)"
+
+
+@query("pattern_islands", f"""WITH {BARS}, q AS (SELECT symbol, row_number() OVER {W} AS n, coalesce(high < lag(low) OVER {W} * (1 - 0.005::DOUBLE), false) AS fall, coalesce(low > lag(high) OVER {W} * (1 + 0.005::DOUBLE), false) AS rise,
+  {' OR '.join(f'coalesce({_GAP(k, True)}, false)' for k in range(2, 6))} AS risen, {' OR '.join(f'coalesce({_GAP(k, False)}, false)' for k in range(2, 6))} AS fallen FROM bars)
+ SELECT symbol, count(*) FILTER (n >= 8 AND fall AND risen) AS island_reversal_down, count(*) FILTER (n >= 8 AND NOT (fall AND risen) AND rise AND fallen) AS island_reversal_up FROM q GROUP BY symbol""")
 def pattern_islands(spark: SparkSession, d: str) -> DataFrame:
     return _counted(patterns.range_signals(T.daily_bars(spark, d)), ["island_reversal_up", "island_reversal_down"])
 
@@ -677,17 +828,25 @@ def pattern_swings(spark: SparkSession, d: str) -> DataFrame:
 _TICK_OF = "CASE " + " ".join(f"WHEN (hi + lo) / 2 < {limit} THEN {t}" for limit, t in S.SHARE_TICKS) + f" ELSE {S.SHARE_TOP_TICK} END"
 
 
-@query("volume_profile", f"""WITH {BARS}, a AS (SELECT symbol, min(low) AS lo, max(high) AS hi FROM bars GROUP BY symbol HAVING max(high) > min(low)), b AS (SELECT *, greatest((hi - lo) / 40, {_TICK_OF}) AS w FROM a),
+PROFILE_SQL = f"""{BARS}, a AS (SELECT symbol, min(low) AS lo, max(high) AS hi FROM bars GROUP BY symbol HAVING max(high) > min(low)), b AS (SELECT *, greatest((hi - lo) / 40, {_TICK_OF}) AS w FROM a),
  c AS (SELECT *, greatest(1, CAST(round_even((hi - lo) / w, 0) AS INTEGER)) AS n FROM b), x AS (SELECT c.*, volume, least(n - 1, greatest(0, CAST(floor((low - lo) / w) AS INTEGER))) AS i0, least(n - 1, greatest(0, CAST(floor((high - lo) / w) AS INTEGER))) AS i1 FROM bars JOIN c USING (symbol) WHERE volume > 0),
- y AS (SELECT symbol, unnest(generate_series(i0, i1)) AS bin, volume / (i1 - i0 + 1) AS v FROM x), z AS (SELECT symbol, bin, sum(v) AS v FROM y GROUP BY 1, 2), e AS (SELECT symbol, unnest(generate_series(0, n - 1)) AS bin FROM c)
- SELECT e.symbol, CAST(e.bin AS INTEGER) AS bin, round(coalesce(z.v, 0), 4) AS volume FROM e LEFT JOIN z ON z.symbol = e.symbol AND z.bin = e.bin""")
+ y AS (SELECT symbol, unnest(generate_series(i0, i1)) AS bin, volume / (i1 - i0 + 1) AS v FROM x), z AS (SELECT symbol, bin, sum(v) AS v FROM y GROUP BY 1, 2), e AS (SELECT symbol, unnest(generate_series(0, n - 1)) AS bin FROM c),
+ profile AS (SELECT e.symbol, CAST(e.bin AS INTEGER) AS bin, coalesce(z.v, 0) AS v, lo + w * e.bin AS bin_lo, CASE WHEN e.bin = n - 1 THEN greatest(hi, lo + w * n) ELSE lo + w * (e.bin + 1) END AS bin_hi, n FROM e JOIN c USING (symbol) LEFT JOIN z ON z.symbol = e.symbol AND z.bin = e.bin)"""
+
+
+@query("volume_profile", f"WITH {PROFILE_SQL} SELECT symbol, bin, round(v, 4) AS volume FROM profile")
 def volume_profile(spark: SparkSession, d: str) -> DataFrame:
     return rounded(levels.histogram(T.daily_bars(spark, d)).select("symbol", "bin", "volume"), "volume")
 
 
-@query("value_area")
+@query("value_area", f"""WITH RECURSIVE {PROFILE_SQL}, t AS (SELECT symbol, sum(v) AS total, arg_max(bin, row(v, -bin)) AS p, max(n) AS n FROM profile GROUP BY symbol HAVING sum(v) > 0),
+ g AS (SELECT t.symbol, p AS l, p AS h, v AS s FROM t JOIN profile x ON x.symbol = t.symbol AND x.bin = p
+  UNION ALL SELECT symbol, CASE WHEN r >= q THEN l ELSE l - 1 END, CASE WHEN r >= q THEN h + 1 ELSE h END, s + CASE WHEN r >= q THEN r ELSE q END FROM (
+   SELECT g.*, coalesce(a.v, -1) AS q, coalesce(b.v, -1) AS r FROM g JOIN t ON t.symbol = g.symbol LEFT JOIN profile a ON a.symbol = g.symbol AND a.bin = g.l - 1 LEFT JOIN profile b ON b.symbol = g.symbol AND b.bin = g.h + 1 WHERE g.s < t.total * 0.7::DOUBLE AND NOT (g.l = 0 AND g.h = t.n - 1))),
+ w AS (SELECT symbol, min(l) AS l, max(h) AS h FROM g GROUP BY symbol)
+ SELECT w.symbol, (c.bin_lo + c.bin_hi) / 2 AS poc, b.bin_hi AS vah, a.bin_lo AS val, round(total, 4) AS total_volume FROM w JOIN t USING (symbol) JOIN profile a ON a.symbol = w.symbol AND a.bin = l JOIN profile b ON b.symbol = w.symbol AND b.bin = h JOIN profile c ON c.symbol = w.symbol AND c.bin = p""")
 def value_area(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(levels.value_area(levels.histogram(T.daily_bars(spark, d))), "poc", "vah", "val", "total_volume")
+    return rounded(levels.value_area(levels.histogram(T.daily_bars(spark, d))), "total_volume")
 
 
 @query("support_resistance")
@@ -704,34 +863,39 @@ def fibonacci(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- streams
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barspark-stream-")
-
-
 @query("stream_bars", "WITH b AS (" + _tick_sql("time_bucket(INTERVAL 1 HOUR, ts)") + ") SELECT symbol, CAST(ts AS TIMESTAMP) AS ts, open, high, low, close, volume FROM b WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def stream_bars(spark: SparkSession, d: str) -> DataFrame:
     from barspark.streaming import bars as stream
 
-    rows = stream.drained(stream.closed_bars(stream.tick_stream(spark, d)), _checkpoint(spark))
+    rows = stream.drained(stream.closed_bars(stream.tick_stream(spark, d)), folder(spark, "stream"))
     return rounded(rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")), *OHLCV)
 
 
-@query("stream_signals")
+@query("stream_signals", """WITH RECURSIVE n AS (SELECT event_type AS symbol, ts, event_id, value AS close, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+ r AS (SELECT symbol, i, ts, close, close AS f, close AS s FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.i, n.ts, n.close, r.f + 2.0::DOUBLE / 6 * (n.close - r.f), r.s + 2.0::DOUBLE / 21 * (n.close - r.s) FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1),
+ g AS (SELECT *, f > s AS above, lag(f > s) OVER (PARTITION BY symbol ORDER BY i) AS before FROM r), h AS (SELECT *, above AND NOT before AS up, NOT above AND before AS down FROM g WHERE before IS NOT NULL),
+ k AS (SELECT *, sum(CASE WHEN up THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY i) AS opened, last_value(CASE WHEN up THEN close END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i) AS entry FROM h)
+ SELECT symbol, ts, CASE WHEN up THEN 'open' ELSE 'close' END AS action, close AS price, CASE WHEN down THEN close - entry END AS pnl FROM k WHERE up OR (down AND opened > 0)""")
 def stream_signals(spark: SparkSession, d: str) -> DataFrame:
     from barspark.streaming import bars as stream
 
-    ticks = stream.tick_stream(spark, d).withColumnRenamed("price", "close")
-    return rounded(stream.drained(stream.crossing_signals(ticks), _checkpoint(spark)), "price", "pnl")
+    rows = stream.drained(stream.crossing_signals(stream.tick_stream(spark, d).withColumnsRenamed({"price": "close", "event_id": "seq"})), folder(spark, "stream"))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("stream_sessions")
+@query("stream_sessions", """WITH p AS (SELECT event_type AS symbol, ts, event_id, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM events),
+ g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS k FROM p)
+ SELECT symbol, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS ticks FROM g GROUP BY symbol, k HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     from barspark.streaming import bars as stream
 
-    return stream.drained(stream.sessions(stream.tick_stream(spark, d)), _checkpoint(spark))
+    rows = stream.drained(stream.sessions(stream.tick_stream(spark, d)), folder(spark, "stream"))
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
 
+@query("stream_stops")
+def stream_stops(spark: SparkSession, d: str) -> DataFrame:
+    from barspark.streaming import bars as stream
 
-for _name in ("price_adjust", "ind_multi_ma", "scalar_costs", "backtest_trades"):
-    ORACLE_SQL[_name] = off_ties(ORACLE_SQL[_name])
+    rows = stream.drained(stream.stops(stream.tick_stream(spark, d), 20.0, 30.0), folder(spark, "stream"))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

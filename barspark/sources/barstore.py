@@ -6,6 +6,7 @@ groups. A table without a log has no MERGE; an upsert rewrites the partitions th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,6 +64,21 @@ def missing_ranges(store: DataFrame, start: str, end: str, by: str = "symbol") -
     return seen.select(by, F.col("last_ts").alias("covered_to"), need.alias("need_from"))
 
 
+def daily_range(store: DataFrame, start: str, end: str, codes: Sequence[str] | None = None) -> DataFrame:
+    """Rows of a market table partitioned by month (ym, YYYYMM) with ts in [start, end], of all codes or of some.
+
+    The months are filtered as partitions, the codes as a list that reaches the files.
+    """
+    months = F.date_format(F.lit(start).cast("date"), "yyyyMM").cast("int"), F.date_format(F.lit(end).cast("date"), "yyyyMM").cast("int")
+    rows = scan(store.where(F.col("ym").between(*months)), start=start, end=end)
+    return rows if codes is None else rows.where(F.col("code").isin(list(codes)))
+
+
+def wanted_days(store: DataFrame, days: DataFrame) -> DataFrame:
+    """The days (column ts) that the store has no row of: what a daily download still has to fetch."""
+    return days.join(store.select("ts").distinct(), "ts", "left_anti")
+
+
 def chunks(spark: SparkSession, start: str, end: str, days: int = 28) -> DataFrame:
     """start_date, end_date of consecutive ranges of at most so many days."""
     s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
@@ -77,7 +93,9 @@ class BarStore:
         self.spark, self.path = spark, path
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        """All bars; asset_type and timeframe are texts, also where all their values look like numbers."""
+        rows = self.spark.read.parquet(self.path)
+        return rows.withColumns({c: F.col(c).cast("string") for c in ("asset_type", "timeframe")})
 
     def create(self, bars: DataFrame) -> None:
         self._write(bars)
@@ -85,11 +103,12 @@ class BarStore:
     def upsert(self, bars: DataFrame) -> None:
         touched = bars.select("asset_type", "timeframe").distinct()
         old = self.read().join(touched, ["asset_type", "timeframe"], "left_semi")
-        # Materialised first: Spark cannot overwrite what it reads.
+        # Materialised first, as Spark cannot overwrite what it reads; in a folder of its own, so that writers do not meet there. A crash
+        # before the last write leaves the store as it was.
         merged = upserted(old, bars).select(*self.read().columns)
-        staging = f"{self.path}__staging"
-        merged.write.mode("overwrite").parquet(staging)
-        self._write(self.spark.read.parquet(staging))
+        staging = f"{self.path.rstrip('/')}__staging/{uuid.uuid4().hex}"
+        merged.write.parquet(staging)
+        self._write(self.spark.read.schema(merged.schema).parquet(staging))
 
     def _write(self, bars: DataFrame) -> None:
         rows = bars.repartition("asset_type", "timeframe", F.pmod(F.xxhash64("symbol"), F.lit(32))).sortWithinPartitions("asset_type", "timeframe", "symbol", "ts")

@@ -41,11 +41,10 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, ts (a date), open, high, low, close, volume: a bar a day for each supplier.
 
-    Dealt by symbol first, so that windows over a symbol need no second shuffle.
+    Trades are summed to bars before they are shuffled, so what moves are at most a bar for each task, symbol and day; a symbol with
+    very many trades is no hot key. Windows over a symbol then deal bars, not trades.
     """
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = trades(spark, sf_dir).repartition(n, "symbol")
-    return rows.groupBy("symbol", "ts").agg(*ohlcv(F.col("price"), F.col("ord"), F.col("quantity")))
+    return trades(spark, sf_dir).groupBy("symbol", "ts").agg(*ohlcv(F.col("price"), F.col("ord"), F.col("quantity")))
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,15 +101,24 @@ def market_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_day.select("ts", F.sum("margin_delta").over(upto).alias("margin_balance"), F.sum("short_delta").over(upto).alias("short_balance"))
 
 
+INVESTORS = ("foreign", "trust", "dealer")
+
+
 def futures_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ts, product, investor, net_oi in long form, from events by type and user."""
     return table(spark, sf_dir, "events").groupBy(
         F.to_date("ts").alias("ts"),
         F.col("event_type").alias("product"),
-        F.element_at(F.array(F.lit("foreign"), F.lit("trust"), F.lit("dealer")), (F.col("user_id") % 3 + 1).cast("int")).alias("investor"),
+        F.element_at(F.array(*map(F.lit, INVESTORS)), (F.col("user_id") % 3 + 1).cast("int")).alias("investor"),
     ).agg(F.sum(F.floor(F.col("value")) - 50).cast("long").alias("net_oi"))
 
 
+def futures_by_investor(flow: DataFrame, product: str) -> DataFrame:
+    """ts, fut_foreign_oi, fut_trust_oi, fut_dealer_oi of one product: the long form pivoted, a day without an investor null."""
+    wide = flow.where(F.col("product") == product).groupBy("ts").pivot("investor", list(INVESTORS)).agg(F.sum("net_oi"))
+    return wide.select("ts", *(F.col(i).alias(f"fut_{i}_oi") for i in INVESTORS))
+
+
 def raw_futures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ts, product, month (YYYYMM), session (regular or after), open, high, low, close, volume, from events."""
     day = F.to_date("ts")

@@ -42,16 +42,19 @@ def once_a_bar(rows: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def crossing_signals(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
-    """symbol, ts, action: a position that an exponential crossing opens and closes, kept as state of each symbol across batches."""
+    """symbol, ts, action: a position that an exponential crossing opens and closes, kept as state of each symbol across batches.
+
+    Rows (symbol, ts, seq, close) are taken in order of ts and seq; one at or before the last that was taken is a repeat and changes nothing.
+    """
     output = "symbol string, ts timestamp, action string, price double, pnl double"
-    state_schema = "fast double, slow double, above boolean, entry double, last timestamp"
+    state_schema = "fast double, slow double, above boolean, entry double, last timestamp, seq long"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        f, s, above, entry, last = state.get if state.exists else (None, None, None, None, None)
+        f, s, above, entry, last, seq = state.get if state.exists else (None,) * 6
         out = []
-        for r in sorted((r for pdf in frames for r in pdf.itertuples()), key=lambda r: r.ts):
-            if last is not None and r.ts <= pd.Timestamp(last):
-                continue  # the same bar again
+        for r in sorted((r for pdf in frames for r in pdf.itertuples()), key=lambda r: (r.ts, r.seq)):
+            if last is not None and (r.ts, r.seq) <= (pd.Timestamp(last), seq):
+                continue
             f = r.close if f is None else f + 2 / (fast + 1) * (r.close - f)
             s = r.close if s is None else s + 2 / (slow + 1) * (r.close - s)
             now = f > s
@@ -61,13 +64,37 @@ def crossing_signals(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFram
             elif above and not now and entry is not None:
                 out.append((key[0], r.ts, "close", r.close, r.close - entry))
                 entry = None
-            above, last = now, r.ts
-        state.update((f, s, above, entry, last))
+            above, last, seq = now, r.ts, r.seq
+        state.update((f, s, above, entry, last, seq))
         yield pd.DataFrame(out, columns=["symbol", "ts", "action", "price", "pnl"])
 
     return bars.groupBy("symbol").applyInPandasWithState(step, output, state_schema, "append", "NoTimeout")
 
 
+def stops(prices: DataFrame, stop_pct: float, take_pct: float) -> DataFrame:
+    """symbol, ts, action, price: live stops within bars. The first price opens a long position, one beyond a stop or take closes it at once.
+
+    Prices (symbol, ts, event_id, price) of a batch are put in order; the entry price is the state of a symbol.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        entry = state.get[0] if state.exists else None
+        out = []
+        for r in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
+            if entry is None:
+                entry = r.price
+                out.append((key[0], r.ts, "open", r.price))
+                continue
+            move = (r.price - entry) / entry * 100 if entry else 0.0
+            if (why := "stop" if 0 < stop_pct <= -move else "take" if 0 < take_pct <= move else None) is not None:
+                out.append((key[0], r.ts, why, r.price))
+                entry = None
+        state.update((entry,))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "action", "price"])
+
+    return prices.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, action string, price double", "entry double", "append", "NoTimeout")
+
+
 def drained(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and returns what it wrote, as a table beside its checkpoint."""
     spark, where = stream.sparkSession, f"{checkpoint}/{uuid.uuid4().hex}"

@@ -10,7 +10,7 @@ from barspark.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_session("local[4]", shuffle_partitions=4, spark__driver__memory="4g")
+    session = get_session("local[8]", shuffle_partitions=4, spark__driver__memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -11,7 +11,7 @@ from barspark.functions import scalars as S
 from barspark.functions.conditions import CONDITIONS
 from barspark.functions.scan import Scan, ewm, with_scans
 from barspark.operators import account, asof, band, levels, patterns, resample, strategy, sweep
-from barspark.plans.compiler import FlowDataMissing, combined, with_conditions
+from barspark.plans.compiler import FlowDataMissing, combined, faults, with_conditions
 from barspark.queries import QUERIES
 from barspark.sources import barstore
 from barspark.sources import tables as T
@@ -28,6 +28,11 @@ def frame(n=120, symbols=("a", "b"), seed=1):
     return pd.concat(out, ignore_index=True)
 
 
+def _make(p):
+    spec = {"fast": int(p["fast"]), "slow": int(p["slow"])}
+    return strategy.Strategy(entry=(("ma_cross_up", spec),), exit=(("ma_cross_down", spec),))
+
+
 @pytest.fixture(scope="module")
 def bars(spark):
     return spark.createDataFrame(frame()).cache()
@@ -102,15 +107,136 @@ def test_dca_carries_the_rest():
     assert len(lots) == 2 and all(e[7] >= 2 for e in lots)
 
 
-def test_one_shuffle_for_conditions_over_daily_bars(spark, small):
+def test_bars_are_summed_before_they_are_shuffled(spark, small):
+    rows = T.daily_bars(spark, small)
+    plan = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffle = next(k for k, line in enumerate(plan) if "Exchange hashpartitioning(symbol" in line)
+    assert any("partial_min_by" in line for line in plan[shuffle + 1 :]) and not any("REPARTITION_BY" in line for line in plan)
+
+
+def test_conditions_deal_bars_by_symbol_once_or_twice(spark, small):
     windows = {"a": ("ma_cross_up", {}), "c": ("bb_squeeze", {}), "d": ("consecutive_up", {})}
-    # A grouped pass hides how its rows are dealt, so windows over its columns shuffle once more.
-    for named, shuffles in ((windows, 1), (windows | {"b": ("kd_cross_up", {}), "e": ("macd_cross_up", {})}, 2)):
+    # One shuffle makes the bars, one deals them; a grouped pass hides how its rows are dealt, so windows over its columns shuffle once more.
+    for named, shuffles in ((windows, 2), (windows | {"b": ("kd_cross_up", {}), "e": ("macd_cross_up", {})}, 3)):
         plan = with_conditions(T.daily_bars(spark, small), named, ["symbol", "ts"])._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == shuffles
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_a_sweep_deals_bars_once_whatever_its_runs(spark, small):
+    plans = []
+    for n in (1, 6):
+        runs = [{"fast": 3 + k, "slow": 20} for k in range(n)]
+        figures = sweep.run_all(T.daily_bars(spark, small), _make, runs)
+        plans.append(figures._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+    assert plans[0] == plans[1]
+
+
+def test_runs_without_trades_and_faulty_runs_stay(spark, bars):
+    runs = [{"fast": 5, "slow": 20}, {"fast": 3, "slow": 400}, {"fast": "x", "slow": 9}]
+    for objective in sweep.OBJECTIVES:
+        out = sweep.ranked(sweep.totals(sweep.run_all(bars, _make, runs), _make, runs), objective).collect()
+        assert [r["run"] for r in out][0] == 0 and {r["run"] for r in out} == {0, 1, 2}
+        by = {r["run"]: r for r in out}
+        assert by[1]["trades"] == 0 and not by[1]["eligible"] and by[1]["fault"] is None
+        assert "ValueError" in by[2]["fault"]
+    with pytest.raises(ValueError):
+        sweep.ranked(bars, "luck")
+
+
+def test_a_faulty_condition_is_false_and_told(bars):
+    named = {"good": ("always_true", {}), "unknown": ("no_such", {}), "broken": ("ma_cross_up", {"fast": "x"})}
+    assert set(faults(named)) == {"unknown", "broken"}
+    row = with_conditions(bars, named, ["symbol"]).agg(*(F.count_if(c).alias(c) for c in named)).first()
+    assert (row["good"], row["unknown"], row["broken"]) == (240, 0, 0)
+
+
+def levels_by_hand(r, swings, s):
+    """Candidates in order of strength, each put into the first level near it; then the strongest of each price."""
+    bins = r["bins"]
+    v, mid = [b["volume"] for b in bins], [(b["bin_lo"] + b["bin_hi"]) / 2 for b in bins]
+    inner = range(1, len(v) - 1)
+    def spread(ks, key):
+        out = []
+        for k in sorted(ks, key=key):
+            out += [k] if all(abs(k - j) >= s.apart for j in out) else []
+        return out
+    flat = {k for k in inner if v[k - 1] == v[k] == v[k + 1]}
+    full = spread([k for k in inner if v[k] >= max(v[k - 1], v[k + 1]) and k not in flat], lambda k: -v[k])
+    empty = spread([k for k in inner if v[k] <= min(v[k - 1], v[k + 1]) and k not in flat], lambda k: v[k])
+    found = [(r["poc"], "POC", 1.0), (r["vah"], "VAH", 0.75), (r["val"], "VAL", 0.75)]
+    found += [(mid[k], "HVN", min(0.95, max(0.15, v[k] / max(v)))) for k in full if mid[k] != r["poc"]]
+    found += [(x["price"], "SwingHigh" if kind == "high" else "SwingLow", 0.5) for kind in ("high", "low") for x in swings if x["kind"] == kind]
+    tick = next((t for limit, t in S.SHARE_TICKS if r["current"] < limit), S.SHARE_TOP_TICK)
+    reach = max(2 * tick, (bins[0]["bin_hi"] - bins[0]["bin_lo"]) / 2)
+    groups = []
+    for price, kind, strength in sorted(found, key=lambda x: -x[2]):
+        home = [g for g in groups if abs(g[0] - price) < reach][:1]
+        if home:
+            home[0][2] = min(1.0, home[0][2] + strength / 4)
+        else:
+            groups.append([price, kind, strength])
+    return [(p, k, x) for p, k, x in sorted(groups, key=lambda g: -g[2])], [mid[k] for k in empty]
+
+
+def test_levels_by_hand(spark, bars):
+    s = levels.LevelSettings(most=99)
+    profile = levels.histogram(bars)
+    packed = profile.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("bin", "bin_lo", "bin_hi", "volume"))).alias("bins"))
+    rows = packed.join(levels.value_area(profile), "symbol").join(bars.groupBy("symbol").agg(F.max_by("close", "ts").alias("current")), "symbol").collect()
+    got = levels.support_resistance(bars, s).collect()
+    swings = levels.swing_points(bars).orderBy("ts").collect()
+    to_tick = lambda ps: [r[0] for r in spark.createDataFrame([(k, float(p)) for k, p in enumerate(ps)], "k int, p double").orderBy("k").select(S.round_to_tick(F.col("p"))).collect()]
+    for r in rows:
+        main, gaps = levels_by_hand(r, [x for x in swings if x["symbol"] == r["symbol"]], s)
+        want = {}
+        for price, (_, kind, strength) in zip(to_tick([p for p, _, _ in main]), main, strict=True):
+            want.setdefault(price, (kind, round(strength, 3)))
+        for price in to_tick(gaps):
+            want.setdefault(price, ("LVN", 0.25))
+        mine = {x["price"]: (x["kind"], x["strength"]) for x in got if x["symbol"] == r["symbol"]}
+        assert {p: k for p, (k, _) in mine.items()} == {p: k for p, (k, _) in want.items()}
+        assert all(abs(mine[p][1] - want[p][1]) < 0.0011 for p in want)
+    assert {x["role"] for x in got} <= {"support", "resistance", "current"}
+
+
+def test_user_code_is_told_of_its_position_parameters_and_errors(spark):
+    code = """
+def on_bar(ctx):
+    ctx.state['n'] = ctx.state.get('n', 0) + 1
+    if ctx.i == 5:
+        return ctx.buy()
+    if ctx.position == 'long' and ctx.bars_in_position >= ctx.param('hold', 3):
+        return 'close'
+    if ctx.i == 20:
+        ctx.log('half way')
+    if ctx.i == 21:
+        1 / 0
+    k, d = ctx.kd()
+    dif, sig, hist = ctx.macd()
+    return ctx.hold()
+"""
+    table = spark.createDataFrame(frame(30, ("a",)))
+    events = strategy.backtest_custom(table, code, {"hold": 4}, strategy.Strategy(entry=(("always_true", {}),), exit=(("always_true", {}),), costs=None))
+    trades = strategy.trades(events).collect()
+    f = frame(30, ("a",))
+    assert [(t["entry_price"], t["exit_price"], t["bars_held"]) for t in trades] == [(f["open"][6], f["open"][10], 4)]
+    assert [r["parameter"] for r in strategy.parameters(events).collect()] == ["hold=4 (given)"]
+    told = [r["reason"] for r in events.where("event = 'log'").orderBy("i").collect()]
+    assert told[0] == "half way" and "ZeroDivisionError" in told[1]
+
+
+def test_daily_range_prunes_months_and_lists_codes(spark, tmp_path):
+    f = spark.createDataFrame(frame()).withColumnRenamed("symbol", "code").withColumn("ym", F.date_format("ts", "yyyyMM").cast("int"))
+    f.write.partitionBy("ym").parquet(str(tmp_path / "market"))
+    rows = barstore.daily_range(spark.read.parquet(str(tmp_path / "market")), "2024-02-10", "2024-03-05", ["a"])
+    assert rows.count() == 25
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ym" in plan and "PushedFilters: [" in plan
+    days = spark.createDataFrame([(dt.date(2024, 2, 10),), (dt.date(2025, 1, 1),)], "ts date")
+    assert [r["ts"] for r in barstore.wanted_days(rows, days).collect()] == [dt.date(2025, 1, 1)]
+
+
 def test_asof_plans_no_inequality_join(spark, small):
     rows = asof.with_flow(T.daily_bars(spark, small), T.stock_flow(spark, small), ["foreign_net"])
     assert "NestedLoop" not in rows._jdf.queryExecution().executedPlan().toString()
