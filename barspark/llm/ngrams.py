@@ -10,27 +10,25 @@ Probabilities are smoothed by absolute discounting, interpolated with the lower
 steps of 1/STEPS in -log10. No pair is dropped; where min_pair is set higher, pairs seen fewer times are pruned and their mass goes to the back-off weight of their
 context, so that the probabilities after each context, the unknown word included, sum to 1.
 
-The trie is cut into shards by the first word's hash. Shards are built apart, written to the shared folder, fetched by
-each executor once and mapped into memory, which all workers of a machine share.
+The trie is cut into shards by the first word's hash. Shards are built apart, each by the task that has its counts, and written to the
+shared folder; tasks map the files from there, so no driver and no executor keeps a copy, and what a batch of texts does not ask for
+is not read.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.llm.eliasfano import EliasFano, packed, unpacked
 from barspark.llm.sampling import fold
-from barspark.llm.storage import documents, new_path, saved
+from barspark.llm.storage import discard, documents, new_path, put, remove, saved, view
 from barspark.llm.textbytes import LOWER, mixed, slices, span_hashes, word_bounds
 
 #: The hash that stands for the end of a text, which is also what stands before its first word.
@@ -210,24 +208,22 @@ def _runs(ordered: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(ordered[a]), a, b
 
 
-def _word_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+def _word_shard(shard: int, keys: np.ndarray, n: np.ndarray) -> bytes:
     """Level 1 of a shard: sorted hashes, and the code of each word's count."""
-    shard = int(pdf["shard"].iloc[0])
-    keys = pdf["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    words = EliasFano.of(keys[order])
-    values, codes = np.unique(pdf["n"].to_numpy()[order], return_inverse=True)
-    about, arrays = words.parts()
-    kind = np.uint16 if len(values) < 65536 else np.uint32
-    blob = packed({"level": 1, "shard": shard, "words": about}, [*arrays, codes.astype(kind), values.astype(np.int64)])
-    return pd.DataFrame({"shard": [shard], "n": [len(keys)], "blob": [blob]})
-
-
-def _pair_shard(trie: Trie, shard: int, keys: np.ndarray, n: np.ndarray) -> bytes:
-    """Level 2 of a shard: pointers, successors, probabilities and the contexts' back-off weights."""
-    vocabulary, discount = trie.about["vocabulary"], trie.about["discounts"][1]
-    first = int(trie.first[shard])
-    n_contexts = trie.words[shard].n
+    about, arrays = EliasFano.of(keys[order]).parts()
+    return packed({"level": 1, "shard": shard, "words": about}, [*arrays, *_coded(n[order])])
+
+
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of values and the value of each code; few values are common."""
+    table, codes = np.unique(values, return_inverse=True)
+    kind = np.uint8 if len(table) < 256 else np.uint16 if len(table) < 65536 else np.uint32
+    return codes.astype(kind), table.astype(np.int64)
+
+
+def _count_shard(shard: int, first: int, n_contexts: int, vocabulary: int, keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Level 2 of a shard before smoothing: pointers, successors and counts."""
     order = np.argsort(keys)
     keys, n = keys[order].astype(np.int64), n[order]
     context, word = keys // vocabulary - first, keys % vocabulary
@@ -238,59 +234,53 @@ def _pair_shard(trie: Trie, shard: int, keys: np.ndarray, n: np.ndarray) -> byte
     group = np.cumsum(fresh) - 1
     base = np.concatenate(([0], np.cumsum(word[last] + 1)[:-1])) if len(word) else np.zeros(0, np.int64)
     values = (base[group] + word + 1).astype(np.uint64) if len(word) else np.zeros(0, np.uint64)
+    about_p, pointers = EliasFano.of(pointer).parts()
+    about_s, successors = EliasFano.of(values).parts()
+    return packed({"level": 2, "shard": shard, "pointers": about_p, "successors": about_s}, [*pointers, *successors, *_coded(n)])
+
+
+def _smoothed(trie: Trie, memory: np.ndarray) -> bytes:
+    """Level 2 of a shard: for the counts the probabilities of the pairs, and the contexts' back-off weights."""
+    head, arrays = unpacked(memory)
+    shard, discount = head["shard"], trie.about["discounts"][1]
+    first, n_contexts = int(trie.first[shard]), trie.words[shard].n
+    pointer = EliasFano.from_parts(head["pointers"], arrays[:4]).access(np.arange(n_contexts + 1)).astype(np.int64)
+    values = EliasFano.from_parts(head["successors"], arrays[4:8])
+    values = values.access(np.arange(pointer[-1])).astype(np.int64) if pointer[-1] else np.zeros(0, np.int64)
+    n = arrays[9][arrays[8]]
+    context = np.repeat(np.arange(n_contexts), np.diff(pointer))
+    start = pointer[:-1][context]
+    word = values - np.where(start > 0, values[np.maximum(start - 1, 0)], 0) - 1
     seen = trie.counts(np.arange(first, first + n_contexts))
     kept = np.bincount(context, weights=n - discount, minlength=n_contexts)
     backoff = 1.0 - kept / np.maximum(seen, 1)
-    lower = trie.unigram(trie.counts(word))
-    p = (n - discount) / seen[context] + backoff[context] * lower
-    about_p, pointers = EliasFano.of(pointer).parts()
-    about_s, successors = EliasFano.of(values).parts()
+    p = (n - discount) / seen[context] + backoff[context] * trie.unigram(trie.counts(word))
     # A context with successors has a step at least, so that a 0 says that it has none.
     weights = np.where(kept > 0, np.maximum(_quantised(backoff), 1), 0).astype(np.uint16)
-    return packed({"level": 2, "shard": shard, "pointers": about_p, "successors": about_s}, [*pointers, *successors, _quantised(p), weights])
+    return packed(head, [*arrays[:8], _quantised(p), weights])
 
 
 class Model:
-    """A handle of a trie in the shared folder: pickled into tasks, opened there once an executor."""
-
-    def __init__(self, about: dict):
-        self.about, self.files, self.name = about, [], f"trie-{uuid.uuid4().hex}"
-
-    def publish(self, spark: SparkSession, table: str) -> None:
-        """Lets executors fetch the files of a table of blobs, through Hadoop's file system API or the driver's file server."""
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        at = hadoop.Path(table)
-        for status in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at):
-            name = status.getPath().getName()
-            if name.endswith(".parquet"):
-                spark.sparkContext.addFile(status.getPath().toString())
-                self.files.append(name)
-        self.name = f"trie-{uuid.uuid4().hex}"
+    """A handle of a trie in the shared folder: pickled into tasks, opened there once a worker."""
+
+    def __init__(self, about: dict, where: str):
+        self.about, self.where = about, where
+        self.words: list[int] = []
+        self.pairs: list[int] = []
+        self.name = uuid.uuid4().hex
+
+    def file(self, level: str, shard: int) -> str:
+        return f"{self.where}/{level}-{shard}"
+
+    def changed(self) -> None:
+        """Gives the model a new name, so that workers open it anew."""
+        self.name = uuid.uuid4().hex
 
     def open(self) -> Trie:
-        """The trie, from maps of local files; the first worker of an executor unpacks what was fetched."""
         if _OPEN.get("name") != self.name:
-            memory = []
-            for name in self.files:
-                fetched = SparkFiles.get(name)
-                raw = f"{fetched}.raw"
-                if not os.path.exists(raw):
-                    blobs = pq.read_table(fetched, columns=["blob"]).column("blob").to_pylist()
-                    own = f"{raw}-{uuid.uuid4().hex}"
-                    with open(own, "wb") as f:
-                        for b in blobs:
-                            f.write(len(b).to_bytes(8, "little") + b)
-                    os.replace(own, raw)
-                if os.path.getsize(raw):
-                    # A plain view of the map, as numpy's own class costs time at every use.
-                    whole = np.memmap(raw, np.uint8, "r").view(np.ndarray)
-                    at = 0
-                    while at < len(whole):
-                        size = int.from_bytes(whole[at : at + 8].tobytes(), "little")
-                        memory.append(whole[at + 8 : at + 8 + size])
-                        at += 8 + size
+            files = [self.file("words", s) for s in self.words] + [self.file("pairs", s) for s in self.pairs]
             _OPEN.clear()
-            _OPEN.update(name=self.name, trie=Trie(self.about, memory))
+            _OPEN.update(name=self.name, trie=Trie(self.about, [view(f) for f in files]))
         return _OPEN["trie"]
 
 
@@ -309,21 +299,28 @@ def _discount(one: int, two: int) -> float:
 def train(texts: DataFrame, min_pair: int = MIN_PAIR) -> Model:
     """Counts all of the texts (column text; null: empty) and builds the trie.
 
-    The counts of a partition are summed in its task before they are shuffled. What the driver gets are a row a shard and
-    counts of counts.
+    The counts of a partition are summed in its task before they are shuffled, and those of a pair before they meet the others of their
+    shard. What the driver gets are a row a shard and counts of counts.
     """
     spark = texts.sparkSession
     words = saved(texts.select("text").mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
     total, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bits = max(1, (vocabulary // WORDS_PER_SHARD).bit_length())
+    about = {"shard_bits": bits, "first": [], "total": total, "vocabulary": vocabulary, "min_pair": min_pair, "discounts": [_discount(*_ones_and_twos(words)), 0.5]}
+    model = Model(about, new_path(spark, "lm-trie"))
+
+    def build_words(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(key[0])
+        put(model.file("words", shard), _word_shard(shard, pdf["key"].to_numpy().view(np.uint64), pdf["n"].to_numpy()))
+        return pd.DataFrame({"shard": [shard], "n": [len(pdf)]})
+
     # The top bits of a hash are its shard, so that shards follow the order of hashes.
     by_hash = words.withColumn("shard", F.shiftrightunsigned("key", 64 - bits).cast("int"))
-    table = new_path(spark, "lm-level1")
-    by_hash.groupBy("shard").applyInPandas(_word_shard, "shard int, n long, blob binary").write.parquet(table)
-    sizes = {r["shard"]: r["n"] for r in spark.read.parquet(table).select("shard", "n").collect()}
+    sizes = {r["shard"]: r["n"] for r in by_hash.groupBy("shard").applyInPandas(build_words, "shard int, n long").collect()}
+    discard(words)
     first = np.concatenate(([0], np.cumsum([sizes.get(s, 0) for s in range(1 << bits)])))[:-1]
-    model = Model({"shard_bits": bits, "first": first.tolist(), "total": total, "vocabulary": vocabulary, "min_pair": min_pair, "discounts": [_discount(*_ones_and_twos(words)), 0.5]})
-    model.publish(spark, table)
+    about["first"], model.words = first.tolist(), sorted(sizes)
+    model.changed()
     if not vocabulary:
         return model
 
@@ -342,21 +339,29 @@ def train(texts: DataFrame, min_pair: int = MIN_PAIR) -> Model:
         shard = np.searchsorted(first, batch.column("key").to_numpy() // vocabulary, "right") - 1
         return batch.append_column("shard", pa.array(shard.astype(np.int32)))
 
-    seen = Observation()
+    def build_counts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        shard, n = int(key[0]), pdf["n"].to_numpy()
+        kept = n >= min_pair
+        put(model.file("counts", shard), _count_shard(shard, int(first[shard]), sizes[shard], vocabulary, pdf["key"].to_numpy()[kept], n[kept]))
+        return pd.DataFrame({"shard": [shard], "one": [int((n == 1).sum())], "two": [int((n == 2).sum())]})
+
     counted = texts.select("text").mapInArrow(count_pairs, "key long, n long, shard int").groupBy("shard", "key").agg(F.sum("n").alias("n"))
-    counted = counted.observe(seen, F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"))
-    pairs = saved(counted.where(F.col("n") >= min_pair), "lm-pairs")
-    model.about["discounts"][1] = _discount(seen.get["one"], seen.get["two"])
-
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        blob = _pair_shard(model.open(), int(key[0]), pdf["key"].to_numpy(), pdf["n"].to_numpy())
-        return pd.DataFrame({"shard": [int(key[0])], "blob": [blob]})
-
-    # A new name, as the executors' copies still hold the discount from before.
-    model.name = f"trie-{uuid.uuid4().hex}"
-    table = new_path(spark, "lm-level2")
-    pairs.groupBy("shard").applyInPandas(build, "shard int, blob binary").write.parquet(table)
-    model.publish(spark, table)
+    built = counted.groupBy("shard").applyInPandas(build_counts, "shard int, one long, two long").collect()
+    about["discounts"][1] = _discount(sum(r["one"] for r in built), sum(r["two"] for r in built))
+    model.changed()
+
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for s in pdf["shard"].tolist():
+                put(model.file("pairs", s), _smoothed(model.open(), view(model.file("counts", s))))
+            yield pdf
+
+    shards = sorted(r["shard"] for r in built)
+    rows = spark.createDataFrame([(s,) for s in shards], "shard int").repartition(min(len(shards), 2_000))
+    model.pairs = sorted(r["shard"] for r in rows.mapInPandas(smooth, "shard int").collect())
+    for s in shards:
+        remove(model.file("counts", s))
+    model.changed()
     return model
 
 
@@ -364,7 +369,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     A null or empty text is the single token END. Unknown words share the probability that a model of its training words
-    leaves to them. Rows are independent; other columns are ignored.
+    leaves to them. Rows are independent, so repeated and equal texts have equal scores; an empty table gives an empty result, and a model of no
+    texts knows no word. Other columns are ignored.
     """
     total, vocabulary = model.about["total"], model.about["vocabulary"]
 
@@ -387,5 +393,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of all documents by a model of nine of the ten folds."""
     docs = documents(spark, sf_dir)
     return score(docs, train(docs.where(fold(F.col("doc_id"), 10) != 0)))
