@@ -15,7 +15,7 @@ from barspark.llm.mixing import mixing_stage
 from barspark.llm.pieces import pieces_stage
 from barspark.llm.quality import quality_stage
 from barspark.llm.secrets import secrets_stage
-from barspark.llm.storage import documents, saved
+from barspark.llm.storage import discard, documents, saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -33,6 +33,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        older, docs = docs, saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(older)
     return STAGES[-1][1](spark, docs, sf_dir)
