@@ -96,6 +96,25 @@ def test_a_filter_does_not_look_past_its_text():
 # ------------------------------------------------------------ 2 pieces
 
 
+def score_by_hand(net, data):
+    """The network's probability by loops over bytes, blocks and chunks."""
+    if not data:
+        return 1 / (1 + math.exp(-net.out_bias[0]))
+    z = [net.bias + sum(np.einsum("e,ef->f", net.embedding[data[p + k]], net.filters[k]) for k in range(quality.WIDTH) if p + k < len(data)) for p in range(len(data))]
+    peaks = [np.max(z[b : b + quality.BLOCK], axis=0) for b in range(0, len(data), quality.BLOCK)]
+    chunks = [np.maximum(np.maximum(p, q), 0) for p, q in zip(peaks, peaks[1:] + peaks[-1:], strict=True)]
+    features = np.concatenate((np.mean(chunks, axis=0), np.max(chunks, axis=0), np.min(chunks, axis=0)))
+    return 1 / (1 + math.exp(-(features @ net.out + net.out_bias[0])))
+
+
+def test_quality_scores_equal_the_loops():
+    draw = np.random.default_rng(6)
+    net = quality.train(["some words of text", "### $$$ |||", "more words"], [1, 0, 1], epochs=1)
+    texts = [bytes(draw.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 5, 63, 64, 65, 128, 129, 400, 0, 7)]
+    buf, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    assert quality.scores(net, buf, off) == pytest.approx([score_by_hand(net, t) for t in texts], abs=1e-4)
+
+
 @pytest.fixture(scope="module")
 def machine():
     return pieces.Transducer(pieces.load_model(pieces.public_model_path()))
@@ -244,6 +263,31 @@ def test_the_kernel_is_a_cosine_of_presence():
         assert value == pytest.approx(len(own & grams(t)) / math.sqrt(len(own) * len(grams(t))), rel=1e-5)
 
 
+def test_the_ridge_solution_equals_least_squares():
+    texts = ["the cat sat on the mat", "a dog ran over the hill", "les chats sont sur la table", "un chien court sur la colline", "die katze sitzt auf dem tisch", "ein hund rennt schnell"]
+    names = ["en", "en", "fr", "fr", "de", "de"]
+    model = languages.fit(texts, names)
+    grams = lambda t: {t.encode().lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1)}
+    marks = [t for x in sorted(set(names)) for t, y in zip(texts, names, strict=True) if x == y]
+    every = set().union(*map(grams, marks))
+    k = lambda a, b: len(grams(a) & grams(b) & every) / math.sqrt(len(grams(a) & every) * len(grams(b) & every))
+    learn = list(zip(texts, names, strict=True))
+    for size in languages.PIECES:
+        for n, (t, x) in enumerate(zip(texts, names, strict=True)):
+            at = (n * 7919) % max(1, len(t) - size)
+            learn.append((t[at : at + size], x))
+    values, vectors = np.linalg.eigh(np.array([[k(a, b) for b in marks] for a in marks]))
+    root = vectors / np.sqrt(np.maximum(values, 1e-6))
+    phi = np.array([[k(t, m) for m in marks] for t, _ in learn]) @ root
+    y = np.array([[float(x == z) for z in model.languages] for _, x in learn])
+    w = np.sqrt(1 / np.array([sum(x == z for _, z in learn) for _, x in learn]))[:, None]
+    both = np.concatenate((w * phi, math.sqrt(languages.RIDGE) * np.eye(len(marks))))
+    solved = np.linalg.lstsq(both, np.concatenate((w * y, np.zeros((len(marks), y.shape[1])))), rcond=None)[0]
+    asked = ["the dog sat", "la table", "der hund auf dem tisch"]
+    mine = languages._kernels(asked, model, languages.code_table(model.grams)) @ model.weights
+    assert mine == pytest.approx(np.array([[k(t, m) for m in marks] for t in asked]) @ root @ solved, abs=1e-3)
+
+
 # ------------------------------------------------------------ 6 mixing
 
 
@@ -283,6 +327,28 @@ def test_mix_meets_its_targets_and_repeats(spark, sf):
     assert all(abs(taken[s] - targets[s]) < 0.05 * targets[s] + 20 for s in targets)
 
 
+def test_no_other_rates_that_meet_the_targets_are_closer(spark):
+    draw = np.random.default_rng(9)
+    sizes = [int(n) for n in np.concatenate((draw.integers(1, 40, 30), draw.integers(100, 3000, 30)))]
+    table = spark.createDataFrame([(k, " ".join(["w"] * n), f"s{k % 3}") for k, n in enumerate(sizes)], "doc_id long, text string, source string")
+    rows = mixing.mix(table).collect()
+    top = max(sizes)
+    for source in ("s0", "s1", "s2"):
+        part = [r for r in rows if r["source"] == source]
+        n, rate = np.array([r["size"] for r in part], float), np.array([r["rate"] for r in part])
+        assert (n * rate).sum() == pytest.approx(part[0]["target"], rel=2e-6)
+        weight = n / (1 + np.log1p(n) / (1 + np.log1p(top)))
+        cost = lambda r: (weight * (r * np.log(np.maximum(r, 1e-12)) - r)).sum()  # noqa: B023, E731
+        for _ in range(200):
+            i, j = draw.choice(len(part), 2, replace=False)
+            moved = rate.copy()
+            step = draw.normal() * min(n[i], n[j]) * 0.05
+            moved[i] += step / n[i]
+            moved[j] -= step / n[j]
+            if 0 <= moved.min() and moved.max() <= mixing.MAX_COPIES:
+                assert cost(moved) >= cost(rate) - 1e-3
+
+
 def test_mix_of_odd_rows(spark, odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 10 and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
