@@ -32,4 +32,31 @@ QUERIES: dict[str, Query] = {
     "op10_secret_ledger": op10_secret_ledger,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Joined by shingle, so every pair of texts that share one is counted; for tables of the size of tests.
+_SIMILAR_SQL = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents),
+classed AS (SELECT doc_id, words, array_to_string(words, ' ') AS class FROM worded),
+classes AS (SELECT class, any_value(words) AS words, min(doc_id) AS least FROM classed WHERE len(words) > 0 GROUP BY class),
+shingles AS (
+    SELECT DISTINCT class, CASE WHEN len(words) < 4 THEN class ELSE array_to_string(words[k:k + 3], ' ') END AS shingle
+    FROM (SELECT class, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS k FROM classes)),
+sizes AS (SELECT class, count(*) AS n FROM shingles GROUP BY class),
+shared AS (
+    SELECT a.class AS u, b.class AS v, count(*) AS common
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.class < b.class GROUP BY u, v),
+links AS (
+    SELECT u, v FROM shared JOIN sizes x ON x.class = u JOIN sizes y ON y.class = v
+    WHERE 100 * common >= 85 * (x.n + y.n - common)),
+ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reached AS (
+    SELECT class, class AS other FROM classes
+    UNION
+    SELECT r.class, w.v FROM reached r JOIN ways w ON w.u = r.other),
+components AS (SELECT r.class, min(c.least) AS component FROM reached r JOIN classes c ON c.class = r.other GROUP BY r.class)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.component, d.doc_id) AS component_id
+FROM classed d LEFT JOIN sizes s ON s.class = d.class LEFT JOIN components c ON c.class = d.class
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_t_occurrence_join": _SIMILAR_SQL}
