@@ -2,7 +2,8 @@
 
 Three transducers are compiled from a model file:
 
-* the normaliser rewrites a space to the mark U+2581 and puts one in front (two states: before and after the start);
+* the normaliser (normaliser.py) applies the model's character rewrites, removes extra white space if the model says so, rewrites a
+  space to the mark U+2581 and puts one in front;
 * the lexicon, a trie of the pieces' characters, reads a piece and writes its number; a character that is no piece
   is read by the byte fallback, which writes the pieces of its UTF-8 bytes;
 * the grammar weighs sequences of pieces. For a unigram model it has one state and each piece costs its negative score.
@@ -14,8 +15,9 @@ Composition with an input is lazy: the input is an acyclic acceptor, so the shor
 (sum along a path, minimum over paths) is found in order of position. Arcs of the grammar are compiled
 when first met and kept.
 
-No piece of a model that splits at white space goes on with a mark after another character, so the lattice of a text
+No piece of a BPE model that splits at white space goes on with a mark after another character, so the lattice of a text
 falls into parts of one word at a state with a single path through it; shortest paths of words are kept, up to a bound.
+A unigram model's lattice is that of the whole text: paths of equal cost are told apart by the rounding of their sums.
 """
 
 from __future__ import annotations
@@ -23,16 +25,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barspark.llm.normaliser import MARK, Normaliser, rewrites_of
 from barspark.llm.storage import documents
 
-MARK = "▁"
 #: Entries of a worker's caches; a full cache makes room, which costs time but changes nothing.
 MOST_WORDS, MOST_PAIRS, LONGEST_WORD = 300_000, 500_000, 48
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -47,25 +49,31 @@ class PieceModel:
     kinds: list[int]
     bpe: bool
     dummy_prefix: bool
+    shorten: bool = False
+    rewrites: dict[str, str] = field(default_factory=dict)
 
 
 def load_model(path: str) -> PieceModel:
-    """Reads a model file. Models with their own table of character rewrites are refused, as is any that needs one."""
+    """Reads a model file: unigram or BPE, with any normaliser that writes white space as marks in front of words."""
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
-    if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
-        raise ValueError("only the identity normaliser is compiled")
+    if not proto.normalizer_spec.escape_whitespaces:
+        raise ValueError("only models that escape white space are compiled")
     if proto.trainer_spec.model_type not in (_UNIGRAM, _BPE) or proto.trainer_spec.treat_whitespace_as_suffix:
         raise ValueError("only unigram and BPE models with white space in front are compiled")
+    if proto.trainer_spec.model_type == _BPE and any(p.type == _UNUSED for p in proto.pieces):
+        raise ValueError("BPE models with unused pieces are not compiled")
     return PieceModel(
         [p.piece for p in proto.pieces],
         [p.score for p in proto.pieces],
         [p.type for p in proto.pieces],
         proto.trainer_spec.model_type == _BPE,
         proto.normalizer_spec.add_dummy_prefix,
+        proto.normalizer_spec.remove_extra_whitespaces,
+        rewrites_of(proto.normalizer_spec.precompiled_charsmap),
     )
 
 
@@ -81,13 +89,20 @@ class Transducer:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.ids = {p: k for k, (p, kind) in enumerate(zip(model.pieces, model.kinds, strict=True)) if kind in (_NORMAL, _USER, _UNUSED)}
+        self.ids = {p: k for k, (p, kind) in enumerate(zip(model.pieces, model.kinds, strict=True)) if kind in (_NORMAL, _USER)}
+        # Symbols of the user are read whole: they cost less than any other way, and merging does not touch them.
+        users = sorted((p for p, kind in zip(model.pieces, model.kinds, strict=True) if kind == _USER), key=len, reverse=True)
+        self.normalised = Normaliser(model.rewrites, frozenset(users), model.dummy_prefix, model.shorten)
+        self.frozen = re.compile("(" + "|".join(map(re.escape, users)) + ")") if users and model.bpe else None
         self.bytes = {int(p[3:5], 16): k for k, (p, kind) in enumerate(zip(model.pieces, model.kinds, strict=True)) if kind == _BYTE}
         self.unknown = next((k for k, kind in enumerate(model.kinds) if kind == _UNKNOWN), 0)
         # The lexicon: prefix -> can be continued.
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p))}
         self.costs = {p: -model.scores[k] for p, k in self.ids.items()}
-        self.fallback_cost = max(self.costs.values(), default=0.0) + 10.0
+        usual = [-s for s, kind in zip(model.scores, model.kinds, strict=True) if kind == _NORMAL]
+        self.fallback_cost = max(usual, default=0.0) + 10.0
+        if not model.bpe:
+            self.costs |= {p: min(usual, default=0.0) * len(p.encode()) + 0.1 for p in users}
         self.sound: dict[str, bool] = {}
         self.halves: dict[str, tuple[str, str]] = {}
         self.words: dict[str, bytes] = {}
@@ -103,15 +118,11 @@ class Transducer:
         letters = {c for p in self.ids for c in p}
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         alone = "".join(c for c in "\n\r\t" if c not in letters)
-        self.parts = None if inner else re.compile(rf"[{re.escape(alone)}]|{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+" if alone else rf"{MARK}*[^{MARK}]+|{MARK}+")
+        self.parts = None if inner or not model.bpe else re.compile(rf"[{re.escape(alone)}]|{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+" if alone else rf"{MARK}*[^{MARK}]+|{MARK}+")
         # What a piece decodes to: bytes, so that byte pieces join with others.
         self.decoded = [b"" if kind in (_CONTROL,) else (bytes([int(p[3:5], 16)]) if kind == _BYTE else p.replace(MARK, " ").encode()) for p, kind in zip(model.pieces, model.kinds, strict=True)]
         self.decoded[self.unknown] = " ⁇ ".encode()
 
-    def normalised(self, text: str) -> str:
-        """What the normaliser writes for a text; an empty text stays empty."""
-        return (MARK if text and self.model.dummy_prefix else "") + text.replace(" ", MARK)
-
     def _merged(self, text: str) -> list[str]:
         """Merging of neighbours in order of score, leftmost first among equals; compiles arcs of the grammar."""
         symbols = list(text)
@@ -214,13 +225,13 @@ class Transducer:
         return path
 
     def _least_cost(self, text: str) -> list[str]:
-        """Unigram: arcs relaxed in order of position, one state a position."""
+        """Unigram: arcs relaxed in order of position, one state a position. Sums are single floats, whose rounding decides between equal paths."""
         n = len(text)
         best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * n
         for i in range(n):
             cost = best[i][0]
             for piece in self._arcs(text, i):
-                weight = cost + self.costs.get(piece, self.fallback_cost)
+                weight = float(np.float32(cost + self.costs.get(piece, self.fallback_cost)))
                 if weight < best[i + len(piece)][0]:
                     best[i + len(piece)] = (weight, i)
         out, at = [], n
@@ -287,8 +298,23 @@ class Transducer:
         """The numbers of a text's pieces as little-endian 32-bit integers."""
         text = self.normalised(text or "")
         words = self.words
-        parts = self.parts.findall(text) if self.parts else [text] if text else []
-        return b"".join([words.get(w) or self._word(w) for w in parts])
+        if self.frozen:
+            # A group in the pattern makes every second part a symbol of the user.
+            frozen = self.frozen.split(text)
+            return self._joined([self.raw[self.ids[part]] if k % 2 else words.get(w) or self._word(w) for k, part in enumerate(frozen) for w in ([part] if k % 2 else self._words_of(part))])
+        return self._joined([words.get(w) or self._word(w) for w in self._words_of(text)])
+
+    def _words_of(self, text: str) -> list[str]:
+        return self.parts.findall(text) if self.parts else [text] if text else []
+
+    def _joined(self, out: list[bytes]) -> bytes:
+        """All numbers in a row; without byte pieces, unknown characters beside each other are one unknown piece."""
+        data = b"".join(out)
+        if self.bytes:
+            return data
+        numbers = np.frombuffer(data, "<i4")
+        again = (numbers[1:] == self.unknown) & (numbers[:-1] == self.unknown)
+        return numbers[np.concatenate(([True], ~again))].tobytes() if len(numbers) else data
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
@@ -296,9 +322,15 @@ class Transducer:
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of a sequence of pieces: marks become spaces, the one put in front goes, broken UTF-8 is replaced."""
         table = self.decoded
-        data = b"".join([table[k] for k in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])
-        text = data.decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        parts = [table[k] for k in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]
+        if self.model.dummy_prefix or self.model.shorten:
+            # Of the pieces in front, one mark each goes, up to the first that leaves something; without shortening the first piece alone.
+            for k, part in enumerate(parts):
+                if part.startswith(b" ") and part is not table[self.unknown]:
+                    parts[k] = part[1:]
+                if parts[k] or not self.model.shorten:
+                    break
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 _COMPILED: dict[int, Transducer] = {}
