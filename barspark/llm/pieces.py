@@ -100,9 +100,9 @@ class Transducer:
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p))}
         self.costs = {p: -model.scores[k] for p, k in self.ids.items()}
         usual = [-s for s, kind in zip(model.scores, model.kinds, strict=True) if kind == _NORMAL]
-        self.fallback_cost = max(usual, default=0.0) + 10.0
+        self.fallback_cost = float(np.float32(max(usual, default=0.0) + 10.0))
         if not model.bpe:
-            self.costs |= {p: min(usual, default=0.0) * len(p.encode()) + 0.1 for p in users}
+            self.costs |= {p: float(np.float32(min(usual, default=0.0) * len(p.encode()))) + 0.1 for p in users}
         self.sound: dict[str, bool] = {}
         self.halves: dict[str, tuple[str, str]] = {}
         self.words: dict[str, bytes] = {}
