@@ -178,6 +178,8 @@ def duplicate_lines(buf: np.ndarray, off: np.ndarray, word_start: np.ndarray) ->
     ends = np.minimum(np.where(broken, following - 1, following), off[text + 1])
     has_word = np.searchsorted(word_start, ends) > np.searchsorted(word_start, starts)
     starts, ends, text = starts[has_word], ends[has_word], text[has_word]
+    if not len(starts):
+        return out
     h = span_hashes(buf, starts, ends) ^ (text.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
     order = np.lexsort((h, text))
     again = np.concatenate(([False], (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])))

@@ -431,6 +431,14 @@ def test_rules_by_hand(docs, odd, none):
     assert repetition.repetition_rules(none).count() == 0
 
 
+@pytest.mark.parametrize("texts", [["\n"], ["\n\n", " \n\t", "", None], [None], [" "], ["one"]])
+def test_rules_of_slices_without_words_or_lines(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = repetition.repetition_rules(frame).collect()
+    assert [r["doc_id"] for r in rows] == list(range(len(texts)))
+    assert all((r["n_dup_lines"], r["n_repeat_words"], r["kept"]) == (0, 0, False) for r in rows)
+
+
 # ------------------------------------------------------------ 8 fingerprints
 
 
