@@ -16,6 +16,7 @@ from barspark.llm.quality import op1_byte_convolution
 from barspark.llm.repetition import op7_suffix_repetition
 from barspark.llm.secrets import op10_secret_ledger
 from barspark.llm.sharding import op4_jump_sharding
+from barspark.llm.urlfilter import op13_redirect_equivalence
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Query] = {
     "op8_chunk_fingerprints": op8_chunk_fingerprints,
     "op9_t_occurrence_join": op9_t_occurrence_join,
     "op10_secret_ledger": op10_secret_ledger,
+    "op13_redirect_equivalence": op13_redirect_equivalence,
 }
 
 #: Joined by shingle, so every pair of texts that share one is counted; for tables of the size of tests.
@@ -59,4 +61,46 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.component, d
 FROM classed d LEFT JOIN sizes s ON s.class = d.class LEFT JOIN components c ON c.class = d.class
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_t_occurrence_join": _SIMILAR_SQL}
+#: Links in the plain forms that SQL can pick out: absolute, in double quotes, rel or http-equiv first.
+_URL_SQL = r"""
+WITH RECURSIVE parsed AS (
+    SELECT row_number() OVER () AS row_id, page_id, html, contains(url, '://') AS good,
+        CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest
+    FROM pages),
+placed AS (
+    SELECT row_id, page_id, html, good, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail
+    FROM parsed),
+linked AS (
+    SELECT p.host || p.tail AS u, substring(t.target, instr(t.target, '://') + 3) AS rest
+    FROM placed p, (
+        SELECT row_id, unnest(list_concat(
+            regexp_extract_all(html, '<link rel="canonical" href="([^"]*)"', 1),
+            regexp_extract_all(html, '<meta http-equiv="refresh" content="0; ?url=([^"]*)"', 1))) AS target
+        FROM placed) t
+    WHERE p.row_id = t.row_id AND p.good AND contains(t.target, '://')),
+edges AS (
+    SELECT u, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS v
+    FROM linked),
+ways AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
+reached AS (
+    SELECT u AS a, u AS b FROM ways
+    UNION
+    SELECT r.a, w.v FROM reached r JOIN ways w ON w.u = r.b),
+rules(h, p, rule, verdict) AS (VALUES
+    ('org', '/', 'org/', 'allow'), ('example.org', '/es/', 'example.org/es/', 'block'), ('example.org', '/en/1', 'example.org/en/1', 'block'),
+    ('com', '/fr/', 'com/fr/', 'allow'), ('com', '/de/', 'com/de/', 'block')),
+spots AS (
+    SELECT DISTINCT host, path FROM placed
+    UNION SELECT regexp_extract(a, '^[^/?]*'), regexp_extract(a, '^[^/?]*([^?]*)', 1) FROM reached),
+fits AS (
+    SELECT s.host, s.path, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
+    FROM spots s JOIN rules r ON (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, r.p) GROUP BY s.host, s.path),
+classes AS (
+    SELECT r.a, min(r.b) AS alias_of, count(*) FILTER (f.verdict = 'block') > 0 AS blocked
+    FROM reached r LEFT JOIN fits f ON f.host = regexp_extract(r.b, '^[^/?]*') AND f.path = regexp_extract(r.b, '^[^/?]*([^?]*)', 1) GROUP BY r.a)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN c.blocked THEN 'block' ELSE 'allow' END) AS verdict, c.alias_of
+FROM placed p LEFT JOIN fits f ON f.host = p.host AND f.path = p.path LEFT JOIN classes c ON p.good AND c.a = p.host || p.tail
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_t_occurrence_join": _SIMILAR_SQL, "op13_redirect_equivalence": _URL_SQL}

@@ -1,5 +1,8 @@
 """Registered queries against the SQL that says the same."""
 
+import glob
+import os
+
 import duckdb
 import pytest
 
@@ -8,7 +11,8 @@ from barspark.llm.queries import ORACLE_SQL, QUERIES
 
 def duck(folder):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for path in glob.glob(f"{folder}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     return con
 
 
