@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barspark.llm.chunking import op8_chunk_fingerprints
+from barspark.llm.conversations import op12_tight_arcs
 from barspark.llm.jaccard import op9_t_occurrence_join
 from barspark.llm.languages import op5_kernel_languages
 from barspark.llm.mixing import op6_entropy_mixing
@@ -31,6 +32,7 @@ QUERIES: dict[str, Query] = {
     "op8_chunk_fingerprints": op8_chunk_fingerprints,
     "op9_t_occurrence_join": op9_t_occurrence_join,
     "op10_secret_ledger": op10_secret_ledger,
+    "op12_tight_arcs": op12_tight_arcs,
     "op13_redirect_equivalence": op13_redirect_equivalence,
 }
 
