@@ -11,6 +11,7 @@ from barspark.llm.conversations import op12_tight_arcs
 from barspark.llm.jaccard import op9_t_occurrence_join
 from barspark.llm.languages import op5_kernel_languages
 from barspark.llm.mixing import op6_entropy_mixing
+from barspark.llm.negatives import op11_dual_tree
 from barspark.llm.ngrams import op3_elias_fano_lm
 from barspark.llm.pieces import op2_piece_transducer
 from barspark.llm.quality import op1_byte_convolution
@@ -32,6 +33,7 @@ QUERIES: dict[str, Query] = {
     "op8_chunk_fingerprints": op8_chunk_fingerprints,
     "op9_t_occurrence_join": op9_t_occurrence_join,
     "op10_secret_ledger": op10_secret_ledger,
+    "op11_dual_tree": op11_dual_tree,
     "op12_tight_arcs": op12_tight_arcs,
     "op13_redirect_equivalence": op13_redirect_equivalence,
 }
@@ -105,4 +107,23 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN c.blocke
 FROM placed p LEFT JOIN fits f ON f.host = p.host AND f.path = p.path LEFT JOIN classes c ON p.good AND c.a = p.host || p.tail
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_t_occurrence_join": _SIMILAR_SQL, "op13_redirect_equivalence": _URL_SQL}
+#: All scores of all anchors, for tables of the size of tests.
+_NEGATIVES_SQL = """
+WITH valid AS (
+    SELECT row_number() OVER () AS row_id, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.row_id AS anchor_row, a.vec_id AS anchor_id, b.row_id, b.vec_id, a.label = b.label AS same, coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+    FROM valid a JOIN valid b ON a.vec_id % 100 = 0 AND a.row_id <> b.row_id),
+positives AS (
+    SELECT *, row_number() OVER (PARTITION BY anchor_row ORDER BY score DESC, vec_id NULLS LAST) AS band FROM scored WHERE same QUALIFY band <= 5),
+negatives AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_row, p.band ORDER BY n.score DESC, n.vec_id NULLS LAST)::INT AS rank
+    FROM positives p JOIN scored n ON n.anchor_row = p.anchor_row AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT * FROM negatives WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_dual_tree": _NEGATIVES_SQL, "op9_t_occurrence_join": _SIMILAR_SQL, "op13_redirect_equivalence": _URL_SQL}
