@@ -95,8 +95,9 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     """path, version columns of versions with blob and spans: array of (start, kind, end), sorted.
 
     versions has id columns and content. New pairs of blob and rule version are scanned and appended to the ledger;
-    a blob without findings is remembered too. A null content is an empty one. Repeated and identical versions are
-    scanned once. kind is the number of the rule. Equal rows stay as many rows as they are.
+    a blob without findings is remembered too. A null content is an empty one. Identical versions under other ids are
+    scanned once, and the ledger has one row a blob and rule version. kind is the number of the rule. Equal rows stay as many rows
+    as they are. An empty table scans nothing; texts of any length are scanned whole.
     """
     spark, version = versions.sparkSession, version_of(rules)
     ids = [c for c in versions.columns if c != "content"]
@@ -110,13 +111,14 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     known = _seen(spark, ledger, "scans", schema).where(F.col("rule_version") == version)
     unseen = first.join(known.select("blob"), "blob", "left_anti").select("blob", F.struct("blob", "_first").alias("_k"))
     unseen = unseen.select(F.col("_k.blob").alias("blob"), *(F.col(f"_k._first.{c}").alias(c) for c in ids))
-    # One version of each unseen blob carries the text to its scan: ids are no hot keys, as blobs could be.
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"u.{c}")) for c in ids]
-    todo = addressed.select(*ids, text.alias("_text")).alias("a").join(unseen.alias("u"), same, "left_semi")
+    # One version of each unseen blob carries the text to its scan. Its ids and its blob are the key: a path brings only its new versions, and
+    # null ids, or copies of one blob, don't meet in one task. Few unseen blobs are broadcast, and then no text moves.
+    same = [F.col("a.blob") == F.col("u.blob"), *(F.col(f"a.{c}").eqNullSafe(F.col(f"u.{c}")) for c in ids)]
+    todo = addressed.select(*ids, "blob", text.alias("_text")).alias("a").join(unseen.alias("u"), same, "left_semi")
     found = F.array_sort(F.concat(*(spans_of(F.col("_text"), r, k) for k, r in enumerate(rules))))
-    scanned = todo.select(F.sha2(F.encode("_text", "UTF-8"), 256).alias("blob"), F.lit(version).alias("rule_version"), found.alias("spans"))
-    scanned.write.mode("append").parquet(f"{ledger}/scans")
-    # Equal ids with equal texts would be scanned twice; any of their equal findings serves.
+    # Rows that repeat in ids and content are alike and have equal findings, of which the ledger keeps one.
+    scanned = todo.select("blob", found.alias("spans")).groupBy("blob").agg(F.max("spans").alias("spans"))
+    scanned.select("blob", F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(f"{ledger}/scans")
     everything = _seen(spark, ledger, "scans", schema).where(F.col("rule_version") == version)
     hits = everything.where(F.size("spans") > 0).groupBy("blob").agg(F.max("spans").alias("spans"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
@@ -132,7 +134,8 @@ def written(spans: Column, kinds: list[str]) -> Column:
 def secret_report(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    A null or empty text has no findings; its base_sha256 is that of the empty string. Other columns are ignored.
+    A null or empty text has no findings; its base_sha256 is that of the empty string. An empty table gives an empty result. Other
+    columns are ignored.
     """
     kinds = [r.kind for r in rules]
     found = scan(docs.select("doc_id", F.col("text").alias("content")), ledger, rules)
