@@ -1,7 +1,7 @@
 """Recursive indicators: one grouped pass computes all that a query needs.
 
-A recurrence over the bars of a symbol has no window form, so the bars of a symbol go through one pandas kernel, once, with only the
-columns that are needed. Exponential averages weigh the first value fully, and a gap decays what came before it.
+A recurrence over the bars of a symbol has no window form, but it is an affine map; functions/recurrence.py runs such maps over blocks of
+bars inside the JVM. The pandas forms of the same lines serve user code that runs in Python anyway, and tests.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from barspark.functions.recurrence import along, as_bars, averaged, before, blocks_of, extreme
 
 
 @dataclass(frozen=True)
@@ -108,18 +110,108 @@ def computed(bars: pd.DataFrame, scan: Scan) -> list[pd.Series]:
     raise ValueError(f"unknown recurrence {scan.kind}")
 
 
+class _Plan:
+    """The arrays that scans need, each once: inputs along the bars, then two levels of averages with what stands between them."""
+
+    def __init__(self) -> None:
+        self.level0: dict[str, Column] = {}
+        self.first: dict[str, tuple[str, float]] = {}
+        self.level1: dict[str, Column] = {}
+        self.second: dict[str, tuple[str, float]] = {}
+        self.level2: dict[str, Column] = {}
+
+    def average(self, xs: str, alpha: float, second: bool = False) -> str:
+        name = f"_e_{xs}_{alpha!r}".replace(".", "p").replace("-", "m")
+        (self.second if second else self.first)[name] = (xs, alpha)
+        return name
+
+    def source(self, column: str) -> str:
+        self.level0[f"_in_{column}"] = along(f"_x_{column}", lambda x, i: x)
+        return f"_in_{column}"
+
+    def rsi(self, n: int) -> str:
+        xs = "_x_close"
+        change = lambda x, i: x - before(xs, i)
+        clipped = lambda v: F.when(v.isNotNull(), F.greatest(v, F.lit(0.0)))
+        self.level0["_gain"] = along(xs, lambda x, i: clipped(change(x, i)))
+        self.level0["_loss"] = along(xs, lambda x, i: clipped(-change(x, i)))
+        gain, loss, name = self.average("_gain", 1.0 / n), self.average("_loss", 1.0 / n), f"_rsi_{n}"
+        # 100 where there was no loss but a gain, null where there was neither.
+        line = lambda g, l: F.when(l == 0, F.when(g > 0, F.lit(100.0))).otherwise(100 - 100 / (1 + g / l))  # noqa: E731, E741
+        self.level1[name] = F.zip_with(gain, loss, line)
+        return name
+
+    def kdj(self, n: int, m1: int, m2: int) -> tuple[str, str, str]:
+        rsv = f"_rsv_{n}"
+
+        def line(x: Column, i: Column) -> Column:
+            low, high = extreme("_x_low", i, n, F.array_min), extreme("_x_high", i, n, F.array_max)
+            return F.when(high != low, 100 * (x - low) / (high - low))
+
+        self.level0[rsv] = along("_x_close", line)
+        k = self.average(rsv, 1.0 / m1)
+        return rsv, k, self.average(k, 1.0 / m2, second=True)
+
+    def dmi(self, n: int) -> tuple[str, str, str]:
+        up = lambda i: F.get("_x_high", i) - before("_x_high", i)
+        down = lambda i: before("_x_low", i) - F.get("_x_low", i)
+        move = lambda a, b: F.coalesce(F.when((a > b) & (a > 0), a), F.lit(0.0))
+        self.level0["_plus"] = along("_x_high", lambda x, i: move(up(i), down(i)))
+        self.level0["_minus"] = along("_x_high", lambda x, i: move(down(i), up(i)))
+        close = lambda i: before("_x_close", i)
+        self.level0["_range"] = along("_x_high", lambda x, i: F.greatest(x - F.get("_x_low", i), F.abs(x - close(i)), F.abs(F.get("_x_low", i) - close(i))))
+        atr, plus, minus = (self.average(x, 2.0 / (n + 1)) for x in ("_range", "_plus", "_minus"))
+        share = lambda v, a: F.when(a != 0, 100 * v / a)
+        self.level1[f"_pdi_{n}"], self.level1[f"_mdi_{n}"] = F.zip_with(plus, atr, share), F.zip_with(minus, atr, share)
+        dx = lambda r, p, m: F.when(p + m != 0, 100 * F.abs(p - m) / (p + m))
+        part = lambda v, i: F.when(F.get(atr, i) != 0, 100 * v / F.get(atr, i))
+        self.level1[f"_dx_{n}"] = F.transform(plus, lambda v, i: dx(None, part(v, i), part(F.get(minus, i), i)))
+        return f"_pdi_{n}", f"_mdi_{n}", self.average(f"_dx_{n}", 2.0 / (n + 1), second=True)
+
+    def lines(self, scan: Scan, columns: list[str]) -> list[str]:
+        """The array columns of a scan's outputs."""
+        a, minus = scan.args, lambda x, y: x - y
+        j = lambda k, d: 3 * k - 2 * d
+        source = scan.source if scan.source in columns else "close"
+        if scan.kind == "ema":
+            return [self.average(self.source(source), 2.0 / (a[0] + 1))]
+        if scan.kind == "macd":
+            fast, slow = (self.average(self.source(source), 2.0 / (n + 1)) for n in a[:2])
+            dif, hist = f"_dif_{scan.prefix}", f"_hist_{scan.prefix}"
+            self.level1[dif] = F.zip_with(fast, slow, minus)
+            signal = self.average(dif, 2.0 / (a[2] + 1), second=True)
+            self.level2[hist] = F.zip_with(dif, signal, minus)
+            return [dif, signal, hist]
+        if scan.kind == "rsi":
+            return [self.rsi(int(a[0]))]
+        if scan.kind == "kdj":
+            rsv, k, d = self.kdj(*map(int, a[:3]))
+            self.level2[f"_j_{scan.prefix}"] = F.zip_with(k, d, j)
+            return [rsv, k, d, f"_j_{scan.prefix}"]
+        if scan.kind == "dmi":
+            return list(self.dmi(int(a[0])))
+        if scan.kind == "jae":
+            fast = self.rsi(int(a[0]))
+            _, k, d = self.kdj(*map(int, a[1:4]))
+            self.level2[f"_j_{scan.prefix}"] = F.zip_with(k, d, j)
+            return [fast, f"_j_{scan.prefix}", self.average(fast, 2.0 / (a[4] + 1), second=True)]
+        raise ValueError(f"unknown recurrence {scan.kind}")
+
+
 def with_scans(bars: DataFrame, scans: Iterable[Scan], key: str = "symbol", ts: str = "ts") -> DataFrame:
-    """bars with the output columns of all scans, in one grouped pass; duplicates of a scan are computed once."""
+    """bars with the output columns of all scans, from one shuffle and without Python; a scan that repeats is computed once.
+
+    A series of any length is cut into blocks (functions/recurrence.py). Missing values are null, never NaN, so that comparisons stay unknown.
+    """
     scans = list(dict.fromkeys(scans))
     if not scans:
         return bars
-    outputs = [o for s in scans for o in s.outputs]
-    schema = T.StructType([*bars.schema.fields, *(T.StructField(o, T.DoubleType()) for o in outputs)])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable", ignore_index=True)
-        new = {o: x for s in scans for o, x in zip(s.outputs, computed(pdf, s), strict=True)}
-        # Missing values become null, never NaN, so that comparisons stay unknown.
-        return pdf.assign(**{o: x.astype("Float64").where(x.notna(), None) for o, x in new.items()})
-
-    return bars.groupBy(key).applyInPandas(run, schema)
+    plan = _Plan()
+    outputs = {o: line for s in scans for o, line in zip(s.outputs, plan.lines(s, bars.columns), strict=True)}
+    inputs = sorted({c if c in bars.columns else "close" for s in scans for c in s.inputs})
+    halo = max([1, *(int(s.args[0 if s.kind == "kdj" else 1]) - 1 for s in scans if s.kind in ("kdj", "jae"))])
+    blocks = blocks_of(bars, key, ts, inputs, halo).let(**plan.level0)
+    blocks = averaged(blocks, plan.first).let(**plan.level1)
+    if plan.second:
+        blocks = averaged(blocks, plan.second).let(**plan.level2)
+    return as_bars(blocks, outputs)
