@@ -3,72 +3,18 @@
 from __future__ import annotations
 
 import gc
-import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
-
-#: A table of at most so many bytes, as its rows are in memory, is broadcast; a larger one is joined by shuffles.
-MOST_BROADCAST_BYTES = 32 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, one in the warehouse, if executors see that as well."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master) and warehouse.startswith(("file:", "/")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return warehouse + "/barspark-tables"
-
-
-def row_bytes(schema: StructType) -> Column:
-    """About how many bytes a row takes in memory: 16 a value, and the content of texts, binaries and arrays."""
-    total = F.lit(16 * max(1, len(schema.fields)))
-    for field in schema.fields:
-        at = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, StringType | BinaryType):
-            total = total + F.coalesce(F.octet_length(at), F.lit(0))
-        elif isinstance(field.dataType, ArrayType):
-            inner = field.dataType.elementType
-            if isinstance(inner, StringType | BinaryType):
-                total = total + F.coalesce(F.aggregate(at, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16), F.lit(0))
-            else:
-                total = total + F.coalesce(F.greatest(F.size(at), F.lit(0)), F.lit(0)) * F.lit(16)
-    return total.cast("long")
-
-
-def attached(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """rows joined with a saved table that has one row a key.
-
-    Up to MOST_BROADCAST_BYTES, summed over its rows first, it is broadcast, so that a hot key moves no rows; beyond that the join shuffles, and
-    Spark's adaptive execution splits what is skewed.
-    """
-    taken = table.agg(F.sum(row_bytes(table.schema))).first()[0] or 0
-    return rows.join(F.broadcast(table) if taken <= MOST_BROADCAST_BYTES else table, on, how)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from pyspark.sql import DataFrame, SparkSession
 
+from barspark.sources.scratch import attached, removed, row_bytes, shared_dir
+from barspark.sources.scratch import folder as new_path
+from barspark.sources.scratch import written as saved
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again, which cuts its lineage.
-
-    A lost executor costs nothing afterwards: every later task reads the files.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_at = path
-    return out
+__all__ = ["attached", "discard", "documents", "new_path", "put", "remove", "row_bytes", "saved", "shared_dir", "view"]
 
 
 def discard(df: DataFrame) -> None:
@@ -77,11 +23,9 @@ def discard(df: DataFrame) -> None:
     Space on the driver's and executors' disks that its shuffles held is freed with it, when the JVM next collects garbage;
     it is asked to do so now, as it sees the size of its heap and not that of the disks.
     """
-    spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    removed(df.sparkSession, df.saved_at)
     gc.collect()
-    spark._jvm.System.gc()
+    df.sparkSession._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
