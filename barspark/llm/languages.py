@@ -25,6 +25,8 @@ from barspark.llm.textbytes import LOWER, slices
 #: The bound of the training sample: about so many texts a language. Of them so many are landmarks, fewer where there are over 64
 #: languages, but one at least, so that the kernel matrix of landmarks stays small.
 SAMPLE_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, LANDMARKS = 300, 24, 1536
+#: Texts of all languages, about, and bytes of those of one, at most but for the last text.
+SAMPLE, SAMPLE_BYTES = 30_000, 16 << 20
 RIDGE, SHARPNESS = 1e-3, 8.0
 #: Besides whole texts, pieces of so many bytes from the sample are learnt from, as short texts have few n-grams.
 PIECES = (24, 80)
@@ -159,9 +161,12 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def fit_languages(docs: DataFrame) -> LanguageModel:
-    """Fits to a sample of about SAMPLE_PER_LANGUAGE texts for each language that the learning fold has."""
+    """Fits to at most SAMPLE_PER_LANGUAGE texts for each language that the learning fold has, SAMPLE in all, and SAMPLE_BYTES a language.
+
+    Every language is learnt, however rows repeat.
+    """
     known = docs.where((fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = hash_sample(known.select("doc_id", "text", "lang"), "lang", SAMPLE_PER_LANGUAGE)
+    sample = hash_sample(known.select("doc_id", "text", "lang"), "lang", SAMPLE_PER_LANGUAGE, SAMPLE, SAMPLE_BYTES)
     rows = sorted((r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in sample.collect())
     # In an order that does not follow doc_id.
     rows = [rows[k] for k in np.random.Generator(np.random.PCG64(3)).permutation(len(rows))]
