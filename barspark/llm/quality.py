@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm.sampling import fold
+from barspark.llm.sampling import fold, lowest, within_bytes
 from barspark.llm.storage import documents
 from barspark.llm.textbytes import slices
 
 #: The bound of the training sample: about so many labelled texts of each label.
-SAMPLE_PER_LABEL = 1_000
+SAMPLE_PER_LABEL, SAMPLE_BYTES = 1_000, 32 << 20
 WIDTH, DEPTH, FILTERS, BLOCK = 6, 8, 16, 64
 EPOCHS, BATCH_BYTES, RATE, DECAY = 8, 1 << 17, 0.01, 1e-4
 THRESHOLD = 0.3
@@ -187,19 +187,21 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] | No
 
 
 def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Network:
-    """Learns from about SAMPLE_PER_LABEL labelled texts of each label outside the held-out fold.
+    """Learns from at most SAMPLE_PER_LABEL labelled texts of each label outside the held-out fold, and SAMPLE_BYTES of each, but for the last text.
 
-    The sample is balanced by a hash; the output's bias is then set back to the labels' true share. Rows that share id and text count as one,
-    so the bound holds however often they repeat; a doc_id with two labels has the smaller.
+    The sample is balanced by a hash; the output's bias is then set back to the labels' true share. A doc_id gives one text, that of the lowest
+    hash, however many it has or however often they repeat; a doc_id with two labels has the smaller.
     """
     known = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("quality") == 1, SAMPLE_PER_LABEL / max(1, counts.get(1, 0))).otherwise(SAMPLE_PER_LABEL / max(1, counts.get(0, 0)))
-    # About 2 SAMPLE_PER_LABEL ids, whatever the size of the tables.
-    chosen = known.where(draw < share)
-    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = found.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
+    # At most 2 * SAMPLE_PER_LABEL ids, whatever the size of the tables.
+    chosen = lowest(known.withColumn("_draw", F.xxhash64("doc_id", F.lit(5))), "quality", "_draw", SAMPLE_PER_LABEL)
+    hashed = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.struct(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size")).alias("_text"))
+    # A text an id: only its hash and size go through the first pass, so very long texts that are not taken stay where they are.
+    texts = hashed.select("doc_id", "_text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "_draw").agg(F.min("_text").alias("_text"))
+    sized = texts.select("doc_id", "quality", "_draw", "_text", F.col("_text.size").alias("_size"))
+    taken = within_bytes(sized, "quality", "_draw", "_size", SAMPLE_BYTES).select("doc_id", "quality", "_text")
+    found = hashed.join(F.broadcast(taken), ["doc_id", "_text"]).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = sorted((r["doc_id"], r["text"], r["quality"]) for r in found.collect())
     net = train([t for _, t, _ in rows], [y for _, _, y in rows])
     good = sum(y for _, _, y in rows)
@@ -211,7 +213,7 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Netw
 def score_quality(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
     """The kept columns of docs (all, if none are named) with score and predicted, which replace columns of these names.
 
-    A null or empty text has the score of the bias; whole texts are read. Rows are scored apart, so repeated rows have equal scores, and an
+    A null or empty text has the score of the bias; whole texts are read, in chunks, so very long ones need no more memory. Rows are scored apart, so repeated rows have equal scores, and an
     empty table gives an empty result. Only the texts go to Python, and only scores come back.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
