@@ -74,22 +74,25 @@ def jump_shard(key: Column, n_shards: int) -> Column:
 def with_slots(df: DataFrame, shard: str, key: str, tie: str, rows_per_block: int = 5_000) -> DataFrame:
     """Adds slot: 0, 1, 2 ... within each shard without gaps.
 
-    Rows are numbered in blocks of about rows_per_block (blocks by a hash of key, so a shard of any size is
+    Rows are numbered in blocks of about rows_per_block (blocks by a hash of key and tie, so a shard of any size is
     spread over many tasks); a running count of the blocks of a shard gives each block its first slot.
-    Repeated rows get different slots.
+    Repeated rows get different slots; where they would fill a block, they are parted by their numbers (_row of df).
     """
-    counts = df.groupBy(shard).agg(F.count("*").alias("_rows"))
+    counts = saved(df.groupBy(shard).agg(F.count("*").alias("_rows")), "sharding-counts")
+    alike = df.groupBy(key, tie).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_block)
+    alike = saved(alike.select(tie).distinct().withColumn("_many", F.lit(True)), "sharding-alike")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("_rows") / rows_per_block)).cast("long")
-    keyed = attached(df, counts, [shard]).withColumn("_block", F.pmod(F.xxhash64(key, tie), blocks)).drop("_rows")
+    rows = attached(attached(df, counts, [shard]), alike, [tie], "left")
+    part = F.pmod(F.xxhash64(key, tie, F.when(F.col("_many"), F.col("_row"))), blocks)
+    keyed = saved(rows.withColumn("_block", part).drop("_rows", "_many"), "sharding-blocks")
     per_block = keyed.groupBy(shard, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = per_block.select(shard, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy(shard, "_block").orderBy(key, tie)
+    inside = Window.partitionBy(shard, "_block").orderBy(key, tie, "_row")
     return (
-        keyed.withColumn("_at", F.row_number().over(inside) - 1)
-        .join(firsts, [shard, "_block"])
+        attached(keyed.withColumn("_at", F.row_number().over(inside) - 1), saved(firsts, "sharding-firsts"), [shard, "_block"])
         .withColumn("slot", (F.col("_first") + F.col("_at")).cast("long"))
-        .drop("_first", "_at", "_block")
+        .drop("_first", "_at", "_block", "_row")
     )
 
 
@@ -109,6 +112,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, rows_per_block: int = 5_
         jump_shard(F.col("doc_id"), n_shards + 1).alias("grown_shard"),
     )
     # The narrow rows are read three times below, the texts once.
+    narrow = narrow.withColumn("_row", F.monotonically_increasing_id())
     rows = with_slots(saved(narrow, "sharding"), "shard", "doc_id", "text_crc32", rows_per_block)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
