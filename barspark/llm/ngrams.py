@@ -18,7 +18,8 @@ is not read.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -103,24 +104,37 @@ def _quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-18)) * STEPS), 0, 65535).astype(np.uint16)
 
 
+class _Shards(dict):
+    """What shards of a level hold, each read when it is first asked for."""
+
+    def __init__(self, sources: dict[int, Callable[[], np.ndarray]], parts: Callable[[dict, list[np.ndarray]], tuple]):
+        super().__init__()
+        self.sources, self.parts = sources, parts
+
+    def __contains__(self, shard: object) -> bool:
+        return shard in self.sources
+
+    def __missing__(self, shard: int) -> tuple:
+        self[shard] = self.parts(*unpacked(self.sources[shard]()))
+        return self[shard]
+
+
+def _word_parts(head: dict, arrays: list[np.ndarray]) -> tuple:
+    return EliasFano.from_parts(head["words"], arrays[:4]), arrays[4], arrays[5]
+
+
+def _pair_parts(head: dict, arrays: list[np.ndarray]) -> tuple:
+    return EliasFano.from_parts(head["pointers"], arrays[:4]), EliasFano.from_parts(head["successors"], arrays[4:8]), arrays[8], arrays[9]
+
+
 class Trie:
-    """Mapped shards of both levels and the numbers that go with them."""
+    """Shards of both levels, opened on first use, and the numbers that go with them."""
 
-    def __init__(self, about: dict, blobs: list[np.ndarray]):
-        """about: shard_bits, first (number of each shard's first word), total, vocabulary, discounts, end."""
+    def __init__(self, about: dict, words: dict[int, Callable[[], np.ndarray]], pairs: dict[int, Callable[[], np.ndarray]]):
+        """about: shard_bits, first (number of each shard's first word), total, vocabulary, discounts, end. words, pairs: how a shard's bytes are read."""
         self.about = about
         self.first = np.array(about["first"], np.int64)
-        self.words, self.codes, self.pairs = {}, {}, {}
-        self.values: dict[int, np.ndarray] = {}
-        for memory in blobs:
-            head, arrays = unpacked(memory)
-            s = head["shard"]
-            if head["level"] == 1:
-                self.words[s] = EliasFano.from_parts(head["words"], arrays[:4])
-                self.codes[s], self.values[s] = arrays[4], arrays[5]
-            else:
-                pointers = EliasFano.from_parts(head["pointers"], arrays[:4])
-                self.pairs[s] = (pointers, EliasFano.from_parts(head["successors"], arrays[4:8]), arrays[8], arrays[9])
+        self.words, self.pairs = _Shards(words, _word_parts), _Shards(pairs, _pair_parts)
         # Recent answers by hash: numbers of words, and log-probabilities of pairs.
         self.recent_key, self.recent_id = np.zeros(1 << 19, np.uint64), np.full(1 << 19, -1, np.int64)
         self.recent_count = np.zeros(1 << 19, np.int64)
@@ -139,10 +153,11 @@ class Trie:
             shard = (asked >> np.uint64(64 - self.about["shard_bits"])).astype(np.int64)
             for s, a, b in _runs(shard):
                 if s in self.words:
-                    at = self.words[s].find(asked[a:b])
+                    words, codes, values = self.words[s]
+                    at = words.find(asked[a:b])
                     hit = np.flatnonzero(at >= 0)
                     found[a + hit] = at[hit] + self.first[s]
-                    seen[a + hit] = self.values[s][self.codes[s][at[hit]]]
+                    seen[a + hit] = values[codes[at[hit]]]
             back = np.searchsorted(asked, hashes[todo])
             out[todo], counts[todo] = found[back], seen[back]
             at = slot[todo]
@@ -156,8 +171,9 @@ class Trie:
         ordered = numbers[order]
         shard = np.searchsorted(self.first, ordered, "right") - 1
         for s, a, b in _runs(shard):
-            if s >= 0 and s in self.codes:
-                out[order[a:b]] = self.values[s][self.codes[s][ordered[a:b] - self.first[s]]]
+            if s >= 0 and s in self.words:
+                _, codes, values = self.words[s]
+                out[order[a:b]] = values[codes[ordered[a:b] - self.first[s]]]
         out[numbers < 0] = 0
         return out
 
@@ -243,7 +259,7 @@ def _smoothed(trie: Trie, memory: np.ndarray) -> bytes:
     """Level 2 of a shard: for the counts the probabilities of the pairs, and the contexts' back-off weights."""
     head, arrays = unpacked(memory)
     shard, discount = head["shard"], trie.about["discounts"][1]
-    first, n_contexts = int(trie.first[shard]), trie.words[shard].n
+    first, n_contexts = int(trie.first[shard]), trie.words[shard][0].n
     pointer = EliasFano.from_parts(head["pointers"], arrays[:4]).access(np.arange(n_contexts + 1)).astype(np.int64)
     values = EliasFano.from_parts(head["successors"], arrays[4:8])
     values = values.access(np.arange(pointer[-1])).astype(np.int64) if pointer[-1] else np.zeros(0, np.int64)
@@ -278,9 +294,9 @@ class Model:
 
     def open(self) -> Trie:
         if _OPEN.get("name") != self.name:
-            files = [self.file("words", s) for s in self.words] + [self.file("pairs", s) for s in self.pairs]
+            readers = [{s: partial(view, self.file(level, s)) for s in shards} for level, shards in (("words", self.words), ("pairs", self.pairs))]
             _OPEN.clear()
-            _OPEN.update(name=self.name, trie=Trie(self.about, [view(f) for f in files]))
+            _OPEN.update(name=self.name, trie=Trie(self.about, *readers))
         return _OPEN["trie"]
 
 
