@@ -5,7 +5,6 @@ State of one symbol and direction. Long and short are one machine on signed pric
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -158,33 +157,3 @@ def run(daily: DataFrame, intraday: DataFrame, b: Band) -> DataFrame:
         return pd.DataFrame(out, columns=["symbol", "ts", "kind", "action", "quantity", "price"], dtype=object)
 
     return a.unionByName(p).groupBy("symbol").applyInPandas(one, f"symbol {kind}, ts timestamp_ntz, kind string, action string, quantity int, price double")
-
-
-def as_stream(events: DataFrame, b: Band) -> DataFrame:
-    """The same machine over a stream of (symbol, at, order, day, price), with its state kept across batches."""
-    import json
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s = State()
-        closes: list[float] = []
-        if state.exists:
-            kept = json.loads(state.get[0])
-            closes = kept.pop("closes")
-            s = State(**{**kept, "order": tuple(kept["order"]) if kept["order"] else None})
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["at", "order"], kind="stable")
-        for r in rows.itertuples():
-            now = pd.Timestamp(r.at).timestamp()
-            day = str(r.day)
-            if r.order == 0:
-                closes = [*closes, r.price][-LEAST_BARS:]
-                on_close(b, s, day, r.price, sum(closes) / 20 if len(closes) >= 20 else None, len(closes))
-                continue
-            if NOON[0] <= r.at.hour * 60 + r.at.minute <= NOON[1]:
-                on_noon(b, s, day, r.price, now)
-            if (done := on_time(b, s, r.price, now)) is not None:
-                out.append((key[0], r.at, *done))
-        state.update((json.dumps(s.__dict__ | {"closes": closes}),))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "kind", "action", "quantity", "price"])
-
-    return events.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, kind string, action string, quantity int, price double", "kept string", "append", "NoTimeout")

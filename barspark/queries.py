@@ -871,7 +871,11 @@ def stream_bars(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")), *OHLCV)
 
 
-@query("stream_signals", """WITH RECURSIVE n AS (SELECT event_type AS symbol, ts, event_id, value AS close, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+# What a stream has seen to the end: rows up to its last watermark, which has milliseconds.
+SEEN = "seen AS (SELECT event_type AS symbol, ts, event_id, value FROM events WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events))"
+
+
+@query("stream_signals", f"""WITH RECURSIVE {SEEN}, n AS (SELECT symbol, ts, event_id, value AS close, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS i FROM seen),
  r AS (SELECT symbol, i, ts, close, close AS f, close AS s FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.i, n.ts, n.close, r.f + 2.0::DOUBLE / 6 * (n.close - r.f), r.s + 2.0::DOUBLE / 21 * (n.close - r.s) FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1),
  g AS (SELECT *, f > s AS above, lag(f > s) OVER (PARTITION BY symbol ORDER BY i) AS before FROM r), h AS (SELECT *, above AND NOT before AS up, NOT above AND before AS down FROM g WHERE before IS NOT NULL),
  k AS (SELECT *, sum(CASE WHEN up THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY i) AS opened, last_value(CASE WHEN up THEN close END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i) AS entry FROM h)
@@ -879,8 +883,14 @@ def stream_bars(spark: SparkSession, d: str) -> DataFrame:
 def stream_signals(spark: SparkSession, d: str) -> DataFrame:
     from barspark.streaming import bars as stream
 
-    rows = stream.drained(stream.crossing_signals(stream.tick_stream(spark, d).withColumnsRenamed({"price": "close", "event_id": "seq"})), folder(spark, "stream"))
-    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _drained(stream.crossing_signals(stream.tick_stream(spark, d)))
+
+
+def _drained(rows: DataFrame) -> DataFrame:
+    from barspark.streaming import bars as stream
+
+    out = stream.run_to_end(rows, folder(rows.sparkSession, "stream"))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("stream_sessions", """WITH p AS (SELECT event_type AS symbol, ts, event_id, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM events),
@@ -893,9 +903,50 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@query("stream_stops")
+STOP_RULE = {"stop_pct": 20.0, "stop_points": 15.0, "take_pct": 60.0, "take_points": 45.0}
+_MOVE = "(CASE WHEN r.q > 0 THEN 1 ELSE -1 END * (n.value - r.e))"
+_REASON = f"""CASE WHEN n.fill IS NOT NULL OR r.q = 0 OR r.e <= 0 OR n.value <= 0 THEN NULL WHEN -({_MOVE} / r.e * 100) >= 20 THEN 'stop_pct' WHEN -{_MOVE} >= 15 THEN 'stop_points'
+  WHEN {_MOVE} / r.e * 100 >= 60 THEN 'take_pct' WHEN {_MOVE} >= 45 THEN 'take_points' END"""
+
+
+@query("stream_stops", f"""WITH RECURSIVE {SEEN}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS i, (CASE WHEN event_id % 20 = 0 THEN CASE WHEN event_id % 40 = 0 THEN 1 ELSE -1 END * (1 + event_id % 3) END)::DOUBLE AS fill FROM seen),
+ r AS (SELECT symbol, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, 0.0::DOUBLE AS q, 0.0::DOUBLE AS e, NULL::VARCHAR AS reason, 0.0::DOUBLE AS held, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS price FROM (SELECT DISTINCT symbol FROM n)
+  UNION ALL SELECT n.symbol, n.i, n.ts,
+   CASE WHEN n.value <= 0 THEN r.q WHEN n.fill IS NOT NULL THEN r.q + n.fill WHEN {_REASON} IS NOT NULL THEN 0 ELSE r.q END,
+   CASE WHEN n.value <= 0 THEN r.e WHEN n.fill IS NULL THEN CASE WHEN {_REASON} IS NOT NULL THEN 0 ELSE r.e END WHEN r.q + n.fill = 0 THEN 0
+    WHEN r.q * n.fill >= 0 THEN (r.q * r.e + n.fill * n.value) / (r.q + n.fill) WHEN r.q * (r.q + n.fill) < 0 THEN n.value ELSE r.e END,
+   {_REASON}, r.q, r.e, n.value FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1)
+ SELECT symbol, ts, CASE WHEN held > 0 THEN 'sell' ELSE 'buy' END AS action, abs(held) AS quantity, price, round(entry, 6) AS entry, reason FROM r WHERE reason IS NOT NULL""")
 def stream_stops(spark: SparkSession, d: str) -> DataFrame:
     from barspark.streaming import bars as stream
+    from barspark.streaming.folds import LiveStops
+
+    side = F.when(F.col("event_id") % 40 == 0, 1).otherwise(-1)
+    filled = stream.tick_stream(spark, d).where("event_id % 20 = 0").withColumns({"side": side, "quantity": 1 + F.col("event_id") % 3})
+    return rounded(_drained(stream.stops(filled, stream.tick_stream(spark, d).where("event_id % 20 <> 0"), LiveStops(**STOP_RULE))), "entry", places=6)
+
+
+@query("stream_notices", f"""WITH {SEEN}, e AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN CASE WHEN value < 30 THEN 'down' WHEN value > 80 THEN 'up' ELSE 'range' END END AS regime FROM seen),
+ l AS (SELECT *, lag(regime) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS before FROM e)
+ SELECT symbol, ts, 'regime' AS pattern, regime AS label FROM l WHERE regime IS NOT NULL AND regime IS DISTINCT FROM before
+ UNION ALL SELECT symbol, ts, 'spike', 'over 120' FROM (SELECT *, row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM seen WHERE value > 120) WHERE i = 1""")
+def stream_notices(spark: SparkSession, d: str) -> DataFrame:
+    from barspark.streaming import bars as stream
+    from barspark.streaming.folds import Notices
+
+    return _drained(stream.notices(evaluations(stream.tick_stream(spark, d)), Notices()))
+
+
+def evaluations(ticks: DataFrame) -> DataFrame:
+    """symbol, ts, seq, pattern, label: what each tick says. The regime lasts, a spike does not; every seventh tick sees no regime."""
+    signal = lambda p, label: F.struct(F.lit(p).alias("pattern"), label.alias("label"))
+    regime = F.when(F.col("price") < 30, "down").when(F.col("price") > 80, "up").otherwise("range")
+    found = F.array_compact(F.array(F.when(F.col("event_id") % 7 != 0, signal("regime", regime)), F.when(F.col("price") > 120, signal("spike", F.lit("over 120")))))
+    return ticks.select("symbol", "ts", F.col("event_id").alias("seq"), F.explode_outer(found).alias("_s")).select("symbol", "ts", "seq", "_s.pattern", "_s.label")
+
+
+@query("stream_daily_gate", f"WITH {SEEN} SELECT symbol, ts, event_id, value AS price FROM seen WHERE ts >= CAST(ts AS DATE) + INTERVAL 14 HOUR QUALIFY row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, event_id) = 1")
+def stream_daily_gate(spark: SparkSession, d: str) -> DataFrame:
+    from barspark.streaming import bars as stream
 
-    rows = stream.drained(stream.stops(stream.tick_stream(spark, d), 20.0, 30.0), folder(spark, "stream"))
-    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _drained(stream.once_a_day(stream.tick_stream(spark, d)))

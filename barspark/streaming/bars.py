@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barspark.operators.band import Band
 from barspark.sources.tables import ohlcv
+from barspark.streaming import folds
+from barspark.streaming.ordered import STORE, in_order
 
 
 def tick_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -41,58 +43,68 @@ def once_a_bar(rows: DataFrame, late: str = "10 minutes") -> DataFrame:
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "ts"])
 
 
-def crossing_signals(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
-    """symbol, ts, action: a position that an exponential crossing opens and closes, kept as state of each symbol across batches.
+def keyed(ticks: DataFrame) -> DataFrame:
+    """ticks (symbol, ts, price, event_id) as the rows that folds read."""
+    return ticks.select(F.col("symbol").cast("string").alias("key"), "ts", F.col("event_id").cast("long").alias("seq"), F.col("price").cast("double").alias("value"))
 
-    Rows (symbol, ts, seq, close) are taken in order of ts and seq; one at or before the last that was taken is a repeat and changes nothing.
-    """
-    output = "symbol string, ts timestamp, action string, price double, pnl double"
-    state_schema = "fast double, slow double, above boolean, entry double, last timestamp, seq long"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        f, s, above, entry, last, seq = state.get if state.exists else (None,) * 6
-        out = []
-        for r in sorted((r for pdf in frames for r in pdf.itertuples()), key=lambda r: (r.ts, r.seq)):
-            if last is not None and (r.ts, r.seq) <= (pd.Timestamp(last), seq):
-                continue
-            f = r.close if f is None else f + 2 / (fast + 1) * (r.close - f)
-            s = r.close if s is None else s + 2 / (slow + 1) * (r.close - s)
-            now = f > s
-            if above is not None and now and not above and entry is None:
-                entry = r.close
-                out.append((key[0], r.ts, "open", r.close, None))
-            elif above and not now and entry is not None:
-                out.append((key[0], r.ts, "close", r.close, r.close - entry))
-                entry = None
-            above, last, seq = now, r.ts, r.seq
-        state.update((f, s, above, entry, last, seq))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "action", "price", "pnl"])
-
-    return bars.groupBy("symbol").applyInPandasWithState(step, output, state_schema, "append", "NoTimeout")
-
-
-def stops(prices: DataFrame, stop_pct: float, take_pct: float) -> DataFrame:
-    """symbol, ts, action, price: live stops within bars. The first price opens a long position, one beyond a stop or take closes it at once.
-
-    Prices (symbol, ts, event_id, price) of a batch are put in order; the entry price is the state of a symbol.
+
+def crossing_signals(ticks: DataFrame, fast: int = 5, slow: int = 20, late: str = "10 minutes") -> DataFrame:
+    """symbol, ts, action, price, pnl: a position that an exponential crossing opens and closes, in order of ts and event_id."""
+    return in_order(keyed(ticks), folds.Crossing(fast, slow), late).withColumnRenamed("key", "symbol")
+
+
+def stops(fills: DataFrame, prices: DataFrame, rule: folds.LiveStops, late: str = "10 minutes") -> DataFrame:
+    """symbol, ts, action, quantity, price, entry, reason: live stops of positions that fills open.
+
+    fills are ticks with side (+1 or -1) and quantity, prices are ticks. At one time and number a fill goes before a price.
     """
+    bought = fills.select(F.col("symbol").cast("string").alias("key"), "ts", F.col("event_id").cast("long").alias("seq"), F.lit("fill").alias("kind"), F.col("price").cast("double").alias("value"), (F.col("side") * F.col("quantity")).cast("double").alias("side"))
+    none = F.lit(None)
+    seen = keyed(prices).select("key", "ts", "seq", none.cast("string").alias("kind"), "value", none.cast("double").alias("side"))
+    return in_order(bought.union(seen), rule, late).withColumnRenamed("key", "symbol")
+
+
+def notices(evaluations: DataFrame, rule: folds.Notices, late: str = "10 minutes") -> DataFrame:
+    """symbol, ts, pattern, label of the signals to tell, of evaluations (symbol, ts, seq, pattern, label); a null pattern is one that found nothing."""
+    rows = evaluations.select(F.col("symbol").cast("string").alias("key"), "ts", "seq", F.col("pattern").alias("kind"), "label")
+    return in_order(rows, rule, late).withColumnRenamed("key", "symbol")
+
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        entry = state.get[0] if state.exists else None
-        out = []
-        for r in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
-            if entry is None:
-                entry = r.price
-                out.append((key[0], r.ts, "open", r.price))
-                continue
-            move = (r.price - entry) / entry * 100 if entry else 0.0
-            if (why := "stop" if 0 < stop_pct <= -move else "take" if 0 < take_pct <= move else None) is not None:
-                out.append((key[0], r.ts, why, r.price))
-                entry = None
-        state.update((entry,))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "action", "price"])
-
-    return prices.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, action string, price double", "entry double", "append", "NoTimeout")
+def once_a_day(ticks: DataFrame, minute: int = 14 * 60, late: str = "10 minutes") -> DataFrame:
+    """symbol, ts, event_id, price of each day's first tick at or after a minute of the day."""
+    rows = in_order(keyed(ticks), folds.DailyGate(minute), late)
+    return rows.withColumnsRenamed({"key": "symbol", "seq": "event_id", "value": "price"})
+
+
+def band_orders(ticks: DataFrame, b: Band, late: str = "10 minutes") -> DataFrame:
+    """symbol, ts, kind (open, close or stale), action, quantity, price of the band strategy; a stale order has what it would have done as action."""
+    return in_order(keyed(ticks), folds.BandOrders(b), late).withColumnRenamed("key", "symbol")
+
+
+def delivered(df: DataFrame, batch: int, where: str) -> None:
+    """A sink for foreachBatch that may be called twice for a batch: each batch has a folder of its own, which a repeat writes anew."""
+    df.write.mode("overwrite").parquet(f"{where}/batch={batch}")
+
+
+def run_to_end(stream: DataFrame, where: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now, with its checkpoint in where/state, and returns all that it has ever put out, in where/out.
+
+    Called again with the same folder it goes on from the checkpoint: state, timers and rows that wait are kept.
+    """
+    spark = stream.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STORE)
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(partial(_deliver, where=f"{where}/out")).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(stream.schema).parquet(f"{where}/out/batch=*")
+
+
+def _deliver(df: DataFrame, batch: int, where: str) -> None:
+    delivered(df, batch, where)
 
 
 def drained(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
