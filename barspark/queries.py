@@ -11,7 +11,7 @@ from barspark.functions import indicators as I
 from barspark.functions import scalars as S
 from barspark.functions.conditions import CONDITIONS
 from barspark.functions.scan import Scan, with_scans
-from barspark.operators import account, asof, band, levels, metrics, patterns, resample, screener, strategy, sweep
+from barspark.operators import account, asof, band, intents, levels, metrics, patterns, resample, screener, strategy, sweep
 from barspark.plans.compiler import with_conditions
 from barspark.sources import barstore
 from barspark.sources import tables as T
@@ -789,6 +789,29 @@ def scalar_opened(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "events").select("event_id", S.session_opened_between(F.col("ts"), F.col("ts") + F.expr("interval 3 hours")).alias("opened"))
 
 
+_HOURS = "b AS (" + _tick_sql("time_bucket(INTERVAL 1 HOUR, ts)") + ")"
+_GAIN, _NET = "(n.close - r.entry) * r.p", "CASE WHEN n.day <> r.day THEN 0 ELSE r.realized END"
+_WHY = f"""CASE WHEN r.p = 0 THEN CASE WHEN n.up AND {{blocked}} = 0 THEN 1 ELSE 0 END WHEN {_GAIN} <= -(r.entry * 25 / 100) THEN 3 WHEN {_GAIN} >= r.entry * 80 / 100 THEN 4
+  WHEN {_GAIN} <= -18 THEN 5 WHEN {_GAIN} >= 60 THEN 6 WHEN n.down THEN 2 ELSE 0 END"""
+_BLOCKED = f"""CASE WHEN r.p <> 0 OR NOT n.up THEN 0 WHEN CASE WHEN n.day <> r.day THEN 0 ELSE r.trades END >= 2 THEN 7 WHEN {_NET} <= -40 THEN 8 WHEN n.ts - r.ordered < INTERVAL 3 HOUR THEN 9 ELSE 0 END"""
+_WHY = _WHY.replace("{blocked}", f"({_BLOCKED})")
+
+
+@query("strategy_intents", f"""WITH RECURSIVE {_HOURS}, m AS (SELECT *, {full('avg', 'close', 2)} AS f, {full('avg', 'close', 4)} AS s FROM b),
+ n AS (SELECT symbol, ts, close, CAST(ts AS DATE) AS day, coalesce(f > s AND lag(f) OVER {W} <= lag(s) OVER {W}, false) AS up, coalesce(f < s AND lag(f) OVER {W} >= lag(s) OVER {W}, false) AS down, row_number() OVER {W} AS i FROM m),
+ r AS (SELECT symbol, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, NULL::DATE AS day, 0 AS p, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS realized, 0 AS trades, NULL::TIMESTAMP AS ordered, 0 AS reason, 0 AS blocked, 0.0::DOUBLE AS price FROM (SELECT DISTINCT symbol FROM n)
+  UNION ALL SELECT symbol, i, ts, day, CASE WHEN why = 1 THEN 1 WHEN why > 1 THEN 0 ELSE p END, CASE WHEN why = 1 THEN close WHEN why > 1 THEN 0 ELSE entry END, CASE WHEN why > 1 THEN net + (close - entry) * p ELSE net END,
+   CASE WHEN fresh THEN 0 ELSE trades END + CASE WHEN why = 1 THEN 1 ELSE 0 END, CASE WHEN why = 1 THEN ts ELSE ordered END, why, blocked, close
+   FROM (SELECT n.symbol, n.i, n.ts, n.day, n.close, r.p, r.entry, {_NET} AS net, r.trades, n.day <> r.day AS fresh, r.ordered, {_WHY} AS why, {_BLOCKED} AS blocked FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1))
+ SELECT symbol, ts, CASE WHEN reason = 1 THEN 1 WHEN reason > 1 THEN 2 ELSE 0 END AS kind, CASE WHEN reason > 0 THEN price END AS price, reason, blocked, p AS state, entry AS entry_price, round(realized, 4) AS realized FROM r WHERE i > 0""")
+def strategy_intents(spark: SparkSession, d: str) -> DataFrame:
+    hours = rounded(resample.from_ticks(T.ticks(spark, d), "1h"), "open", "high", "low", "close")
+    signals = with_conditions(hours, {"up": ("ma_cross_up", {"fast": 2, "slow": 4}), "down": ("ma_cross_down", {"fast": 2, "slow": 4})}, keep=["symbol", "ts", "close"])
+    rules = intents.Rules(stop_pct=25, take_pct=80, stop_abs=18, take_abs=60, max_trades=2, daily_loss=40, cooldown=3 * 3600, stops_first=False)
+    done = intents.intents(signals, F.col("up"), F.col("down"), rules).select("symbol", "ts", "kind", "price", "reason", "blocked", "state", "entry_price", "realized")
+    return rounded(done, "realized")
+
+
 # ---------------------------------------------------------------- patterns and levels
 
 N60 = "ROWS BETWEEN 61 PRECEDING AND 2 PRECEDING"
