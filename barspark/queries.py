@@ -11,9 +11,9 @@ from barspark.functions import indicators as I
 from barspark.functions import scalars as S
 from barspark.functions.conditions import CONDITIONS
 from barspark.functions.scan import Scan, with_scans
-from barspark.operators import account, asof, band, intents, levels, metrics, patterns, resample, screener, strategy, sweep
+from barspark.operators import account, asof, band, difference, intents, levels, metrics, patterns, resample, screener, strategy, sweep
 from barspark.plans.compiler import with_conditions
-from barspark.sources import barstore
+from barspark.sources import barstore, sqlite
 from barspark.sources import tables as T
 from barspark.sources.scratch import folder, written
 
@@ -883,6 +883,33 @@ def fibonacci(spark: SparkSession, d: str) -> DataFrame:
     return rounded(levels.fibonacci(T.daily_bars(spark, d)).select("symbol", "trend", "ratio", "price"), "price")
 
 
+# ---------------------------------------------------------------- other stores, differences
+
+
+@query("store_sqlite", f"WITH {BARS} SELECT symbol::VARCHAR AS symbol, CAST(ts AS TIMESTAMP) AS ts, close, volume::DOUBLE AS volume FROM bars WHERE ts >= DATE '1994-01-01' AND ts <= DATE '1996-06-30'")
+def store_sqlite(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "sqlite")
+    bars = T.daily_bars(spark, d).withColumns({"symbol": F.col("symbol").cast("string"), "ts": F.col("ts").cast("timestamp_ntz"), "asset_type": F.lit("share"), "timeframe": F.lit("day")})
+    sqlite.write_sqlite(bars.withColumns({c: F.col(c).cast("double") for c in OHLCV}), where)
+    rows = sqlite.sqlite_bars(spark, where, ["symbol", "timeframe", "ts", "close", "volume"])
+    start, end = (F.lit(x).cast("timestamp_ntz") for x in ("1994-01-01", "1996-06-30"))
+    return rows.where((F.col("timeframe") == "day") & (F.col("ts") >= start) & (F.col("ts") <= end)).drop("timeframe")
+
+
+@query("table_difference", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders),
+ b AS (SELECT k, CASE WHEN k % 997 = 3 THEN 'X' ELSE s END AS s, CASE WHEN k % 499 = 7 THEN p + 1 ELSE p END AS p FROM a WHERE k % 1009 <> 5 UNION ALL SELECT -k, s, p FROM a WHERE k % 2003 = 11),
+ j AS (SELECT coalesce(a.k, b.k) AS k, a.k IS NULL AS only_b, b.k IS NULL AS only_a, a.s AS s1, b.s AS s2, a.p AS p1, b.p AS p2 FROM a FULL JOIN b ON a.k = b.k),
+ d AS (SELECT k, NULL AS "column", 'missing' AS kind FROM j WHERE only_a UNION ALL SELECT k, NULL, 'unexpected' FROM j WHERE only_b
+  UNION ALL SELECT k, 'o_orderstatus', 'changed' FROM j WHERE s1 <> s2 UNION ALL SELECT k, 'o_totalprice', 'changed' FROM j WHERE p1 <> p2)
+ SELECT '["' || k || '"]' AS key, "column", kind FROM d ORDER BY key, "column" NULLS FIRST LIMIT 50""")
+def table_difference(spark: SparkSession, d: str) -> DataFrame:
+    a = T.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    k = F.col("o_orderkey")
+    status, price = F.when(k % 997 == 3, "X").otherwise(F.col("o_orderstatus")), F.when(k % 499 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    b = a.where(k % 1009 != 5).withColumns({"o_orderstatus": status, "o_totalprice": price}).union(a.where(k % 2003 == 11).withColumn("o_orderkey", -k))
+    return difference.differences(a, b, ["o_orderkey"]).select("key", "column", "kind")
+
+
 # ---------------------------------------------------------------- streams
 
 

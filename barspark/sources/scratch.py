@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
@@ -70,3 +72,29 @@ def attached(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner
     """
     taken = table.agg(F.sum(row_bytes(table.schema))).first()[0] or 0
     return rows.join(F.broadcast(table) if taken <= MOST_BROADCAST_BYTES else table, on, how)
+
+
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a path in the shared folder, as Python in a task sees them."""
+    local = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+    return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def put(path: str, data: bytes) -> None:
+    """Writes a file of the shared folder, from any task. It appears whole or not at all, so a task that runs twice does no harm."""
+    system, at = place(path)
+    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    own = f"{at}-{uuid.uuid4().hex}"
+    with system.open_output_stream(own, compression=None) as f:
+        f.write(data)
+    system.move(own, at)
+
+
+def view(path: str) -> pa.Buffer:
+    """The bytes of a file of the shared folder: mapped, where that is a mounted file system, so that all workers of a machine share them."""
+    system, at = place(path)
+    if isinstance(system, fs.LocalFileSystem):
+        with pa.memory_map(at) as f:
+            return f.read_buffer()
+    with system.open_input_file(at) as f:
+        return f.read_buffer()
