@@ -11,7 +11,7 @@ from barspark.functions import indicators as I
 from barspark.functions import scalars as S
 from barspark.functions.conditions import CONDITIONS
 from barspark.functions.scan import Scan, with_scans
-from barspark.operators import account, asof, band, difference, intents, levels, metrics, patterns, resample, screener, strategy, sweep
+from barspark.operators import account, asof, band, difference, evaluate, intents, levels, metrics, patterns, resample, screener, strategy, sweep
 from barspark.plans.compiler import with_conditions
 from barspark.sources import barstore, sqlite
 from barspark.sources import tables as T
@@ -843,11 +843,59 @@ def pattern_regime(spark: SparkSession, d: str) -> DataFrame:
     return patterns.regime(T.daily_bars(spark, d))
 
 
-@query("pattern_swings")
+# Swings of every bar's windows of 60 and 90 bars as sets: candidates in the window, islands of one kind, the best of each island, the last of each kind.
+SWINGS_SQL = f"""{BARS}, n AS (SELECT symbol, ts, high, low, close, row_number() OVER {W} - 1 AS i FROM bars),
+ e AS (SELECT *, count(*) OVER v AS c, max(high) OVER v AS mx, min(low) OVER v AS mn FROM n WINDOW v AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+ cand AS (SELECT symbol, i, 1 AS k, high AS p FROM e WHERE c = 7 AND high >= mx UNION ALL SELECT symbol, i, -1, low FROM e WHERE c = 7 AND low <= mn),
+ seen AS (SELECT b.symbol, b.i AS t, w, c.i, c.k, c.p FROM n b, (VALUES (60), (90)) AS s(w), cand c WHERE c.symbol = b.symbol AND b.i >= 9 AND c.i BETWEEN greatest(b.i - w + 1, 0) + 3 AND b.i - 3),
+ isles AS (SELECT *, sum(turn) OVER (PARTITION BY symbol, t, w ORDER BY i, k DESC) AS run FROM (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY symbol, t, w ORDER BY i, k DESC) = k THEN 0 ELSE 1 END AS turn FROM seen)),
+ sw AS (SELECT symbol, t, w, run, k, arg_min(i, row(-k * p, i)) AS i, k * max(k * p) AS p FROM isles GROUP BY symbol, t, w, run, k),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, t, w, k ORDER BY run DESC) AS r FROM sw),
+ tops AS (SELECT symbol, t, w, m, {', '.join(f"max(i) FILTER (k = m AND r = {r}) AS i{r}, max(m * p) FILTER (k = m AND r = {r}) AS p{r}" for r in (1, 2, 3))} FROM ranked, (VALUES (1), (-1)) AS s(m) GROUP BY symbol, t, w, m),
+ inner_low AS (SELECT x.symbol, x.t, x.w, x.m, arg_max(x.m * s.p, s.i) FILTER (s.i > x.i2 AND s.i < x.i1) AS last21, arg_min(x.m * s.p, s.i) FILTER (s.i > x.i2 AND s.i < x.i1) AS first21, arg_max(x.m * s.p, s.i) FILTER (s.i > x.i3 AND s.i < x.i2) AS last32
+  FROM tops x JOIN sw s ON s.symbol = x.symbol AND s.t = x.t AND s.w = x.w AND s.k = -x.m GROUP BY x.symbol, x.t, x.w, x.m),
+ alike AS (SELECT symbol, t, m, i1, i2 FROM tops WHERE w = 60 AND i1 > i2 + 1 AND p2 <> 0 AND abs(p1 - p2) / abs(p2) * 100 <= 3),
+ lines AS (SELECT a.symbol, a.t, a.m, 'double' AS what, a.i1 + 1 AS start, min(CASE WHEN a.m = 1 THEN b.low ELSE -b.high END) AS line FROM alike a JOIN n b ON b.symbol = a.symbol AND b.i > a.i2 AND b.i < a.i1 GROUP BY ALL
+  UNION ALL SELECT x.symbol, x.t, x.m, 'shoulders', i1 + 1, (last32 + first21) / 2 FROM tops x JOIN inner_low y USING (symbol, t, w, m) WHERE w = 90 AND x.t >= 10 AND p2 > p3 + abs(p3) * 0.01 AND p2 > p1 + abs(p1) * 0.01 AND p3 <> 0 AND abs(p1 - p3) / abs(p3) * 100 <= 5
+  UNION ALL SELECT x.symbol, x.t, x.m, 'n', i1 + 1, last21 FROM tops x JOIN inner_low y USING (symbol, t, w, m) WHERE w = 90 AND p1 < p2),
+ broken AS (SELECT l.symbol, n.ts, l.t, l.what, l.m, l.m * l.line AS line FROM lines l JOIN n ON n.symbol = l.symbol AND n.i = l.t WHERE l.line IS NOT NULL AND l.m * n.close < l.line
+  AND NOT EXISTS (SELECT 1 FROM n b WHERE b.symbol = l.symbol AND b.i BETWEEN l.start AND l.t - 1 AND l.m * b.close < l.line)),
+ slopes AS (SELECT symbol, t, avg(p) AS level, regr_slope(p, i) FILTER (k = 1) AS up, regr_slope(p, i) FILTER (k = -1) AS down FROM ranked WHERE w = 90 AND t >= 11 AND r <= 4 GROUP BY symbol, t HAVING count(*) FILTER (k = 1) >= 3 AND count(*) FILTER (k = -1) >= 3),
+ ways AS (SELECT symbol, t, CASE WHEN abs(up) <= level * 0.05 / 100 THEN 0 ELSE sign(up) END AS a, CASE WHEN abs(down) <= level * 0.05 / 100 THEN 0 ELSE sign(down) END AS b FROM slopes WHERE level > 0),
+ swing_signals AS (SELECT symbol, ts, t, CASE what WHEN 'double' THEN CASE m WHEN 1 THEN 'double_top' ELSE 'double_bottom' END WHEN 'shoulders' THEN CASE m WHEN 1 THEN 'head_shoulders_top' ELSE 'head_shoulders_bottom' END ELSE CASE m WHEN 1 THEN 'n_down' ELSE 'n_up' END END AS pattern, NULL::VARCHAR AS label, line FROM broken
+  UNION ALL SELECT w.symbol, n.ts, w.t, CASE WHEN a = -1 AND b = 1 THEN 'triangle_symmetrical' WHEN a = 0 AND b = 1 THEN 'triangle_ascending' WHEN a = -1 AND b = 0 THEN 'triangle_descending' WHEN a = 1 AND b = 1 THEN 'wedge_rising' WHEN a = -1 AND b = -1 THEN 'wedge_falling' END, NULL, NULL
+   FROM ways w JOIN n ON n.symbol = w.symbol AND n.i = w.t)"""
+
+
+@query("pattern_swings", f"WITH {SWINGS_SQL} SELECT symbol, ts, pattern, round(line, 4) AS line FROM swing_signals WHERE pattern IS NOT NULL AND (symbol, t) IN (SELECT (symbol, max(i)) FROM n GROUP BY symbol)")
 def pattern_swings(spark: SparkSession, d: str) -> DataFrame:
     return rounded(patterns.patterns(T.daily_bars(spark, d)), "line")
 
 
+_HALF = "list(close) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+_SPAN = "ROWS BETWEEN 59 PRECEDING AND 5 PRECEDING"
+_FIRED = {
+    "range_breakout": "n1 >= 62 AND close > t AND c1 <= t", "range_breakdown": "n1 >= 62 AND close < b AND c1 >= b", "undercut_reverse": "n1 >= 10 AND close > s AND c1 <= s AND l5 < s", "false_breakout": "n1 >= 10 AND close < r AND c1 >= r AND h5 > r",
+    "island_reversal_down": "n1 >= 8 AND fall AND risen", "island_reversal_up": "n1 >= 8 AND NOT (fall AND risen) AND rise AND fallen",
+}
+
+
+@query("pattern_all", f"""WITH {SWINGS_SQL}, h AS (SELECT symbol, ts, close, {_HALF} AS c, i FROM n), g AS (SELECT *, len(c) AS k, list_max(c) AS hi, list_min(c) AS lo FROM h WHERE len(c) >= 10),
+ reg AS (SELECT symbol, ts, close, hi, lo, (list_avg(c[k // 2 + 1:]) - list_avg(c[:k // 2])) / list_avg(c[:k // 2]) * 100 AS change FROM g),
+ q AS (SELECT symbol, ts, close, i + 1 AS n1, lag(close) OVER {W} AS c1, max(close) OVER (PARTITION BY symbol ORDER BY ts {N60}) AS t, min(close) OVER (PARTITION BY symbol ORDER BY ts {N60}) AS b,
+  min(low) OVER (PARTITION BY symbol ORDER BY ts {_SPAN}) AS s, max(high) OVER (PARTITION BY symbol ORDER BY ts {_SPAN}) AS r, min(low) OVER {last(5)} AS l5, max(high) OVER {last(5)} AS h5,
+  coalesce(high < lag(low) OVER {W} * (1 - 0.005::DOUBLE), false) AS fall, coalesce(low > lag(high) OVER {W} * (1 + 0.005::DOUBLE), false) AS rise,
+  {' OR '.join(f'coalesce({_GAP(k, True)}, false)' for k in range(2, 6))} AS risen, {' OR '.join(f'coalesce({_GAP(k, False)}, false)' for k in range(2, 6))} AS fallen FROM n)
+ SELECT symbol, ts, pattern, label, round(line, 4) AS line FROM (
+  SELECT symbol, ts, pattern, label, line FROM swing_signals WHERE pattern IS NOT NULL
+  UNION ALL SELECT symbol, ts, 'regime', CASE WHEN change > 6 THEN 'up' WHEN change < -6 THEN 'down' ELSE 'range' END, NULL FROM reg
+  UNION ALL SELECT symbol, ts, 'near_range_high', NULL, hi FROM reg WHERE hi > lo AND (hi - close) / (hi - lo) * 100 <= 3
+  UNION ALL SELECT symbol, ts, 'near_range_low', NULL, lo FROM reg WHERE hi > lo AND (close - lo) / (hi - lo) * 100 <= 3
+  {' '.join(f"UNION ALL SELECT symbol, ts, '{name}', NULL, NULL FROM q WHERE {fired}" for name, fired in _FIRED.items())})""")
+def pattern_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.evaluated(T.daily_bars(spark, d)), "line")
+
+
 _TICK_OF = "CASE " + " ".join(f"WHEN (hi + lo) / 2 < {limit} THEN {t}" for limit, t in S.SHARE_TICKS) + f" ELSE {S.SHARE_TOP_TICK} END"
 
 
