@@ -411,6 +411,31 @@ def compile_on_bar(source: str):
     return space["on_bar"]
 
 
+def decisions(bars: pd.DataFrame, source: str, params: dict, s: Strategy) -> list[tuple]:
+    """(ts, decision, actions, price) of one symbol's bars, in order of ts: where on_bar wants what changes the position. Errors hold."""
+    on_bar, ctx, rows = compile_on_bar(source), Context(bars, params, {}), []
+    opened = 0
+    for i in range(2, len(bars)):
+        ctx.i, ctx.bars_in_position = i, i - opened if ctx.position != "flat" else 0
+        try:
+            decision = decided(on_bar(ctx))
+        except MemoryError:  # not the user's to hold: the task, or the child that runs it, fails
+            raise
+        except Exception as e:  # a user's error holds, and is told
+            decision, _ = "HOLD", ctx.log(repr(e))
+        actions = []
+        wanted = {"BUY": "long", "SELL": "short"}.get(decision)
+        if ctx.position != "flat" and (decision == "CLOSE" or (wanted and wanted != ctx.position)):
+            actions.append(f"CLOSE {'sell' if ctx.position == 'long' else 'buy'}")
+            ctx.position = "flat"
+        if wanted and ctx.position == "flat" and (wanted == "long" or s.kind == "future"):
+            actions.append(f"OPEN {'buy' if wanted == 'long' else 'sell'}")
+            ctx.position, ctx.entry_price, opened = wanted, float(bars["close"].iloc[i]), i
+        if actions:
+            rows.append((bars["ts"].iloc[i], decision, ",".join(actions), float(bars["close"].iloc[i])))
+    return rows
+
+
 def run_custom(bars: DataFrame, source: str, params: dict | None = None, s: Strategy | None = None) -> DataFrame:
     """symbol and the decisions that on_bar takes on each bar: ts, decision, and the actions (OPEN and CLOSE, buys and sells) they mean.
 
@@ -423,24 +448,7 @@ def run_custom(bars: DataFrame, source: str, params: dict | None = None, s: Stra
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", ignore_index=True)
-        on_bar, ctx, rows = compile_on_bar(source), Context(pdf, params, {}), []
-        opened = 0
-        for i in range(2, len(pdf)):
-            ctx.i, ctx.bars_in_position = i, i - opened if ctx.position != "flat" else 0
-            try:
-                decision = decided(on_bar(ctx))
-            except Exception as e:  # a user's error holds, and is told
-                decision, _ = "HOLD", ctx.log(repr(e))
-            actions = []
-            wanted = {"BUY": "long", "SELL": "short"}.get(decision)
-            if ctx.position != "flat" and (decision == "CLOSE" or (wanted and wanted != ctx.position)):
-                actions.append(f"CLOSE {'sell' if ctx.position == 'long' else 'buy'}")
-                ctx.position = "flat"
-            if wanted and ctx.position == "flat" and (wanted == "long" or s.kind == "future"):
-                actions.append(f"OPEN {'buy' if wanted == 'long' else 'sell'}")
-                ctx.position, ctx.entry_price, opened = wanted, float(pdf["close"].iloc[i]), i
-            if actions:
-                rows.append((pdf["symbol"].iloc[0], pdf["ts"].iloc[i], decision, ",".join(actions), float(pdf["close"].iloc[i])))
+        rows = [(pdf["symbol"].iloc[0], *r) for r in decisions(pdf, source, params, s)]
         return pd.DataFrame(rows, columns=["symbol", "ts", "decision", "actions", "price"], dtype=object)
 
     return bars.groupBy("symbol").applyInPandas(run, f"symbol {bars.schema['symbol'].dataType.simpleString()}, ts {kind}, decision string, actions string, price double")
@@ -477,6 +485,8 @@ def replay_decisions(bars: pd.DataFrame, on_bar, params: dict, s: Strategy, fund
             else:
                 try:
                     decision = decided(on_bar(ctx))
+                except MemoryError:
+                    raise
                 except Exception as e:  # a user's error holds, and is told
                     decision = "HOLD"
                     ctx.log(repr(e))

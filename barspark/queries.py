@@ -11,7 +11,7 @@ from barspark.functions import indicators as I
 from barspark.functions import scalars as S
 from barspark.functions.conditions import CONDITIONS
 from barspark.functions.scan import Scan, with_scans
-from barspark.operators import account, asof, band, difference, evaluate, intents, levels, metrics, patterns, resample, screener, strategy, sweep
+from barspark.operators import account, asof, band, difference, evaluate, intents, isolated, levels, metrics, patterns, progress, resample, screener, strategy, sweep
 from barspark.plans.compiler import with_conditions
 from barspark.sources import barstore, sqlite
 from barspark.sources import tables as T
@@ -694,6 +694,15 @@ def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
     return sweep.ranked(_totalled(sweep.totals(sweep.run_all(T.daily_bars(spark, d), _make, runs), _make, runs)), "sharpe")
 
 
+@query("sweep_parts", ORACLE_SQL["sweep_grid"])
+def sweep_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The same sweep as a job that tells its progress and could be cancelled, here run to its end."""
+    runs = list(sweep.combinations(sweep.parse_grid(GRID)))
+    job = progress.SweepJob(T.daily_bars(spark, d), _make, runs, per_job=8).start()
+    job.wait()
+    return sweep.ranked(_totalled(sweep.totals(job.results(), _make, runs)), "sharpe")
+
+
 @query("sweep_random", crossing_sql(f"{BARS}, {averages_sql(_RUNS(TRIALS))}") + f", {TOTALS} SELECT *, trades >= 1 AS eligible, -max_drawdown AS score FROM y")
 def sweep_random(spark: SparkSession, d: str) -> DataFrame:
     return sweep.ranked(_totalled(sweep.totals(sweep.run_all(T.daily_bars(spark, d), _make, TRIALS), _make, TRIALS)), "max_drawdown")
@@ -733,6 +742,11 @@ def custom_strategy(spark: SparkSession, d: str) -> DataFrame:
     return strategy.run_custom(T.daily_bars(spark, d), ON_BAR, {"slow": 20}, BOTH_WAYS)
 
 
+@query("custom_isolated", ORACLE_SQL["custom_strategy"].replace("close AS price FROM ch", "close AS price, NULL AS fault FROM ch"))
+def custom_isolated(spark: SparkSession, d: str) -> DataFrame:
+    return isolated.run_isolated(T.daily_bars(spark, d), ON_BAR, {"slow": 20}, BOTH_WAYS)
+
+
 @query("backtest_custom", ON_BAR_SQL.format(slow=_SLOW(25), end=" AND i + 1 < n") + """, tr AS (SELECT symbol, side, i + 1 AS since, lead(i + 1) OVER (PARTITION BY symbol ORDER BY i) AS until, n FROM ch),
  t AS (SELECT tr.symbol, side, a.ts AS entry_ts, a.open AS entry_price, z.ts AS exit_ts, CASE WHEN until IS NULL THEN z.close ELSE z.open END AS exit_price, z.i - a.i AS bars_held, CASE WHEN until IS NULL THEN 'settled' ELSE 'signal' END AS exit_reason
   FROM tr JOIN x a ON a.symbol = tr.symbol AND a.i = since JOIN x z ON z.symbol = tr.symbol AND z.i = coalesce(until, tr.n - 1))
