@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from barspark.sources.scratch import attached, written
 
-#: Bars of a block, about; a fold copies what it has at each bar, which stays cheap up to a few thousand.
+#: Bars of a block, about, and of the chunks that are folded at once.
 BLOCK = 1024
+CHUNK = 32
 #: Quantiles that cut a long series: one less than a power of two, for the search.
 EDGES = 1023
 
@@ -72,7 +73,7 @@ def blocks_of(bars: DataFrame, key: str, ts: str, inputs: Sequence[str], halo: i
     value = lambda c: lambda r: F.nanvl(r[c].cast("double"), F.lit(None).cast("double"))
     if not long:
         arrays = {f"_x_{c}": F.transform("_rows", value(c)) for c in inputs}
-        return Blocks(rows.withColumns(arrays | {"_halo": F.lit(0)}), key, False, columns)
+        return Blocks(_told_whole(rows.withColumns(arrays | {"_halo": F.lit(0)}), inputs), key, False, columns)
     rows = written(rows, "series-blocks")
     tail = F.struct("_block", F.slice("_rows", F.greatest(F.size("_rows") - halo + 1, F.lit(1)), max(halo, 1)).alias("_tail"))
     # Only blocks of long series have any before them; their tails are a few bars each.
@@ -84,7 +85,11 @@ def blocks_of(bars: DataFrame, key: str, ts: str, inputs: Sequence[str], halo: i
     joined = rows.withColumn("_key", F.struct(key, "_block")).join(tails, "_key").drop("_key")
     joined = joined.withColumn("_both", F.concat("_before", "_rows")).withColumn("_halo", F.size("_before"))
     arrays = {f"_x_{c}": F.transform("_both", value(c)) for c in inputs}
-    return Blocks(joined.withColumns(arrays).drop("_both", "_before"), key, True, columns)
+    return Blocks(_told_whole(joined.withColumns(arrays), inputs).drop("_both", "_before"), key, True, columns)
+
+
+def _told_whole(rows: DataFrame, inputs: Sequence[str]) -> DataFrame:
+    return rows.withColumns({f"_whole_{c}": ~F.exists(f"_x_{c}", lambda x: x.isNull()) for c in inputs}) if inputs else rows
 
 
 def before(xs: str, i: Column, n: int = 1) -> Column:
@@ -92,15 +97,49 @@ def before(xs: str, i: Column, n: int = 1) -> Column:
     return F.when(i >= n, F.get(xs, i - n))
 
 
-def along(xs: str, f: Callable[[Column, Column], Column]) -> Column:
-    """f(value, index) along an array column that begins with a halo, the halo left out."""
-    return F.slice(F.transform(xs, f), F.col("_halo") + 1, F.size("_rows"))
+def along(xs: str, f: Callable[[Column, Column], Column] | None = None) -> Column:
+    """f(value, index), or the value itself, along an array column that begins with a halo, the halo left out."""
+    return F.slice(F.col(xs) if f is None else F.transform(xs, f), F.col("_halo") + 1, F.size("_rows"))
 
 
 def extreme(xs: str, i: Column, n: int, of: Callable[[Column], Column]) -> Column:
     """The least or greatest of n values up to index i; null where one is missing."""
     window = F.slice(F.col(xs), i - (n - 1) + 1, n)
-    return F.when((i >= n - 1) & (F.size(F.array_compact(window)) == n), of(window))
+    # _whole_<input>: that the whole array has no gap, so that windows need not be looked through.
+    return F.when((i >= n - 1) & (F.col(xs.replace("_x_", "_whole_")) | (F.size(F.array_compact(window)) == n)), of(window))
+
+
+def running_sums(xs: str) -> Column:
+    """Along an array column with its halo: n gaps, s sum of values and t sum of values by place, up to and with each place; gaps count as 0."""
+    none = F.array().cast("array<struct<n:int,s:double,t:double>>")
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("t"))
+
+    def step(out: Column, p: Column) -> Column:
+        last, x = F.element_at(out, -1), p["x"]
+        value = F.coalesce(x, F.lit(0.0))
+        new = F.struct((last["n"] + F.when(x.isNull(), 1).otherwise(0)).alias("n"), (last["s"] + value).alias("s"), (last["t"] + value * p["i"]).alias("t"))
+        return F.array_append(out, new)
+
+    places = F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    chunk = lambda k, last: F.slice(F.aggregate(F.slice(places, k, CHUNK), F.array(last), step), 2, CHUNK)
+    starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(CHUNK))
+    return F.aggregate(starts, none, lambda out, k: F.concat(out, chunk(k, F.coalesce(F.try_element_at(out, F.lit(-1)), zero))))
+
+
+def trailing(xs: str, sums: str, n: int, weighted: bool = False) -> Column:
+    """Mean of n values along an array column, or the one whose weights rise from 1 to n, from its running sums; null where a value is missing."""
+
+    def at(_: Column, i: Column) -> Column:
+        now, old = F.get(sums, i), F.get(sums, i - n)
+        before_ = lambda name, none: F.coalesce(old[name], F.lit(none))
+        total = now["s"] - before_("s", 0.0)
+        if weighted:
+            value = (now["t"] - before_("t", 0.0) - (i - n) * total) / (n * (n + 1) / 2)
+        else:
+            value = total / n
+        return F.when((i >= n - 1) & (now["n"] == before_("n", 0)), value)
+
+    return along(xs, at)
 
 
 def _weight(alpha: float, gap: Column) -> Column:
@@ -111,15 +150,28 @@ def _weight(alpha: float, gap: Column) -> Column:
 
 
 def _run(xs: Column, alpha: float, y: Column, gap: Column) -> Column:
-    """The averages along xs, when y enters behind a gap of so many bars; y is null at the start."""
-    start = F.struct(y.cast("double").alias("y"), gap.cast("int").alias("g"), F.array().cast("array<double>").alias("out"))
+    """The averages along xs, when y enters behind a gap of so many bars; y is null at the start.
+
+    A fold copies what it has at each bar, so it goes over chunks of CHUNK bars, and an outer fold over the chunks.
+    """
 
     def step(s: Column, x: Column) -> Column:
+        y = F.element_at(s["out"], -1)
+        plain = x.isNotNull() & y.isNotNull() & (s["g"] == 0)
         c = _weight(alpha, s["g"])
-        new = F.when(x.isNull(), s["y"]).when(s["y"].isNull(), x).otherwise(c * s["y"] + (1 - c) * x)
-        return F.struct(new.alias("y"), F.when(x.isNull(), s["g"] + 1).otherwise(F.lit(0)).alias("g"), F.array_append(s["out"], new).alias("out"))
+        new = F.when(plain, y + alpha * (x - y)).when(x.isNull(), y).when(y.isNull(), x).otherwise(c * y + (1 - c) * x)
+        return F.struct(F.when(x.isNull(), s["g"] + 1).otherwise(F.lit(0)).alias("g"), F.array_append(s["out"], new).alias("out"))
+
+    # Each chunk starts with the average before it, which is what it goes on from.
+    chunk = lambda k, y, g: F.aggregate(F.slice(xs, k, CHUNK), F.struct(g.alias("g"), F.array(y).alias("out")), step)
+    start = F.struct(gap.cast("int").alias("g"), F.array(y.cast("double")).alias("out"))
+
+    def chunks(s: Column, k: Column) -> Column:
+        done = F.transform(F.array(chunk(k, F.element_at(s["out"], -1), s["g"])), lambda r: F.struct(r["g"].alias("g"), F.concat(s["out"], F.slice(r["out"], 2, CHUNK)).alias("out")))
+        return done[0]
 
-    return F.aggregate(xs, start, step, lambda s: s["out"])
+    whole = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(CHUNK)), start, chunks, lambda s: s["out"])
+    return F.slice(whole, 2, F.greatest(F.size(xs), F.lit(1)))
 
 
 def _map(xs: Column, alpha: float) -> Column:

@@ -1,4 +1,4 @@
-"""Recursive indicators: one grouped pass computes all that a query needs.
+"""Recursive indicators and averages by running sums: one grouped pass computes all that a query needs.
 
 A recurrence over the bars of a symbol has no window form, but it is an affine map; functions/recurrence.py runs such maps over blocks of
 bars inside the JVM. The pandas forms of the same lines serve user code that runs in Python anyway, and tests.
@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.functions.recurrence import along, as_bars, averaged, before, blocks_of, extreme
+from barspark.functions.recurrence import along, as_bars, averaged, before, blocks_of, extreme, running_sums, trailing
 
 
 @dataclass(frozen=True)
 class Scan:
-    """kind: ema, macd, rsi, kdj, dmi or jae; args as the kind has them. Output columns are prefix_<line>."""
+    """kind: ema, macd, rsi, kdj, dmi, jae, sma or wma; args as the kind has them. Output columns are prefix_<line>."""
 
     kind: str
     args: tuple[float, ...]
@@ -36,11 +36,13 @@ class Scan:
 
     @property
     def inputs(self) -> list[str]:
-        return {"ema": [self.source], "macd": [self.source], "rsi": [self.source]}.get(self.kind, ["high", "low", "close"])
+        return {k: [self.source] for k in ("ema", "macd", "rsi", "sma", "wma")}.get(self.kind, ["high", "low", "close"])
 
 
 LINES = {
     "ema": [""],
+    "sma": [""],
+    "wma": [""],
     "macd": ["dif", "signal", "hist"],
     "rsi": [""],
     "kdj": ["rsv", "k", "d", "j"],
@@ -94,6 +96,11 @@ def computed(bars: pd.DataFrame, scan: Scan) -> list[pd.Series]:
     x = bars[scan.source] if scan.source in bars else bars["close"]
     if scan.kind == "ema":
         return [span(x, a[0])]
+    if scan.kind == "sma":
+        return [x.rolling(int(a[0])).mean()]
+    if scan.kind == "wma":
+        n = int(a[0])
+        return [x.rolling(n).apply(lambda w: float(np.arange(1, n + 1) @ w) / (n * (n + 1) / 2), raw=True)]
     if scan.kind == "macd":
         dif = span(x, a[0]) - span(x, a[1])
         signal = span(dif, a[2])
@@ -114,6 +121,7 @@ class _Plan:
     """The arrays that scans need, each once: inputs along the bars, then two levels of averages with what stands between them."""
 
     def __init__(self) -> None:
+        self.sums: dict[str, Column] = {}
         self.level0: dict[str, Column] = {}
         self.first: dict[str, tuple[str, float]] = {}
         self.level1: dict[str, Column] = {}
@@ -126,7 +134,7 @@ class _Plan:
         return name
 
     def source(self, column: str) -> str:
-        self.level0[f"_in_{column}"] = along(f"_x_{column}", lambda x, i: x)
+        self.level0[f"_in_{column}"] = along(f"_x_{column}")
         return f"_in_{column}"
 
     def rsi(self, n: int) -> str:
@@ -175,6 +183,11 @@ class _Plan:
         source = scan.source if scan.source in columns else "close"
         if scan.kind == "ema":
             return [self.average(self.source(source), 2.0 / (a[0] + 1))]
+        if scan.kind in ("sma", "wma"):
+            sums, name = f"_sums_{source}", f"_{scan.kind}_{int(a[0])}_{source}"
+            self.sums[sums] = running_sums(f"_x_{source}")
+            self.level0[name] = trailing(f"_x_{source}", sums, int(a[0]), scan.kind == "wma")
+            return [name]
         if scan.kind == "macd":
             fast, slow = (self.average(self.source(source), 2.0 / (n + 1)) for n in a[:2])
             dif, hist = f"_dif_{scan.prefix}", f"_hist_{scan.prefix}"
@@ -209,9 +222,14 @@ def with_scans(bars: DataFrame, scans: Iterable[Scan], key: str = "symbol", ts:
     plan = _Plan()
     outputs = {o: line for s in scans for o, line in zip(s.outputs, plan.lines(s, bars.columns), strict=True)}
     inputs = sorted({c if c in bars.columns else "close" for s in scans for c in s.inputs})
-    halo = max([1, *(int(s.args[0 if s.kind == "kdj" else 1]) - 1 for s in scans if s.kind in ("kdj", "jae"))])
-    blocks = blocks_of(bars, key, ts, inputs, halo).let(**plan.level0)
-    blocks = averaged(blocks, plan.first).let(**plan.level1)
+    # sums of n values are differences of running sums, so they look n bars back.
+    reach = {"kdj": (0, 1), "jae": (1, 1), "sma": (0, 0), "wma": (0, 0)}
+    halo = max([1, *(int(s.args[reach[s.kind][0]]) - reach[s.kind][1] for s in scans if s.kind in reach)])
+    blocks = blocks_of(bars, key, ts, inputs, halo)
+    for arrays in (plan.sums, plan.level0):
+        blocks = blocks.let(**arrays) if arrays else blocks
+    if plan.first:
+        blocks = averaged(blocks, plan.first).let(**plan.level1)
     if plan.second:
         blocks = averaged(blocks, plan.second).let(**plan.level2)
     return as_bars(blocks, outputs)

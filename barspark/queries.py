@@ -215,7 +215,8 @@ _WMA = lambda n: f"CASE WHEN count(close) OVER {last(n)} = {n} THEN ({' + '.join
 
 @query("ind_multi_ma", f"WITH {BARS} SELECT symbol, ts, {', '.join(f'round({full(chr(97) + chr(118) + chr(103), chr(99) + chr(108) + chr(111) + chr(115) + chr(101), n)}, 7) AS sma_{n}' for n in MA_PERIODS)}, round({_WMA(5)}, 7) AS wma_5, round({_WMA(20)}, 7) AS wma_20 FROM bars")
 def ind_multi_ma(spark: SparkSession, d: str) -> DataFrame:
-    out = T.daily_bars(spark, d).select("symbol", "ts", *(I.sma("close", n).alias(f"sma_{n}") for n in MA_PERIODS), I.wma("close", 5).alias("wma_5"), I.wma("close", 20).alias("wma_20"))
+    scans = [*(Scan("sma", (n,)) for n in MA_PERIODS), Scan("wma", (5,)), Scan("wma", (20,))]
+    out = with_scans(T.daily_bars(spark, d).select("symbol", "ts", "close"), scans).drop("close")
     # Averages of so many prices in cents are multiples of fractions none of which lies half way at the seventh place.
     return rounded(out, *out.columns[2:], places=7)
 

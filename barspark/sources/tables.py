@@ -25,8 +25,15 @@ def ohlcv(price: Column, order: Column, volume: Column) -> list[Column]:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, day, price, quantity, flags and a total order of each line item."""
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    """symbol, day, price, quantity, flags and a total order of each line item.
+
+    The order is that of (l_orderkey, l_linenumber), the table's key, as one number of fixed width, which a hash aggregation can hold; rows that
+    repeat a key go by a hash of the rest.
+    """
+    rest = F.pmod(F.xxhash64("l_partkey", "l_extendedprice", "l_quantity"), F.lit(1_000_000_000))
+    digits = lambda c, n: F.coalesce(F.col(c), F.lit(0)).cast(f"decimal({n},0)")
+    order = digits("l_orderkey", 19) * F.lit(str(10**19)).cast("decimal(20,0)") + (digits("l_linenumber", 10) * F.lit(10**9).cast("decimal(10,0)")) + rest.cast("decimal(10,0)")
+    order = order.cast("decimal(38,0)")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("symbol"),
         F.to_date("l_shipdate").alias("ts"),

@@ -7,7 +7,7 @@ import pytest
 from barspark.functions import recurrence as R
 from barspark.functions.scan import Scan, computed, with_scans
 
-SCANS = [Scan("ema", (20,)), Scan("ema", (1,)), Scan("macd", (12, 26, 9)), Scan("rsi", (14,)), Scan("kdj", (9, 3, 3)), Scan("kdj", (40, 1, 2)), Scan("dmi", (14,)), Scan("jae", (14, 9, 3, 3, 60)), Scan("ema", (5,), "volume")]
+SCANS = [Scan("ema", (20,)), Scan("ema", (1,)), Scan("macd", (12, 26, 9)), Scan("rsi", (14,)), Scan("kdj", (9, 3, 3)), Scan("kdj", (40, 1, 2)), Scan("dmi", (14,)), Scan("jae", (14, 9, 3, 3, 60)), Scan("ema", (5,), "volume"), Scan("sma", (5,)), Scan("sma", (240,)), Scan("wma", (7,)), Scan("sma", (3,), "volume")]
 
 
 def series(symbol, n, rng):
