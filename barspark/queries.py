@@ -215,8 +215,7 @@ _WMA = lambda n: f"CASE WHEN count(close) OVER {last(n)} = {n} THEN ({' + '.join
 
 @query("ind_multi_ma", f"WITH {BARS} SELECT symbol, ts, {', '.join(f'round({full(chr(97) + chr(118) + chr(103), chr(99) + chr(108) + chr(111) + chr(115) + chr(101), n)}, 7) AS sma_{n}' for n in MA_PERIODS)}, round({_WMA(5)}, 7) AS wma_5, round({_WMA(20)}, 7) AS wma_20 FROM bars")
 def ind_multi_ma(spark: SparkSession, d: str) -> DataFrame:
-    scans = [*(Scan("sma", (n,)) for n in MA_PERIODS), Scan("wma", (5,)), Scan("wma", (20,))]
-    out = with_scans(T.daily_bars(spark, d).select("symbol", "ts", "close"), scans).drop("close")
+    out = T.daily_bars(spark, d).select("symbol", "ts", *(I.sma("close", n).alias(f"sma_{n}") for n in MA_PERIODS), I.wma("close", 5).alias("wma_5"), I.wma("close", 20).alias("wma_20"))
     # Averages of so many prices in cents are multiples of fractions none of which lies half way at the seventh place.
     return rounded(out, *out.columns[2:], places=7)
 
@@ -901,14 +900,15 @@ _FIRED = {
   min(low) OVER (PARTITION BY symbol ORDER BY ts {_SPAN}) AS s, max(high) OVER (PARTITION BY symbol ORDER BY ts {_SPAN}) AS r, min(low) OVER {last(5)} AS l5, max(high) OVER {last(5)} AS h5,
   coalesce(high < lag(low) OVER {W} * (1 - 0.005::DOUBLE), false) AS fall, coalesce(low > lag(high) OVER {W} * (1 + 0.005::DOUBLE), false) AS rise,
   {' OR '.join(f'coalesce({_GAP(k, True)}, false)' for k in range(2, 6))} AS risen, {' OR '.join(f'coalesce({_GAP(k, False)}, false)' for k in range(2, 6))} AS fallen FROM n)
- SELECT symbol, ts, pattern, label, round(line, 4) AS line FROM (
+ SELECT symbol, ts, pattern, label, line FROM (
   SELECT symbol, ts, pattern, label, line FROM swing_signals WHERE pattern IS NOT NULL
   UNION ALL SELECT symbol, ts, 'regime', CASE WHEN change > 6 THEN 'up' WHEN change < -6 THEN 'down' ELSE 'range' END, NULL FROM reg
   UNION ALL SELECT symbol, ts, 'near_range_high', NULL, hi FROM reg WHERE hi > lo AND (hi - close) / (hi - lo) * 100 <= 3
   UNION ALL SELECT symbol, ts, 'near_range_low', NULL, lo FROM reg WHERE hi > lo AND (close - lo) / (hi - lo) * 100 <= 3
   {' '.join(f"UNION ALL SELECT symbol, ts, '{name}', NULL, NULL FROM q WHERE {fired}" for name, fired in _FIRED.items())})""")
 def pattern_all(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.evaluated(T.daily_bars(spark, d)), "line")
+    # Lines are prices or means of two, which both engines compute alike.
+    return evaluate.evaluated(T.daily_bars(spark, d))
 
 
 _TICK_OF = "CASE " + " ".join(f"WHEN (hi + lo) / 2 < {limit} THEN {t}" for limit, t in S.SHARE_TICKS) + f" ELSE {S.SHARE_TOP_TICK} END"
