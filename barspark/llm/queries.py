@@ -126,4 +126,54 @@ negatives AS (
 SELECT * FROM negatives WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_dual_tree": _NEGATIVES_SQL, "op9_t_occurrence_join": _SIMILAR_SQL, "op13_redirect_equivalence": _URL_SQL}
+def _repair_sql() -> str:
+    """Conversation repair as a recursion over turns: for each state of the grammar the least (cost, letters, lines) of a prefix of turns."""
+    never, nothing = "{'c': 1000000000::BIGINT, 's': '', 't': []::VARCHAR[]}", "{'c': 0::BIGINT, 's': '', 't': []::VARCHAR[]}"
+    least = lambda *xs: f"list_min([{', '.join(xs)}])"
+    edit = lambda x, cost, letter, line: f"{{'c': {x}.c + {cost}, 's': {x}.s || '{letter}', 't': {f'list_append({x}.t, {line})' if line else f'{x}.t'}}}"
+    insert = lambda x, role: edit(x, 5, "I", f"'{role}:'")
+    more = "CASE n.fault WHEN 'truncated' THEN 5 ELSE 0 END"
+    may = "n.fault NOT IN ('blank', 'duplicate')"
+    line = lambda role: f"{role} || ':' || n.text"
+
+    def keep(x: str, initial: str) -> str:
+        return f"CASE WHEN {may} AND n.role[1] = '{initial}' THEN {edit(x, more, 'K', line('n.role'))} ELSE {never} END"
+
+    def rerole(x: str, role: str) -> str:
+        return f"CASE WHEN {may} THEN {edit(x, f'1 + {more}', 'R', line(repr(role)))} ELSE {never} END"
+
+    drop = lambda x: edit(x, 2, "D", "")
+    into2 = [f for q in (0, 1, 3) for f in (keep(f"r.a{q}", "u"), rerole(f"r.a{q}", "user"))]
+    step = (drop("r.a0"), least(drop("r.a1"), keep("r.a0", "s")), least(drop("r.a2"), *into2), least(drop("r.a3"), keep("r.a2", "a"), rerole("r.a2", "assistant")))
+    # Insertions before the next turn: a user turn after states 0, 1 and 3, then an assistant turn.
+    opened = lambda of: f"SELECT conv, i, b0 AS a0, b1 AS a1, u AS a2, {least('b3', insert('u', 'assistant'))} AS a3 FROM (SELECT *, {least('b2', insert('b0', 'user'), insert('b1', 'user'), insert('b3', 'user'))} AS u FROM ({of}))"
+    crc = "xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295)"
+    solid = r"[^\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE drawn AS (SELECT conv_id, coalesce('=' || conv_id, '') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS draw FROM conversations),
+hurt AS (
+    SELECT conv, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE draw WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM drawn WHERE draw <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role)) || ':' || role || text)) AS i FROM hurt),
+n AS (
+    SELECT conv, i, turn, role, text, CASE WHEN NOT regexp_matches(text, '{solid}') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+        lag(role) OVER (PARTITION BY conv ORDER BY i) AS before
+    FROM placed),
+r AS (
+    {opened(f"SELECT DISTINCT conv, 0::BIGINT AS i, {nothing} AS b0, {never} AS b1, {never} AS b2, {never} AS b3 FROM n")}
+    UNION ALL
+    {opened(f"SELECT n.conv, n.i, {step[0]} AS b0, {step[1]} AS b1, {step[2]} AS b2, {step[3]} AS b3 FROM r JOIN n ON n.conv = r.conv AND n.i = r.i + 1")}),
+ends AS (SELECT conv, list_min([a0, a3]) AS best FROM r WHERE i = (SELECT max(m.i) FROM n m WHERE m.conv = r.conv)),
+counts AS (
+    SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM n GROUP BY conv)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+    coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.s, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM drawn) d LEFT JOIN counts c ON c.conv = d.conv LEFT JOIN ends e ON e.conv = d.conv
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_dual_tree": _NEGATIVES_SQL, "op12_tight_arcs": _repair_sql(), "op9_t_occurrence_join": _SIMILAR_SQL, "op13_redirect_equivalence": _URL_SQL}

@@ -37,10 +37,6 @@ def small_blocks(monkeypatch):
         monkeypatch.setattr(N, name, value)
 
 
-def test_registered_query(spark, sf):
-    same(QUERIES["op11_dual_tree"](spark, sf), duck(sf).sql(ORACLE_SQL["op11_dual_tree"]))
-
-
 def test_many_cells(spark, sf, small_blocks):
     same(QUERIES["op11_dual_tree"](spark, sf), duck(sf).sql(ORACLE_SQL["op11_dual_tree"]))
 
