@@ -793,7 +793,7 @@ def account_equity(spark: SparkSession, d: str) -> DataFrame:
 def band_strategy(spark: SparkSession, d: str) -> DataFrame:
     ticks = T.ticks(spark, d)
     daily = resample.from_ticks(ticks, "day").select("symbol", "ts", "close")
-    return band.run(daily, ticks.select("symbol", "ts", "price"), band.Band(line=20.0, stop=10.0, arm=10.0, step=5.0))
+    return band.run(daily, ticks.select("symbol", "ts", "price"), band.Band(line=1.0, stop=30.0, arm=5.0, step=5.0))
 
 
 @query("scalar_opened", """WITH q AS (SELECT event_id, ts AS a, ts + INTERVAL 3 HOUR AS b FROM events), o AS (SELECT unnest([525, 540, 550, 900]) AS m), x AS (SELECT DISTINCT event_id FROM q, o, (SELECT unnest([0, 1]) AS k)
