@@ -101,23 +101,27 @@ def picks(bars: DataFrame, technical: Sequence[Spec], days: DataFrame, top: int
     signal day is judged on its last bar before. Prices are opens, or closes where an open is missing; they may be null.
     """
     named = {f"_c{k}": spec for k, spec in enumerate(technical)}
-    rows = with_conditions(bars, named, ["symbol", "ts"])
+    rows = with_conditions(bars, named, ["symbol", "ts"]).select("symbol", "ts", combined(list(named), logic).alias("_ok"))
+    # A bar is the last one known on the signal days from its own to the one before the next bar's. Trading days know how many signal days
+    # come before them, so a bar's span is a range of numbers, found by an equality with its day, and each number finds its signal day.
+    signals = days.select("period", "signal_day", "entry_day", "exit_day", F.row_number().over(Window.orderBy("signal_day")).alias("_k"))
+    market = bars.select("ts", F.lit(0).alias("_n")).distinct().union(signals.select("signal_day", F.lit(1))).groupBy("ts").agg(F.sum("_n").alias("_n"))
+    before = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    counted = lambda over: F.coalesce(F.sum("_n").over(over), F.lit(0)).cast("int")
+    market = market.select("ts", counted(before).alias("_from"), counted(Window.partitionBy()).alias("_all"))
     w = Window.partitionBy("symbol").orderBy("ts")
-    rows = rows.select("symbol", "ts", combined(list(named), logic).alias("_ok"), F.row_number().over(w).alias("_bars"), F.lead("ts").over(w).alias("_next"))
-    # A bar is the last one known on the signal days from its own to the one before the next bar's: days are numbered, so that the
-    # span is a range of numbers, and each number finds its day by an equality.
-    seen = rows.where(F.col("_ok") & (F.col("_bars") >= min_bars))
-    dates = days.agg(F.array_sort(F.collect_list("signal_day")).alias("_days"))  # one date a period
-    first = lambda day: F.size(F.filter("_days", lambda x: x < day))
-    spans = seen.crossJoin(F.broadcast(dates)).withColumns({"_from": first(F.col("ts")), "_to": F.when(F.col("_next").isNull(), F.size("_days")).otherwise(first(F.col("_next")))})
-    spans = spans.where("_from < _to").select("symbol", F.explode(F.slice("_days", F.col("_from") + 1, F.col("_to") - F.col("_from"))).alias("signal_day"))
-    hits = spans.join(F.broadcast(days), "signal_day")
+    # Trading days of a market are some hundreds a year, whatever its rows.
+    placed = rows.join(F.broadcast(market), "ts").withColumns({"_bars": F.row_number().over(w), "_to": F.coalesce(F.lead("_from").over(w), F.col("_all"))})
+    spans = placed.where(F.col("_ok") & (F.col("_bars") >= min_bars) & (F.col("_from") < F.col("_to")))
+    spans = spans.select("symbol", F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))).alias("_k"))
+    hits = spans.join(F.broadcast(signals), "_k").drop("_k")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("period").orderBy("symbol"))).where(F.col("rank") <= top)
-    price = bars.select("symbol", F.col("ts").alias("_day"), F.coalesce("open", "close").alias("_price"))
-    out = ranked.select("period", "symbol", "rank", "signal_day", "entry_day", "exit_day")
-    for name, day in (("buy", "entry_day"), ("sell", "exit_day")):
-        out = out.join(price.withColumnsRenamed({"_day": day, "_price": name}), ["symbol", day], "left")
-    return out
+    # Both prices of a pick in one pass over the bars: a pick is two wanted days, at most 2 * top a period.
+    sides = F.array(*(F.struct(F.col(day).alias("ts"), F.lit(name).alias("_side")) for name, day in (("buy", "entry_day"), ("sell", "exit_day"))))
+    wanted = ranked.select("period", "symbol", "rank", "signal_day", "entry_day", "exit_day", F.explode(sides).alias("_x")).select("*", "_x.*").drop("_x")
+    price = bars.select("symbol", "ts", F.coalesce("open", "close").alias("_price"))
+    of = lambda side: F.max(F.when(F.col("_side") == side, F.col("_price"))).alias(side)
+    return wanted.join(price, ["symbol", "ts"], "left").groupBy("period", "symbol", "rank", "signal_day", "entry_day", "exit_day").agg(of("buy"), of("sell"))
 
 
 def portfolio(chosen: DataFrame, days: DataFrame, cash: float = 1_000_000.0, costs: Costs | None = Costs(), partial_lots: bool = False) -> DataFrame:

@@ -496,8 +496,8 @@ def screen_technical(spark: SparkSession, d: str) -> DataFrame:
     return out.select("code", "ts", "last_close", F.array_join("matched", ",").alias("matched"))
 
 
-def _portfolio(spark: SparkSession, d: str) -> DataFrame:
-    bars = T.daily_bars(spark, d)
+def _portfolio(spark: SparkSession, d: str, bars: DataFrame | None = None) -> DataFrame:
+    bars = written(T.daily_bars(spark, d), "bars") if bars is None else bars
     days = screener.rebalance_days(bars)
     return screener.portfolio(screener.picks(bars, [("price_above_ma", {"n": 20})], days), days)
 
@@ -530,7 +530,8 @@ query("portfolio_periods", PORTFOLIO_SQL + " SELECT * FROM o")(_portfolio)
   round(avg(picks), 1) AS avg_picks, round(avg(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) * 100, 2) AS period_win_rate, max(return_pct) AS best_period_pct, min(return_pct) AS worst_period_pct FROM w)
  SELECT f.*, hold AS buy_hold_pct, round(total_return_pct - hold, 2) AS excess_pct FROM f, h""")
 def portfolio_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return screener.portfolio_metrics(_portfolio(spark, d), T.daily_bars(spark, d))
+    bars = written(T.daily_bars(spark, d), "bars")
+    return screener.portfolio_metrics(_portfolio(spark, d, bars), bars)
 
 
 # ---------------------------------------------------------------- strategies
