@@ -13,7 +13,7 @@ from barspark.functions.conditions import CONDITIONS
 from barspark.functions.scan import Scan, with_scans
 from barspark.operators import account, asof, band, difference, evaluate, intents, isolated, levels, metrics, patterns, progress, resample, screener, strategy, sweep
 from barspark.plans.compiler import with_conditions
-from barspark.sources import barstore, sqlite
+from barspark.sources import barstore, contracts, sqlite
 from barspark.sources import tables as T
 from barspark.sources.scratch import folder, written
 
@@ -112,6 +112,41 @@ def continuous_contract(spark: SparkSession, d: str) -> DataFrame:
     return resample.continuous_contract(T.raw_futures(spark, d), rank=2)
 
 
+SERIES_SQL = f"""{RAW_FUTURES}, rk AS (SELECT *, dense_rank() OVER (PARTITION BY product, day ORDER BY month) AS k FROM raw), mo AS (SELECT *, max(k) OVER (PARTITION BY product, day) AS most FROM rk),
+ series AS (SELECT upper(product) AS product, s AS session, CAST(r AS INTEGER) AS rank, day AS ts, coalesce(max(open) FILTER (session = 'after'), max(open) FILTER (session = 'regular')) AS open, max(high) AS high, min(low) AS low,
+  coalesce(max(close) FILTER (session = 'regular'), max(close) FILTER (session = 'after')) AS close, sum(volume) AS volume
+  FROM mo, (SELECT unnest([1, 2, 3]) AS r), (SELECT unnest(['all', 'day']) AS s) WHERE k = least(r, most) AND (s = 'all' OR session = 'regular') GROUP BY ALL)"""
+
+
+@query("contract_series", f"WITH {SERIES_SQL} SELECT * FROM series")
+def contract_series(spark: SparkSession, d: str) -> DataFrame:
+    return contracts.contract_bars(T.raw_futures(spark, d))
+
+
+@query("contract_load", f"WITH {SERIES_SQL} SELECT ts, open, high, low, CASE WHEN dayofmonth(ts) = 5 THEN close + 1 ELSE close END AS close, volume FROM series WHERE product = 'CLICK' AND session = 'day' AND rank = 2")
+def contract_load(spark: SparkSession, d: str) -> DataFrame:
+    """All series saved but their last days, those and corrected fifths merged in two loads, one series read back."""
+    store = contracts.ContractStore(spark, folder(spark, "contracts"))
+    series = written(contracts.contract_bars(T.raw_futures(spark, d)), "series")
+    store.save(series.where("dayofmonth(ts) < 20"))
+    store.merge(series.where("dayofmonth(ts) >= 15"))
+    store.merge(series.where("dayofmonth(ts) = 5").withColumn("close", F.col("close") + 1))
+    return store.load("click", session="day", rank=2)
+
+
+@query("contract_extend", f"""WITH {SERIES_SQL}, d AS (SELECT product AS symbol, * EXCLUDE (product) FROM series WHERE session = 'all' AND rank = 1), t AS (SELECT upper(event_type) AS symbol, * FROM events WHERE CAST(ts AS DATE) >= (SELECT min(CAST(ts AS DATE)) + 10 FROM events)),
+ p AS (SELECT symbol, CAST(date_trunc('week', ts) AS DATE) AS ts, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM t WHERE symbol <> 'CLICK' GROUP BY 1, 2),
+ w AS (SELECT symbol, CAST(date_trunc('week', ts) AS DATE) AS bar, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM d GROUP BY 1, 2), f AS (SELECT symbol, min(ts) AS a FROM p GROUP BY 1)
+ SELECT * FROM p UNION ALL SELECT w.* FROM w LEFT JOIN f USING (symbol) WHERE a IS NULL OR bar < a""")
+def contract_extend(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly bars from ticks that begin on the eleventh day, and for one product never, behind weeks of daily bars."""
+    ticks = T.ticks(spark, d).withColumn("symbol", F.upper("symbol"))
+    first = ticks.agg(F.date_add(F.min(F.to_date("ts")), 10).alias("_first"))  # one row
+    own = resample.from_ticks(ticks.crossJoin(F.broadcast(first)).where("to_date(ts) >= _first and symbol <> 'CLICK'"), "week")
+    daily = contracts.contract_bars(T.raw_futures(spark, d), ranks=(1,), sessions=("all",)).withColumnRenamed("product", "symbol")
+    return contracts.extended(own, daily, "week")
+
+
 @query("session_regime", f"""WITH {BARS}, g AS (SELECT symbol, ts, ts < DATE '1998-05-15' AS early, abs(open - lag(close) OVER {W}) / lag(close) OVER {W} * 100 AS gap FROM bars),
  a AS (SELECT symbol, count(*) AS b, count(gap) AS c, max(ts) AS hi, count(gap) FILTER (early) AS x, count(gap) FILTER (NOT early) AS y,
   quantile_cont(gap, 0.5) FILTER (early) AS p, quantile_cont(gap, 0.5) FILTER (NOT early) AS q, quantile_cont(gap, 0.5) AS m FROM g GROUP BY symbol)
