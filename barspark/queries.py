@@ -11,7 +11,7 @@ from barspark.functions import indicators as I
 from barspark.functions import scalars as S
 from barspark.functions.conditions import CONDITIONS
 from barspark.functions.scan import Scan, with_scans
-from barspark.operators import account, asof, band, difference, evaluate, intents, isolated, levels, metrics, patterns, progress, resample, screener, strategy, sweep
+from barspark.operators import account, asof, band, difference, evaluate, intents, isolated, levels, metrics, orders, patterns, progress, resample, screener, strategy, sweep
 from barspark.plans.compiler import with_conditions
 from barspark.sources import barstore, contracts, sqlite
 from barspark.sources import tables as T
@@ -477,6 +477,37 @@ def scalar_ticks(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "part").select("p_partkey", F.round(p, 4).alias("price"), S.tick_size(p).alias("tick"), S.round_to_tick(p).alias("aligned"))
 
 
+ORDER_KEPT = ("o_orderkey", "symbol", "kind", "price_type", "quantity", "price", "limit_price", "tick", "lot", "label", "broker", "account", "text", "target")
+
+
+@query("order_build", f"""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'TXFR1' WHEN 1 THEN '00' || (o_custkey % 900) ELSE CAST(1000 + o_custkey % 9000 AS VARCHAR) END AS symbol, o_orderstatus <> 'F' AS buys, 1 + o_orderkey % 7 AS quantity,
+  CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice / 700 ELSE o_totalprice / 900 END AS p, CASE WHEN o_orderkey % 4 = 3 THEN 'odd' WHEN o_orderkey % 4 = 0 THEN 'future' ELSE 'share' END AS kind,
+  CASE o_orderkey % 5 WHEN 0 THEN 'market' WHEN 1 THEN 'range' ELSE 'limit' END AS asked, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE o_orderkey % 6 END AS n, CASE WHEN o_orderkey % 2 = 0 THEN 'B' || o_custkey % 3 ELSE 'default' END AS broker, CASE WHEN o_orderkey % 6 = 1 THEN 'A1' END AS account FROM orders),
+ t AS (SELECT *, CAST(CASE WHEN kind = 'future' THEN 1 WHEN symbol LIKE '00%' THEN {_band_sql(S.FUND_TICKS, S.FUND_TOP_TICK)} ELSE {_band_sql(S.SHARE_TICKS, S.SHARE_TOP_TICK)} END AS DOUBLE) AS tick,
+  CASE WHEN kind = 'odd' OR (asked = 'range' AND kind <> 'future') THEN 'limit' ELSE asked END AS price_type FROM s),
+ u AS (SELECT *, round(round_even((p + CASE WHEN buys THEN n ELSE -n END * tick) / tick, 0) * tick, 4) + 0 AS limit_price FROM t),
+ v AS (SELECT *, CASE WHEN price_type = 'limit' THEN 'limit ' || regexp_replace(printf('%.4f', limit_price), '\\.?0+$', '') ELSE price_type END AS label FROM u)
+ SELECT o_orderkey, symbol, kind, price_type, quantity, CASE WHEN price_type = 'limit' THEN limit_price ELSE 0 END AS price, limit_price, tick, CASE WHEN kind = 'odd' THEN 'odd' ELSE 'common' END AS lot, label, broker, account,
+  CASE WHEN buys THEN 'buy ' ELSE 'sell ' END || symbol || ' ' || quantity || ' (' || kind || ') ' || label AS text, broker || ' / ' || coalesce(account, 'default account') AS target FROM v""")
+def order_build(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of all intents that the orders table gives: funds, shares, odd lots and futures, watched or traded prices, unknown settings."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = T.table(spark, d, "orders").select(
+        "o_orderkey",
+        F.when(k % 4 == 0, "txfr1 ").when(k % 4 == 1, F.concat(F.lit("00"), (c % 900).cast("string"))).otherwise((1000 + c % 9000).cast("string")).alias("symbol"),
+        (F.col("o_orderstatus") != "F").alias("buys"),
+        (1 + k % 7 + 0.5).alias("quantity"),
+        (F.col("o_totalprice") / 900).alias("price"),
+        F.when(k % 11 == 0, F.col("o_totalprice") / 700).alias("exec_price"),
+        F.when(k % 4 == 3, "odd").when(k % 8 == 1, "none such").alias("kind"),
+        F.when(k % 5 == 0, "market").when(k % 5 == 1, "range").when(k % 5 == 2, "other").alias("price_type"),
+        F.when(k % 3 != 0, k % 6).cast("int").alias("ticks"),
+        F.when(k % 2 == 0, F.concat(F.lit(" B"), (c % 3).cast("string"))).when(k % 5 == 0, "  ").alias("broker"),
+        F.when(k % 6 == 1, "A1").when(k % 6 == 2, " ").alias("account"),
+    )
+    return orders.orders(rows).select(*ORDER_KEPT)
+
+
 @query("scalar_costs", """WITH q AS (SELECT o_orderkey, o_totalprice / 1000 AS a, o_totalprice / 1000 * 1.05::DOUBLE AS b, 1 + o_orderkey % 5 AS n, o_custkey % 4 = 0 AS fund FROM orders)
  SELECT o_orderkey, greatest(a * n * 1000 * 0.001425::DOUBLE, 20) + greatest(b * n * 1000 * 0.001425::DOUBLE, 20) AS fee, b * n * 1000 * CASE WHEN fund THEN 0.001::DOUBLE ELSE 0.003::DOUBLE END AS tax,
   CAST(100 * n AS DOUBLE) AS lot_fee, a * n * 200 * 0.00002::DOUBLE + b * n * 200 * 0.00002::DOUBLE AS lot_tax FROM q""")
@@ -642,9 +673,29 @@ def backtest_metrics(spark: SparkSession, d: str) -> DataFrame:
     return f.select("symbol", *WHOLE_METRICS, *(F.round(c, 2).alias(c) for c in MONEY_METRICS), *(F.round(c, 5).alias(c) for c in RATIO_METRICS))
 
 
-@query("backtest_all_metrics")
+#: Further figures: name, SQL over trades (c), and places; then those over the columns of f, g, curve and the equity.
+TRADE_FIGURES = {
+    "max_single_loss": ("coalesce(min(pnl) FILTER (pnl < 0), 0)", 2), "max_single_win": ("coalesce(max(pnl) FILTER (pnl > 0), 0)", 2), "long_trades": ("count(*)", None), "short_trades": ("CAST(0 AS BIGINT)", None), "long_pnl": ("sum(pnl)", 2),
+    "short_pnl": ("0.0::DOUBLE", 2), "long_win_rate": ("count(*) FILTER (pnl > 0) / count(*) * 100", 5), "short_win_rate": ("0.0::DOUBLE", 5), "cost_basis_first": ("arg_min(abs(entry_price) * 1000, row(entry_ts, exit_ts))", 2), "cost_basis_total": ("sum(abs(entry_price) * 1000)", 2),
+}
+ROW_FIGURES = {
+    "base": ("base", 2), "total_cost": ("total_fee + total_tax", 2), "max_drawdown_pct": ("fall_pct", 5), "trades_per_year": ("trades / years", 5), "cost_per_year": ("(total_fee + total_tax) / years", 2),
+    "cost_ratio_pct": ("CASE WHEN abs(gross_pnl) > 1e-9 THEN (total_fee + total_tax) / abs(gross_pnl) * 100 ELSE 0 END", 5), "avg_cost_per_trade": ("(total_fee + total_tax) / trades", 2),
+}
+_PLACES = {c: 2 for c in MONEY_METRICS} | {c: 5 for c in RATIO_METRICS} | {c: n for c, (_, n) in (TRADE_FIGURES | ROW_FIGURES).items()} | dict.fromkeys(WHOLE_METRICS)
+
+
+def _placed_sql(c: str, x: str) -> str:
+    return f"{x} AS {c}" if _PLACES[c] is None else f"round({x}, {_PLACES[c]}) AS {c}"
+
+
+@query("backtest_all_metrics", METRICS_SQL + f""", g AS (SELECT symbol, {", ".join(f"{x} AS {c}" for c, (x, _) in TRADE_FIGURES.items())} FROM c GROUP BY symbol),
+ e2 AS (SELECT e.symbol, base + equity AS worth, max(base + equity) OVER (PARTITION BY e.symbol ORDER BY i) AS top FROM e JOIN f ON f.symbol = e.symbol), e3 AS (SELECT symbol, coalesce(max(CASE WHEN top > 0 THEN (top - worth) / top * 100 END), 0) AS fall_pct FROM e2 GROUP BY symbol)
+ SELECT symbol, """ + ", ".join(_placed_sql(c, x) for c, x in {**{c: DERIVED_SQL.get(c, c) for c in (*WHOLE_METRICS, *MONEY_METRICS, *RATIO_METRICS)}, **{c: f"g.{c}" for c in TRADE_FIGURES}, **{c: x for c, (x, _) in ROW_FIGURES.items()}}.items()) + """
+ FROM f JOIN g USING (symbol) JOIN e3 USING (symbol) JOIN st USING (symbol) JOIN b USING (symbol) JOIN curve USING (symbol)""")
 def backtest_all_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _figures(spark, d)[1]
+    f = _figures(spark, d)[1]
+    return f.select("symbol", *(F.round(c, n).alias(c) if (n := _PLACES[c]) is not None else F.col(c) for c in f.columns if c != "symbol"))
 
 
 #: Faults that the audit must find: what is changed in the figures of which symbols, and the check that fails there.
