@@ -13,7 +13,7 @@ from barspark.functions.conditions import CONDITIONS
 from barspark.functions.scan import Scan, with_scans
 from barspark.operators import account, asof, band, difference, evaluate, intents, isolated, levels, metrics, orders, patterns, progress, resample, screener, strategy, sweep
 from barspark.plans.compiler import with_conditions
-from barspark.sources import barstore, contracts, sqlite
+from barspark.sources import barstore, contracts, periodstore, sqlite
 from barspark.sources import tables as T
 from barspark.sources.scratch import folder, written
 
@@ -444,6 +444,27 @@ FLOW_TESTS = {
 }
 
 
+@query("flow_range", f"""WITH {FLOW_SQL} SELECT symbol, ts, CASE WHEN month(ts) = 6 THEN foreign_net + 1 ELSE foreign_net END AS foreign_net, trust_net, dealer_net FROM flow WHERE ts BETWEEN DATE '1995-03-10' AND DATE '1996-02-20'""")
+def flow_range(spark: SparkSession, d: str) -> DataFrame:
+    """Flow of all shares saved by month, its Junes corrected in a second load, and a range of days read back."""
+    flow = written(T.stock_flow(spark, d).select("symbol", "ts", "foreign_net", "trust_net", "dealer_net"), "flow")
+    store = periodstore.PeriodStore(spark, folder(spark, "flow"), flow.schema, ["symbol"])
+    store.save(flow)
+    store.save(flow.where("month(ts) = 6").withColumn("foreign_net", F.col("foreign_net") + 1))
+    return store.range("1995-03-10", "1996-02-20")
+
+
+@query("futures_flow_range", """WITH f AS (SELECT CAST(DATE '1995-01-02' + CAST(80 * date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS DATE) AS ts, user_id % 3 AS who, CAST(floor(value) AS BIGINT) - 50 AS x FROM events WHERE event_type = 'purchase')
+ SELECT ts, CAST(sum(x) FILTER (who = 0) AS BIGINT) AS fut_foreign_oi, CAST(sum(x) FILTER (who = 1) AS BIGINT) AS fut_trust_oi, CAST(sum(x) FILTER (who = 2) AS BIGINT) AS fut_dealer_oi FROM f WHERE ts BETWEEN DATE '1996-03-01' AND DATE '1999-06-30' GROUP BY ts""")
+def futures_flow_range(spark: SparkSession, d: str) -> DataFrame:
+    """Flow of all products saved by year, with a day every 80 days, and a range of one product read back and pivoted."""
+    spread = F.date_add(F.lit("1995-01-02").cast("date"), (F.datediff("ts", F.lit("2024-01-01").cast("date")) * 80).cast("int"))
+    flow = written(T.futures_flow(spark, d).withColumn("ts", spread), "futures-flow")
+    store = periodstore.PeriodStore(spark, folder(spark, "futures-flow"), flow.schema, ["product", "investor"], by="year")
+    store.save(flow)
+    return T.futures_by_investor(store.range("1996-03-01", "1999-06-30"), "purchase")
+
+
 @query("cond_flow", _tests_sql(FLOW_TESTS, JOINED_SQL + f", k AS (SELECT *, margin_balance - lag(margin_balance) OVER {W} AS dm FROM j), q AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in FLOW_COLUMNS.items())} FROM k)"))
 def cond_flow(spark: SparkSession, d: str) -> DataFrame:
     params = {"chip_inst_buy_over": {"value": 0.05}, "chip_inst_sell_over": {"value": -0.05}}

@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barspark.functions.scalars import timeframe_minutes
+from barspark.sources.scratch import removed
+
 KEY = ("symbol", "asset_type", "timeframe", "ts")
 
 
@@ -86,8 +89,33 @@ def chunks(spark: SparkSession, start: str, end: str, days: int = 28) -> DataFra
     return starts.select("start_date", F.least(F.date_add("start_date", days - 1), e).alias("end_date"))
 
 
+#: Days of a request and of its second try, for frames under a day and for the others.
+REQUEST_DAYS = {True: (10, 5), False: (90, 30)}
+
+
+def chunk_plan(frame: str, days: int) -> tuple[int, int, int] | None:
+    """(days a request, days of a second try, requests at most) for a range of so many days; None where one request does.
+
+    A frame that is not known counts as a daily one.
+    """
+    size, second = REQUEST_DAYS[timeframe_minutes(frame) is not None]
+    requests = -(-days // size)
+    return (size, second, requests) if requests > 1 else None
+
+
+def planned(spark: SparkSession, frame: str, start: str, end: str) -> DataFrame:
+    """start_date, end_date of the requests that a range of a frame takes, by chunk_plan: one where one does, none for an end before the start."""
+    size = REQUEST_DAYS[timeframe_minutes(frame) is not None][0]
+    s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
+    starts = spark.range(1).select(F.explode(F.sequence(s, F.greatest(s, e), F.expr(f"interval {size} days"))).alias("start_date")).where(F.col("start_date") <= e)
+    return starts.select("start_date", F.least(F.date_add("start_date", size - 1), e).alias("end_date"))
+
+
 class BarStore:
-    """The store at a path. Writes replace whole partitions of (asset_type, timeframe), atomically as far as the file system does."""
+    """The store at a path. Writes replace whole partitions of (asset_type, timeframe), atomically as far as the file system does.
+
+    One writer a partition at a time: of two, the later replaces what the earlier wrote.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -107,8 +135,11 @@ class BarStore:
         # before the last write leaves the store as it was.
         merged = upserted(old, bars).select(*self.read().columns)
         staging = f"{self.path.rstrip('/')}__staging/{uuid.uuid4().hex}"
-        merged.write.parquet(staging)
-        self._write(self.spark.read.schema(merged.schema).parquet(staging))
+        try:
+            merged.write.parquet(staging)
+            self._write(self.spark.read.schema(merged.schema).parquet(staging))
+        finally:
+            removed(self.spark, staging)
 
     def _write(self, bars: DataFrame) -> None:
         rows = bars.repartition("asset_type", "timeframe", F.pmod(F.xxhash64("symbol"), F.lit(32))).sortWithinPartitions("asset_type", "timeframe", "symbol", "ts")
