@@ -897,11 +897,50 @@ def account_equity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(account.equity(account.history(_fills(spark, d)), marks), "cash", "realized", "unrealized", "equity", places=2)
 
 
-@query("band_strategy")
+# The band strategy as a recursion over a symbol's events: closes (c), each day's first price at noon (n) and the first that is due after it (d).
+BAND_SQL = """WITH RECURSIVE {prices}, t AS (SELECT *, CAST(ts AS DATE) AS day, date_part('hour', ts) * 60 + date_part('minute', ts) AS m FROM prices),
+ closes AS (SELECT symbol, CAST(day + 1 AS TIMESTAMP) AS ts, 'c' AS typ, p, count(*) OVER w AS nb, CASE WHEN count(*) OVER w >= 20 THEN avg(p) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS a FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+ noon AS (SELECT symbol, day, min(row(ts, price)) AS f FROM t WHERE m BETWEEN 720 AND 724 GROUP BY ALL),
+ due AS (SELECT t.symbol, t.day, min(row(t.ts, t.price)) AS f FROM t JOIN noon n ON n.symbol = t.symbol AND n.day = t.day WHERE t.ts >= n.f[1] + INTERVAL 60 SECOND AND t.ts < n.f[1] + INTERVAL 600 SECOND AND m BETWEEN 720 AND 734 GROUP BY ALL),
+ ev AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, CASE typ WHEN 'c' THEN 0 ELSE 1 END) AS i, epoch_us(ts) / 1e6 AS now FROM (SELECT * FROM closes UNION ALL SELECT symbol, f[1], 'n', f[2], 0, NULL FROM noon UNION ALL SELECT symbol, f[1], 'd', f[2], 0, NULL FROM due)),
+ r AS (SELECT symbol, 0::BIGINT AS i, false AS pos, 0::DOUBLE AS entry, NULL::VARCHAR AS proposed, 0::DOUBLE AS ref, false AS armed, 0::DOUBLE AS trail, false AS by_avg, NULL::VARCHAR AS okind, 0::DOUBLE AS since, NULL::VARCHAR AS kind, NULL::TIMESTAMP AS ts, 0::DOUBLE AS price FROM (SELECT DISTINCT symbol FROM ev)
+  UNION ALL SELECT symbol, i, CASE WHEN sent IS NULL THEN pos ELSE sent = 'open' END, entry3, proposed3, ref2, armed3, trail3, by_avg3, CASE WHEN typ = 'c' OR now - since3 < 60 THEN okind3 END, since3, sent, ts, p FROM (
+  SELECT *, CASE WHEN typ <> 'c' AND okind3 IS NOT NULL AND now - since3 >= 60 AND now - since3 < 600 THEN okind3 END AS sent FROM (
+  SELECT *, CASE WHEN NOT fires THEN entry WHEN prop2 = 'enter' THEN p ELSE 0 END AS entry3, NOT fires AND armed2 AS armed3, CASE WHEN fires THEN 0 ELSE trail2 END AS trail3, NOT fires AND by_avg2 AS by_avg3,
+   CASE WHEN typ <> 'n' THEN prop2 END AS proposed3, CASE WHEN NOT fires THEN okind WHEN prop2 = 'enter' THEN 'open' ELSE 'close' END AS okind3, CASE WHEN fires THEN now ELSE since END AS since3 FROM (
+  SELECT *, typ = 'n' AND CASE prop2 WHEN 'enter' THEN p > {line} WHEN 'stop' THEN p < {stop} WHEN 'trail' THEN p <= trail2 WHEN 'average' THEN p < ref2 ELSE false END AS fires FROM (
+  SELECT *, CASE WHEN typ = 'c' AND nb >= 20 AND NOT pos AND proposed IS NULL AND p > {line} THEN 'enter' WHEN stopped THEN 'stop' WHEN averaged THEN 'average' WHEN hit THEN 'trail' ELSE proposed END AS prop2,
+   CASE WHEN averaged THEN a ELSE ref END AS ref2, by_avg OR (trails AND NOT hit AND profit > {arm} AND coalesce(p > a, false)) AS by_avg2 FROM (
+  SELECT *, trails AND entry > 0 AND armed2 AND p < trail2 AS hit FROM (
+  SELECT *, CASE WHEN trails AND entry > 0 AND armed2 AND floor((profit - {arm}) / {step}) > 0 THEN greatest(trail1, entry + floor((profit - {arm}) / {step}) * {step}) ELSE trail1 END AS trail2 FROM (
+  SELECT *, CASE WHEN trails AND entry > 0 THEN armed OR profit > {arm} ELSE armed END AS armed2, CASE WHEN trails AND entry > 0 AND NOT armed AND profit > {arm} THEN entry ELSE trail END AS trail1 FROM (
+  SELECT *, live AND p < {stop} AS stopped, live AND p >= {stop} AND by_avg AND coalesce(p < a, false) AS averaged, live AND p >= {stop} AND NOT by_avg AS trails, CASE WHEN entry > 0 THEN p - entry ELSE 0 END AS profit FROM (
+  SELECT e.*, r.* EXCLUDE (symbol, i, kind, ts, price), typ = 'c' AND nb >= 20 AND pos AND proposed IS NULL AS live FROM r JOIN ev e ON e.symbol = r.symbol AND e.i = r.i + 1))))))))))
+ SELECT symbol, ts, kind, CASE kind WHEN 'open' THEN 'buy' ELSE 'sell' END AS action, 1 AS quantity, price FROM r WHERE kind IS NOT NULL"""
+_BAND = {"line": 1.0, "stop": 30.0, "arm": 5.0, "step": 5.0}
+_BAND_TICKS = "prices AS (SELECT event_type AS symbol, ts, value AS price FROM events), daily AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, arg_max(value, row(ts, event_id)) AS p FROM events GROUP BY ALL)"
+_BAND_SHARES = {"line": 1450.0, "stop": 1100.0, "arm": 60.0, "step": 25.0}
+_NOON_SQL = "CAST(ts AS TIMESTAMP) + INTERVAL 12 HOUR + to_seconds(symbol % 5 * 55)"
+_BAND_BARS = f"""{BARS}, daily AS (SELECT symbol, ts AS day, close AS p FROM bars), prices AS (SELECT symbol, {_NOON_SQL} AS ts, open AS price FROM bars WHERE dayofyear(ts) % 11 <> 0
+  UNION ALL SELECT symbol, {_NOON_SQL} + to_seconds(30 + (symbol * 37 + dayofyear(ts) * 13) % 700), close FROM bars)"""
+
+
+@query("band_shares", BAND_SQL.format(prices=_BAND_BARS, **_BAND_SHARES))
+def band_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The band strategy on all shares: opens at noon but for every eleventh day, closes up to twelve minutes later, some of them too early or stale."""
+    bars = written(T.daily_bars(spark, d), "bars")
+    noon = F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) + 12 * 3600 + F.col("symbol") % 5 * 55)
+    later = F.timestamp_seconds(F.unix_seconds(noon) + 30 + (F.col("symbol") * 37 + F.dayofyear("ts") * 13) % 700)
+    first = bars.where(F.dayofyear("ts") % 11 != 0).select("symbol", noon.cast("timestamp_ntz").alias("ts"), F.col("open").alias("price"))
+    prices = first.union(bars.select("symbol", later.cast("timestamp_ntz"), "close"))
+    return band.run(bars.select("symbol", "ts", "close"), prices, band.Band(**_BAND_SHARES))
+
+
+@query("band_strategy", BAND_SQL.format(prices=_BAND_TICKS, **_BAND))
 def band_strategy(spark: SparkSession, d: str) -> DataFrame:
     ticks = T.ticks(spark, d)
     daily = resample.from_ticks(ticks, "day").select("symbol", "ts", "close")
-    return band.run(daily, ticks.select("symbol", "ts", "price"), band.Band(line=1.0, stop=30.0, arm=5.0, step=5.0))
+    return band.run(daily, ticks.select("symbol", "ts", "price"), band.Band(**_BAND))
 
 
 @query("scalar_opened", """WITH q AS (SELECT event_id, ts AS a, ts + INTERVAL 3 HOUR AS b FROM events), o AS (SELECT unnest([525, 540, 550, 900]) AS m), x AS (SELECT DISTINCT event_id FROM q, o, (SELECT unnest([0, 1]) AS k)
