@@ -1063,7 +1063,7 @@ _TICK_OF = "CASE " + " ".join(f"WHEN (hi + lo) / 2 < {limit} THEN {t}" for limit
 
 PROFILE_SQL = f"""{BARS}, a AS (SELECT symbol, min(low) AS lo, max(high) AS hi FROM bars GROUP BY symbol HAVING max(high) > min(low)), b AS (SELECT *, greatest((hi - lo) / 40, {_TICK_OF}) AS w FROM a),
  c AS (SELECT *, greatest(1, CAST(round_even((hi - lo) / w, 0) AS INTEGER)) AS n FROM b), x AS (SELECT c.*, volume, least(n - 1, greatest(0, CAST(floor((low - lo) / w) AS INTEGER))) AS i0, least(n - 1, greatest(0, CAST(floor((high - lo) / w) AS INTEGER))) AS i1 FROM bars JOIN c USING (symbol) WHERE volume > 0),
- y AS (SELECT symbol, unnest(generate_series(i0, i1)) AS bin, volume / (i1 - i0 + 1) AS v FROM x), z AS (SELECT symbol, bin, sum(v) AS v FROM y GROUP BY 1, 2), e AS (SELECT symbol, unnest(generate_series(0, n - 1)) AS bin FROM c),
+ y AS (SELECT symbol, unnest(generate_series(i0, i1)) AS bin, volume / (i1 - i0 + 1) AS v FROM x), z AS (SELECT symbol, bin, round(sum(v), 6) AS v FROM y GROUP BY 1, 2), e AS (SELECT symbol, unnest(generate_series(0, n - 1)) AS bin FROM c),
  profile AS (SELECT e.symbol, CAST(e.bin AS INTEGER) AS bin, coalesce(z.v, 0) AS v, lo + w * e.bin AS bin_lo, CASE WHEN e.bin = n - 1 THEN greatest(hi, lo + w * n) ELSE lo + w * (e.bin + 1) END AS bin_hi, n FROM e JOIN c USING (symbol) LEFT JOIN z ON z.symbol = e.symbol AND z.bin = e.bin)"""
 
 
@@ -1082,9 +1082,40 @@ def value_area(spark: SparkSession, d: str) -> DataFrame:
     return rounded(levels.value_area(levels.histogram(T.daily_bars(spark, d))), "total_volume")
 
 
-@query("support_resistance")
+# Levels as sets: thinned nodes and merged candidates are folds over numbered rows.
+_AREA_CTES, _AREA_ROWS = ORACLE_SQL["value_area"].rsplit("\n SELECT w.symbol", 1)
+_TICK_BANDS = _band_sql(S.SHARE_TICKS, S.SHARE_TOP_TICK)
+LEVELS_SQL = f"""{_AREA_CTES}, area AS (SELECT w.symbol{_AREA_ROWS}), scale AS (SELECT symbol, max(v) AS most, arg_min(bin_hi - bin_lo, bin) AS width FROM profile GROUP BY symbol),
+ cur AS (SELECT symbol, p AS current, CAST({_TICK_BANDS} AS DOUBLE) AS tick FROM (SELECT symbol, arg_max(close, ts) AS p FROM bars GROUP BY symbol)),
+ about AS (SELECT * FROM area JOIN scale USING (symbol) JOIN cur USING (symbol)),
+ sides AS (SELECT *, lag(v) OVER o AS l, lead(v) OVER o AS r FROM profile WINDOW o AS (PARTITION BY symbol ORDER BY bin)),
+ peaks AS (SELECT symbol, bin, v, (bin_lo + bin_hi) / 2 AS price, v >= greatest(l, r) AS fl FROM sides WHERE l IS NOT NULL AND r IS NOT NULL AND NOT (v = l AND v = r) AND (v >= greatest(l, r) OR v <= least(l, r))),
+ nd AS (SELECT *, row_number() OVER (PARTITION BY symbol, fl ORDER BY CASE WHEN fl THEN -v ELSE v END, bin) AS k FROM peaks),
+ thinned AS (SELECT DISTINCT symbol, fl, 0::BIGINT AS k, CAST([] AS INTEGER[]) AS kept FROM nd
+  UNION ALL SELECT n.symbol, n.fl, n.k, CASE WHEN len(list_filter(kept, lambda q: abs(q - n.bin) < 2)) > 0 THEN kept ELSE list_append(kept, n.bin) END FROM thinned r JOIN nd n ON n.symbol = r.symbol AND n.fl = r.fl AND n.k = r.k + 1),
+ nodes AS (SELECT h.symbol, h.fl, h.place, nd.price, nd.v FROM (SELECT symbol, fl, unnest(kept) AS bin, unnest(range(len(kept))) AS place FROM (SELECT symbol, fl, arg_max(kept, k) AS kept FROM thinned GROUP BY ALL)) h JOIN nd USING (symbol, fl, bin)),
+ around AS (SELECT *, count(*) OVER o AS c, max(high) OVER o AS mx, min(low) OVER o AS mn, avg(volume) OVER (PARTITION BY symbol) AS mean FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+ turns AS (SELECT symbol, ts, unnest([CASE WHEN high = mx THEN 4 END, CASE WHEN low = mn THEN 5 END]) AS ord, unnest([high, low]) AS price FROM around WHERE c = 7 AND (mean <= 0 OR volume >= mean * 1.3::DOUBLE)),
+ cand AS (SELECT symbol, 0 AS ord, 0 AS place, poc AS price, 'POC' AS kind, 1.0::DOUBLE AS strength FROM about UNION ALL SELECT symbol, 1, 0, vah, 'VAH', 0.75 FROM about UNION ALL SELECT symbol, 2, 0, val, 'VAL', 0.75 FROM about
+  UNION ALL SELECT symbol, 3, place, n.price, 'HVN', greatest(0.15::DOUBLE, least(0.95::DOUBLE, v / most)) FROM nodes n JOIN about USING (symbol) WHERE fl AND abs(n.price - poc) > width / 2
+  UNION ALL SELECT symbol, ord, row_number() OVER (PARTITION BY symbol, ord ORDER BY ts), price, CASE ord WHEN 4 THEN 'SwingHigh' ELSE 'SwingLow' END, 0.5 FROM turns WHERE ord IS NOT NULL),
+ numbered AS (SELECT c.*, greatest(2 * tick, 0.5::DOUBLE * width) AS tol, row_number() OVER (PARTITION BY c.symbol ORDER BY -strength, ord, place) AS k FROM cand c JOIN about USING (symbol)),
+ folded AS (SELECT DISTINCT symbol, 0::BIGINT AS k, CAST([] AS STRUCT(price DOUBLE, kind VARCHAR, strength DOUBLE, kinds VARCHAR[])[]) AS m FROM numbered
+  UNION ALL SELECT symbol, k, CASE WHEN spot > 0 THEN list_transform(m, lambda q, j: CASE WHEN j = spot THEN {{'price': q.price, 'kind': q.kind, 'strength': least(1, q.strength + strength * 0.25::DOUBLE), 'kinds': CASE WHEN list_contains(q.kinds, kind) THEN q.kinds ELSE list_append(q.kinds, kind) END}} ELSE q END)
+    ELSE list_append(m, {{'price': price, 'kind': kind, 'strength': strength, 'kinds': [kind]}}) END
+   FROM (SELECT n.*, r.m, coalesce(list_position(list_transform(r.m, lambda q: abs(q.price - n.price) < n.tol), true), 0) AS spot FROM folded r JOIN numbered n ON n.symbol = r.symbol AND n.k = r.k + 1)),
+ found AS (SELECT symbol, 0 AS grp, -x.strength AS rank, place, x.price AS p, x.kind AS kind, x.strength AS strength, array_to_string(x.kinds, ',') AS kinds FROM (SELECT symbol, unnest(m) AS x, unnest(range(len(m))) AS place FROM (SELECT symbol, arg_max(m, k) AS m FROM folded GROUP BY symbol))
+  UNION ALL SELECT symbol, 1, 0, place, price, 'LVN', 0.25, 'LVN' FROM nodes WHERE NOT fl AND symbol IN (SELECT symbol FROM about)),
+ once AS (SELECT * EXCLUDE (p), tick AS tick1, round(round_even(p / tick, 0) * tick, 4) AS p FROM (SELECT *, CAST({_TICK_BANDS} AS DOUBLE) AS tick FROM found)),
+ aligned AS (SELECT * EXCLUDE (p), CASE WHEN tick2 <> tick1 THEN round(round_even(p / tick2, 0) * tick2, 4) ELSE p END AS price FROM (SELECT *, CAST({_TICK_BANDS} AS DOUBLE) AS tick2 FROM once)),
+ firsts AS (SELECT * FROM aligned WHERE price > 0 QUALIFY row_number() OVER (PARTITION BY symbol, grp, price ORDER BY rank, place) = 1), best AS (SELECT * FROM firsts QUALIFY grp = 1 OR row_number() OVER (PARTITION BY symbol, grp ORDER BY rank, place) <= 8),
+ held AS (SELECT * FROM best QUALIFY grp = min(grp) OVER (PARTITION BY symbol, price))
+ SELECT symbol, price, kind, kinds, CASE WHEN abs(price - current) < cur.tick THEN 'current' WHEN price > current THEN 'resistance' ELSE 'support' END AS role, round(strength, 3) AS strength, coalesce(round((price - current) / current * 100, 2), 0) AS distance_pct FROM held JOIN cur USING (symbol)"""
+
+
+@query("support_resistance", LEVELS_SQL)
 def support_resistance(spark: SparkSession, d: str) -> DataFrame:
-    return levels.support_resistance(T.daily_bars(spark, d))
+    return levels.support_resistance(T.daily_bars(spark, d)).withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query("fibonacci", f"""WITH {BARS}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM bars), b AS (SELECT symbol, max(high) AS hi, min(low) AS lo, arg_max(ts, row(high, n)) AS ht, arg_min(ts, row(low, -n)) AS lt FROM a WHERE n <= 120 GROUP BY symbol HAVING count(*) >= 2 AND max(high) > min(low))
