@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +33,32 @@ def history(fills: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in fills.schema.fields}
     schema = ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", _signed long, _average double, _closed long, _basis double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], kind="stable", ignore_index=True)
-        signed, average, out = 0, 0.0, []
-        change = np.where(pdf["buys"], 1, -1) * pdf["quantity"].to_numpy(np.int64)
-        for move, opens, price in zip(change.tolist(), pdf["opens"].tolist(), pdf["price"].tolist(), strict=True):
-            basis, closed = average, 0
-            if opens:
-                kept = signed if signed * move > 0 else 0
-                average = (average * kept + price * move) / (kept + move) if move else average
-                signed = kept + move
-            elif signed:
-                closed = min(abs(move), abs(signed)) * (1 if signed > 0 else -1)
-                signed -= closed
-            out.append((signed, average, closed, basis))
-        return pd.concat([pdf, pd.DataFrame(out, columns=["_signed", "_average", "_closed", "_basis"])], axis=1)
-
-    rows = fills.groupBy("account", "symbol").applyInPandas(run, schema).withColumn("_unit", _units())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, signed, average = None, 0, 0.0
+        for batch in batches:
+            keys = zip(batch["account"].to_pylist(), batch["symbol"].to_pylist(), strict=True)
+            opens, buys, quantity = (batch[c].to_pylist() for c in ("opens", "buys", "quantity"))
+            price = batch["price"].to_numpy(zero_copy_only=False).tolist()
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for key, opens_, buys_, n, at in zip(keys, opens, buys, quantity, price, strict=True):
+                if key != now:
+                    now, signed, average = key, 0, 0.0
+                move, basis, closed = n if buys_ else -n, average, 0
+                if opens_:
+                    kept = signed if signed * move > 0 else 0
+                    average = (average * kept + at * move) / (kept + move) if move else average
+                    signed = kept + move
+                elif signed:
+                    closed = min(abs(move), abs(signed)) * (1 if signed > 0 else -1)
+                    signed -= closed
+                for line, x in zip(out, (signed, average, closed, basis), strict=True):
+                    line.append(x)
+            new = [pa.array(x, t, from_pandas=True) for x, t in zip(out, (pa.int64(), pa.float64(), pa.int64(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "_signed", "_average", "_closed", "_basis"])
+
+    # Accounts are many and short: a task runs through all of its own in order, and no group costs a frame of its own.
+    dealt = fills.repartition("account", "symbol").sortWithinPartitions("account", "symbol", F.asc_nulls_last("ts"), F.asc_nulls_last("seq"))
+    rows = dealt.mapInArrow(run, schema).withColumn("_unit", _units())
     gross = F.col("price") * F.col("_unit") * F.col("quantity")
     share, side = F.col("market") == "share", F.when(F.col("buys"), -1.0).otherwise(1.0)
     fee = F.when(share, gross * F.when(F.col("buys"), FEE).otherwise(FEE + TAX)).otherwise(LOT_FEE * F.col("quantity"))
@@ -66,22 +75,26 @@ def history(fills: DataFrame) -> DataFrame:
     )
 
 
+def _positions(rows: DataFrame, *sums: Column) -> DataFrame:
+    last = rows.groupBy("account", "symbol").agg(F.max_by(F.struct("market", "kind", "held", "held_long", "average"), F.struct("ts", "seq")).alias("p"), *sums)
+    return last.select("account", "symbol", "p.*", *(c for c in last.columns if c not in ("account", "symbol", "p")))
+
+
 def positions(rows: DataFrame) -> DataFrame:
     """account, symbol, market, kind, held, held_long, average of what is still held."""
-    last = rows.groupBy("account", "symbol").agg(F.max_by(F.struct("market", "kind", "held", "held_long", "average"), F.struct("ts", "seq")).alias("p"))
-    return last.select("account", "symbol", "p.*").where("held > 0")
+    return _positions(rows).where("held > 0")
 
 
 def equity(rows: DataFrame, marks: DataFrame, initial: float = 1_000_000.0) -> DataFrame:
     """account, cash, realized, unrealized, equity; marks has symbol and mark, a symbol without one is worth its average price."""
-    open_ = positions(rows).join(marks, "symbol", "left").withColumn("mark", F.coalesce("mark", "average")).withColumn("unit", _units())
+    sums = [F.sum("cash_flow").alias("_cash"), F.sum("pnl").alias("_pnl")]
+    # Positions and sums come from one pass over rows, which may be costly to compute.
+    held = _positions(rows, *sums).join(marks, "symbol", "left").withColumn("mark", F.coalesce("mark", "average")).withColumn("unit", _units())
     gain = (F.col("mark") - F.col("average")) * F.when(F.col("held_long"), 1).otherwise(-1) * F.col("unit") * F.col("held")
     worth = F.when(F.col("market") == "share", F.col("mark") * F.col("unit") * F.col("held")).otherwise(gain)
-    now = open_.groupBy("account").agg(F.sum(gain).alias("unrealized"), F.sum(worth).alias("_worth"))
-    cash = rows.groupBy("account").agg((F.lit(initial) + F.sum("cash_flow")).alias("cash"), F.sum("pnl").alias("realized"))
-    none = F.lit(0.0)
-    out = cash.join(now, "account", "left")
-    return out.select("account", "cash", "realized", F.coalesce("unrealized", none).alias("unrealized"), (F.col("cash") + F.coalesce("_worth", none)).alias("equity"))
+    total = lambda x: F.coalesce(F.sum(F.when(F.col("held") > 0, x)), F.lit(0.0))
+    out = held.groupBy("account").agg((F.lit(initial) + F.sum("_cash")).alias("cash"), F.sum("_pnl").alias("realized"), total(gain).alias("unrealized"), total(worth).alias("_worth"))
+    return out.select("account", "cash", "realized", "unrealized", (F.col("cash") + F.col("_worth")).alias("equity"))
 
 
 def realized_on(rows: DataFrame, day: str) -> DataFrame:
