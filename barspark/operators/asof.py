@@ -23,22 +23,28 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
     return joined.select("_left.*", *(F.col(f"_found.{v}").alias(v) for v in values))
 
 
-def asof_forward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, values: Sequence[str]) -> DataFrame:
-    """left with the values of the first right row whose time is at or after its own, else null."""
+def asof_forward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, values: Sequence[str], last: str | None = None) -> DataFrame:
+    """left with the values of the first right row whose time is at or after its own, else null.
+
+    last names a column with a struct of the values of the last right row of the same keys. The window goes back in time, so that its frame grows
+    by a row at each step; one that looks forward would be folded anew at each row.
+    """
     taken = F.struct(*values)
     rows = left.select(*[F.col(c) for c in by], F.col(on).alias("_at"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(taken.alias("x")).schema["x"].dataType).alias("_right"))
     other = right.groupBy(*by, on).agg(F.max(taken).alias("_right")).select(*[F.col(c) for c in by], F.col(on).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), "_right")
-    w = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(0, Window.unboundedFollowing)
-    joined = rows.unionByName(other).withColumn("_found", F.first("_right", ignorenulls=True).over(w)).where(F.col("_left").isNotNull())
-    return joined.select("_left.*", *(F.col(f"_found.{v}").alias(v) for v in values))
+    w = Window.partitionBy(*by).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    found = {"_found": F.last("_right", ignorenulls=True).over(w)}
+    if last:
+        found["_final"] = F.max_by("_right", F.when(F.col("_side") == 1, F.col("_at"))).over(Window.partitionBy(*by))
+    joined = rows.unionByName(other).withColumns(found).where(F.col("_left").isNotNull())
+    return joined.select("_left.*", *(F.col(f"_found.{v}").alias(v) for v in values), *([F.col("_final").alias(last)] if last else []))
 
 
 def executed_elsewhere(watched: DataFrame, traded: DataFrame, by: Sequence[str]) -> DataFrame:
     """watched bars with exec_open and exec_close of the traded series: its first bar at or after; past its end its last close, twice."""
     renamed = traded.select(*by, "ts", F.col("open").alias("exec_open"), F.col("close").alias("exec_close"))
-    last = traded.groupBy(*by).agg(F.max_by("close", "ts").alias("_last"))
-    out = asof_forward(watched, renamed, by, "ts", ["exec_open", "exec_close"]).join(last, list(by), "left")
-    return out.withColumns({"exec_open": F.coalesce("exec_open", "_last"), "exec_close": F.coalesce("exec_close", "_last")}).drop("_last")
+    out = asof_forward(watched, renamed, by, "ts", ["exec_open", "exec_close"], last="_last")
+    return out.withColumns({c: F.coalesce(c, F.col("_last.exec_close")) for c in ("exec_open", "exec_close")}).drop("_last")
 
 
 def with_flow(bars: DataFrame, flow: DataFrame, columns: Sequence[str], same_day: bool = False) -> DataFrame:
