@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -29,6 +30,8 @@ SCHEMA = "symbol string, asset_type string, timeframe string, ts timestamp_ntz,
 CREATE = f"""CREATE TABLE IF NOT EXISTS {TABLE} (symbol TEXT NOT NULL, asset_type TEXT NOT NULL, timeframe TEXT NOT NULL, ts TEXT NOT NULL, open REAL NOT NULL, high REAL NOT NULL,
  low REAL NOT NULL, close REAL NOT NULL, volume REAL NOT NULL DEFAULT 0, PRIMARY KEY (symbol, asset_type, timeframe, ts))"""
 ROWS_PER_TASK = 250_000
+#: Bars of a file that write_sqlite builds in memory, some 60 MB with its key.
+ROWS_PER_FILE = 250_000
 
 
 def opened(path: str) -> sqlite3.Connection:
@@ -180,26 +183,49 @@ def probe(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInPandas(look, "path string, readonly boolean, schema_version long, data_version long, first_ts string, last_ts string, bars long")
 
 
-def write_sqlite(bars: DataFrame, where: str, parts: int = 8) -> int:
+def write_sqlite(bars: DataFrame, where: str, parts: int = 8, rows_per_file: int = ROWS_PER_FILE) -> int:
     """Writes bars (the columns of SCHEMA) as files in a folder, the bars of a symbol and time frame in order; of equal keys one bar stays.
 
-    A file is built by one task, in memory, and appears whole. Bars without a key, time or price are left out. Returns the number of bars in the files.
+    parts tasks write files of at most rows_per_file bars, one after the other; each is built in memory and appears whole, so what a task holds has
+    a bound whatever the number of bars. Bars without a key, time or price are left out. Returns the number of bars in the files.
     """
     keys = ["symbol", "asset_type", "timeframe", "ts"]
+    insert = f"INSERT OR REPLACE INTO {TABLE} VALUES (?, ?, ?, ?, ?, ?, ?, ?, ?)"
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        db = sqlite3.connect(":memory:")
-        db.execute(CREATE)
-        for batch in batches:
-            rows = zip(*(batch[c] for c in TEXTS), (pd.Timestamp(t).isoformat() for t in batch["ts"]), *(map(float, batch[c]) for c in NUMBERS), strict=True)
-            db.executemany(f"INSERT OR REPLACE INTO {TABLE} VALUES (?, ?, ?, ?, ?, ?, ?, ?, ?)", rows)
-        db.commit()
         from pyspark import TaskContext
 
-        n = db.execute(f"SELECT count(*) FROM {TABLE}").fetchone()[0]
-        put(f"{where}/part-{TaskContext.get().partitionId():05d}.db", db.serialize())
-        yield pd.DataFrame({"n": [n]})
+        part, file, db, held = TaskContext.get().partitionId(), 0, None, 0
+        last: tuple | None = None
+
+        def done() -> int:
+            db.commit()
+            n = db.execute(f"SELECT count(*) FROM {TABLE}").fetchone()[0]
+            put(f"{where}/part-{part:05d}-{file:05d}.db", db.serialize())
+            db.close()
+            return n
+
+        for batch in batches:
+            times = [pd.Timestamp(t).isoformat() for t in batch["ts"]]
+            rows = list(zip(*(batch[c] for c in TEXTS), times, *(map(float, batch[c]) for c in NUMBERS), strict=True))
+            at = 0
+            while at < len(rows):
+                if db is not None and held >= rows_per_file and rows[at][:4] != last:
+                    yield pd.DataFrame({"n": [done()]})
+                    db, file = None, file + 1
+                if db is None:
+                    db, held = sqlite3.connect(":memory:"), 0
+                    db.execute(CREATE)
+                # A full file still takes the rows that repeat its last key, which replace one another.
+                until = at + max(1, rows_per_file - held)
+                db.executemany(insert, rows[at:until])
+                held, last = held + len(rows[at:until]), rows[min(until, len(rows)) - 1][:4]
+                at = until
+        if db is None:
+            db = sqlite3.connect(":memory:")
+            db.execute(CREATE)
+        yield pd.DataFrame({"n": [done()]})
 
     whole = bars.dropna(subset=[*keys, "open", "high", "low", "close"]).fillna({"volume": 0.0}).select(*keys, *NUMBERS)
     dealt = whole.repartitionByRange(parts, *keys).sortWithinPartitions(*keys, *NUMBERS)
-    return sum(r["n"] for r in dealt.mapInPandas(build, "n long").collect())
+    return dealt.mapInPandas(build, "n long").agg(F.sum("n")).first()[0] or 0
