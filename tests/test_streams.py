@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from barspark.operators import band
 from barspark.queries import evaluations
 from barspark.streaming import bars as S
 from barspark.streaming import folds as L
-from barspark.streaming.ordered import Row, advanced
+from barspark.streaming.ordered import Row, _Ordered, advanced
 
 UTC = dt.UTC
 
@@ -116,6 +118,47 @@ def test_notices_by_hand():
     assert told(regime(0, "range"), at(day), regime(2, "range")) == [(0, "regime", "range"), (2, "regime", "range")]
 
 
+class Handle:
+    """State of one key, as bytes where the store has bytes."""
+
+    def __init__(self):
+        self.timers = []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def _state(self, *_):
+        held = {}
+        return SimpleNamespace(
+            exists=lambda: bool(held), get=lambda: held.get("x"), update=lambda x: held.update(x=x), getValue=held.get, updateValue=held.__setitem__, removeKey=held.pop,
+            keys=lambda: iter(list(held)), clear=held.clear, appendList=lambda rows: held.setdefault("x", []).extend(rows), put=lambda rows: held.update(x=rows),
+        )
+
+    getMapState = getValueState = getListState = _state
+
+
+def test_a_timer_holds_a_slice_of_its_key_and_not_all_that_waits():
+    rng, n = np.random.default_rng(3), 200_000
+    frame = pd.DataFrame({"us": rng.integers(0, 30 * L.DAY, n), "seq": np.arange(n), "kind": None, "label": None, "value": rng.uniform(1, 100, n), "side": np.nan})
+    fold, handle = L.DailyGate(), Handle()
+    keyed = _Ordered(fold, ["key", "us", "seq", "value"])
+    keyed.init(handle)
+    keyed.handleInputRows(("a",), (frame.iloc[i : i + 10_000] for i in range(0, n, 10_000)), None)
+    assert handle.timers == [frame["us"].min() // 1000]
+    got, peaks = [], []
+    # The first watermark is within a slice: the rest of it waits for the second.
+    for until in (int(14.5 * L.DAY) + 12_345_000, 31 * L.DAY):
+        tracemalloc.start()
+        for out in keyed.handleExpiredTimer(("a",), SimpleNamespace(getCurrentWatermarkInMs=lambda until=until: until // 1000), None):
+            got += out.itertuples(index=False, name=None)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert handle.timers[1:] == [frame["us"][frame["us"] > int(14.5 * L.DAY) + 12_345_000].min() // 1000]
+    rows = [Row(u, s, None, None, v, None) for u, s, v in frame[["us", "seq", "value"]].itertuples(index=False)]
+    assert got == [("a", *x) for x in advanced(fold, fold.start(), rows, 31 * L.DAY)[1]] and len(got) == 30
+    assert max(peaks) < 8 << 20
+
+
 def noon(day, second, value):
     return Row((day * 86400 + 12 * 3600 + second) * 1_000_000, 0, None, None, value, None)
 
