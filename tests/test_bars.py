@@ -1,6 +1,7 @@
 """Frames by hand: edges of buckets, no look-ahead, stops, and plans."""
 
 import datetime as dt
+import sys
 
 import numpy as np
 import pandas as pd
@@ -430,3 +431,30 @@ def test_events_are_typed_columns():
     assert frame["i"].dtype == "Int64" and frame["entry_price"].dtype == float and list(frame["symbol"]) == [7, 7]
     assert frame["quantity"].tolist() == [pd.NA, 4] or (frame["quantity"].isna().tolist() == [True, False] and frame["quantity"].iloc[1] == 4)
     assert strategy.event_frame([], 7).empty and list(strategy.event_frame([], 7).columns) == ["symbol", *strategy.EVENT]
+
+
+def test_bars_on_which_nothing_can_happen_are_passed_over():
+    """A replay's Python goes with the trades, not with the bars."""
+    n, lines = 5_000, [0]
+    prices = {x: np.linspace(10, 20, n) for x in ("open", "high", "low", "close", "exec_open", "exec_close")}
+    enter, leave = np.zeros(n, bool), np.zeros(n, bool)
+    enter[[100, 3_000]] = leave[[2_000, 4_000]] = True
+    s = strategy.Strategy(entry=(("ma_cross_up", {}),), exit=(("ma_cross_down", {}),))
+    ts = list(pd.date_range("2000-01-01", periods=n).date)
+
+    def count(frame, event, arg):
+        lines[0] += 1
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        moved, curve = strategy.moves(ts, prices, enter, leave, s)
+    finally:
+        sys.settrace(before)
+    assert [(e[1], e[13]) for e in moved if e[0] == "trade"] == [(2_001, 1_900), (4_001, 1_000)] and lines[0] < 1_000
+    frame = pd.DataFrame({"ts": ts, **prices, "_entry": enter, "_exit": leave})
+    assert [e[15] for e in strategy.replay(frame, s) if e[0] == "equity"] == curve.tolist()
+    a, b = strategy.moves_frame(moved, ts, curve, "x"), strategy.event_frame(strategy.replay(frame, s), "x")
+    order = lambda f: f.sort_values(["event", "i"], ignore_index=True, kind="stable")
+    pd.testing.assert_frame_equal(order(a), order(b))
