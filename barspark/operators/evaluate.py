@@ -1,8 +1,8 @@
 """All chart patterns on every bar, inside the JVM: swings as folds over candidate extremes, detectors on the last swings of each bar's window.
 
 A bar is a candidate high (low) if it is the extreme of the bars around it; that does not hang on the window it is seen in. In a window
-of a bar, candidates alternate: of neighbours of one kind the more extreme stays. Only a few dozen candidates lie in a window, so each bar folds those and no
-other bars. Bearish patterns are written once; bullish ones are the same on negated prices.
+of a bar, candidates alternate: of neighbours of one kind the more extreme stays. Runs of neighbours are the same in every window but at its ends, so
+they are folded once a series, and a bar takes the last few. Bearish patterns are written once; bullish ones are the same on negated prices.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.functions.recurrence import Blocks, as_bars, blocks_of
+from barspark.functions.recurrence import CHUNK, Blocks, as_bars, blocks_of
 from barspark.operators.patterns import Settings, range_signals
 
 #: Names by detector, the bearish one first.
@@ -23,6 +23,10 @@ PATTERNS = ("regime", "near_range_high", "near_range_low", *(n for pair in NAMES
 #: Bars that a detector needs besides the two reaches of a swing.
 NEED = {"double": 3, "shoulders": 5, "n": 3, "wedge": 6}
 _SIGNAL = "struct<pattern:string,label:string,line:double>"
+_SWINGS = "array<struct<i:int,k:int,p:double>>"
+SIDES = {1: "highs", -1: "lows"}
+#: Swings that detectors look at: of doubles two a side, of the others four.
+NEAR, FAR = 4, 8
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -35,8 +39,20 @@ def _signal(pattern: str | Column, label: Column | None = None, line: Column | N
     return F.struct(name.alias("pattern"), (none if label is None else label).cast("string").alias("label"), (none if line is None else line).cast("double").alias("line"))
 
 
+def _states(xs: str, zero: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """The states of a fold behind each element of an array column. A fold copies what it has at each step, so it goes over chunks."""
+    one = lambda out, x: F.array_append(out, step(F.element_at(out, -1), x))
+    chunk = lambda k, last: F.slice(F.aggregate(F.slice(xs, k, CHUNK), F.array(last), one), 2, CHUNK)
+    starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(CHUNK))
+    return F.aggregate(starts, F.array().cast(f"array<{kind}>"), lambda out, k: F.concat(out, chunk(k, F.coalesce(F.try_element_at(out, F.lit(-1)), zero))))
+
+
 def _candidates(blocks: Blocks, reach: int) -> Blocks:
-    """_cand: (i, k, p) of all candidates in order, a high before a low of one bar; _upto: how many come up to each bar."""
+    """_cand: (i, k, p) of all candidates in order, a high before a low of one bar; _upto: how many come up to each bar.
+
+    Neighbours of one kind are a run, of which one is a swing: _early has for each candidate its run's number and the swing of the run so far, _late the swing
+    of the run from there on, _runs that of each whole run.
+    """
     inside = lambda i: (i >= reach) & (i + reach < F.size("_x_close"))
     around = lambda xs, i: F.slice(xs, i - reach + 1, 2 * reach + 1)
     one = lambda i, k, p: F.struct(i.alias("i"), F.lit(k).alias("k"), p.alias("p"))
@@ -46,30 +62,55 @@ def _candidates(blocks: Blocks, reach: int) -> Blocks:
         top = F.when(inside(i), F.when(high >= F.array_max(around("_x_high", i)), one(i, 1, high)))
         return F.array_compact(F.array(top, F.when(inside(i), F.when(low <= F.array_min(around("_x_low", i)), one(i, -1, low)))))
 
+    def swing(n: Column, keep: Column, last: Column, x: Column) -> Column:
+        chosen = lambda c: F.when(keep, last[c]).otherwise(x[c]).alias(c)
+        return F.struct(n.cast("int").alias("n"), chosen("i"), x["k"].alias("k"), chosen("p"))
+
+    same = lambda last, x: last["k"] == x["k"]
+    # The more extreme stays, the first of equal ones.
+    early = lambda last, x: swing(last["n"] + F.when(same(last, x), 0).otherwise(1), same(last, x) & (x["k"] * x["p"] <= x["k"] * last["p"]), last, x)
+    late = lambda last, x: swing(F.lit(0), same(last, x) & (x["k"] * x["p"] < x["k"] * last["p"]), last, x)
+    none = F.struct(F.lit(-1).alias("n"), F.lit(-1).alias("i"), F.lit(0).alias("k"), F.lit(0.0).alias("p"))
+    kind = "struct<n:int,i:int,k:int,p:double>"
     per = blocks.let(_per=F.transform("_x_close", at))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-    counts = F.aggregate("_per", start, lambda s, x: F.struct((s["n"] + F.size(x)).alias("n"), F.array_append(s["out"], s["n"] + F.size(x)).alias("out")), lambda s: s["out"])
-    return per.let(_cand=F.flatten("_per"), _upto=counts)
+    per = per.let(_cand=F.flatten("_per"), _sizes=F.transform("_per", F.size)).let(_back=F.reverse("_cand"))
+    per = per.let(_upto=_states("_sizes", F.lit(0), "int", lambda n, x: n + x), _early=_states("_cand", none, kind, early), _late=F.reverse(_states("_back", none, kind, late)))
+    return per.let(_runs=F.filter("_early", lambda x, c: ~F.coalesce(F.get("_early", c + 1)["n"] == x["n"], F.lit(False))))
 
 
-def _swings(t: Column, size: int, reach: int) -> Column:
-    """Alternating swings of the window of `size` bars that ends with bar t."""
+def _swings(t: Column, size: int, reach: int, last: int) -> Column:
+    """The last few alternating swings of the window of `size` bars that ends with bar t: highs and lows apart.
+
+    Runs inside the window are whole; only its first may have begun before, and its last may go on.
+    """
     first = F.greatest(t - size + 1, F.lit(0))
-    before = F.get("_upto", first + reach - 1)
-    inside = F.slice("_cand", before + 1, F.greatest(F.get("_upto", t - reach) - before, F.lit(0)))
+    start, end = F.get("_upto", first + reach - 1), F.get("_upto", t - reach)
 
     def merge(found: Column, x: Column) -> Column:
-        last = F.element_at(found, -1)
-        more = F.when(x["k"] * x["p"] > x["k"] * last["p"], F.array_append(F.slice(found, 1, F.size(found) - 1), x)).otherwise(found)
-        return F.when((F.size(found) > 0) & (F.try_element_at(found, F.lit(-1))["k"] == x["k"]), more).otherwise(F.array_append(found, x))
+        return F.when(found.isNull() | (x["k"] * x["p"] > x["k"] * found["p"]), x).otherwise(found)
+
+    def runs(w: Column) -> Column:
+        a, z = w["a"], w["z"]
+        inner = F.greatest(a + 1, z["n"] - (last - 1))
+        only = F.array(F.aggregate(F.slice("_cand", w["start"] + 1, w["end"] - w["start"]), F.lit(None).cast("struct<i:int,k:int,p:double>"), merge))
+        head = F.when(a > z["n"] - last, F.array(plain(F.get("_late", w["start"])))).otherwise(F.array().cast(_SWINGS))
+        more = F.concat(head, F.transform(F.slice("_runs", inner + 1, z["n"] - inner), plain), F.array(plain(z)))
+        return F.when(a == z["n"], only).otherwise(more)
+
+    plain = lambda x: F.struct(x["i"].alias("i"), x["k"].alias("k"), x["p"].alias("p"))
+    bounds = F.struct(start.alias("start"), end.alias("end"), F.get("_early", start)["n"].alias("a"), F.get("_early", end - 1).alias("z"))
+    return F.when((t - first >= 2 * reach) & (end > start), _let(bounds, runs)).otherwise(F.array().cast(_SWINGS))
+
 
-    none = F.array().cast("array<struct<i:int,k:int,p:double>>")
-    return F.when(t - first >= 2 * reach, F.aggregate(inside, none, merge)).otherwise(none)
+def _sides(swings: Column) -> Column:
+    side = lambda x, k: F.filter(x, lambda s: s["k"] == k).alias(SIDES[k])
+    return _let(swings, lambda x: F.struct(*(side(x, k) for k in SIDES)))
 
 
 def _side(swings: Column, k: int, sign: int) -> Column:
     """Swings of kind k with prices of the given sign."""
-    return F.transform(F.filter(swings, lambda x: x["k"] == k), lambda x: F.struct(x["i"].alias("i"), (x["p"] * sign).alias("p")))
+    found = swings[SIDES[k]]
+    return found if sign == 1 else F.transform(found, lambda x: F.struct(x["i"].alias("i"), x["k"].alias("k"), (-x["p"]).alias("p")))
 
 
 def _first_below(t: Column, start: Column, line: Column, m: int) -> Column:
@@ -152,7 +193,7 @@ def _regime(t: Column, s: Settings) -> list[Column]:
     size = F.least(F.lit(s.lookback), t + 1)
     closes = F.slice("_x_close", t - size + 2, size)
     half = F.floor(size / 2).cast("int")
-    mean = lambda xs: F.try_divide(_sum(F.array_compact(xs), lambda x: x), F.size(F.array_compact(xs)).cast("double"))
+    mean = lambda xs: _let(F.array_compact(xs), lambda known: F.try_divide(_sum(known, lambda x: x), F.size(known).cast("double")))
     facts = F.struct(F.array_max(closes).alias("high"), F.array_min(closes).alias("low"), mean(F.slice(closes, 1, half)).alias("a"), mean(F.slice(closes, half + 1, size)).alias("b"), F.get("_x_close", t).alias("now"))
 
     def look(x: Column) -> Column:
@@ -177,7 +218,7 @@ def evaluated(bars: DataFrame, s: Settings = Settings(), enabled: tuple[str, ...
     rows = bars.select("symbol", "ts", "high", "low", "close")
     blocks = _candidates(blocks_of(rows, "symbol", "ts", ["high", "low", "close"], s.long - 1), s.swing_window)
     places = F.transform("_rows", lambda _, k: k + F.col("_halo"))
-    swings = lambda t: F.struct(t.alias("t"), _swings(t, s.lookback, s.swing_window).alias("near"), _swings(t, s.long, s.swing_window).alias("far"))
+    swings = lambda t: F.struct(t.alias("t"), _sides(_swings(t, s.lookback, s.swing_window, NEAR)).alias("near"), _sides(_swings(t, s.long, s.swing_window, FAR)).alias("far"))
     blocks = blocks.let(_at=F.transform(places, swings))
 
     def detect(w: Column) -> Column:
