@@ -5,10 +5,12 @@ State of one symbol and direction. Long and short are one machine on signed pric
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bars before the first decision, and seconds until a confirmed order is sent and until it is stale.
@@ -123,37 +125,48 @@ def decisive(intraday: DataFrame) -> DataFrame:
     """
     minute = F.hour("ts") * 60 + F.minute("ts")
     p = intraday.select("symbol", "ts", "price", F.to_date("ts").alias("_day"), minute.alias("_minute")).where(f"_minute between {NOON[0]} and {NOON[1] + int(STALE) // 60}")
-    noon = p.where(f"_minute <= {NOON[1]}").groupBy("symbol", "_day").agg(F.min(F.struct("ts", "price")).alias("_first"))
-    since = F.col("_first.ts")
-    after = p.join(noon, ["symbol", "_day"]).where((F.col("ts") >= since + F.expr(f"interval {int(DELAY)} seconds")) & (F.col("ts") < since + F.expr(f"interval {int(STALE)} seconds")))
-    due = after.groupBy("symbol", "_day").agg(F.min(F.struct("ts", "price")).alias("_first"))
-    return noon.union(due).select("symbol", "_first.ts", "_first.price")
+    # One shuffle: a day's prices around noon meet its first one in a window, not in a join with themselves.
+    noon = F.min(F.when(F.col("_minute") <= NOON[1], F.struct("ts", "price"))).over(Window.partitionBy("symbol", "_day"))
+    since = F.col("_noon.ts")
+    due = F.when((F.col("ts") >= since + F.expr(f"interval {int(DELAY)} seconds")) & (F.col("ts") < since + F.expr(f"interval {int(STALE)} seconds")), F.struct("ts", "price"))
+    days = p.withColumn("_noon", noon).groupBy("symbol", "_day").agg(F.min("_noon").alias("_noon"), F.min(due).alias("_due"))
+    return days.select("symbol", F.explode(F.array_compact(F.array("_noon", "_due"))).alias("_first")).select("symbol", "_first.ts", "_first.price")
 
 
 def run(daily: DataFrame, intraday: DataFrame, b: Band) -> DataFrame:
     """symbol, ts, kind, action, quantity, price: what the strategy does over days of daily bars and prices within days.
 
     daily has symbol, ts (a date) and close, intraday symbol, ts and price. Events of a symbol are put in order of time, a day's close after
-    its prices, and folded in one task a symbol, which has three rows a day at most.
+    its prices. Symbols are many and short, three rows a day at most: a task folds all of its own in one streaming pass.
     """
     a = daily.select("symbol", F.date_add("ts", 1).cast("timestamp_ntz").alias("at"), F.lit(0).alias("order"), F.col("ts").alias("day"), F.col("close").alias("price"))
-    p = decisive(intraday).select("symbol", F.col("ts").alias("at"), F.lit(1).alias("order"), F.to_date("ts").alias("day"), "price")
+    p = decisive(intraday).select("symbol", F.col("ts").cast("timestamp_ntz").alias("at"), F.lit(1).alias("order"), F.to_date("ts").alias("day"), "price")
     kind = daily.schema["symbol"].dataType.simpleString()
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "order"], kind="stable")
-        state, closes, out = State(), [], []
-        for r in pdf.itertuples():
-            now = pd.Timestamp(r.at).timestamp()
-            if r.order == 0:
-                closes.append(r.price)
-                on_close(b, state, r.day, r.price, sum(closes[-20:]) / 20 if len(closes) >= 20 else None, len(closes))
-                continue
-            minute = r.at.hour * 60 + r.at.minute
-            if NOON[0] <= minute <= NOON[1]:
-                on_noon(b, state, r.day, r.price, now)
-            if (done := on_time(b, state, r.price, now)) is not None:
-                out.append((r.symbol, r.at, *done))
-        return pd.DataFrame(out, columns=["symbol", "ts", "kind", "action", "quantity", "price"], dtype=object)
-
-    return a.unionByName(p).groupBy("symbol").applyInPandas(one, f"symbol {kind}, ts timestamp_ntz, kind string, action string, quantity int, price double")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, closes, bars = None, State(), deque(maxlen=LEAST_BARS), 0
+        for batch in batches:
+            at, day = batch["at"].cast(pa.int64()).to_pylist(), batch["day"].cast(pa.int32()).to_pylist()
+            symbols, prices = batch["symbol"].to_pylist(), batch["price"].cast(pa.float64()).to_numpy(zero_copy_only=False).tolist()
+            out: list[tuple] = []
+            for n, (symbol, us, order, date, price) in enumerate(zip(symbols, at, batch["order"].to_pylist(), day, prices, strict=True)):
+                if symbol != key:
+                    key, state, closes, bars = symbol, State(), deque(maxlen=LEAST_BARS), 0
+                if order == 0:
+                    closes.append(price)
+                    bars += 1
+                    # Only a position that nothing is proposed for asks for the average.
+                    asked = state.position and state.proposed is None and bars >= LEAST_BARS
+                    on_close(b, state, date, price, sum(closes) / LEAST_BARS if asked else None, bars)
+                elif state.proposed is not None or state.order is not None:
+                    now, minute = us / 1e6, us // 60_000_000 % 1440
+                    if NOON[0] <= minute <= NOON[1]:
+                        on_noon(b, state, date, price, now)
+                    if (done := on_time(b, state, price, now)) is not None:
+                        out.append((n, *done))
+            rows = pa.array([r[0] for r in out], pa.int64())
+            made = [pa.array([r[k] for r in out], t) for k, t in ((1, pa.string()), (2, pa.string()), (3, pa.int32()), (4, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch["symbol"].take(rows), batch["at"].take(rows), *made], ["symbol", "ts", "kind", "action", "quantity", "price"])
+
+    dealt = a.unionByName(p).repartition("symbol").sortWithinPartitions("symbol", "at", "order")
+    return dealt.mapInArrow(fold, f"symbol {kind}, ts timestamp_ntz, kind string, action string, quantity int, price double")
