@@ -3,6 +3,7 @@
 A bar is a candidate high (low) if it is the extreme of the bars around it; that does not hang on the window it is seen in. In a window
 of a bar, candidates alternate: of neighbours of one kind the more extreme stays. Runs of neighbours are the same in every window but at its ends, so
 they are folded once a series, and a bar takes the last few. Bearish patterns are written once; bullish ones are the same on negated prices.
+Series that one task can hold go through kernels instead (operators/detect.py).
 """
 
 from __future__ import annotations
